@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import decontaminate, media, toxicity, urls
+from tidebook.llm import decontaminate, media, mixing, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,9 +26,13 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media(table(spark, sf_dir, "documents"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.selected(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_url_filter, op4_media, op10_decontaminate)}
-SQL = {"op10_decontaminate": decontaminate.SQL}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_url_filter, op4_media, op9_mixing, op10_decontaminate)}
+SQL = {"op9_mixing": mixing.SQL, "op10_decontaminate": decontaminate.SQL}
