@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import decontaminate, licenses, media, mixing, toxicity, urls
+from tidebook.llm import decontaminate, licenses, media, mixing, pii, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -38,5 +42,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_url_filter, op4_media, op8_licenses, op9_mixing, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_url_filter, op4_media, op5_pii, op8_licenses, op9_mixing, op10_decontaminate)}
 SQL = {"op8_licenses": licenses.sql(), "op9_mixing": mixing.SQL, "op10_decontaminate": decontaminate.SQL}
