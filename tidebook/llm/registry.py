@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import decontaminate, licenses, media, mixing, pii, toxicity, urls
+from tidebook.llm import decontaminate, licenses, media, mixing, pii, substrings, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"), "flagged")
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judge(pages, urls.labelled(pages, table(spark, sf_dir, "labels")))
@@ -42,5 +46,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_url_filter, op4_media, op5_pii, op8_licenses, op9_mixing, op10_decontaminate)}
-SQL = {"op8_licenses": licenses.sql(), "op9_mixing": mixing.SQL, "op10_decontaminate": decontaminate.SQL}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_substrings, op3_url_filter, op4_media, op5_pii, op8_licenses, op9_mixing, op10_decontaminate)}
+SQL = {"op2_substrings": substrings.SQL, "op8_licenses": licenses.sql(), "op9_mixing": mixing.SQL, "op10_decontaminate": decontaminate.SQL}

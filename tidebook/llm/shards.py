@@ -86,48 +86,114 @@ class Shard:
 
 def to_buckets(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Where each slice of ascending 64-bit keys begins that goes to bucket 0, 1, ...: buckets are equal ranges of keys."""
-    width = U(-(-(1 << 64) // buckets)) if buckets > 1 else None
-    edges = [U(0)] + [width * U(k) for k in range(1, buckets)]
-    return np.r_[np.searchsorted(keys, np.array(edges, np.uint64)), keys.size]
+    edges = np.arange(buckets, dtype=np.uint64) * U((1 << 64) // buckets if buckets > 1 else 0)
+    return np.r_[np.searchsorted(keys, edges), keys.size]
+
+
+def planes(values: np.ndarray) -> np.ndarray:
+    """The bytes of whole numbers by significance, which compress where the high ones are alike."""
+    return np.ascontiguousarray(values.astype(np.uint64, copy=False).view(np.uint8).reshape(-1, 8).T).ravel()
+
+
+def from_planes(raw: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(raw.reshape(8, -1).T).ravel().view(np.uint64)
 
 
 def send(sender: int, keys: np.ndarray, buckets: int, *more: np.ndarray) -> pa.Table:
-    """Rows (to, sender, blob) of ascending keys and arrays that go with them; none to buckets that get no keys."""
+    """Rows (to, sender, blob) of ascending keys and arrays that go with them; none to buckets that get no keys.
+
+    Keys go as differences; 64-bit arrays as byte planes, others as they are.
+    """
     cut = to_buckets(keys, buckets)
     to = np.flatnonzero(np.diff(cut))
-    blobs = [pack(*(a[cut[k] : cut[k + 1]] for a in (keys, *more))) for k in to]
+    blobs = []
+    for k in to:
+        part = keys[cut[k] : cut[k + 1]]
+        rest = [a[cut[k] : cut[k + 1]] for a in more]
+        blobs.append(pack(planes(np.diff(part, prepend=U(0))), *(planes(a.view(np.uint64)) if a.dtype.itemsize == 8 else a for a in rest)))
     return pa.table({"to": pa.array(to, pa.int32()), "sender": pa.array(np.full(to.size, sender), pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
 
-def gather(table: pa.Table) -> tuple[list[int], list[list[np.ndarray]]]:
-    """Senders in ascending order and what each has sent."""
+def received(table: pa.Table, wide: tuple[int, ...] = ()) -> tuple[list[int], list[list[np.ndarray]]]:
+    """Senders in ascending order and what each has sent; wide: which of the further arrays are of 64 bits."""
     senders = table.column("sender").to_pylist()
     order = sorted(range(len(senders)), key=senders.__getitem__)
     blobs = table.column("blob").to_pylist()
-    return [senders[i] for i in order], [unpack(blobs[i]) for i in order]
+    out = []
+    for i in order:
+        first, *rest = unpack(blobs[i])
+        out.append([np.cumsum(from_planes(first), dtype=np.uint64), *(from_planes(a) if k in wide else a for k, a in enumerate(rest))])
+    return [senders[i] for i in order], out
 
 
-def reply(bucket: int, to: list[int], answers: list[tuple[np.ndarray, ...]]) -> pa.Table:
-    return pa.table({"to": pa.array(to, pa.int32()), "sender": pa.array([bucket] * len(to), pa.int32()), "blob": pa.array([pack(*a) for a in answers], pa.binary())})
+def reply(bucket: int, to: list[int], answers: list[np.ndarray]) -> pa.Table:
+    return pa.table({"to": pa.array(to, pa.int32()), "sender": pa.array([bucket] * len(to), pa.int32()), "blob": pa.array([pack(a) for a in answers], pa.binary())})
 
 
-def shared_keys(asked: DataFrame) -> DataFrame:
-    """Of rows (to, sender, blob: ascending keys, and 1 where the sender itself has it twice): the keys that are there twice.
+def answered(keys: np.ndarray, buckets: int, table: pa.Table, default: int) -> np.ndarray:
+    """The answers (a small number for each key sent, in order) that came back; `default` for buckets that sent none."""
+    cut = to_buckets(keys, buckets)
+    out = np.full(keys.size, default, np.uint8)
+    for k, blob in zip(table.column("sender").to_pylist(), table.column("blob").to_pylist()):
+        out[cut[k] : cut[k + 1]] = unpack(blob)[0]
+    return out
 
-    Answers go back to the senders; a key that only one sender has once is left out.
-    """
+
+def shared_keys(asked: DataFrame) -> DataFrame:
+    """Answers 1 for keys that two senders have, or one has twice (rows: keys, and 1 where the sender has it twice)."""
 
     def run(key, table):
-        senders, sent = gather(table)
+        senders, sent = received(table)
         keys, count = np.unique(np.concatenate([s[0] for s in sent]), return_counts=True)
-        keep = []
-        for k, twice in sent:
-            keep.append((k[(count[np.searchsorted(keys, k)] > 1) | (twice > 0)],))
-        pick = [i for i, k in enumerate(keep) if k[0].size]
-        return reply(key[0].as_py(), [senders[i] for i in pick], [keep[i] for i in pick])
+        bits = [((count[np.searchsorted(keys, k)] > 1) | (twice > 0)).astype(np.uint8) for k, twice in sent]
+        pick = [i for i, b in enumerate(bits) if b.any()]
+        return reply(key[0].as_py(), [senders[i] for i in pick], [bits[i] for i in pick])
 
     return asked.groupBy("to").applyInArrow(run, BLOB)
 
 
+def merge(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two ascending runs of distinct keys with numbers become one, by binary search; of equal keys the least number stays."""
+    (ka, na), (kb, nb) = a, b
+    at = np.searchsorted(ka, kb)
+    same = ka[np.minimum(at, ka.size - 1)] == kb
+    na = na.copy()
+    na[at[same]] = np.minimum(na[at[same]], nb[same])
+    new = ~same
+    place = at[new] + np.arange(new.sum())
+    keys, nums = np.empty(ka.size + place.size, np.uint64), np.empty(ka.size + place.size, np.uint64)
+    old = np.ones(keys.size, bool)
+    old[place] = False
+    keys[place], nums[place] = kb[new], nb[new]
+    keys[old], nums[old] = ka, na
+    return keys, nums
+
+
+def first_holders(asked: DataFrame) -> DataFrame:
+    """Answers 1 where another sender has the key with a smaller number (rows: ascending distinct keys, their numbers)."""
+
+    def run(key, table):
+        senders, sent = received(table, (0,))
+        runs = [tuple(s) for s in sent]
+        while len(runs) > 1:
+            runs = [merge(runs[i], runs[i + 1]) if i + 1 < len(runs) else runs[i] for i in range(0, len(runs), 2)]
+        keys, least = runs[0]
+        bits = [(least[np.searchsorted(keys, k)] < n).astype(np.uint8) for k, n in sent]
+        pick = [i for i, b in enumerate(bits) if b.any()]
+        return reply(key[0].as_py(), [senders[i] for i in pick], [bits[i] for i in pick])
+
+    return asked.groupBy("to").applyInArrow(run, BLOB)
+
+
+def split_kinds(table: pa.Table) -> list[pa.Table]:
+    """Answers of two rounds apart; those of the second carry kind 1."""
+    kind = table.column("kind").to_numpy()
+    return [table.filter(pa.array(kind == k)) for k in (0, 1)]
+
+
+def both(first: DataFrame, second: DataFrame) -> DataFrame:
+    return first.withColumn("kind", F.lit(0)).unionAll(second.withColumn("kind", F.lit(1)))
+
+
 def count(docs: DataFrame, shard_bytes: int = shared.SHARD_BYTES, text: str = "text") -> int:
     return shared.shard_count(docs, text, shard_bytes)
