@@ -155,11 +155,11 @@ def report(docs: DataFrame, **how) -> DataFrame:
 
 def redact(docs: DataFrame, **how) -> DataFrame:
     """docs with every span replaced by its kind in brackets; of overlapping spans the first, longest one covers the rest."""
-    keyed = materialize(docs.withColumn("_key", F.monotonically_increasing_id()), "redact")
+    keyed = materialize(docs.withColumn("__pii_key", F.monotonically_increasing_id()), "redact")
     # the key stands in for the id, so that repeated ids don't meet
-    got = extract(keyed.select(F.col("_key").alias("doc_id"), "text"), **how).where((F.size("base") > 0) | (F.size("more") > 0))
-    got = got.select(F.col("doc_id").alias("_key"), F.array_sort(F.concat("base", "more")).alias("_spans"))
-    both = keyed.join(got, "_key", "left")
+    got = extract(keyed.select(F.col("__pii_key").alias("doc_id"), "text"), **how).where((F.size("base") > 0) | (F.size("more") > 0))
+    got = got.select(F.col("doc_id").alias("__pii_key"), F.array_sort(F.concat("base", "more")).alias("__pii_spans"))
+    both = keyed.join(got, "__pii_key", "left")
     name = lambda k: F.get(F.array(*(F.lit(f"[{x.upper()}]") for x in KINDS)), k)
     zero = F.struct(F.lit(0).alias("end"), F.lit("").alias("out"))
 
@@ -167,9 +167,9 @@ def redact(docs: DataFrame, **how) -> DataFrame:
         tail = F.struct(F.greatest(acc["end"], x["end"]).alias("end"), acc["out"].alias("out"))
         return F.when(x["start"] < acc["end"], tail).otherwise(F.struct(x["end"].alias("end"), F.concat(acc["out"], F.substring(F.col("text"), acc["end"] + 1, x["start"] - acc["end"]), name(x["kind"])).alias("out")))
 
-    text = F.aggregate("_spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["end"] + 1, F.char_length("text"))))
-    clean = F.when(F.col("_spans").isNull() | F.col("text").isNull(), F.col("text")).otherwise(text)
+    text = F.aggregate("__pii_spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["end"] + 1, F.char_length("text"))))
+    clean = F.when(F.col("__pii_spans").isNull() | F.col("text").isNull(), F.col("text")).otherwise(text)
     out = both.withColumn("text", clean)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col("__pii_spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*(out[c] for c in docs.columns))

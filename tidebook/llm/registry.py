@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import decontaminate, licenses, media, mixing, pii, substrings, suffixes, toxicity, urls
+from tidebook.llm import decontaminate, jaccard, licenses, media, mixing, pii, substrings, suffixes, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -50,5 +54,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_substrings, op3_url_filter, op4_media, op5_pii, op6_suffixes, op8_licenses, op9_mixing, op10_decontaminate)}
-SQL = {"op2_substrings": substrings.SQL, "op8_licenses": licenses.sql(), "op9_mixing": mixing.SQL, "op10_decontaminate": decontaminate.SQL}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_substrings, op3_url_filter, op4_media, op5_pii, op6_suffixes, op7_jaccard, op8_licenses, op9_mixing, op10_decontaminate)}
+SQL = {"op7_jaccard": jaccard.SQL, "op2_substrings": substrings.SQL, "op8_licenses": licenses.sql(), "op9_mixing": mixing.SQL, "op10_decontaminate": decontaminate.SQL}
