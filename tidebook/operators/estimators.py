@@ -12,9 +12,18 @@ from pyspark.sql import functions as F
 from tidebook.operators import books
 
 WINDOWS = (60, 300, 900)
-BY = Window.partitionBy("symbol").orderBy("seq")
-SO_FAR = BY.rowsBetween(Window.unboundedPreceding, 0)
-BEFORE = BY.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def by():
+    return Window.partitionBy("symbol").orderBy("seq")
+
+
+def so_far():
+    return by().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def before():
+    return by().rowsBetween(Window.unboundedPreceding, -1)
 
 
 def sign_of(change: Column) -> Column:
@@ -23,14 +32,14 @@ def sign_of(change: Column) -> Column:
 
 def tick_rule(df: DataFrame, name: str, valid: Column) -> DataFrame:
     """Adds the sign of the last change of `ltp` among valid rows; 0 before any, null on other rows."""
-    df = df.withColumn("_tp", F.when(valid, F.col("ltp"))).withColumn("_tq", F.last("_tp", True).over(BEFORE))
+    df = df.withColumn("_tp", F.when(valid, F.col("ltp"))).withColumn("_tq", F.last("_tp", True).over(before()))
     df = df.withColumn("_tm", sign_of(F.col("_tp") - F.col("_tq")))
-    return df.withColumn(name, F.when(valid, F.coalesce(F.last("_tm", True).over(SO_FAR), F.lit(0)))).drop("_tp", "_tq", "_tm")
+    return df.withColumn(name, F.when(valid, F.coalesce(F.last("_tm", True).over(so_far()), F.lit(0)))).drop("_tp", "_tq", "_tm")
 
 
 def numbered(df: DataFrame, name: str, valid: Column) -> DataFrame:
     """Adds column `name`: how many valid rows there are so far."""
-    return df.withColumn(name, F.count(F.when(valid, 1)).over(SO_FAR))
+    return df.withColumn(name, F.count(F.when(valid, 1)).over(so_far()))
 
 
 def last_valid(number: str, width: int, past: bool = False):
@@ -42,7 +51,7 @@ def order_flow(ticks: DataFrame, windows: tuple[int, ...] = WINDOWS) -> DataFram
     """Adds `ofi` (the event) and `ofi_<w>s` for windows in seconds, the current instant and exactly w ago included."""
     two = F.col("bid_px_1").isNotNull() & F.col("ask_px_1").isNotNull()
     top = F.when(two, F.struct("bid_px_1", "bid_qty_1", "ask_px_1", "ask_qty_1"))
-    df = ticks.withColumn("_prev", F.last(top, True).over(BEFORE))
+    df = ticks.withColumn("_prev", F.last(top, True).over(before()))
     b, q, a, z = (F.col(c) for c in ("bid_px_1", "bid_qty_1", "ask_px_1", "ask_qty_1"))
     pb, pq, pa, pz = (F.col(f"_prev.{c}") for c in ("bid_px_1", "bid_qty_1", "ask_px_1", "ask_qty_1"))
     bid = F.when(b > pb, q).when(b == pb, q - pq).otherwise(-pq)
@@ -57,8 +66,8 @@ def order_flow(ticks: DataFrame, windows: tuple[int, ...] = WINDOWS) -> DataFram
 def sessions(ticks: DataFrame) -> DataFrame:
     """Adds `_di` (date changes so far), `_vi` (falls of the cumulative volume within a date) and `dvol` (null off qualifying rows)."""
     df = ticks.withColumn("_day", F.to_date("ts"))
-    df = df.withColumn("_turn", F.when(F.col("_day") != F.lag("_day").over(BY), 1).otherwise(0))
-    df = df.withColumn("_di", F.sum("_turn").over(SO_FAR)).drop("_turn")
+    df = df.withColumn("_turn", F.when(F.col("_day") != F.lag("_day").over(by()), 1).otherwise(0))
+    df = df.withColumn("_di", F.sum("_turn").over(so_far())).drop("_turn")
     day = Window.partitionBy("symbol", "_di").orderBy("seq")
     counts = F.col("ltp").isNotNull() & F.col("volume").isNotNull()
     df = df.withColumn("_v", F.when(counts, F.col("volume")))
@@ -67,12 +76,13 @@ def sessions(ticks: DataFrame) -> DataFrame:
     return df.withColumn("dvol", F.when(F.col("_v") < F.col("_pv"), 0).otherwise(F.coalesce(F.col("_v") - F.col("_pv"), F.when(F.col("_v").isNotNull(), 0)))).drop("_day", "_v", "_pv")
 
 
-ISLAND = Window.partitionBy("symbol", "_di", "_vi").orderBy("seq")
+def island():
+    return Window.partitionBy("symbol", "_di", "_vi").orderBy("seq")
 
 
 def session_vwap(df: DataFrame) -> DataFrame:
     """Adds vwap, vwap_stdev and vwap_dev to rows of sessions()."""
-    sofar = ISLAND.rowsBetween(Window.unboundedPreceding, 0)
+    sofar = island().rowsBetween(Window.unboundedPreceding, 0)
     v = F.when(F.col("dvol") > 0, F.col("dvol"))
     df = df.withColumns({"_v": F.sum(v).over(sofar), "_pv": F.sum(v * F.col("ltp")).over(sofar), "_ppv": F.sum(v * F.col("ltp") * F.col("ltp")).over(sofar)})
     df = df.withColumn("vwap", F.try_divide("_pv", "_v"))
@@ -85,9 +95,9 @@ def cumulative_delta(df: DataFrame) -> DataFrame:
     """Adds cum_delta and the tick-rule sign `_side` of rows that trade, to rows of sessions()."""
     trades = F.coalesce(F.col("dvol") > 0, F.lit(False))
     df = df.withColumn("_p", F.when(trades, F.col("ltp")))
-    df = df.withColumn("_q", F.last("_p", True).over(ISLAND.rowsBetween(Window.unboundedPreceding, -1)))
+    df = df.withColumn("_q", F.last("_p", True).over(island().rowsBetween(Window.unboundedPreceding, -1)))
     df = df.withColumn("_move", sign_of(F.col("_p") - F.col("_q"))).drop("_q")
-    sofar = ISLAND.rowsBetween(Window.unboundedPreceding, 0)
+    sofar = island().rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("_side", F.when(trades, F.coalesce(F.last("_move", True).over(sofar), F.lit(0))))
     return df.withColumn("cum_delta", F.coalesce(F.sum(F.col("_side") * F.col("dvol")).over(sofar), F.lit(0)).cast("long")).drop("_p", "_move")
 
@@ -111,7 +121,7 @@ def kyle(df: DataFrame, window: int = 300, least: int = 30) -> DataFrame:
     """Adds kyle_lambda, kyle_r2, kyle_t_stat: mid returns (bps) on signed trade sizes. Needs `midprice`."""
     valid = (F.col("midprice") > 0) & F.col("ltp").isNotNull() & F.col("ltq").isNotNull()
     valid = F.coalesce(valid, F.lit(False))
-    df = df.withColumn("_m", F.when(valid, F.col("midprice"))).withColumn("_pm", F.last("_m", True).over(BEFORE))
+    df = df.withColumn("_m", F.when(valid, F.col("midprice"))).withColumn("_pm", F.last("_m", True).over(before()))
     df = tick_rule(df, "_x", valid).withColumns({"_x": F.col("_x").cast("double") * F.col("ltq"), "_ok": valid & F.col("_pm").isNotNull()})
     df = df.withColumns({"_y": F.when(F.col("_ok"), (F.col("_m") - F.col("_pm")) / F.col("_pm") * 1e4), "_x": F.when(F.col("_ok"), F.col("_x"))})
     df = numbered(df, "_k", F.col("_ok"))
@@ -134,7 +144,7 @@ def kyle(df: DataFrame, window: int = 300, least: int = 30) -> DataFrame:
 def amihud(df: DataFrame, window: int = 300) -> DataFrame:
     """Adds amihud_illiq: the mean of |mid return| over traded money, per million."""
     seen = F.coalesce((F.col("midprice") > 0) & F.col("ltp").isNotNull() & F.col("ltq").isNotNull(), F.lit(False))
-    df = df.withColumn("_m", F.when(seen, F.col("midprice"))).withColumn("_pm", F.last("_m", True).over(BEFORE))
+    df = df.withColumn("_m", F.when(seen, F.col("midprice"))).withColumn("_pm", F.last("_m", True).over(before()))
     money = F.col("ltp") * F.col("ltq")
     df = df.withColumn("_r", F.when(seen & F.col("_pm").isNotNull() & (money > 0), F.abs(F.col("_m") - F.col("_pm")) / F.col("_pm") * 1e4 / F.nullif(money, F.lit(0.0)) * 1e6))
     df = numbered(df, "_k", F.col("_r").isNotNull())
@@ -145,8 +155,8 @@ def roll(df: DataFrame, window: int = 200, least: int = 30) -> DataFrame:
     """Adds roll_serial_cov and roll_spread_bps from the serial covariance of price changes."""
     valid = F.coalesce(F.col("ltp") > 0, F.lit(False))
     df = df.withColumn("_p", F.when(valid, F.col("ltp")))
-    df = df.withColumn("_d", F.col("_p") - F.last("_p", True).over(BEFORE))
-    df = df.withColumn("_pd", F.when(F.col("_d").isNotNull(), F.last("_d", True).over(BEFORE)))
+    df = df.withColumn("_d", F.col("_p") - F.last("_p", True).over(before()))
+    df = df.withColumn("_pd", F.when(F.col("_d").isNotNull(), F.last("_d", True).over(before())))
     df = numbered(df, "_k", F.col("_pd").isNotNull())
     over = last_valid("_k", window)
     df = df.withColumns({"_x": F.when(F.col("_pd").isNotNull(), F.col("_d")), "_n": F.count("_pd").over(over)})
@@ -160,7 +170,7 @@ def variance_share(df: DataFrame, window: int = 500, least: int = 50) -> DataFra
     """Adds trade_variance_share and avg_signed_trade_return_bps."""
     valid = F.coalesce((F.col("midprice") > 0) & (F.col("ltp") > 0), F.lit(False))
     df = df.withColumns({"_m": F.when(valid, F.col("midprice")), "_p": F.when(valid, F.col("ltp"))})
-    df = tick_rule(df, "_s", valid).withColumns({"_pm": F.last("_m", True).over(BEFORE), "_pp": F.last("_p", True).over(BEFORE)})
+    df = tick_rule(df, "_s", valid).withColumns({"_pm": F.last("_m", True).over(before()), "_pp": F.last("_p", True).over(before())})
     ok = valid & F.col("_pm").isNotNull()
     df = df.withColumns({"_q": F.when(ok, (F.col("_m") - F.col("_pm")) / F.col("_pm") * 1e4), "_t": F.when(ok, (F.col("_p") - F.col("_pp")) / F.col("_pp") * 1e4)})
     df = numbered(df, "_k", F.col("_q").isNotNull())
@@ -183,7 +193,7 @@ def zscore(df: DataFrame, value: str, name: str, window: int = 300, least: int =
 
 def tick_volume(df: DataFrame) -> DataFrame:
     """Adds tick_volume: the rise of the last known cumulative volume, never below 0; 0 at first; null without volume."""
-    prev = F.last("volume", True).over(BEFORE)
+    prev = F.last("volume", True).over(before())
     return df.withColumn("tick_volume", F.when(F.col("volume").isNotNull(), F.greatest(F.lit(0), F.coalesce(F.col("volume") - prev, F.lit(0)))))
 
 
