@@ -47,6 +47,21 @@ def last_valid(number: str, width: int, past: bool = False):
     return Window.partitionBy("symbol").orderBy(number).rangeBetween(-width if past else 1 - width, -1 if past else 0)
 
 
+def sliding(df: DataFrame, number: str, width: int, **values: Column) -> DataFrame:
+    """Adds sums of values over the last `width` valid rows, as the difference of two running sums.
+
+    Frames that only grow cost a step a row, sliding frames of w rows w steps. Values are some orders of magnitude alike,
+    so what cancels leaves relative errors of about 1e-16 times the rows so far in a window's number.
+    """
+    by_number = Window.partitionBy("symbol").orderBy(number)
+    now = by_number.rangeBetween(Window.unboundedPreceding, 0)
+    gone = by_number.rangeBetween(Window.unboundedPreceding, -width)
+    df = df.withColumns({f"_in_{k}": v.cast("double") for k, v in values.items()})
+    zero = F.lit(0.0)
+    sums = {k: F.coalesce(F.sum(f"_in_{k}").over(now), zero) - F.coalesce(F.sum(f"_in_{k}").over(gone), zero) for k in values}
+    return df.withColumns(sums).drop(*(f"_in_{k}" for k in values))
+
+
 def order_flow(ticks: DataFrame, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
     """Adds `ofi` (the event) and `ofi_<w>s` for windows in seconds, the current instant and exactly w ago included."""
     two = F.col("bid_px_1").isNotNull() & F.col("ask_px_1").isNotNull()
@@ -59,8 +74,9 @@ def order_flow(ticks: DataFrame, windows: tuple[int, ...] = WINDOWS) -> DataFram
     df = df.withColumn("ofi", F.when(two & F.col("_prev").isNotNull(), bid + ask).otherwise(0).cast("double")).drop("_prev")
     if "us" not in df.columns:
         df = df.withColumn("us", F.unix_micros("ts"))
-    span = lambda w: Window.partitionBy("symbol").orderBy("us").rangeBetween(-w * 1_000_000, 0)
-    return df.withColumns({f"ofi_{w}s": F.coalesce(F.sum("ofi").over(span(w)), F.lit(0.0)) for w in windows})
+    # differences of running sums, exact since events are whole numbers
+    upto = lambda us: F.coalesce(F.sum("ofi").over(Window.partitionBy("symbol").orderBy("us").rangeBetween(Window.unboundedPreceding, us)), F.lit(0.0))
+    return df.withColumns({f"ofi_{w}s": upto(0) - upto(-w * 1_000_000 - 1) for w in windows})
 
 
 def sessions(ticks: DataFrame) -> DataFrame:
@@ -125,10 +141,13 @@ def kyle(df: DataFrame, window: int = 300, least: int = 30) -> DataFrame:
     df = tick_rule(df, "_x", valid).withColumns({"_x": F.col("_x").cast("double") * F.col("ltq"), "_ok": valid & F.col("_pm").isNotNull()})
     df = df.withColumns({"_y": F.when(F.col("_ok"), (F.col("_m") - F.col("_pm")) / F.col("_pm") * 1e4), "_x": F.when(F.col("_ok"), F.col("_x"))})
     df = numbered(df, "_k", F.col("_ok"))
-    over = last_valid("_k", window)
-    df = df.withColumns({"_n": F.count("_y").over(over), "_sxx": F.regr_sxx("_y", "_x").over(over), "_sxy": F.regr_sxy("_y", "_x").over(over), "_syy": F.regr_syy("_y", "_x").over(over)})
+    x, y = F.col("_x"), F.col("_y")
+    df = sliding(df, "_k", window, _n=F.col("_ok").cast("int"), _sx=x, _sy=y, _xx=x * x, _xy=x * y, _yy=y * y)
+    apart = lambda ab, a, b: F.col(ab) - F.col(a) * F.col(b) / F.nullif("_n", F.lit(0.0))
+    df = df.withColumns({"_sxx": apart("_xx", "_sx", "_sx"), "_sxy": apart("_xy", "_sx", "_sy"), "_syy": apart("_yy", "_sy", "_sy")})
+    tiny = 1e-12 * F.greatest(F.lit(1.0), F.col("_xx"))
     there = F.col("_ok") & (F.col("_n") >= least)
-    flat = F.col("_sxx") < 1e-12
+    flat = F.col("_sxx") < tiny
     slope = F.try_divide(F.col("_sxy"), F.col("_sxx"))
     rest = F.greatest(F.lit(0.0), F.col("_syy") - slope * F.col("_sxy"))
     mse = rest / (F.col("_n") - 2)
@@ -138,7 +157,7 @@ def kyle(df: DataFrame, window: int = 300, least: int = 30) -> DataFrame:
             "kyle_r2": F.when(there, F.when(flat | (F.col("_syy") <= 0), 0.0).otherwise(F.greatest(F.lit(0.0), 1 - F.try_divide(rest, F.col("_syy"))))),
             "kyle_t_stat": F.when(there, F.when(flat | (mse <= 0), 0.0).otherwise(F.try_divide(slope, F.sqrt(F.try_divide(mse, F.col("_sxx")))))),
         }
-    ).drop("_m", "_pm", "_x", "_y", "_ok", "_k", "_n", "_sxx", "_sxy", "_syy")
+    ).drop("_m", "_pm", "_x", "_y", "_ok", "_k", "_n", "_sxx", "_sxy", "_syy", "_sx", "_sy", "_xx", "_xy", "_yy")
 
 
 def amihud(df: DataFrame, window: int = 300) -> DataFrame:
@@ -148,7 +167,8 @@ def amihud(df: DataFrame, window: int = 300) -> DataFrame:
     money = F.col("ltp") * F.col("ltq")
     df = df.withColumn("_r", F.when(seen & F.col("_pm").isNotNull() & (money > 0), F.abs(F.col("_m") - F.col("_pm")) / F.col("_pm") * 1e4 / F.nullif(money, F.lit(0.0)) * 1e6))
     df = numbered(df, "_k", F.col("_r").isNotNull())
-    return df.withColumn("amihud_illiq", F.when(F.col("_r").isNotNull(), F.avg("_r").over(last_valid("_k", window)))).drop("_m", "_pm", "_r", "_k")
+    df = sliding(df, "_k", window, _sum=F.col("_r"))
+    return df.withColumn("amihud_illiq", F.when(F.col("_r").isNotNull(), F.col("_sum") / F.least(F.col("_k"), F.lit(window)))).drop("_m", "_pm", "_r", "_k", "_sum")
 
 
 def roll(df: DataFrame, window: int = 200, least: int = 30) -> DataFrame:
@@ -158,12 +178,13 @@ def roll(df: DataFrame, window: int = 200, least: int = 30) -> DataFrame:
     df = df.withColumn("_d", F.col("_p") - F.last("_p", True).over(before()))
     df = df.withColumn("_pd", F.when(F.col("_d").isNotNull(), F.last("_d", True).over(before())))
     df = numbered(df, "_k", F.col("_pd").isNotNull())
-    over = last_valid("_k", window)
-    df = df.withColumns({"_x": F.when(F.col("_pd").isNotNull(), F.col("_d")), "_n": F.count("_pd").over(over)})
-    df = df.withColumn("roll_serial_cov", F.when(F.col("_pd").isNotNull() & (F.col("_n") >= least), F.covar_pop("_x", "_pd").over(over)))
+    x, y = F.when(F.col("_pd").isNotNull(), F.col("_d")), F.col("_pd")
+    df = sliding(df, "_k", window, _sx=x, _sy=y, _xy=x * y)
+    n = F.nullif(F.least(F.col("_k"), F.lit(window)), F.lit(0))
+    df = df.withColumn("roll_serial_cov", F.when(F.col("_pd").isNotNull() & (F.col("_k") >= least), F.col("_xy") / n - F.col("_sx") / n * F.col("_sy") / n))
     implied = F.when(F.col("roll_serial_cov") < 0, 2 * F.sqrt(-F.col("roll_serial_cov"))).otherwise(0.0)
     bps = F.when(F.col("midprice") > 0, implied / F.nullif("midprice", F.lit(0.0)) * 1e4).otherwise(0.0)
-    return df.withColumn("roll_spread_bps", F.when(F.col("roll_serial_cov").isNotNull(), bps)).drop("_p", "_d", "_pd", "_k", "_x", "_n")
+    return df.withColumn("roll_spread_bps", F.when(F.col("roll_serial_cov").isNotNull(), bps)).drop("_p", "_d", "_pd", "_k", "_sx", "_sy", "_xy")
 
 
 def variance_share(df: DataFrame, window: int = 500, least: int = 50) -> DataFrame:
@@ -174,12 +195,15 @@ def variance_share(df: DataFrame, window: int = 500, least: int = 50) -> DataFra
     ok = valid & F.col("_pm").isNotNull()
     df = df.withColumns({"_q": F.when(ok, (F.col("_m") - F.col("_pm")) / F.col("_pm") * 1e4), "_t": F.when(ok, (F.col("_p") - F.col("_pp")) / F.col("_pp") * 1e4)})
     df = numbered(df, "_k", F.col("_q").isNotNull())
-    over = last_valid("_k", window)
-    df = df.withColumns({"_n": F.count("_q").over(over), "_vt": F.greatest(F.lit(0.0), F.var_pop("_t").over(over)), "_vq": F.greatest(F.lit(0.0), F.var_pop("_q").over(over)), "_a": F.avg(F.col("_s") * F.col("_t")).over(over)})
-    there = F.col("_q").isNotNull() & (F.col("_n") >= least)
+    t, q = F.col("_t"), F.col("_q")
+    df = sliding(df, "_k", window, _st=t, _tt=t * t, _sq=q, _qq=q * q, _sa=F.col("_s") * t)
+    n = F.nullif(F.least(F.col("_k"), F.lit(window)), F.lit(0))
+    var = lambda a, b: F.greatest(F.lit(0.0), F.col(b) / n - F.col(a) / n * F.col(a) / n)
+    df = df.withColumns({"_vt": var("_st", "_tt"), "_vq": var("_sq", "_qq"), "_a": F.col("_sa") / n})
+    there = F.col("_q").isNotNull() & (F.col("_k") >= least)
     total = F.col("_vt") + F.col("_vq")
     return df.withColumns({"trade_variance_share": F.when(there, F.when(total > 0, F.col("_vt") / F.nullif(total, F.lit(0.0))).otherwise(0.5)), "avg_signed_trade_return_bps": F.when(there, F.col("_a"))}).drop(
-        "_m", "_p", "_pm", "_pp", "_s", "_q", "_t", "_k", "_n", "_vt", "_vq", "_a"
+        "_m", "_p", "_pm", "_pp", "_s", "_q", "_t", "_k", "_vt", "_vq", "_a", "_st", "_tt", "_sq", "_qq", "_sa"
     )
 
 

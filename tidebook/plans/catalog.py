@@ -119,7 +119,8 @@ for _name, _f, _cols in (
     ("w8_roll_spread", est.roll, ("roll_serial_cov", "roll_spread_bps")),
     ("w9_variance_share", est.variance_share, ("trade_variance_share", "avg_signed_trade_return_bps")),
 ):
-    query(_name, f"{CHAIN} select seq, symbol, {_r(*_cols)} from im")(lambda s, d, f=_f, c=_cols: rounded(f(books.spreads(ticks(s, d))).select("seq", "symbol", *c)))
+    _n = 3 if _f is est.amihud else 6  # its values are in the hundred thousands
+    query(_name, f"{CHAIN} select seq, symbol, {_r(*_cols, digits=_n)} from im")(lambda s, d, f=_f, c=_cols, n=_n: rounded(f(books.spreads(ticks(s, d))).select("seq", "symbol", *c), digits=n))
 query("w10_zscores", f"{SPREADS}{OFI}{Z} select seq, symbol, {_r('z_spread', 'z_volume', 'z_ofi')} from z")(lambda s, d: rounded(est.zscores(est.order_flow(books.spreads(ticks(s, d)), ())).select("seq", "symbol", "z_spread", "z_volume", "z_ofi")))
 _alerts = " union all ".join(
     f"select symbol, seq, {i} place, '{k}' kind, case when abs(z_{n}) < 3 then 'warn' else 'critical' end severity, round(z_{n}, 2) zscore from z where {c}" for i, (k, n, c) in enumerate((("spread_blowup", "spread", "z_spread > 2"), ("volume_spike", "volume", "z_volume > 2"), ("ofi_extreme", "ofi", "abs(z_ofi) > 2")))
@@ -135,8 +136,8 @@ def alerts(s: SparkSession, d: str) -> DataFrame:
 query("w11_anomalies", f"{ALERTS} select symbol, seq, place, kind, severity, zscore from al")(lambda s, d: alerts(s, d).select("symbol", "seq", "place", "kind", "severity", "zscore"))
 query("w21_tick_volume", f"{SPREADS}{OFI}{Z} select seq, symbol, tick_volume from z")(lambda s, d: est.tick_volume(ticks(s, d)).select("seq", "symbol", "tick_volume"))
 METRICS = ["ltp", "midprice", "spread", "relative_spread", "weighted_spread", *(f"ofi_{w}s" for w in HOURS), "vwap", "vwap_dev", "vwap_stdev", "cum_delta", "kyle_lambda", "kyle_r2", "kyle_t_stat", "amihud_illiq", "roll_spread_bps", "roll_serial_cov", "trade_variance_share", "avg_signed_trade_return_bps"]
-query("metrics", f"{CHAIN} select seq, us, symbol, {', '.join(c if c in ('ltp', 'cum_delta') else f'round({c} + {TIE}, 5) {c}' for c in METRICS)} from im")(
-    lambda s, d: rounded(est.metrics(ticks(s, d), HOURS).drop("timestamp"), "ltp", digits=5)
+query("metrics", f"{CHAIN} select seq, us, symbol, {', '.join(c if c in ('ltp', 'cum_delta') else f'round({c} + {TIE}, {2 if c == "amihud_illiq" else 5}) {c}' for c in METRICS)} from im")(
+    lambda s, d: rounded(est.metrics(ticks(s, d), HOURS).drop("timestamp"), "ltp", digits=5).withColumn("amihud_illiq", F.round("amihud_illiq", 2))
 )
 query("a1_volume_profile", f"{SPREADS}{OFI}{SESSION} select symbol, bucket, cast(sum(dvol) as bigint) qty from (select *, round(floor(ltp / 0.5) * 0.5, 4) bucket from se where dvol > 0) t join (select symbol, max(di) di from se group by symbol) m using (symbol, di) group by all")(
     lambda s, d: est.volume_profile(ticks(s, d))
