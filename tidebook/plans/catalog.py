@@ -137,7 +137,7 @@ query("w11_anomalies", f"{ALERTS} select symbol, seq, place, kind, severity, zsc
 query("w21_tick_volume", f"{SPREADS}{OFI}{Z} select seq, symbol, tick_volume from z")(lambda s, d: est.tick_volume(ticks(s, d)).select("seq", "symbol", "tick_volume"))
 METRICS = ["ltp", "midprice", "spread", "relative_spread", "weighted_spread", *(f"ofi_{w}s" for w in HOURS), "vwap", "vwap_dev", "vwap_stdev", "cum_delta", "kyle_lambda", "kyle_r2", "kyle_t_stat", "amihud_illiq", "roll_spread_bps", "roll_serial_cov", "trade_variance_share", "avg_signed_trade_return_bps"]
 query("metrics", f"{CHAIN} select seq, us, symbol, {', '.join(c if c in ('ltp', 'cum_delta') else f'round({c} + {TIE}, {2 if c == "amihud_illiq" else 5}) {c}' for c in METRICS)} from im")(
-    lambda s, d: rounded(est.metrics(ticks(s, d), HOURS).drop("timestamp"), "ltp", digits=5).withColumn("amihud_illiq", F.round("amihud_illiq", 2))
+    lambda s, d: rounded(est.metrics(ticks(s, d), HOURS).drop("timestamp"), "ltp", "amihud_illiq", digits=5).withColumn("amihud_illiq", F.round(F.col("amihud_illiq") + TIE, 2))
 )
 query("a1_volume_profile", f"{SPREADS}{OFI}{SESSION} select symbol, bucket, cast(sum(dvol) as bigint) qty from (select *, round(floor(ltp / 0.5) * 0.5, 4) bucket from se where dvol > 0) t join (select symbol, max(di) di from se group by symbol) m using (symbol, di) group by all")(
     lambda s, d: est.volume_profile(ticks(s, d))
