@@ -94,8 +94,10 @@ def ngrams(words: np.ndarray, first: np.ndarray, n: int, at: np.ndarray | None =
     if at is None:
         room = np.zeros(words.size + 1, bool)
         room[: words.size] = True
+        full = first[1:] > first[:-1]
+        begin, end = first[:-1][full], first[1:][full]
         for k in range(1, n):  # the last n - 1 words of a text start no window
-            room[np.maximum(first[1:] - k, first[:-1])] = False
+            room[np.maximum(end - k, begin)] = False
         at = np.flatnonzero(room[: words.size])
     h = np.full(at.size, U(n))
     for k in range(n):
