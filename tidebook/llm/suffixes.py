@@ -155,7 +155,7 @@ class Stretches:
         self.first, self.last, self.least = map(np.concatenate, (firsts, lasts, leasts))
         self.own = np.searchsorted(off, self.first, side="right") - 1
         text = tk.mix(self.window(self.first) * U(3) + self.window(self.last) * U(5) + (self.last - self.first).astype(np.uint64) + ((self.least - self.first).astype(np.uint64) << U(32)))
-        key = self.gram(self.least) & ~LOW
+        key = tk.mix(self.gram(self.least)) & ~LOW  # minimizers are small hashes: mixed, they spread over all ranges
         order = np.lexsort((text, key))  # stable: earlier places first
         k, t = key[order], text[order]
         new = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (t[1:] != t[:-1])]) if k.size else np.zeros(0, np.int64)
