@@ -3,15 +3,15 @@
 1. Documents of equal sets are one class, found by a 128-bit digest of the set; its smallest id stands for it.
 2. Alike sets share one of the n - ceil(0.8 n) + 1 smallest hashes of either, its prefix. Prefix hashes that only one
    class has are dropped, by packed arrays exchanged between shards and hash ranges; what is left makes the blocks.
-3. A shingle falls into one of 32 groups; the counts of a set's shingles in the groups are its point. In each block the
+3. A shingle falls into one of 128 groups; the counts of a set's shingles in the groups are its point. In each block the
    points are indexed by an R-tree, whose nodes hold the greatest count of each group and the range of sizes. The
    overlap of two sets is at most the sum of their coordinates' minima, that of a set and a node likewise with the node's
    greatest counts; what can't reach the overlap that 80 % needs is pruned, and so are sizes too far apart.
-4. In a first round the block's documents are covered by pivots: each is paired with the first pivot within the bound.
-   Surviving pairs are verified on whole sets; the linked ones are contracted to components. In a second round pairs of
-   documents in different components that survive the bound and have not been tested are verified, until none is left.
-   So a group of many near copies costs a few pairs for each of them, not all pairs, and no link between different
-   components is lost.
+4. In up to three rounds one document of each component in a block is paired with a pivot within the bound, and of its
+   pivots in all blocks a document keeps the first. These pairs, one for each document at most, are verified on whole
+   sets, and what is linked is contracted to components (at first each class is its own). In a last round all pairs of
+   documents in different components that survive the bound and have not been tested are verified. So a group of many
+   near copies costs few pairs for each of them, not all pairs, and no link between different components is lost.
 
 Components are found by alternating large and small stars over written edges; nothing is collected.
 
@@ -29,11 +29,12 @@ from pyspark.sql import functions as F
 
 from tidebook.llm import shards as sh
 from tidebook.llm import textkit as tk
-from tidebook.llm.shared import materialize, release
+from tidebook.llm.shared import discard, materialize, release
 
 U = np.uint64
-PERCENT, GROUPS, FULL = 80, 32, 255
+PERCENT, GROUPS, FULL = 80, 128, 255
 LEAF, FAN = 16, 16
+ROUNDS = 3
 SETS = "doc_id long, n long, s1 long, s2 long, prefix binary, point binary"
 
 
@@ -104,8 +105,10 @@ def shared_prefixes(reps: DataFrame, shards: int) -> DataFrame:
 
 def bound(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Sums of the coordinates' minima of points (broadcast); a full count may stand for any larger one."""
-    least = np.minimum(p, q).sum(-1, dtype=np.int64)
-    return np.where((least >= 0) & (np.minimum(p, q) == FULL).any(-1), np.iinfo(np.int64).max, least)
+    least = np.minimum(p, q)
+    full = least.size and least.max() == FULL
+    sums = least.sum(-1, dtype=np.uint16).astype(np.int64)
+    return np.where((least == FULL).any(-1), np.iinfo(np.int64).max, sums) if full else sums
 
 
 class RTree:
@@ -142,18 +145,35 @@ class RTree:
         return self.order[rows[self.near(point, size, self.points[rows], self.sizes[rows], self.sizes[rows])]]
 
 
-def pivots(ids, sizes, points) -> list[tuple[int, int]]:
-    """Pairs (pivot, other) that cover a block: each document but pivots is the partner of the first pivot within the bound.
+def searcher(points: np.ndarray, sizes: np.ndarray):
+    """A function from a point's index to those within its bound. Blocks of a few nodes are one leaf, whose bounds are taken at once."""
+    if sizes.size > 3 * LEAF:
+        tree = RTree(points, sizes)
+        return lambda k: tree.search(points[k], int(sizes[k]))
+    ok = (5 * sizes[:, None] >= 4 * sizes) & (4 * sizes[:, None] <= 5 * sizes)
+    ok &= bound(points[:, None], points) >= needed(sizes[:, None], sizes)
+    return lambda k: np.flatnonzero(ok[k])
 
-    The order of pivots is that of a hash of the id, the same in all blocks, so that blocks agree on most pairs.
-    """
-    tree = RTree(points, sizes)
+
+def rank(ids: np.ndarray, salt: int = 0) -> np.ndarray:
+    """The order of pivots in a round: a hash of the id, the same in all blocks, so that blocks agree on most pairs."""
+    return tk.mix(np.asarray(ids).astype(np.uint64) + U(salt * 0x9E3779B97F4A7C15 % (1 << 64))).view(np.int64)
+
+
+def pivots(ids, sizes, points, label, salt: int = 0) -> list[tuple[int, int]]:
+    """Pairs (pivot, other) that cover the first document of each component: each but pivots is the partner of the first pivot within the bound."""
+    order = np.lexsort((rank(ids, salt), label))
+    lead = order[np.r_[True, label[order][1:] != label[order][:-1]]]
+    if lead.size < 2:
+        return []
+    ids, sizes, points = ids[lead], sizes[lead], points[lead]
+    search = searcher(points, sizes)
     alive = np.ones(ids.size, bool)
     out = []
-    for k in np.argsort(tk.mix(ids.astype(np.uint64)), kind="stable"):
+    for k in np.argsort(rank(ids, salt), kind="stable"):
         if alive[k]:
             alive[k] = False
-            near = tree.search(points[k], int(sizes[k]))
+            near = search(k)
             near = near[alive[near]]
             alive[near] = False
             out += [(int(ids[k]), int(x)) for x in ids[near]]
@@ -165,18 +185,22 @@ def crossing(ids, sizes, points, label) -> list[tuple[int, int]]:
     names, inv, count = np.unique(label, return_inverse=True, return_counts=True)
     if names.size == 1:
         return []
-    tree = RTree(points, sizes)
+    search = searcher(points, sizes)
     largest = count.argmax()
     out = []
     for k in np.flatnonzero(inv != largest):
-        near = tree.search(points[k], int(sizes[k]))
+        near = search(k)
         near = near[(inv[near] != inv[k]) & ((inv[near] == largest) | (near > k))]
         out += [(int(ids[k]), int(x)) for x in ids[near]]
     return out
 
 
-def pairs(cands: DataFrame, shards: int, second: bool) -> DataFrame:
-    """Distinct candidate pairs (a < b) of a round, from candidates (doc_id, n, keys, point, label)."""
+def pairs(cands: DataFrame, shards: int, salt: int | None) -> DataFrame:
+    """Candidate pairs from candidates (doc_id, n, keys, point, label): distinct (a, b) with a < b.
+
+    In a round of pivots (salt) a document has one pair at most besides those in which it is the pivot; without salt
+    there are all pairs of different components within the bound.
+    """
     parts = min(shards, 4 * max(int(cands.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1))
 
     def entries(batches):
@@ -210,39 +234,48 @@ def pairs(cands: DataFrame, shards: int, second: bool) -> DataFrame:
             ok = (4 * np.maximum(n[a], n[b]) <= 5 * np.minimum(n[a], n[b])) & (label[a] != label[b])
             a, b = a[ok], b[ok]
             ok = bound(points[a], points[b]) >= needed(n[a], n[b])
-            if not second:  # the second round has tested these
-                out.update(zip(ids[a[ok]].tolist(), ids[b[ok]].tolist()))
+            a, b = ids[a[ok]], ids[b[ok]]
+            first = rank(a, salt or 0) < rank(b, salt or 0)
+            out.update(zip(np.where(first, a, b).tolist(), np.where(first, b, a).tolist()))
         for a, m in zip(begin[size > 2].tolist(), size[size > 2].tolist()):
             z = a + m
             own = ids[a:z].tobytes()
             if own in seen:
                 continue
             seen.add(own)
-            tested = pivots(ids[a:z], n[a:z], points[a:z])
-            if not second:
-                out.update((min(p), max(p)) for p in tested)
-            elif (label[a:z] != label[a]).any():
-                tested = {(min(p), max(p)) for p in tested}
-                out.update(q for q in ((min(p), max(p)) for p in crossing(ids[a:z], n[a:z], points[a:z], label[a:z])) if q not in tested)
-        rows = np.array(sorted(out), np.int64).reshape(-1, 2)
-        return pa.table({"a": pa.array(rows[:, 0]), "b": pa.array(rows[:, 1])})
+            out.update(crossing(ids[a:z], n[a:z], points[a:z], label[a:z]) if salt is None else pivots(ids[a:z], n[a:z], points[a:z], label[a:z], salt))
+        best: dict[int, tuple] = {}
+        if salt is not None:  # of a document's pivots the first
+            pivot = np.array([p for p, _ in out], np.int64)
+            for (p, x), r in zip(list(out), rank(pivot, salt).tolist()):
+                best[x] = min(best.get(x, (r, p)), (r, p))
+            out = {(p, x) for x, (_, p) in best.items()}
+        rows = np.array(sorted((p, x) if salt is not None else (min(p, x), max(p, x)) for p, x in out), np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(rows[:, 0]), "b": pa.array(rows[:, 1]), "r": pa.array(rank(rows[:, 0], salt or 0))})
 
     rows = cands.select("doc_id", "n", "keys", "point", "label").mapInArrow(entries, "to int, blob binary").repartition(parts, "to")
-    return rows.groupBy("to").applyInArrow(block, "a long, b long").distinct()
+    found = rows.groupBy("to").applyInArrow(block, "a long, b long, r long")
+    if salt is None:
+        return found.select("a", "b").distinct()
+    return found.groupBy("b").agg(F.min_by("a", "r").alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def whole_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, grams): the sets of these documents, which have ids of their own class's first."""
+def whole_sets(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, grams): the sets of the documents in pairs, by the upper 48 bits of their shingles' hashes.
+
+    Sets are compared in pairs only, so that among a thousand shingles two collide with a probability of 4e-9.
+    """
 
     def run(batches):
         for b in batches:
             for i, j in tk.slices(b.column(1)):
                 grams, begin = tk.shingle_sets(b.column(1)[i:j])
-                sets = [sh.pack(sh.planes(np.diff(grams[a:z], prepend=U(0)))) for a, z in zip(begin[:-1], begin[1:])]
+                sets = [sh.pack(sh.planes(np.diff(grams[a:z] >> U(16), prepend=U(0)))) for a, z in zip(begin[:-1], begin[1:])]
                 yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(sets, pa.binary())], ["doc_id", "grams"])
 
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(sh.NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.join(ids.select("doc_id"), "doc_id", "left_semi").mapInArrow(run, "doc_id long, grams binary")
+    ids = found.select(F.col("a").alias("doc_id")).unionAll(found.select("b")).distinct()
+    return own.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, grams binary")
 
 
 def linked(found: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -265,6 +298,16 @@ def linked(found: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
     return both.mapInArrow(run, "a long, b long")
 
 
+def tested(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The linked ones of candidate pairs, written."""
+    whole = materialize(whole_sets(docs, found), "shingles")
+    release(docs.sparkSession)
+    links = materialize(linked(found, whole), "links")
+    discard(whole)
+    release(docs.sparkSession)
+    return links
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) with the smallest node of each component as root, for all nodes but roots.
 
@@ -292,15 +335,19 @@ def classes(docs: DataFrame) -> DataFrame:
     reps = sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("prefix", "point"), "doc_id").alias("p"))
     cands = materialize(shared_prefixes(reps.select("doc_id", "n", "p.prefix", "p.point"), shards), "candidates")
     release(docs.sparkSession)
-    whole = materialize(whole_sets(docs, cands), "shingles")
-    release(docs.sparkSession)
-    first = pairs(cands.withColumn("label", F.col("doc_id")), shards, second=False)
-    edges = materialize(linked(first, whole), "links")
-    roots = components(edges)
-    labelled = cands.join(roots, cands["doc_id"] == roots["node"], "left").select("doc_id", "n", "keys", "point", F.coalesce("root", "doc_id").alias("label"))
-    more = materialize(linked(pairs(labelled, shards, second=True), whole), "links")
-    if not more.isEmpty():
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more))
+    names, roots, done = cands.withColumn("label", F.col("doc_id")), None, None
+    for salt in (*range(ROUNDS), None):
+        found = pairs(names, shards, salt)
+        found = materialize(found if done is None else found.join(done, ["a", "b"], "left_anti"), "pairs")
+        release(docs.sparkSession)
+        if found.isEmpty():
+            continue
+        links = tested(docs, found)
+        done = found if done is None else done.unionAll(found)
+        roots = components(links if roots is None else links.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        names = cands.join(roots, cands["doc_id"] == roots["node"], "left").select("doc_id", "n", "keys", "point", F.coalesce("root", "doc_id").alias("label"))
+    if roots is None:
+        roots = docs.sparkSession.createDataFrame([], "node long, root long")
     names = reps.select("s1", "s2", "n", F.col("doc_id").alias("rep"))
     named = names.join(roots, names["rep"] == roots["node"], "left").select("s1", "s2", "n", F.coalesce("root", "rep").alias("component"))
     got = sets.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
