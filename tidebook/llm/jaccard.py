@@ -35,7 +35,8 @@ U = np.uint64
 PERCENT, GROUPS, FULL = 80, 128, 255
 LEAF, FAN = 16, 16
 ROUNDS = 3
-SETS = "doc_id long, n long, s1 long, s2 long, prefix binary, point binary"
+FINE = 1024
+SETS = "doc_id long, n long, s1 long, s2 long, prefix binary, point binary, fine binary"
 
 
 def needed(a, b):
@@ -60,26 +61,28 @@ def digests(docs: DataFrame) -> DataFrame:
                 total = [np.r_[U(0), np.cumsum(x, dtype=np.uint64)] for x in (tk.mix(grams), weight)]
                 sums = [(t[begin[1:]] - t[begin[:-1]]).view(np.int64) for t in total]
                 group = (grams & U(GROUPS - 1)).astype(np.int64)
+                slot = (grams >> U(7) & U(FINE - 1)).astype(np.int64)
                 for k in range(j - i):
                     a, z = int(begin[k]), int(begin[k + 1])
                     n = z - a
                     point = np.minimum(np.bincount(group[a:z], minlength=GROUPS), FULL).astype(np.uint8)
+                    fine = np.minimum(np.bincount(slot[a:z], minlength=FINE), FULL).astype(np.uint8)
                     prefix = grams[a : a + prefix_length(n)] if n else grams[:0]
-                    rows.append((n, *(int(s[k]) for s in sums), prefix.tobytes(), point.tobytes()))
-            cols = list(zip(*rows)) if rows else [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                    rows.append((n, *(int(s[k]) for s in sums), prefix.tobytes(), point.tobytes(), sh.pack(fine)))
+            cols = list(zip(*rows)) if rows else [[]] * 6
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), t) for c, t in zip(cols, kinds))], [x.split()[0] for x in SETS.split(", ")])
 
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(sh.NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SETS)
 
 
 def shared_prefixes(reps: DataFrame, shards: int) -> DataFrame:
-    """(doc_id, n, keys, point) of classes that share a prefix hash with another class.
+    """(doc_id, n, keys, point, fine) of classes that share a prefix hash with another class.
 
     keys: the shared hashes, mixed, since prefixes are the lowest hashes and buckets are equal ranges.
     """
     parts = min(shards, 4 * max(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1))
-    dealt = reps.select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), "doc_id", "n", "prefix", "point").repartition(parts, "shard")
+    dealt = reps.select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), "doc_id", "n", "prefix", "point", "fine").repartition(parts, "shard")
 
     def opened(table):
         keys = [tk.mix(np.frombuffer(x, np.uint64)) for x in table.column("prefix").to_pylist()]
@@ -97,17 +100,18 @@ def shared_prefixes(reps: DataFrame, shards: int) -> DataFrame:
         own = [k[shared[np.searchsorted(distinct, k)]] for k in keys]
         pick = [i for i, k in enumerate(own) if k.size]
         rows = left.take(pa.array(pick, pa.int64()))
-        return pa.table([rows.column("doc_id"), rows.column("n"), pa.array([own[i].tobytes() for i in pick], pa.binary()), rows.column("point")], names=["doc_id", "n", "keys", "point"])
+        return pa.table([rows.column("doc_id"), rows.column("n"), pa.array([own[i].tobytes() for i in pick], pa.binary()), rows.column("point"), rows.column("fine")], names=["doc_id", "n", "keys", "point", "fine"])
 
     shared = sh.shared_keys(dealt.groupBy("shard").applyInArrow(ask, sh.BLOB))
-    return dealt.groupBy("shard").cogroup(shared.groupBy("to")).applyInArrow(keep, "doc_id long, n long, keys binary, point binary")
+    return dealt.groupBy("shard").cogroup(shared.groupBy("to")).applyInArrow(keep, "doc_id long, n long, keys binary, point binary, fine binary")
 
 
 def bound(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Sums of the coordinates' minima of points (broadcast); a full count may stand for any larger one."""
     least = np.minimum(p, q)
     full = least.size and least.max() == FULL
-    sums = least.sum(-1, dtype=np.uint16).astype(np.int64)
+    sums = least.sum(-1, dtype=np.uint32).astype(np.int64)
+    # a full count may stand for any larger one
     return np.where((least == FULL).any(-1), np.iinfo(np.int64).max, sums) if full else sums
 
 
@@ -260,6 +264,21 @@ def pairs(cands: DataFrame, shards: int, salt: int | None) -> DataFrame:
     return found.groupBy("b").agg(F.min_by("a", "r").alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def within_fine(found: DataFrame, cands: DataFrame) -> DataFrame:
+    """Pairs whose counts in 1,024 groups still bound the overlap high enough; a few hundred bytes a pair instead of whole sets."""
+
+    def run(batches):
+        for t in batches:
+            p, q = (np.stack([sh.unpack(x)[0] for x in t.column(i).to_pylist()] or [np.zeros(FINE, np.uint8)]) for i in (2, 4))
+            a, b = (t.column(i).to_numpy() for i in (3, 5))
+            ok = bound(p[: a.size], q[: a.size]) >= needed(a, b)
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], ["a", "b"]).filter(pa.array(ok))
+
+    side = lambda c: cands.select(F.col("doc_id").alias(c), F.col("fine").alias(f"{c}_fine"), F.col("n").alias(f"{c}_n"))
+    both = found.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", "a_fine", "a_n", "b_fine", "b_n").mapInArrow(run, "a long, b long")
+
+
 def whole_sets(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(doc_id, grams): the sets of the documents in pairs, by the upper 48 bits of their shingles' hashes.
 
@@ -298,8 +317,10 @@ def linked(found: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
     return both.mapInArrow(run, "a long, b long")
 
 
-def tested(docs: DataFrame, found: DataFrame) -> DataFrame:
+def tested(docs: DataFrame, cands: DataFrame, found: DataFrame) -> DataFrame:
     """The linked ones of candidate pairs, written."""
+    found = materialize(within_fine(found, cands), "pairs")
+    release(docs.sparkSession)
     whole = materialize(whole_sets(docs, found), "shingles")
     release(docs.sparkSession)
     links = materialize(linked(found, whole), "links")
@@ -332,8 +353,8 @@ def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text)."""
     shards = sh.count(docs)
     sets = materialize(digests(docs), "sets")
-    reps = sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("prefix", "point"), "doc_id").alias("p"))
-    cands = materialize(shared_prefixes(reps.select("doc_id", "n", "p.prefix", "p.point"), shards), "candidates")
+    reps = sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("prefix", "point", "fine"), "doc_id").alias("p"))
+    cands = materialize(shared_prefixes(reps.select("doc_id", "n", "p.prefix", "p.point", "p.fine"), shards), "candidates")
     release(docs.sparkSession)
     names, roots, done = cands.withColumn("label", F.col("doc_id")), None, None
     for salt in (*range(ROUNDS), None):
@@ -342,7 +363,7 @@ def classes(docs: DataFrame) -> DataFrame:
         release(docs.sparkSession)
         if found.isEmpty():
             continue
-        links = tested(docs, found)
+        links = tested(docs, cands, found)
         done = found if done is None else done.unionAll(found)
         roots = components(links if roots is None else links.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
         names = cands.join(roots, cands["doc_id"] == roots["node"], "left").select("doc_id", "n", "keys", "point", F.coalesce("root", "doc_id").alias("label"))
