@@ -112,6 +112,30 @@ def test_suffix_array_and_prefixes():
         assert got[k] == min(same, 100)
 
 
+def twins(seed):
+    """Passages alike in 128 to 130 bytes of few letters, so that tied places are followed by places in the other order."""
+    r = random.Random(seed)
+    rnd = lambda n: "".join(r.choice("ab") for _ in range(n))
+    core = rnd(130)
+    return [rnd(r.randint(1, 9)) + core[: r.choice([128, 129, 130])] + r.choice("ab") for _ in range(12)]
+
+
+@pytest.mark.parametrize("seed", range(1, 8))
+def test_prefixes_after_tied_places(seed):
+    text = "".join(twins(seed)).encode()
+    buf, end = np.frombuffer(text, np.uint8), np.full(len(text), len(text))
+    order, _ = suffixes.suffix_array(buf, end)
+    got = suffixes.common_prefixes(buf, end, order)
+    for k in range(1, len(order)):
+        a, b = text[order[k - 1] :][:100], text[order[k] :][:100]
+        assert got[k] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def test_byte_strings_after_tied_places(spark):
+    texts = ["".join(twins(seed)) for seed in range(1, 31)]
+    assert sorted(tuple(r) for r in suffixes.deduplicate(docs(spark, texts)).collect()) == brute_bytes(texts)
+
+
 def brute_classes(texts):
     sets = []
     for t in texts:

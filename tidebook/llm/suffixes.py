@@ -98,11 +98,15 @@ def suffix_array(buf: np.ndarray, end: np.ndarray, depth: int = LENGTH) -> tuple
 def common_prefixes(buf: np.ndarray, end: np.ndarray, order: np.ndarray, most: int = LENGTH, stripe: int = 256) -> np.ndarray:
     """Bytes, up to `most`, that each suffix in order shares with the one before: Kasai's walk over the text.
 
-    The next place's prefix is shorter by one at most. Stripes of the text are walked side by side, each from nothing.
+    The next place's prefix is shorter by one at most, if the place after the predecessor also comes before it. In an
+    order by the first bytes alone (`most` at least) tied places may be followed by places in the other order; there the
+    walk starts from nothing. Stripes of the text are walked side by side, each from nothing.
     """
     n = buf.size
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
+    at = np.empty(n + 1, np.int64)
+    at[order], at[n] = np.arange(n), n
     room = np.minimum(end - np.arange(n), most)
     shared = np.zeros(n, np.int64)
     base = np.arange(0, n, stripe)
@@ -112,6 +116,8 @@ def common_prefixes(buf: np.ndarray, end: np.ndarray, order: np.ndarray, most: i
         i = base + t
         i = i[i < n]
         h = np.maximum(h[: i.size] - 1, 0)
+        if t:
+            h[at[before[i - 1] + 1] >= at[i]] = 0
         j = before[i]
         limit = np.where(j >= 0, np.minimum(room[i], room[np.maximum(j, 0)]), 0)
         h = np.minimum(h, limit)
