@@ -310,6 +310,14 @@ def test_contexts_find_unseen_identifiers(spark):
     assert clean[0] == "please write to [EMAIL] today" and clean[6] == "please write to [ID] today" and clean[8] == "nothing"
 
 
+def test_identifiers_in_many_strong_patterns(spark):
+    seeds = [f"alpha{k}x beta{k}y user{k}{a}@mail.example omega" for k in "abcdefghij" for a in "abc"]
+    texts = seeds + [f"alpha{k}x beta{k}y agent-4711-x omega" for k in "abcdefghij"]
+    got = {x["doc_id"]: x for x in pii.report(docs(spark, texts)).collect()}
+    assert all(got[i]["spans"] == f"id:15:{15 + len('agent-4711-x')}" for i in range(30, 40)) and all(got[i]["n_id"] == 0 for i in range(30))
+    assert pii.redact(docs(spark, texts)).where("text like '%4711%'").count() == 0
+
+
 def test_licenses(spark):
     name, text = licenses.TEMPLATES[2]
     w = text.split()

@@ -123,9 +123,9 @@ def bootstrap(rows: DataFrame, rounds: int = ROUNDS, seeds: DataFrame | None = N
         scored = edges.join(known, "inst").groupBy("pattern").agg(F.avg("score").alias("weight"), F.count_if(F.col("score") >= ACCEPT).alias("good")).where((F.col("good") >= 2) & (F.col("weight") > 0))
         none = F.sum(F.log1p(-F.least(F.col("weight"), F.lit(0.999))))
         known = edges.join(scored, "pattern", "left").groupBy("inst").agg(F.max("seed").alias("seed"), F.coalesce(none, F.lit(0.0)).alias("miss"))
-        known = known.select("inst", F.when(F.col("seed") == 1, 1.0).otherwise(1 - F.exp("miss")).alias("score"))
+        known = known.select("inst", (F.col("seed") == 1).alias("seeded"), F.when(F.col("seed") == 1, 1.0).otherwise(1 - F.exp("miss")).alias("score"))
     good = scored.where(F.col("weight") >= PATTERN).select("pattern")
-    unseen = known.where((F.col("score") >= ACCEPT) & (F.col("score") < 1)).select("inst")
+    unseen = known.where((F.col("score") >= ACCEPT) & ~F.col("seeded")).select("inst")  # strong evidence rounds to a score of 1
     return edges.where("seed = 0").select("inst", "pattern").join(good, "pattern").join(unseen, "inst").select("inst", "pattern")
 
 
