@@ -252,6 +252,34 @@ def test_urls(spark):
     assert all(r["verdict"] == "allow" for r in urls.judge(df, known.limit(0)).where("rule is null").collect())
 
 
+def test_url_rules_of_late_tokens(spark):
+    host = "www.news-one.my-shop.example"
+    bad = [f"https://{host}/a/b/c/d/e/f/buy/{i}?utm=1&win={i}" for i in range(20)]
+    fine = [f"https://{host}/a/b/c/d/e/f/read/{i}?utm=1&ref={i}" for i in range(30)]
+    new = ["http://else.org/?win=1", "http://else.org/x/buy/2", "http://else.org/x/read/3?ref=4"]
+    rows = [(i, u, True if u in bad else False if u in fine else None) for i, u in enumerate(bad + fine + new)]
+    df = spark.createDataFrame(rows, "page_id long, url string, blocked boolean")
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(df.select("page_id", "url"), df.select("url", "blocked")).collect()}
+    assert [got[i] for i in range(53)] == ["block"] * 20 + ["allow"] * 30 + ["block", "block", "allow"]
+
+
+def test_url_rules_against_all_subsets(spark):
+    r = random.Random(14)
+    url = lambda: "http://" + r.choice(["a-b.c", "d.c", "e.f"]) + "/" + "/".join(r.sample("uvwxyz", 3)) + f"/{r.randint(0, 99)}?" + r.choice(["p=1&q=2", "p=1", "s=3"])
+    rows = [(u, r.random() < (0.9 if "/u/" in u and "q=" in u else 0.3)) for u in (url() for _ in range(120))] + [("http://d.c/u", True)] * 6
+    seen = spark.createDataFrame(rows, "url string, blocked boolean").withColumn("tokens", urls.tokens(F.col("url"))).collect()
+    n, bad = {}, {}
+    for x in seen:
+        for m in range(1, 1 << len(x["tokens"])):
+            s = frozenset(t for k, t in enumerate(x["tokens"]) if m >> k & 1)
+            n[s], bad[s] = n.get(s, 0) + 1, bad.get(s, 0) + x["blocked"]
+    rules = [s for s in n if bad[s] >= 5 and bad[s] >= 0.6 * n[s]]
+    more = spark.createDataFrame([(x["url"],) for x in seen] + [(url(),) for _ in range(120)], "url string").distinct()
+    want = {x["url"] for x in more.withColumn("tokens", urls.tokens(F.col("url"))).collect() if any(s <= set(x["tokens"]) for s in rules)}
+    mined = urls.mine(spark.createDataFrame(rows, "url string, blocked boolean"), support=0.0)
+    assert {x["url"] for x in urls.matched(more, mined).collect()} == want and 0 < len(want) < more.count()
+
+
 def test_media_round_trip(spark, monkeypatch):
     real = shards.count
     monkeypatch.setattr(shards, "count", lambda d, shard_bytes=3000, text="text": real(d, 3000, text))
