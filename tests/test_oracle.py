@@ -45,3 +45,9 @@ def test_contract():
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries)
     assert callable(entry.entry)
+
+
+def test_as_of_joins_all_ticks(spark):
+    seqs = sorted(r["seq"] for r in catalog.QUERIES["w17_running_index"](spark, SF).select("seq").collect())
+    for name in ("nearest", "backward", "forward"):
+        assert sorted(r["seq"] for r in catalog.QUERIES[f"j1_whole_{name}"](spark, SF).select("seq").collect()) == seqs

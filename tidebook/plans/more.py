@@ -144,6 +144,19 @@ def asof(s: SparkSession, d: str, direction: str) -> DataFrame:
 query("j1_asof_nearest", f"{_asof} select seq, symbol, us, case when frus is null or us - brus <= frus - us then bltp else fltp end ltp from b join f using (seq)")(lambda s, d: asof(s, d, "nearest"))
 query("j1_asof_backward", f"{_asof} select seq, symbol, us, bltp ltp from b")(lambda s, d: asof(s, d, "backward"))
 query("j1_asof_forward", f"{_asof} select seq, symbol, us, fltp ltp from b join f using (seq)")(lambda s, d: asof(s, d, "forward"))
+_whole = _asof.replace(" where seq % 10 = 0", "").replace(" where seq % 3 = 0", "")
+
+
+def asof_whole(s: SparkSession, d: str, direction: str) -> DataFrame:
+    """Every tick, later by 0 to 6 seconds, with all ticks of its symbol."""
+    t = ticks(s, d)
+    left = t.select("seq", "symbol", (F.col("us") + 1_000_000 * (F.col("seq") % 7)).alias("us"))
+    return research.as_of(left, t.select("symbol", "us", "ltp"), "us", ["symbol"], ["ltp"], direction)
+
+
+query("j1_whole_nearest", f"{_whole} select seq, symbol, us, case when frus is null or us - brus <= frus - us then bltp else fltp end ltp from b join f using (seq)")(lambda s, d: asof_whole(s, d, "nearest"))
+query("j1_whole_backward", f"{_whole} select seq, symbol, us, bltp ltp from b")(lambda s, d: asof_whole(s, d, "backward"))
+query("j1_whole_forward", f"{_whole} select seq, symbol, us, fltp ltp from b join f using (seq)")(lambda s, d: asof_whole(s, d, "forward"))
 query("j2_positional_join", f"{SPREADS} select seq, symbol, {R('spread')} spread, volume from sp")(lambda s, d: rounded(research.aligned(spreads(s, d).select("seq", "symbol", "spread"), ticks(s, d).select("seq", "symbol", "volume"))))
 query("j3_parameter_grid", None)(lambda s, d: bt.candidates(s))
 from tidebook.plans.catalog import SQL  # noqa: E402
