@@ -300,6 +300,21 @@ def test_media_round_trip(spark, monkeypatch):
     assert b"".join(x for _, x in media.chunks(data)) == data and max(len(x) for _, x in media.chunks(data)) <= media.MOST
 
 
+def test_operators_return_what_they_keep(spark):
+    texts = mixed(15) + ["ab" * 200, "é" * 150, "é" * 150]
+    words = {x["doc_id"]: x for x in substrings.kept(docs(spark, texts)).collect()}
+    for i, n, gone, sha in brute_words(texts):
+        assert hashlib.sha256(words[i]["kept"].encode()).hexdigest() == sha and len(words[i]["kept"].split()) == n - gone
+    strings = {x["doc_id"]: x for x in suffixes.kept(docs(spark, texts)).collect()}
+    for i, n, gone, spans, sha in brute_bytes(texts):
+        b, runs = (texts[i] or "").encode(), strings[i]["removed"]
+        left = b"".join(b[x:y] for x, y in zip([0, *(r["end"] for r in runs)], [*(r["start"] for r in runs), n]))
+        assert left == strings[i]["kept"] and hashlib.sha256(left).hexdigest() == sha and len(runs) == spans
+    for x in media.stored(docs(spark, texts)).collect():
+        p = media.payload((texts[x["doc_id"]] or "").encode())
+        assert x["media"] == media.wav(p) and x["recipe"] == [d for d, _ in media.chunks(p)]
+
+
 def brute_pii(t):
     t = t or ""
     digits = lambda s: re.sub("[^0-9]", "", s)

@@ -26,6 +26,7 @@ from tidebook.llm import shards as sh
 BLOCK = 192
 LEAST, MASK_BITS, MOST = 512, 11, 8192
 _GEAR = (np.random.default_rng(192).integers(0, 1 << 16, 256)).astype(np.uint16)
+STORED = "doc_id long, n_bytes long, recipe array<binary>, media binary"
 OUT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks long"
 
 
@@ -102,7 +103,21 @@ def rebuild(recipe: list[bytes], store: dict[bytes, bytes]) -> bytes:
 
 
 def media(docs: DataFrame, text: str = "text") -> DataFrame:
-    """A row for each document: sizes, digests of what was read back, a feature string and the number of chunks."""
+    """A row for each document: sizes, digests of what its stored media hold, a feature string and the number of chunks."""
+    names = [x.split()[0] for x in OUT.split(", ")]
+
+    def read(batches):
+        for b in batches:
+            stored = b.column("media").to_pylist()
+            rows = [(len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(x), hashlib.sha256(x).hexdigest(), feature(back)) for x, back in zip(stored, map(samples, stored))]
+            cols = list(zip(*rows)) if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *(pa.array(list(c), pa.string() if i in (1, 4, 5) else pa.int64()) for i, c in enumerate(cols)), b.column("n_chunks")], names)
+
+    return stored(docs, text).select("doc_id", "n_bytes", F.size("recipe").cast("long").alias("n_chunks"), "media").mapInArrow(read, OUT)
+
+
+def stored(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The media column: (doc_id, n_bytes of the text, recipe, media): the ordered chunk list and the WAV rebuilt from it."""
     n = sh.count(docs, text=text)
     dealt = sh.dealt(docs, n, text=text)
 
@@ -143,12 +158,11 @@ def media(docs: DataFrame, text: str = "text") -> DataFrame:
         own.update(foreign)
         rows = []
         for t, recipe, sha in zip(raw, recipes, want):
-            stored = wav(rebuild(recipe, own))
-            back = samples(stored)
-            if hashlib.sha256(back).digest() != sha:
+            whole = wav(rebuild(recipe, own))
+            if hashlib.sha256(samples(whole)).digest() != sha:
                 raise ValueError("what was read back differs from what was stored")
-            rows.append((len(t), len(back), sha.hex(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(back), len(recipe)))
-        cols = list(zip(*rows)) if rows else [[]] * 8
-        return pa.table([s.id_array(), *(pa.array(list(c), pa.string() if i in (2, 5, 6) else pa.int64()) for i, c in enumerate(cols))], names=[x.split()[0] for x in OUT.split(", ")])
+            rows.append((len(t), recipe, whole))
+        cols = list(zip(*rows)) if rows else [[]] * 3
+        return pa.table([s.id_array(), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.binary())), pa.array(cols[2], pa.binary())], names=["doc_id", "n_bytes", "recipe", "media"])
 
-    return dealt.groupBy("shard").cogroup(imports.groupBy("shard")).applyInArrow(read, OUT)
+    return dealt.groupBy("shard").cogroup(imports.groupBy("shard")).applyInArrow(read, STORED)

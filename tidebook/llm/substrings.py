@@ -16,12 +16,12 @@ empty table gives no rows.
 
 from __future__ import annotations
 
-import hashlib
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidebook.llm import shards as sh
 from tidebook.llm import textkit as tk
@@ -29,7 +29,7 @@ from tidebook.llm import textkit as tk
 WINDOW, PERIOD, COVER = 13, 7, (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
 LOW = np.uint64(0xFFFF)
-OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+OUT = "doc_id long, n_words long, n_removed long, kept binary"
 
 
 class Passages:
@@ -78,8 +78,8 @@ class Passages:
         which[order] = np.repeat(np.arange(new.size), np.diff(np.r_[new, h.size]))
         return starts, h[order][new], self.docs.ids[self.own[starts[order][new]]], which
 
-    def kept(self, starts: np.ndarray) -> list[tuple[int, int, str]]:
-        """Words, removed words and the digest of what is left of each document, if the windows at `starts` go."""
+    def kept(self, starts: np.ndarray) -> list[tuple[int, int, bytes]]:
+        """Words, removed words and what is left of each document, if the windows at `starts` go."""
         gone = np.zeros(self.words.size + 1, np.int32)
         np.add.at(gone, starts, 1)
         np.add.at(gone, np.minimum(starts + WINDOW, self.words.size), -1)
@@ -92,7 +92,7 @@ class Passages:
             removed = b - a - int(left[b] - left[a])
             if removed:
                 words = compress(words, keep[a:b].tolist())
-            rows.append((b - a, removed, hashlib.sha256(b" ".join(words)).hexdigest()))
+            rows.append((b - a, removed, b" ".join(words)))
         return rows
 
 
@@ -105,7 +105,12 @@ def _runs(off: np.ndarray, limit: int = 1 << 20):
 
 
 def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
-    """A row for each document: its words, how many go, and the digest of those kept, joined by spaces."""
+    """A row for each document: its words, how many go, and the digest of its text in kept()."""
+    return kept(docs, text).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def kept(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The deduplicated corpus: (doc_id, n_words, n_removed, kept), kept being the words that stay, joined by spaces."""
     n = sh.count(docs, text=text)
     dealt = sh.dealt(docs, n, text=text)
 
@@ -124,12 +129,12 @@ def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
         gone = (sh.answered(keys, n, later, 0)[which] > 0) | (p.docs.ids[p.own[starts]] > ids[which])
         rows = p.kept(starts[gone])
         cols = list(zip(*rows)) if rows else [[], [], []]
-        return pa.table([p.docs.id_array(), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+        return pa.table([p.docs.id_array(), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
 
     shared = sh.shared_keys(dealt.groupBy("shard").applyInArrow(ask, sh.BLOB))
     asked = dealt.groupBy("shard").cogroup(shared.groupBy("to")).applyInArrow(widen, sh.BLOB)
     answers = sh.both(shared, sh.first_holders(asked))
-    return dealt.groupBy("shard").cogroup(answers.groupBy("to")).applyInArrow(judge, OUT)
+    return dealt.groupBy("shard").cogroup(answers.groupBy("to")).applyInArrow(judge, OUT).withColumn("kept", F.col("kept").cast("string"))
 
 
 def _args(pair, n):

@@ -23,11 +23,10 @@ rows of the same id follow each other by their text; a null id counts as the lar
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidebook.llm import shards as sh
 from tidebook.llm import textkit as tk
@@ -37,7 +36,7 @@ LENGTH, GRAM = 100, 20
 SPREAD = LENGTH - GRAM + 1
 LOW = U(0xFFFF)
 STAYS, GOES, OPEN = 0, 1, 2
-OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+OUT = "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary"
 
 
 def loads(buf: np.ndarray) -> np.ndarray:
@@ -222,8 +221,8 @@ class Stretches:
         o = np.argsort(h, kind="stable")
         return back[~lead], chosen[o], h[o], self.docs.ids[np.searchsorted(self.docs.off, chosen[o], side="right") - 1], at
 
-    def removed(self, state: np.ndarray, windows: np.ndarray) -> list[tuple]:
-        """Sizes, removed bytes and runs and the digest of what is left of each document."""
+    def removed(self, state: np.ndarray, windows: np.ndarray) -> list[pa.Array]:
+        """Sizes, removed runs and what is left of each document."""
         n = self.docs.buf.size
         gone = np.zeros(n + 1, np.int32)
         k = np.flatnonzero(state == GOES)
@@ -238,10 +237,17 @@ class Stretches:
         opens[1:] &= keep[:-1]
         edge = off[:-1][off[:-1] < n]
         opens[edge] = ~keep[edge]
-        runs = np.r_[0, np.cumsum(opens)]
-        kept = self.docs.buf[keep].tobytes()
-        l, r, o = left[off].tolist(), runs[off].tolist(), off.tolist()
-        return [(o[i + 1] - o[i], o[i + 1] - o[i] - l[i + 1] + l[i], r[i + 1] - r[i], hashlib.sha256(kept[l[i] : l[i + 1]]).hexdigest()) for i in range(len(o) - 1)]
+        closes = ~keep
+        closes[:-1] &= keep[1:]
+        edge = off[1:][off[1:] > 0] - 1
+        closes[edge] = ~keep[edge]
+        start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+        begin = off[np.searchsorted(off, start, side="right") - 1]
+        spans = pa.StructArray.from_arrays([pa.array(start - begin), pa.array(end - begin)], ["start", "end"])
+        runs = np.r_[0, np.cumsum(opens)][off].astype(np.int32)
+        left = pa.py_buffer(left[off].astype(np.int32))
+        kept = pa.Array.from_buffers(pa.binary(), off.size - 1, [None, left, pa.py_buffer(self.docs.buf[keep].tobytes())])
+        return [pa.array(np.diff(off)), pa.ListArray.from_arrays(pa.array(runs), spans), kept]
 
 
 def _runs(off: np.ndarray, limit: int = 1 << 19):
@@ -274,6 +280,12 @@ def compare(asked: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
     """A row for each document: its bytes, how many go in how many runs, and the digest of those kept."""
+    gone = F.col("n_bytes") - F.octet_length("kept")
+    return kept(docs, text).select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def kept(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The deduplicated corpus: (doc_id, n_bytes, removed, kept): the removed runs of bytes, in order, and the bytes that stay."""
     n = sh.count(docs, text=text)
     dealt = sh.dealt(docs, n, text=text)
 
@@ -291,9 +303,8 @@ def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
         stretches, windows = sh.split_kinds(right)
         state = s.states(sh.answered(s.keys, n, stretches, STAYS))
         again, chosen, h, _, _ = s.open_windows(state)
-        rows = s.removed(state, np.concatenate([again, chosen[sh.answered(h, n, windows, 0) > 0]]))
-        cols = list(zip(*rows)) if rows else [[]] * 4
-        return pa.table([s.docs.id_array(), *(pa.array(cols[i], pa.int64()) for i in range(3)), pa.array(cols[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        out = s.removed(state, np.concatenate([again, chosen[sh.answered(h, n, windows, 0) > 0]]))
+        return pa.table([s.docs.id_array(), *out], names=["doc_id", "n_bytes", "removed", "kept"])
 
     first = compare(dealt.groupBy("shard").applyInArrow(ask, sh.BLOB))
     asked = dealt.groupBy("shard").cogroup(first.groupBy("to")).applyInArrow(widen, sh.BLOB)
