@@ -51,3 +51,8 @@ def test_as_of_joins_all_ticks(spark):
     seqs = sorted(r["seq"] for r in catalog.QUERIES["w17_running_index"](spark, SF).select("seq").collect())
     for name in ("nearest", "backward", "forward"):
         assert sorted(r["seq"] for r in catalog.QUERIES[f"j1_whole_{name}"](spark, SF).select("seq").collect()) == seqs
+
+
+def test_all_quantities(spark):
+    rows = catalog.QUERIES["j5_quantity_strategy"](spark, SF).collect()
+    assert {r["target_qty"] for r in rows} == {100, 500, 1000, 2000}

@@ -249,7 +249,7 @@ query("j6_fills", f"{_fills(_TW, 'tw')} select symbol, i tick_idx, cast(filled a
 query("a23_session_vwap", f" select symbol, {R('sum(ltp * ltq) / sum(ltq)')} vwap from ticks group by symbol")(lambda s, d: rounded(execution.session_vwap(ticks(s, d))))
 QUERIES["a24_execution_rollup"] = lambda s, d: QUERIES["r6_simulate_twap"](s, d).select("symbol", "filled_qty", "avg_fill_price", "market_impact_bps")
 SQL["a24_execution_rollup"] = f"select symbol, filled_qty, avg_fill_price, market_impact_bps from ({SQL['r6_simulate_twap']})"
-query("j5_quantity_strategy")(lambda s, d: execution.compare(ticks(s, d), [1000, 5000]))
+query("j5_quantity_strategy")(lambda s, d: execution.compare(ticks(s, d), [100, 500, 1000, 2000]))
 
 # histories, topics, limits
 query("l1_last_alerts", f"{ALERTS} select symbol, seq, place, kind from al order by seq desc, place desc limit 10")(lambda s, d: al.last_alerts(alerts(s, d), 10).select("symbol", "seq", "place", "kind"))
