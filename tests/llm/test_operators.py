@@ -178,15 +178,49 @@ def test_jaccard_classes(spark):
     assert sorted(kept) == sorted({c for _, _, c in got})
 
 
+def test_jaccard_repeated_and_null_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    near = lambda t: t + " end"
+    rows = [(5, a), (5, b), (7, near(a)), (3, near(b)), (None, a), (None, c), (9, near(c)), (9, ""), (9, ""), (9, near(c)), (None, None)]
+    d = spark.createDataFrame([(i, t, "_kept", 1) for i, t in rows], "doc_id long, text string, row string, n int")
+    got = sorted(map(str, (tuple(r) for r in jaccard.classes(d.select("doc_id", "text")).collect())))
+    want = [(5, 56, 5), (5, 56, 3), (7, 57, 5), (3, 57, 3), (None, 56, 5), (None, 56, 9), (9, 57, 9), (9, 0, 9), (9, 0, 9), (9, 57, 9), (None, 0, None)]
+    assert got == sorted(map(str, want))
+    kept = jaccard.distinct_documents(d)
+    assert kept.columns == d.columns
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept.collect()))) == sorted(map(str, [(5, a), (3, near(b)), (9, near(c)), (9, ""), (9, ""), (None, None)]))
+
+
+def test_jaccard_large_blocks_and_long_texts(spark):
+    """Blocks of more than a leaf's documents, several nodes deep; sets of thousands of shingles."""
+    r = random.Random(17)
+    base = [f"v{r.randint(0, 10**6)}" for _ in range(200)]
+    texts = []
+    for _ in range(180):  # near copies, a few words apart from the first, more from each other
+        ws = list(base)
+        for _ in range(r.randint(0, 6)):
+            ws[r.randrange(len(ws))] = f"n{r.randint(0, 10**6)}"
+        texts.append(" ".join(ws))
+    long = [f"z{r.randint(0, 10**6)}" for _ in range(20_000)]
+    texts += [" ".join(long), " ".join(long[:-1000] + ["tail"]), " ".join(long[:15_900]), " ".join(f"y{r.randint(0, 10**6)}" for _ in range(20_000)), None, ""]
+    got = sorted(tuple(x) for x in jaccard.classes(docs(spark, texts).select("doc_id", "text")).collect())
+    assert got == brute_classes(texts)
+    assert got[180][2] == got[181][2] == 180 and got[183][2] == 183
+
+
 def test_rtree_prunes_nothing_alike():
     r = np.random.default_rng(8)
-    points = r.poisson(4, (400, jaccard.GROUPS)).astype(np.uint8)
-    sizes = points.sum(1).astype(np.int64)
-    tree = jaccard.RTree(points, sizes)
-    for k in range(0, 400, 37):
-        ok = (5 * sizes >= 4 * sizes[k]) & (4 * sizes <= 5 * sizes[k])
-        want = set(np.flatnonzero(ok & (jaccard.bound(points[k], points) >= jaccard.needed(sizes[k], sizes))).tolist())
-        assert want <= set(tree.search(points[k], int(sizes[k])).tolist())
+    for m in (2, 8, 9, 100, 400):
+        points = r.poisson(4, (m, jaccard.GROUPS)).astype(np.uint8)
+        sizes = points.sum(1).astype(np.int64)
+        rest = sizes - r.integers(0, 60, m)
+        tree = jaccard.RTree(points, sizes, rest)
+        assert bool(tree.levels) == (m > jaccard.LEAF)
+        for k in range(0, m, 1 + m // 10):
+            need = jaccard.needed(sizes[k], sizes)
+            ok = (5 * sizes >= 4 * sizes[k]) & (4 * sizes <= 5 * sizes[k]) & (np.minimum(rest, rest[k]) >= need)
+            want = np.flatnonzero(ok & (jaccard.bound(points[k], points) >= need)).tolist()
+            assert sorted(tree.search(k).tolist()) == want
 
 
 def test_benchmark_items_in_documents(spark):

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,14 +13,14 @@ SHARD_BYTES = 3 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; set here only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, one in the warehouse."""
     jsc = spark.sparkContext._jsc.sc()
     found = jsc.getCheckpointDir()
     if found.isDefined():
         return found.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = tempfile.mkdtemp(prefix="tidebook-")
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tidebook"
     spark.sparkContext.setCheckpointDir(named)
     return jsc.getCheckpointDir().get()
 
@@ -41,12 +40,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table that materialize() has written, once nothing reads it any more."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize() has written, once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -59,13 +59,3 @@ def shard_count(docs: DataFrame, text: str = "text", shard_bytes: int = SHARD_BY
     """Shards of about `shard_bytes` that all texts fill; 1 for an empty table."""
     total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     return max(1, -(-int(total) // shard_bytes))
-
-
-def with_shard(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(shard, doc_id, text) dealt by a hash of the id, so that every later pass sees the same shards."""
-    parts = min(shards, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1) * 4)
-    return docs.select(
-        F.pmod(F.xxhash64(F.col(key)), F.lit(shards)).cast("int").alias("shard"),
-        F.col(key).cast("long").alias("doc_id"),
-        F.col(text).alias("text"),
-    ).repartition(parts, "shard")
