@@ -95,18 +95,33 @@ def autocorrelation(df: DataFrame, column: str, lags: int = 40, keys: tuple[str,
     return flat.select(*keys, "lag", "acf", (1.959963984540054 * F.sqrt(var)).alias("band"))
 
 
-def as_of(left: DataFrame, right: DataFrame, on: str, keys: list[str], values: list[str], direction: str = "nearest") -> DataFrame:
+#: Width of the chunks of a key that the as-of join takes apart, in the unit of its column: a day in microseconds.
+AS_OF_CHUNK = 86_400_000_000
+
+
+def as_of(left: DataFrame, right: DataFrame, on: str, keys: list[str], values: list[str], direction: str = "nearest", chunk: int = AS_OF_CHUNK) -> DataFrame:
     """left with the values of the right row of the same key that is nearest (backward on ties), at or before, or at or after.
 
-    Both sides in one exchange: the nearest right rows before and after are carried along in order, no row pairs are made.
+    Both sides in one exchange by key and chunk of `on`, so that a hot key is many tasks. Within a chunk the last right row
+    before and the first one after are carried along by two running windows, one for each direction; a chunk's edges are
+    carried over the key's chunks, a few rows, and joined in the same partitioning. No row pairs are made.
     `left` needs a column `seq` that tells its rows apart; nulls in `on` match nothing.
     """
     rest = [c for c in left.columns if c not in (*keys, on)]
     hit = F.struct(F.col(on).alias("at"), *values)
-    l = left.where(F.col(on).isNotNull()).select(*keys, F.col(on).alias("_t"), F.lit(1).alias("_side"), F.struct(*rest).alias("_row"), F.lit(None).cast(right.select(hit.alias("h")).schema["h"].dataType).alias("_hit"))  # noqa: E741
-    r = right.where(F.col(on).isNotNull()).select(*keys, F.col(on).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(left.select(F.struct(*rest).alias("r")).schema["r"].dataType).alias("_row"), hit.alias("_hit"))
-    by = Window.partitionBy(*keys).orderBy("_t", "_side")
-    both = l.unionAll(r).withColumns({"_b": F.last("_hit", True).over(by.rowsBetween(Window.unboundedPreceding, 0)), "_f": F.first("_hit", True).over(by.rowsBetween(0, Window.unboundedFollowing))})
+    none = lambda df, c: F.lit(None).cast(df.select(c.alias("x")).schema["x"].dataType)
+    l = left.where(F.col(on).isNotNull()).select(*keys, F.col(on).alias("_t"), F.lit(1).alias("_side"), F.struct(*rest).alias("_row"), none(right, hit).alias("_hit"))  # noqa: E741
+    r = right.where(F.col(on).isNotNull()).select(*keys, F.col(on).alias("_t"), F.lit(0).alias("_side"), none(left, F.struct(*rest)).alias("_row"), hit.alias("_hit"))
+    own = [*keys, "_chunk"]
+    both = l.unionAll(r).withColumn("_chunk", F.floor(F.col("_t") / chunk)).repartition(*own)
+    there = F.when(F.col("_hit").isNotNull(), F.col("_t"))
+    edges = both.groupBy(*own).agg(F.max_by("_hit", there).alias("_last"), F.min_by("_hit", there).alias("_first"))
+    chunks = lambda order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.select(*own, F.last("_last", True).over(chunks(F.col("_chunk"))).alias("_before"), F.last("_first", True).over(chunks(F.desc("_chunk"))).alias("_after"))
+    so_far = lambda *order: F.last("_hit", True).over(Window.partitionBy(*own).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    back, ahead = so_far("_t", "_side"), so_far(F.desc("_t"), F.desc("_side"))
+    both = both.join(edges.withColumnsRenamed({k: f"_{k}_" for k in own}), [F.col(k).eqNullSafe(F.col(f"_{k}_")) for k in own], "left")
+    both = both.withColumns({"_b": F.coalesce(back, "_before"), "_f": F.coalesce(ahead, "_after")})
     same = F.col("_b.at") == F.col("_t")
     after = F.when(same, F.col("_b")).otherwise(F.col("_f"))
     gap = lambda h: F.abs(h["at"] - F.col("_t"))
@@ -149,8 +164,14 @@ def timing_block(long: DataFrame, name: str = "module", value: str = "us") -> Da
 
 
 def load_summary(df: DataFrame, value: str, ok: Column) -> DataFrame:
-    """Messages, success rate, mean and the 99th percentile by nearest rank."""
-    by = Window.orderBy(value)  # ranks by range partitions would need the count first; loads are a run's messages
-    n = F.count("*").over(Window.partitionBy(F.lit(0)))
-    ranked = df.select(F.col(value).alias("_v"), ok.alias("_ok"), F.row_number().over(by).alias("_r"), n.alias("_n"))
-    return ranked.agg(F.count("*").alias("messages"), F.avg(F.col("_ok").cast("double")).alias("success_rate"), F.avg("_v").alias("mean"), F.max(F.when(F.col("_r") == F.floor(F.col("_n") * 0.99) + 1, F.col("_v"))).alias("p99"))
+    """Messages, success rate, mean and the 99th percentile by nearest rank.
+
+    A quantile sketch tells where the last hundredth of the values begins, with room for its error; all values below count
+    as one, so only that hundredth, by distinct value, is ranked in one place.
+    """
+    low = F.percentile_approx(value, F.lit(0.9895), 10_000)
+    total = df.agg(F.count("*").alias("messages"), F.avg(ok.cast("double")).alias("success_rate"), F.avg(value).alias("mean"), F.count(value).alias("_n"), low.alias("_low"))
+    last = df.where(F.col(value).isNotNull()).crossJoin(F.broadcast(total.select("_n", "_low"))).groupBy("_n", F.greatest(F.col(value), F.col("_low")).alias("_v")).agg(F.count("*").alias("_c"))
+    ranked = last.withColumn("_upto", F.sum("_c").over(Window.orderBy("_v")))
+    p99 = ranked.where(F.col("_upto") >= F.floor(F.col("_n") * 0.99) + 1).agg(F.min("_v").alias("p99"))
+    return total.drop("_n", "_low").crossJoin(p99)  # one row each

@@ -15,7 +15,7 @@ from tidebook.schema import MODULES
 from tidebook.sources import store, synthetic
 from tidebook.streaming import live  # noqa: F401  part of the public surface
 
-_OLD = set(QUERIES)
+SYMBOLS = ("CLICK", "ERROR", "PURCHASE", "SIGNUP", "VIEW")
 R = lambda x, d=6: f"round({x} + {TIE}, {d})"
 
 
@@ -112,12 +112,11 @@ _pairs = [(a, b) for i, a in enumerate(_M) for b in _M[i + 1 :]]
 query("a15_correlation_matrix", f"{SPREADS}{OFI} " + " union all ".join(f"select '{a}' a, '{b}' b, {R(f'corr({a}, {b})')} corr from of2" for a, b in _pairs))(lambda s, d: rounded(research.correlation_matrix(flow(s, d), _M)))
 query("a16_trend", f"{SPREADS} select symbol, regr_count(spread, ltq) n, {R('regr_slope(spread, ltq)')} slope, {R('regr_intercept(spread, ltq)')} intercept, {R('regr_r2(spread, ltq)')} r2 from sp group by symbol")(lambda s, d: rounded(research.trend(spreads(s, d), "ltq", "spread", "symbol").drop("p_value")))
 query("a17_linregress")(lambda s, d: research.trend(spreads(s, d), "ltq", "spread", "symbol"))
-_acf = ", ".join(f"{R(f'sum(d * l{k}) / sum(d * d)')} l{k}" for k in range(1, 11))
-query("a18_autocorrelation", f"{RET}, z as (select *, avg(ret) over (partition by symbol) m, count(*) over (partition by symbol) c from rt where ret is not null and ret <> 0), y as (select *, ret - m d, {', '.join(f'lag(ret - m, {k}) over ({BY}) l{k}' for k in range(1, 11))} from z where c > 100) " + " union all ".join(f"select symbol, {k} as lag, {R(f'sum(d * l{k}) / sum(d * d)')} acf from y group by symbol" for k in range(1, 11)))(
-    lambda s, d: rounded(research.autocorrelation(returns(s, d), "ret", 10).drop("band"))
+query("a18_autocorrelation", f"{RET}, z as (select *, avg(ret) over (partition by symbol) m, count(*) over (partition by symbol) c from rt where ret is not null and ret <> 0), y as (select *, ret - m d, {', '.join(f'lag(ret - m, {k}) over ({BY}) l{k}' for k in range(1, 41))} from z where c > 100) " + " union all ".join(f"select symbol, {k} as lag, {R(f'sum(d * l{k}) / sum(d * d)')} acf from y group by symbol" for k in range(1, 41)))(
+    lambda s, d: rounded(research.autocorrelation(returns(s, d), "ret").drop("band"))
 )
-query("a27_pivot", ", p as (select cast(ts as date) as day, symbol, count(*) n from ticks group by all) select cast(day as varchar) as day, " + ", ".join(f"cast(coalesce(sum(n) filter (symbol = '{k}'), 0) as bigint) {k.lower()}" for k in ("CLICK", "PURCHASE", "VIEW")) + " from p group by day")(
-    lambda s, d: ticks(s, d).groupBy(F.to_date("ts").cast("string").alias("day")).pivot("symbol", ["CLICK", "PURCHASE", "VIEW"]).agg(F.count(F.lit(1))).select("day", *(F.coalesce(c, F.lit(0)).cast("long").alias(c.lower()) for c in ("CLICK", "PURCHASE", "VIEW")))
+query("a27_pivot", ", p as (select cast(ts as date) as day, symbol, count(*) n from ticks group by all) select cast(day as varchar) as day, " + ", ".join(f"cast(coalesce(sum(n) filter (symbol = '{k}'), 0) as bigint) {k.lower()}" for k in SYMBOLS) + " from p group by day")(
+    lambda s, d: ticks(s, d).groupBy(F.to_date("ts").cast("string").alias("day")).pivot("symbol", list(SYMBOLS)).agg(F.count(F.lit(1))).select("day", *(F.coalesce(c, F.lit(0)).cast("long").alias(c.lower()) for c in SYMBOLS))
 )
 query("a28_load_summary", f" select count(*) messages, {R('avg(case when ltq > 5 then 1.0 else 0.0 end)')} success_rate, {R('avg(ltp)')} mean, {R('list_sort(list(ltp))[cast(floor(count(*) * 0.99) as bigint) + 1]')} p99 from ticks")(lambda s, d: rounded(research.load_summary(ticks(s, d), "ltp", F.col("ltq") > 5)))
 
@@ -131,32 +130,21 @@ query("w16_rolling_mean", f"{SPREADS} select seq, symbol, {R(f'case when count(s
 query("w17_running_index", f" select seq, symbol, cast(row_number() over ({BY}) - 1 as integer) tick from ticks")(lambda s, d: ticks(s, d).select("seq", "symbol", (F.row_number().over(est.by()) - 1).alias("tick")))
 query("w18_running_max", f" select seq, symbol, max(ltp) over ({BY}) high from ticks")(lambda s, d: ticks(s, d).select("seq", "symbol", F.max("ltp").over(est.so_far()).alias("high")))
 query("w19_prefix_sum", f" select seq, symbol, cast(sum(ltq) over ({BY}) as bigint) total from ticks")(lambda s, d: ticks(s, d).select("seq", "symbol", F.sum("ltq").over(est.so_far()).cast("long").alias("total")))
-_asof = """, l as (select seq, symbol, us + 1000000 * (seq % 7) us from ticks where seq % 10 = 0), r as (select symbol, us rus, ltp from ticks where seq % 3 = 0),
+_asof = """, l as (select seq, symbol, us + 1000000 * (seq % 7) us from ticks), r as (select symbol, us rus, ltp from ticks),
 b as (select l.seq, l.symbol, l.us, r.rus brus, r.ltp bltp from l asof left join r on l.symbol = r.symbol and l.us >= r.rus), f as (select l.seq, r.rus frus, r.ltp fltp from l asof left join r on l.symbol = r.symbol and l.us <= r.rus)"""
 
 
 def asof(s: SparkSession, d: str, direction: str) -> DataFrame:
-    t = ticks(s, d)
-    left = t.where("seq % 10 = 0").select("seq", "symbol", (F.col("us") + 1_000_000 * (F.col("seq") % 7)).alias("us"))
-    return research.as_of(left, t.where("seq % 3 = 0").select("symbol", "us", "ltp"), "us", ["symbol"], ["ltp"], direction)
-
-
-query("j1_asof_nearest", f"{_asof} select seq, symbol, us, case when frus is null or us - brus <= frus - us then bltp else fltp end ltp from b join f using (seq)")(lambda s, d: asof(s, d, "nearest"))
-query("j1_asof_backward", f"{_asof} select seq, symbol, us, bltp ltp from b")(lambda s, d: asof(s, d, "backward"))
-query("j1_asof_forward", f"{_asof} select seq, symbol, us, fltp ltp from b join f using (seq)")(lambda s, d: asof(s, d, "forward"))
-_whole = _asof.replace(" where seq % 10 = 0", "").replace(" where seq % 3 = 0", "")
-
-
-def asof_whole(s: SparkSession, d: str, direction: str) -> DataFrame:
     """Every tick, later by 0 to 6 seconds, with all ticks of its symbol."""
     t = ticks(s, d)
     left = t.select("seq", "symbol", (F.col("us") + 1_000_000 * (F.col("seq") % 7)).alias("us"))
     return research.as_of(left, t.select("symbol", "us", "ltp"), "us", ["symbol"], ["ltp"], direction)
 
 
-query("j1_whole_nearest", f"{_whole} select seq, symbol, us, case when frus is null or us - brus <= frus - us then bltp else fltp end ltp from b join f using (seq)")(lambda s, d: asof_whole(s, d, "nearest"))
-query("j1_whole_backward", f"{_whole} select seq, symbol, us, bltp ltp from b")(lambda s, d: asof_whole(s, d, "backward"))
-query("j1_whole_forward", f"{_whole} select seq, symbol, us, fltp ltp from b join f using (seq)")(lambda s, d: asof_whole(s, d, "forward"))
+for _name in ("asof", "whole"):
+    query(f"j1_{_name}_nearest", f"{_asof} select seq, symbol, us, case when frus is null or us - brus <= frus - us then bltp else fltp end ltp from b join f using (seq)")(lambda s, d: asof(s, d, "nearest"))
+    query(f"j1_{_name}_backward", f"{_asof} select seq, symbol, us, bltp ltp from b")(lambda s, d: asof(s, d, "backward"))
+    query(f"j1_{_name}_forward", f"{_asof} select seq, symbol, us, fltp ltp from b join f using (seq)")(lambda s, d: asof(s, d, "forward"))
 query("j2_positional_join", f"{SPREADS} select seq, symbol, {R('spread')} spread, volume from sp")(lambda s, d: rounded(research.aligned(spreads(s, d).select("seq", "symbol", "spread"), ticks(s, d).select("seq", "symbol", "volume"))))
 query("j3_parameter_grid", None)(lambda s, d: bt.candidates(s))
 from tidebook.plans.catalog import SQL  # noqa: E402
@@ -279,6 +267,3 @@ query("src4_vendor_messages", " select seq, ltp, round(bid_px_1 * 100) / 100 bid
 )
 query("u1_union_all", " select seq, symbol from ticks where symbol = 'VIEW' union all select seq, symbol from ticks where symbol = 'CLICK'")(lambda s, d: ticks(s, d).where("symbol = 'VIEW'").select("seq", "symbol").unionAll(ticks(s, d).where("symbol = 'CLICK'").select("seq", "symbol")))
 query("r8_generate")(lambda s, d: est.metrics(books.flatten(synthetic.make_source(s, ticks=120, seed=7, symbols="AAA"))))
-_ = CHAIN
-
-NEW = [n for n in QUERIES if n not in _OLD]
