@@ -1,5 +1,6 @@
 """Scenarios of single operators, with values worked out by hand from their definitions."""
 
+import random
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -314,3 +315,70 @@ def test_restart_backs_off():
 
     assert live.supervise(Query, sleep=waits.append) == 3 and waits == [1.0, 2.0, 4.0]
     assert live.backoff(20) == 60.0
+
+
+def test_gate_agrees_with_a_plain_pass(spark):
+    """Random arrivals: late rows, falling and missing volumes, new days, bad books."""
+    r = random.Random(3)
+    rows, at, volume = [], T0, 0
+    for seq in range(600):
+        at += timedelta(seconds=r.choice([1, 1, 1, 5, 40_000 if r.random() < 0.02 else 1]))
+        volume = r.randint(0, 50) if r.random() < 0.02 else volume + r.randint(0, 9)
+        ts = at - timedelta(seconds=r.choice([0] * 12 + [1, 30, 90_000]))
+        vol = r.choice([volume] * 10 + [None, max(0, volume - 20)])
+        rows.append(snap(seq, ask=99.0 if r.random() < 0.05 else 100.5, volume=vol, ts=ts, symbol=r.choice("AB")))
+    got = {x["seq"]: x["reasons"] for x in quality.gate(frame(spark, rows)).collect()}
+    late = 0
+    for symbol in "AB":
+        own = [x for x in rows if x[1] == symbol]
+        early = {x["seq"]: list(x["reasons"]) for x in quality.stateless(frame(spark, own)).collect()}
+        us = [(x[2] - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(microseconds=1) for x in own]
+        codes, _ = quality.fold(((u, x[7], not early[x[0]]) for u, x in zip(us, own)), None)
+        for x, c in zip(own, codes):
+            assert got[x[0]] == early[x[0]] + c, x
+        late += sum(map(bool, codes))
+    assert late > 50
+
+
+def test_a_bad_price_stays_in_its_window(spark):
+    """NaN and infinity count in no estimator, and what follows is as if the rows weren't there."""
+    r = random.Random(4)
+    rows = [snap(i, bid=100.0 + 0.5 * r.randint(0, 9), ask=105.0 + 0.5 * r.randint(0, 9), ltp=102.0 + 0.5 * r.randint(0, 9), ltq=r.randint(1, 9), volume=10 * i) for i in range(700)]
+    bad = [x if x[0] not in (100, 350) else (*x[:5], float("nan") if x[0] == 100 else float("inf"), *x[6:]) for x in rows]
+    names = ["kyle_lambda", "amihud_illiq", "roll_serial_cov", "trade_variance_share"]
+    one = {x["seq"]: x for x in est.metrics(flat(spark, bad)).collect()}
+    two = {x["seq"]: x for x in est.metrics(flat(spark, [x for x in rows if x[0] not in (100, 350)])).collect()}
+    for seq in (99, 101, 349, 351, 500, 699):
+        for name in names:
+            assert one[seq][name] == pytest.approx(two[seq][name], rel=1e-9, abs=1e-12), (seq, name)
+    assert one[100]["kyle_lambda"] is None and one[350]["amihud_illiq"] is None
+
+
+def test_sliding_sums(spark):
+    """Against plain sums, with rows that don't count, for windows that end anywhere in a chunk."""
+    r = random.Random(5)
+    values = [r.choice([None, r.random()]) for _ in range(200)]
+    df = spark.createDataFrame([("A", i, v) for i, v in enumerate(values)], "symbol string, seq long, v double")
+    for width in (1, 7, 50, 500):
+        got = est.sliding(est.numbered(df, "_k", F.col("v").isNotNull()), "_k", width, s=F.col("v"))
+        seen = []
+        for x in got.orderBy("seq").collect():
+            if x["v"] is not None:
+                seen.append(x["v"])
+                assert x["s"] == pytest.approx(sum(seen[-width:])), (width, x["seq"])
+
+
+def test_as_of_agrees_with_brute_force(spark):
+    r = random.Random(6)
+    left = [(r.choice("AB"), i, r.randint(0, 400)) for i in range(80)] + [("C", 99, 5), ("A", 100, None)]
+    right = [(k, t, float(t)) for k in "AB" for t in sorted(r.sample(range(400), 40))] + [("A", None, 1.0)]
+    frames = spark.createDataFrame(left, "symbol string, seq long, t long"), spark.createDataFrame(right, "symbol string, t long, v double")
+    for direction in ("backward", "forward", "nearest"):
+        got = {x["seq"]: x["v"] for x in research.as_of(*frames, "t", ["symbol"], ["v"], direction, chunk=50).collect()}
+        for k, seq, t in left:
+            if t is None:
+                assert seq not in got
+                continue
+            own = [u for s, u, _ in right if s == k and u is not None and (direction != "backward" or u <= t) and (direction != "forward" or u >= t)]
+            want = min(own, key=lambda u: (abs(u - t), u > t), default=None)
+            assert got[seq] == (None if want is None else float(want)), (direction, k, seq)

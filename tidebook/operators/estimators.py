@@ -47,19 +47,28 @@ def last_valid(number: str, width: int, past: bool = False):
     return Window.partitionBy("symbol").orderBy(number).rangeBetween(-width if past else 1 - width, -1 if past else 0)
 
 
+def finite(c: Column) -> Column:
+    """Whether a price is a finite number above 0 (NaN is above infinity in Spark's order); null counts as no."""
+    return F.coalesce((c > 0) & (c < float("inf")), F.lit(False))
+
+
 def sliding(df: DataFrame, number: str, width: int, **values: Column) -> DataFrame:
-    """Adds sums of values over the last `width` valid rows, as the difference of two running sums.
+    """Adds sums of values over the last `width` valid rows; values are null on other rows.
 
-    Frames that only grow cost a step a row, sliding frames of w rows w steps. Values are some orders of magnitude alike,
-    so what cancels leaves relative errors of about 1e-16 times the rows so far in a window's number.
+    Valid rows are cut into chunks of `width`. A window is the running sum of its chunk and what the chunk before has
+    after the row that is `width` back, so a row costs the same whatever the width, and rounding errors stay those of two
+    chunks, however long the series.
     """
+    chunk = Window.partitionBy("symbol", "_chunk").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     by_number = Window.partitionBy("symbol").orderBy(number)
-    now = by_number.rangeBetween(Window.unboundedPreceding, 0)
-    gone = by_number.rangeBetween(Window.unboundedPreceding, -width)
-    df = df.withColumns({f"_in_{k}": v.cast("double") for k, v in values.items()})
-    zero = F.lit(0.0)
-    sums = {k: F.coalesce(F.sum(f"_in_{k}").over(now), zero) - F.coalesce(F.sum(f"_in_{k}").over(gone), zero) for k in values}
-    return df.withColumns(sums).drop(*(f"_in_{k}" for k in values))
+    before_it, back = by_number.rowsBetween(Window.unboundedPreceding, -1), by_number.rangeBetween(-width, -width)
+    df = df.withColumn("_chunk", F.floor((F.col(number) - 1) / width)).withColumns({f"_p_{k}": F.coalesce(F.sum(v.cast("double")).over(chunk), F.lit(0.0)) for k, v in values.items()})
+    sums = F.struct(*(F.col(f"_p_{k}").alias(k) for k in values))
+    df = df.withColumns({"_end": F.last(F.when(F.col(number) % width == 0, sums), True).over(before_it), "_back": F.first(sums).over(back)})
+    # at the end of a chunk the row that is `width` back ends the chunk before: the window is the chunk
+    gone = (F.col(number) > width) & (F.col(number) % width != 0)
+    df = df.withColumns({k: F.col(f"_p_{k}") + F.when(gone, F.col(f"_end.{k}") - F.col(f"_back.{k}")).otherwise(0.0) for k in values})
+    return df.drop("_chunk", "_end", "_back", *(f"_p_{k}" for k in values))
 
 
 def order_flow(ticks: DataFrame, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
@@ -85,7 +94,7 @@ def sessions(ticks: DataFrame) -> DataFrame:
     df = df.withColumn("_turn", F.when(F.col("_day") != F.lag("_day").over(by()), 1).otherwise(0))
     df = df.withColumn("_di", F.sum("_turn").over(so_far())).drop("_turn")
     day = Window.partitionBy("symbol", "_di").orderBy("seq")
-    counts = F.col("ltp").isNotNull() & F.col("volume").isNotNull()
+    counts = F.col("ltp").isNotNull() & ~F.isnan("ltp") & F.col("volume").isNotNull()
     df = df.withColumn("_v", F.when(counts, F.col("volume")))
     df = df.withColumn("_pv", F.last("_v", True).over(day.rowsBetween(Window.unboundedPreceding, -1)))
     df = df.withColumn("_vi", F.sum(F.when(F.col("_v") < F.col("_pv"), 1).otherwise(0)).over(day.rowsBetween(Window.unboundedPreceding, 0)))
@@ -135,8 +144,7 @@ def profile_map(profile: DataFrame) -> DataFrame:
 
 def kyle(df: DataFrame, window: int = 300, least: int = 30) -> DataFrame:
     """Adds kyle_lambda, kyle_r2, kyle_t_stat: mid returns (bps) on signed trade sizes. Needs `midprice`."""
-    valid = (F.col("midprice") > 0) & F.col("ltp").isNotNull() & F.col("ltq").isNotNull()
-    valid = F.coalesce(valid, F.lit(False))
+    valid = finite(F.col("midprice")) & finite(F.col("ltp")) & F.col("ltq").isNotNull()
     df = df.withColumn("_m", F.when(valid, F.col("midprice"))).withColumn("_pm", F.last("_m", True).over(before()))
     df = tick_rule(df, "_x", valid).withColumns({"_x": F.col("_x").cast("double") * F.col("ltq"), "_ok": valid & F.col("_pm").isNotNull()})
     df = df.withColumns({"_y": F.when(F.col("_ok"), (F.col("_m") - F.col("_pm")) / F.col("_pm") * 1e4), "_x": F.when(F.col("_ok"), F.col("_x"))})
@@ -162,7 +170,7 @@ def kyle(df: DataFrame, window: int = 300, least: int = 30) -> DataFrame:
 
 def amihud(df: DataFrame, window: int = 300) -> DataFrame:
     """Adds amihud_illiq: the mean of |mid return| over traded money, per million."""
-    seen = F.coalesce((F.col("midprice") > 0) & F.col("ltp").isNotNull() & F.col("ltq").isNotNull(), F.lit(False))
+    seen = finite(F.col("midprice")) & finite(F.col("ltp")) & F.col("ltq").isNotNull()
     df = df.withColumn("_m", F.when(seen, F.col("midprice"))).withColumn("_pm", F.last("_m", True).over(before()))
     money = F.col("ltp") * F.col("ltq")
     df = df.withColumn("_r", F.when(seen & F.col("_pm").isNotNull() & (money > 0), F.abs(F.col("_m") - F.col("_pm")) / F.col("_pm") * 1e4 / F.nullif(money, F.lit(0.0)) * 1e6))
@@ -173,7 +181,7 @@ def amihud(df: DataFrame, window: int = 300) -> DataFrame:
 
 def roll(df: DataFrame, window: int = 200, least: int = 30) -> DataFrame:
     """Adds roll_serial_cov and roll_spread_bps from the serial covariance of price changes."""
-    valid = F.coalesce(F.col("ltp") > 0, F.lit(False))
+    valid = finite(F.col("ltp"))
     df = df.withColumn("_p", F.when(valid, F.col("ltp")))
     df = df.withColumn("_d", F.col("_p") - F.last("_p", True).over(before()))
     df = df.withColumn("_pd", F.when(F.col("_d").isNotNull(), F.last("_d", True).over(before())))
@@ -189,7 +197,7 @@ def roll(df: DataFrame, window: int = 200, least: int = 30) -> DataFrame:
 
 def variance_share(df: DataFrame, window: int = 500, least: int = 50) -> DataFrame:
     """Adds trade_variance_share and avg_signed_trade_return_bps."""
-    valid = F.coalesce((F.col("midprice") > 0) & (F.col("ltp") > 0), F.lit(False))
+    valid = finite(F.col("midprice")) & finite(F.col("ltp"))
     df = df.withColumns({"_m": F.when(valid, F.col("midprice")), "_p": F.when(valid, F.col("ltp"))})
     df = tick_rule(df, "_s", valid).withColumns({"_pm": F.last("_m", True).over(before()), "_pp": F.last("_p", True).over(before())})
     ok = valid & F.col("_pm").isNotNull()
@@ -208,11 +216,22 @@ def variance_share(df: DataFrame, window: int = 500, least: int = 50) -> DataFra
 
 
 def zscore(df: DataFrame, value: str, name: str, window: int = 300, least: int = 5) -> DataFrame:
-    """Adds `name`: the value against the mean and population deviation of the last `window` values before it."""
-    df = numbered(df, "_k", F.col(value).isNotNull())
-    over = last_valid("_k", window, past=True)
-    df = df.withColumns({"_n": F.count(value).over(over), "_mean": F.avg(value).over(over), "_std": F.stddev_pop(value).over(over)})
-    return df.withColumn(name, F.when(F.col(value).isNotNull() & (F.col("_n") >= least) & (F.col("_std") >= 1e-9), (F.col(value) - F.col("_mean")) / F.nullif("_std", F.lit(0.0)))).drop("_k", "_n", "_mean", "_std")
+    """Adds `name`: the value against the mean and population deviation of the last `window` values before it.
+
+    Values count by their distance from the symbol's first one, which keeps squares small; a variance that rounding
+    alone can make is none.
+    """
+    df = df.withColumn("_ok", F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    v = F.when(F.col("_ok"), F.col(value).cast("double"))
+    df = numbered(df, "_k", F.col("_ok")).withColumn("_v", v - F.first(v, True).over(so_far()))
+    df = sliding(df, "_k", window, _s=F.col("_v"), _q=F.col("_v") * F.col("_v"))
+    past = F.last(F.when(F.col("_ok"), F.struct("_k", "_s", "_q")), True).over(before())
+    df = df.withColumn("_w", past).withColumn("_n", F.least(F.col("_w._k"), F.lit(window)))
+    mean, square = F.col("_w._s") / F.col("_n"), F.col("_w._q") / F.col("_n")
+    var = square - mean * mean
+    std = F.sqrt(F.when(var > 1e-13 * square, var).otherwise(0.0))
+    there = F.col("_ok") & (F.col("_n") >= least) & (std >= 1e-9)
+    return df.withColumn(name, F.when(there, (F.col("_v") - mean) / F.nullif(std, F.lit(0.0)))).drop("_ok", "_k", "_v", "_s", "_q", "_w", "_n")
 
 
 def tick_volume(df: DataFrame) -> DataFrame:

@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidebook.schema import DEPTH
 
@@ -61,7 +60,6 @@ def stateless(snapshots: DataFrame, allowed: tuple[str, ...] = ()) -> DataFrame:
 
 
 DAY = 86_400_000_000
-STATE = T.StructType([T.StructField("us", T.LongType()), T.StructField("volume", T.LongType())])
 
 
 def fold(rows: Iterator[tuple], state: tuple | None) -> tuple[list[list[str]], tuple | None]:
@@ -82,14 +80,43 @@ def fold(rows: Iterator[tuple], state: tuple | None) -> tuple[list[list[str]], t
     return out, (last_us, last_volume)
 
 
+def runs(keys: DataFrame) -> DataFrame:
+    """Adds to (seq, _sym, us, volume, good) the state before each row, the run it belongs to and whether the run is doubtful.
+
+    A good row later than all good rows before, whose volume isn't below any that could count, is accepted whatever
+    happened to those: it is sure. One with a volume settles the whole state and begins a run. Rows that aren't good
+    change nothing. So in a run without good rows that aren't sure the state is known: the last sure row's.
+    """
+    by = Window.partitionBy("_sym").orderBy("seq")
+    before, day = by.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("_sym", "_day").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    good = F.col("good")
+    df = keys.withColumn("_day", F.floor(F.col("us") / DAY)).withColumns({"_gus": F.when(good, F.col("us")), "_gvol": F.when(good, F.col("volume"))})
+    df = df.withColumns({"_top": F.max("_gus").over(before), "_most": F.max("_gvol").over(before)})
+    df = df.withColumns({"_high": F.max("_gvol").over(day), "_bare": F.max(F.when(good & F.col("volume").isNull(), 1)).over(day)})
+    least = F.when(F.col("_bare").isNotNull(), F.col("_most")).otherwise(F.col("_high"))  # a day without volume so far goes on from the days before
+    later = F.coalesce(F.col("us") > F.col("_top"), F.lit(True))
+    df = df.withColumn("_sure", good & F.col("us").isNotNull() & later & (F.col("volume").isNull() | F.coalesce(F.col("volume") >= least, F.lit(True))))
+    df = df.withColumns(
+        {
+            "last_us": F.last(F.when(F.col("_sure"), F.col("us")), True).over(before),
+            "last_volume": F.last(F.when(F.col("_sure"), F.col("volume")), True).over(before),
+            "run": F.count(F.when(F.col("_sure") & F.col("volume").isNotNull(), 1)).over(by.rowsBetween(Window.unboundedPreceding, 0)),
+        }
+    )
+    doubt = F.max(good & ~F.col("_sure")).over(Window.partitionBy("_sym", "run"))
+    return df.select("seq", "_sym", "us", "volume", "good", "_day", "last_us", "last_volume", "run", doubt.alias("doubtful"))
+
+
 def gate(snapshots: DataFrame, allowed: tuple[str, ...] = ()) -> DataFrame:
-    """stateless() with the sequential codes added: a pass over each symbol's rows in order of arrival.
+    """stateless() with the sequential codes added, from each symbol's rows in order of arrival.
 
-    Acceptance depends on earlier acceptance, which windows can't express. A symbol's keys only (seq, time, volume, flag)
-    go through Python, in Arrow batches of the sorted group; books stay in the JVM and are joined back by seq.
+    Acceptance depends on earlier acceptance, which windows can't express, but only from a row that might be rejected on
+    to the next that is surely accepted. Such runs alone go through Python, each for itself; books stay in the JVM, and
+    what is rejected late is joined back by seq.
     """
     df = stateless(snapshots, allowed)
     keys = df.select("seq", F.coalesce("symbol", F.lit("")).alias("_sym"), F.unix_micros("ts").alias("us"), "volume", (F.size("reasons") == 0).alias("good"))
+    known = runs(keys)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq", kind="stable")
@@ -97,7 +124,12 @@ def gate(snapshots: DataFrame, allowed: tuple[str, ...] = ()) -> DataFrame:
         codes, _ = fold(zip(null("us"), null("volume"), pdf["good"].tolist()), None)
         return pd.DataFrame({"seq": pdf["seq"], "_late": codes})
 
-    late = keys.groupBy("_sym").applyInPandas(run, "seq long, _late array<string>").where(F.size("_late") > 0)
+    back = F.col("us") <= F.col("last_us")
+    fall = (F.col("_day") == F.floor(F.col("last_us") / DAY)) & (F.col("volume") < F.col("last_volume"))
+    codes = F.array_compact(F.array(F.when(back, "non_monotonic_timestamp"), F.when(fall, "cumulative_volume_decrease")))
+    settled = known.where(~F.col("doubtful") & ~F.col("good") & (back | fall)).select("seq", codes.alias("_late"))
+    doubtful = known.where("doubtful").select("seq", "_sym", "us", "volume", "good", "run")
+    late = settled.unionAll(doubtful.groupBy("_sym", "run").applyInPandas(run, "seq long, _late array<string>").where(F.size("_late") > 0))
     both = df.join(late, "seq", "left")
     out = both.withColumn("reasons", F.concat("reasons", F.coalesce("_late", F.array().cast("array<string>")))).drop("_late")
     return out.withColumn("accepted", F.size("reasons") == 0)
