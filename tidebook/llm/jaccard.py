@@ -7,17 +7,18 @@
    needs its first n - ceil(0.8 n) + 1 only, its prefix; passages that many documents have lie at the end of the order
    and make no blocks. Prefix shingles that only one class has are dropped, by packed arrays exchanged between shards
    and hash ranges; what is left makes the blocks.
-3. A shingle falls into one of 128 groups; the counts of a set's shingles in the groups are its point. In each block the
+3. A shingle falls into one of 256 groups; the counts of a set's shingles in the groups are its point. In each block the
    points are indexed by an R-tree, whose nodes hold the greatest count of each group and the range of sizes. The
    overlap of two sets is at most the sum of their coordinates' minima, that of a set and a node likewise with the node's
    greatest counts; what can't reach the overlap that 80 % needs is pruned, and so are sizes too far apart and shingles
    that stand too late in the order to be the first that both have.
-4. In up to three rounds one document of each component in a block is paired with a pivot within the bound, and of its
-   pivots in all blocks a document keeps the first. What is linked is contracted to components (at first each class is
+4. In a first round one document of each component in a block is paired with a pivot within the bound, in the next ones
+   each document outside the block's largest component with one partner of another component within the bound; of its
+   partners in all blocks a document keeps the first. What is linked is contracted to components (at first each class is
    its own). In a last round all pairs of documents in different components that survive the bound and have not been
    tested are verified. So a group of many near copies costs few pairs for each of them, not all pairs, and no link
    between different components is lost.
-5. Pairs of longer sets are bounded once more by points of n / 4 groups, as 128 don't tell sets of thousands of shingles
+5. Pairs of longer sets are bounded once more by points of n / 4 groups, as 256 don't tell sets of thousands of shingles
    apart; those that survive are verified on whole sets.
 
 Components are found by alternating large and small stars over written edges; nothing is collected but the sketch.
@@ -39,9 +40,10 @@ from tidebook.llm import textkit as tk
 from tidebook.llm.shared import discard, materialize, release
 
 U = np.uint64
-PERCENT, GROUPS, FULL = 80, 128, 255
+PERCENT, GROUPS, FULL = 80, 256, 255
 LEAF, FAN = 8, 16
-ROUNDS = 3
+#: Rounds of pivots, then of one partner for each document.
+ROUNDS = (True, False, False, False)
 #: The sketch: counters, slices that are added up apart, and parts of a slice.
 BITS, SLICES, PARTS = 20, 256, 64
 #: Sets of more shingles have points of more than GROUPS groups besides.
@@ -288,10 +290,25 @@ def crossing(nodes, sizes, rest, points, label) -> list[tuple[int, int]]:
     return out
 
 
-def pairs(cands: DataFrame, shards: int, salt: int | None) -> DataFrame:
+def partners(nodes, sizes, rest, points, label, salt: int = 0) -> list[tuple[int, int]]:
+    """Pairs (partner, document) for documents outside the largest component: any one of another component within the bound."""
+    names, inv, count = np.unique(label, return_inverse=True, return_counts=True)
+    if names.size == 1:
+        return []
+    tree = RTree(points, sizes, rest)
+    out = []
+    for k in np.flatnonzero(inv != count.argmax()):
+        near = tree.search(k)
+        near = near[inv[near] != inv[k]]
+        if near.size:
+            out.append((int(nodes[near[rank(nodes[near] ^ nodes[k], salt).argmin()]]), int(nodes[k])))
+    return out
+
+
+def pairs(cands: DataFrame, shards: int, salt: int | None, pick=None) -> DataFrame:
     """Candidate pairs from candidates (node, n, keys, pos, point, label): distinct (a, b) with a < b.
 
-    In a round of pivots (salt) a document has one pair at most besides those in which it is the pivot; without salt
+    With a pick (pivots or partners) a document has one pair at most besides those in which it is the first; without,
     there are all pairs of different components within the bound.
     """
     parts = min(shards, 4 * max(int(cands.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1))
@@ -344,7 +361,7 @@ def pairs(cands: DataFrame, shards: int, salt: int | None) -> DataFrame:
                 continue
             seen.add(own)
             block = nodes[w], n[w], rest[s], points[w], label[w]
-            out.update(crossing(*block) if salt is None else pivots(*block, salt))
+            out.update(crossing(*block) if pick is None else pick(*block, salt))
         best: dict[int, tuple] = {}
         if salt is not None:  # of a document's pivots the first
             pivot = np.array([p for p, _ in out], np.int64)
@@ -475,8 +492,8 @@ def members(docs: DataFrame) -> DataFrame:
     cands = materialize(shared_prefixes(sets, shards), "candidates")
     release(spark)
     names, roots, written = cands.withColumn("label", F.col("node")), None, []
-    for salt in (*range(ROUNDS), None):
-        found = pairs(names, shards, salt)
+    for salt, first in enumerate((*ROUNDS, None)):
+        found = pairs(names, shards, *((None,) if first is None else (salt, pivots if first else partners)))
         for done in written:
             found = found.join(done, ["a", "b"], "left_anti")
         found = materialize(found, "pairs")
