@@ -6,14 +6,16 @@ pattern would end. Texts and matches are cut apart by `split`, and running sums
 code points.
 
 Bootstrapping: base spans are the seeds. A lexical pattern is what surrounds a span: the two words before it, or the
-word before and the word after. Instances are seeds and every other word with a digit, of six characters or more. On
+word before and the word after, whole words of the text found by their number, whatever else is found near; what is
+joined to a span without a blank is a word as well. Instances are seeds and every other word with a digit, of six characters or more. On
 the graph of patterns and instances, scores go back and forth: a pattern scores the mean of its distinct instances'
 scores if at least two good ones stand in it, an instance the chance that any of its patterns is right
 (1 - prod(1 - score)), seeds stay at 1. After `ROUNDS` rounds unseen instances of a score of at least `ACCEPT` that stand in a
 pattern of at least `PATTERN` are reported as spans of kind `id`. Seeds from outside (`seeds`) may be added.
 
 Edge cases: null and empty texts have no spans; a span may touch either end; repeated rows and ids give a row each;
-overlapping spans of different kinds are all reported; an empty table gives no rows; other columns are ignored.
+overlapping spans of different kinds are all reported; an empty table gives no rows; other columns are ignored, and
+redact() leaves them as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from tidebook.llm.shared import materialize
 
 KINDS = ("email", "ip", "card", "phone", "id")
-ROUNDS, PATTERN, ACCEPT, NEAR = 3, 0.6, 0.6, 64
+ROUNDS, PATTERN, ACCEPT = 3, 0.6, 0.6
 _WS = r"\x20\x09-\x0D"
 SPAN = "array<struct<start:int,kind:int,end:int,inst:string,before:string,after:string>>"
 
@@ -41,22 +43,40 @@ def running(xs: Column) -> Column:
     return F.when(F.size(xs) > 0, F.flatten(F.zip_with(blocks, bases(blocks), lambda b, base: F.transform(b["a"], lambda v: v + base)))).otherwise(F.array().cast("array<int>"))
 
 
+def flat(c: Column) -> Column:
+    """Every blank a space."""
+    return F.translate(c, "\t\n\x0b\x0c\r", "     ")
+
+
 def found(df: DataFrame, name: str, text: Column, pattern: str, kind: int, maybe: Column, valid) -> DataFrame:
-    """Adds column `name`: the matches of pattern in text as SPAN, those that `valid` holds for; none where `maybe` is false."""
+    """Adds column `name`: the matches of pattern in text as SPAN, those that `valid` holds for; none where `maybe` is false.
+
+    Matches neither begin nor end with a blank, so runs of blanks before a match number the word it begins in.
+    """
     none = F.array().cast("array<string>")
+    blanks = lambda c: F.regexp_count(c, F.lit(f"[{_WS}]+")).cast("int")
     df = df.withColumn("_t", F.when(maybe, text).otherwise(""))
     df = df.withColumns({"_gap": F.when(F.col("_t") != "", F.split("_t", pattern, -1)).otherwise(none), "_hit": F.when(F.col("_t") != "", F.regexp_extract_all("_t", F.lit(pattern), F.lit(0))).otherwise(none)})
-    df = df.withColumn("_at", running(F.zip_with(F.slice("_gap", 1, F.greatest(F.size("_hit"), F.lit(0))), "_hit", lambda g, h: F.char_length(g) + F.char_length(h))))
-    one = lambda i: F.struct(
-        (F.get("_at", i) + F.char_length(F.get("_gap", i))).alias("start"),
-        F.lit(kind).alias("kind"),
-        (F.get("_at", i) + F.char_length(F.get("_gap", i)) + F.char_length(F.get("_hit", i))).alias("end"),
-        F.get("_hit", i).alias("inst"),
-        F.right(F.get("_gap", i), F.lit(NEAR)).alias("before"),
-        F.left(F.get("_gap", i + 1), F.lit(NEAR)).alias("after"),
+    gaps = F.slice("_gap", 1, F.greatest(F.size("_hit"), F.lit(0)))
+    df = df.withColumns(
+        {
+            "_at": running(F.zip_with(gaps, "_hit", lambda g, h: F.char_length(g) + F.char_length(h))),
+            "_nth": running(F.zip_with(gaps, "_hit", lambda g, h: blanks(g) + blanks(h))),
+            "_word": F.when(F.size("_hit") > 0, F.split("_t", f"[{_WS}]+", -1)).otherwise(none),
+        }
     )
+
+    def one(i):
+        gap, hit = F.get("_gap", i), F.get("_hit", i)
+        start, first = F.get("_at", i) + F.char_length(gap), F.get("_nth", i) + blanks(gap)
+        word = lambda k: F.get("_word", k)
+        joined, follows = F.substring_index(flat(gap), " ", -1), F.substring_index(flat(F.get("_gap", i + 1)), " ", 1)
+        before = F.when(joined != "", F.concat_ws(" ", word(first - 1), joined)).otherwise(F.concat_ws(" ", word(first - 2), word(first - 1)))
+        after = F.when(follows != "", follows).otherwise(F.coalesce(word(first + blanks(hit) + 1), F.lit("")))
+        return F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + F.char_length(hit)).alias("end"), hit.alias("inst"), before.alias("before"), after.alias("after"))
+
     spans = F.when(F.size("_hit") > 0, F.filter(F.transform(F.sequence(F.lit(0), F.size("_hit") - 1), one), lambda x: valid(x["inst"]))).otherwise(F.array()).cast(SPAN)
-    return df.withColumn(name, spans).drop("_t", "_gap", "_hit", "_at")
+    return df.withColumn(name, spans).drop("_t", "_gap", "_hit", "_at", "_nth", "_word")
 
 
 def digits(s: Column) -> Column:
@@ -96,8 +116,7 @@ def spans(docs: DataFrame) -> DataFrame:
 
 def pattern_list(o: Column) -> Column:
     """The lexical patterns around an occurrence: two words before; a word before and one after."""
-    flat = lambda c: F.trim(F.translate(F.lower(c), "\t\n\x0b\x0c\r", "     "))
-    before, after = flat(o["before"]), F.substring_index(flat(o["after"]), " ", 1)
+    before, after = F.trim(F.lower(o["before"])), F.lower(o["after"])
     two, one = F.substring_index(before, " ", -2), F.substring_index(before, " ", -1)
     return F.filter(
         F.array(F.when(F.instr(two, " ") > 0, F.concat(F.lit("2:"), two)), F.when((one != "") & (after != ""), F.concat(F.lit("1:"), one, F.lit(" _ "), after))), lambda p: p.isNotNull()
@@ -154,22 +173,24 @@ def report(docs: DataFrame, **how) -> DataFrame:
 
 
 def redact(docs: DataFrame, **how) -> DataFrame:
-    """docs with every span replaced by its kind in brackets; of overlapping spans the first, longest one covers the rest."""
-    keyed = materialize(docs.withColumn("__pii_key", F.monotonically_increasing_id()), "redact")
-    # the key stands in for the id, so that repeated ids don't meet
-    got = extract(keyed.select(F.col("__pii_key").alias("doc_id"), "text"), **how).where((F.size("base") > 0) | (F.size("more") > 0))
-    got = got.select(F.col("doc_id").alias("__pii_key"), F.array_sort(F.concat("base", "more")).alias("__pii_spans"))
-    both = keyed.join(got, "__pii_key", "left")
+    """docs with every span replaced by its kind in brackets; of overlapping spans the first, longest one covers the rest.
+
+    Rows are told apart by a written number, so that repeated ids don't meet; whole rows travel as one column beside it.
+    """
+    keyed = materialize(docs.select(F.monotonically_increasing_id().alias("key"), F.struct("*").alias("row")), "redact")
+    row = lambda c: F.col("row").getField(c)
+    got = extract(keyed.select(F.col("key").alias("doc_id"), row("text").alias("text")), **how).where((F.size("base") > 0) | (F.size("more") > 0))
+    both = keyed.join(got.select(F.col("doc_id").alias("key"), F.array_sort(F.concat("base", "more")).alias("spans")), "key", "left")
     name = lambda k: F.get(F.array(*(F.lit(f"[{x.upper()}]") for x in KINDS)), k)
     zero = F.struct(F.lit(0).alias("end"), F.lit("").alias("out"))
 
     def step(acc, x):
         tail = F.struct(F.greatest(acc["end"], x["end"]).alias("end"), acc["out"].alias("out"))
-        return F.when(x["start"] < acc["end"], tail).otherwise(F.struct(x["end"].alias("end"), F.concat(acc["out"], F.substring(F.col("text"), acc["end"] + 1, x["start"] - acc["end"]), name(x["kind"])).alias("out")))
+        return F.when(x["start"] < acc["end"], tail).otherwise(F.struct(x["end"].alias("end"), F.concat(acc["out"], F.substring(row("text"), acc["end"] + 1, x["start"] - acc["end"]), name(x["kind"])).alias("out")))
 
-    text = F.aggregate("__pii_spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["end"] + 1, F.char_length("text"))))
-    clean = F.when(F.col("__pii_spans").isNull() | F.col("text").isNull(), F.col("text")).otherwise(text)
-    out = both.withColumn("text", clean)
+    text = F.aggregate("spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(row("text"), acc["end"] + 1, F.char_length(row("text")))))
+    both = both.withColumn("clean", F.when(F.col("spans").isNull() | row("text").isNull(), row("text")).otherwise(text))
+    new = {"text": F.col("clean")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__pii_spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*(out[c] for c in docs.columns))
+        new["n_chars"] = F.when(F.col("spans").isNull(), row("n_chars")).otherwise(F.char_length("clean").cast(docs.schema["n_chars"].dataType))
+    return both.select(*(new.get(c, row(c)).alias(c) for c in docs.columns))
