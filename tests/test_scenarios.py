@@ -1,6 +1,8 @@
 """Scenarios of single operators, with values worked out by hand from their definitions."""
 
 import random
+import time
+from collections import Counter
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -286,22 +288,58 @@ def test_missing_columns_are_named(spark):
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    how = {"ticks": 40, "rate": 15, "seed": 3, "symbols": "AAA,BBB"}
-    stream = live.gated(synthetic.make_source(spark, stream=True, **how))
+    """All fields, alerts and counters of the stream, over several batches, are those of the batch estimators."""
+    how = {"ticks": 400, "rate": 150, "seed": 3, "symbols": "AAA,BBB"}
+    totals = live.Totals()
+    spark.streams.addListener(totals)
+    stream = live.observed(live.gated(synthetic.make_source(spark, stream=True, **how)))
     out = str(tmp_path / "out")
-    sinks = {"metrics": lambda b, e: b.write.mode("append").parquet(out), "cache": live.upsert_latest(spark, str(tmp_path / "cache"))}
-    q = live.fan_out(stream, sinks, str(tmp_path / "cp"))
+    failures = Counter()
+
+    def broken(batch, epoch):
+        raise OSError("disk full")
+
+    sinks = {"metrics": lambda b, e: b.write.mode("append").parquet(out), "cache": live.upsert_latest(spark, str(tmp_path / "cache")), "quarantine": broken}
+    q = live.fan_out(stream, sinks, str(tmp_path / "cp"), failures=failures, may_fail=("quarantine",))
     q.processAllAvailable()
     assert live.health(q)["healthy"]
     q.stop()
     got = {r["seq"]: r for r in spark.read.parquet(out).collect()}
     ticks = books.flatten(synthetic.make_source(spark, **how))
-    want = est.cumulative_delta(est.session_vwap(est.sessions(est.order_flow(ticks)))).collect()
-    assert len(got) == len(want) == 80
+    want = est.zscores(est.order_flow(est.metrics_input(ticks), ())).select("seq", "z_spread", "z_volume", "z_ofi", "ofi").join(est.metrics(ticks), "seq").collect()
+    assert len(got) == len(want) == 800
     for r in want:
-        g = got[r["seq"]]
-        assert (g["ofi"], g["ofi_300s"], g["cum_delta"]) == (r["ofi"], r["ofi_300s"], r["cum_delta"])
-        assert g["vwap"] == pytest.approx(r["vwap"]) if r["vwap"] is not None else g["vwap"] is None
+        for name in (*live.FIELDS, *live.PASSED):
+            least = 1e-4 if name == "vwap_stdev" else 1e-9  # the root of what rounding leaves of equal prices
+            a, b = got[r["seq"]][name], r[name]
+            assert a == pytest.approx(b, rel=1e-6, abs=least) if b is not None else a is None, (r["seq"], name)
+    alerts_ = {(r["seq"], r["kind"]): (r["severity"], r["detail"]) for r in live.alerts_of(spark.read.parquet(out)).collect()}
+    plain = {(r["seq"], r["kind"]): (r["severity"], r["detail"]) for r in est.anomalies(est.order_flow(est.metrics_input(ticks), ())).collect()}
+    assert alerts_ == plain and plain
+    for _ in range(100):
+        if totals.counts.get("received") == 800:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(totals)
+    assert totals.counts["accepted"] == 800 and totals.counts["rejected"] == 0 and totals.counts["alerts"] == len(plain)
+    assert failures["quarantine"] >= 3
+    text = live.exposed(live.series(totals, failures, {"book:AAA": 2}, {"alerts": 1}, now_us=totals.last_us + 1_500_000))
+    assert "ticks_ingested_total 800\n" in text and "last_tick_lag_seconds 1.5\n" in text and 'ws_clients{topic="book:AAA"} 2' in text and f"quarantine_write_failures_total {failures['quarantine']}" in text
+    assert len(live.series(live.Totals(), clients={"a": 0}, dropped={"a": 0})) == 10 and "last_tick_lag_seconds -1.0" in live.exposed(live.series(live.Totals()))
+
+
+def test_stream_rejects_and_counts(spark, tmp_path):
+    """A late tick and a bad book are rejected in the stream with their codes; the state goes on."""
+    rows = [snap(0, volume=10), snap(1, volume=20, ts=T0), snap(2, volume=30, ask=99.0), snap(3, volume=40, symbol=" aaa ")]
+    src = str(tmp_path / "in")
+    frame(spark, rows).coalesce(1).write.parquet(src)
+    g = live.gated(spark.readStream.schema(SNAPSHOT).parquet(src))
+    q = live.fan_out(g, {"all": lambda b, e: b.write.mode("append").parquet(str(tmp_path / "out"))}, str(tmp_path / "cp"), accepted_only=())
+    q.processAllAvailable()
+    q.stop()
+    got = {r["seq"]: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert [got[i]["reasons"] for i in range(4)] == [[], ["non_monotonic_timestamp"], ["crossed_or_locked_book"], []]
+    assert got[3]["repaired"] and got[3]["symbol"] == "AAA" and got[1]["vwap"] is None
 
 
 def test_restart_backs_off():

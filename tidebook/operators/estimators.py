@@ -267,10 +267,14 @@ def anomalies(df: DataFrame, window: int = 300, threshold: float = 3.0) -> DataF
     return z.select("symbol", "seq", "ts", F.inline(found)).select("symbol", "seq", "ts", "place", "kind", "severity", "detail")
 
 
+def metrics_input(ticks: DataFrame) -> DataFrame:
+    """Flat ticks with spreads, as the estimators and alerts take them."""
+    return books.spreads(ticks)
+
+
 def metrics(ticks: DataFrame, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
     """All estimators of every tick: one exchange by symbol, which all windows share."""
-    df = books.spreads(ticks)
-    df = order_flow(df, windows)
+    df = order_flow(metrics_input(ticks), windows)
     df = cumulative_delta(session_vwap(sessions(df)))
     df = variance_share(roll(amihud(kyle(df))))
     names = ["symbol", "ltp", "midprice", "spread", "relative_spread", "weighted_spread", *(f"ofi_{w}s" for w in windows), "vwap", "vwap_dev", "vwap_stdev", "cum_delta", "kyle_lambda", "kyle_r2", "kyle_t_stat"]

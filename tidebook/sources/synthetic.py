@@ -9,6 +9,7 @@ from __future__ import annotations
 import random
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
+from itertools import islice
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
@@ -16,7 +17,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition,
 from tidebook.schema import SNAPSHOT
 
 #: Names and first prices of the default symbols, and the price step.
-SYMBOLS = {"RELIANCE": 2900.0, "TCS": 4100.0, "INFY": 1650.0, "HDFCBANK": 1800.0, "ICICIBANK": 1250.0}
+SYMBOLS = {"RELIANCE": 2900.0, "TCS": 4100.0, "INFY": 1800.0, "HDFCBANK": 1650.0, "ICICIBANK": 1250.0}
 STEP = 0.05
 NAME = "tidebook_synthetic"
 
@@ -84,18 +85,24 @@ class _Reader(DataSourceReader):
 
 
 class _Stream(SimpleDataSourceStreamReader):
-    """`rate` ticks of each symbol in a batch, until `ticks` are out; replayable from any offset."""
+    """`rate` ticks of each symbol in a batch, until `ticks` are out; replayable from any offset.
+
+    The generators go on from where the last batch ended; another offset begins them anew.
+    """
 
     def __init__(self, settings: _Settings):
-        self.settings = settings
+        self.settings, self.at, self.going = settings, None, []
 
     def initialOffset(self):
         return {"tick": 0}
 
     def _between(self, a: int, b: int):
-        n = len(self.settings.symbols)
-        rows = (r for i in range(n) for k, r in enumerate(self.settings.rows(i)) if a <= k < b)
-        return iter(sorted(rows, key=lambda r: r[0]))
+        if self.at != a:
+            self.going = [self.settings.rows(i) for i in range(len(self.settings.symbols))]
+            for rows in self.going:
+                next(islice(rows, a, a), None)
+        self.at = b
+        return iter(sorted((r for rows in self.going for r in islice(rows, b - a)), key=lambda r: r[0]))
 
     def read(self, start: dict):
         end = min(start["tick"] + self.settings.rate, self.settings.ticks)

@@ -1,79 +1,256 @@
-"""Live ticks: one stateful gate by symbol, and everything else on each accepted micro-batch.
+"""Live ticks: one stateful gate by symbol that carries all estimators, and plain plans on each micro-batch.
 
-The gate's state is the last accepted time and volume (and what of the flow windows a symbol needs); it runs in
-`applyInPandasWithState`, over the flat columns that it needs. Late or repeated times are rejected, not waited for, so
-there is no watermark.
+A symbol's state is the last accepted time and volume, its order flow, session and the last rows of each sliding window;
+it goes through `applyInPandasWithState` over the flat columns that the estimators need. Late or repeated times are
+rejected, not waited for, so there is no watermark. The fields and alerts are those of the batch estimators.
 """
 
 from __future__ import annotations
 
+import math
 import time
+from collections import Counter, deque
 from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidebook.operators import books, quality
 
-GATE_OUT = "seq long, symbol string, us long, bid_px_1 double, bid_qty_1 long, ask_px_1 double, ask_qty_1 long, ltp double, ltq long, volume long, reasons array<string>, accepted boolean, ofi double, ofi_60s double, ofi_300s double, ofi_900s double, vwap double, cum_delta long"
-STATE = "us long, volume long, top array<double>, flow_us array<long>, flow array<double>, day long, session_volume long, pv double, v double, price double, side int, delta long"
 SPANS = (60, 300, 900)
+TOP = ("bid_px_1", "bid_qty_1", "ask_px_1", "ask_qty_1")
+PASSED = ("midprice", "spread", "relative_spread", "weighted_spread")
+FIELDS = (
+    "ofi", "ofi_60s", "ofi_300s", "ofi_900s", "vwap", "vwap_dev", "vwap_stdev", "cum_delta", "kyle_lambda", "kyle_r2", "kyle_t_stat", "amihud_illiq",
+    "roll_spread_bps", "roll_serial_cov", "trade_variance_share", "avg_signed_trade_return_bps", "z_spread", "z_volume", "z_ofi",
+)
+ALERT = "array<struct<kind:string,severity:string,detail:map<string,double>>>"
+GATE_OUT = ", ".join(
+    ["seq long, symbol string, us long, bid_px_1 double, bid_qty_1 long, ask_px_1 double, ask_qty_1 long, ltp double, ltq long, volume long"]
+    + [f"{c} double" for c in PASSED]
+    + ["reasons array<string>, repaired boolean, accepted boolean"]
+    + [f"{c} {'long' if c == 'cum_delta' else 'double'}" for c in FIELDS]
+    + [f"alerts {ALERT}"]
+)
+#: Rows of each sliding window, numbers of a row.
+WINDOWS = {"kyle": (300, 2), "amihud": (300, 1), "roll": (200, 2), "share": (500, 3), "z_spread": (300, 1), "z_volume": (300, 1), "z_ofi": (300, 1)}
+PLAIN = ("us", "volume", "any_volume", "day", "session_volume", "pv", "ppv", "v", "session_price", "session_side", "delta", "kyle_mid", "kyle_price", "kyle_side", "roll_price", "roll_change", "share_mid", "share_price", "share_side")
+STATE = ", ".join(["counts array<long>, numbers array<double>, top array<double>, flow_us array<long>, flow array<double>"] + [f"w_{k} array<double>" for k in WINDOWS])
+WHOLE = ("us", "volume", "any_volume", "day", "session_volume", "delta")
+
+
+class Recent:
+    """The last `width` rows of numbers with the sums of their products, taken anew every `width` rows so that rounding doesn't pile up."""
+
+    def __init__(self, width: int, numbers: int, saved: Iterable[float] | None = None):
+        flat = list(saved or [])
+        self.width, self.numbers = width, numbers
+        self.rows = deque(tuple(flat[i : i + numbers]) for i in range(0, len(flat), numbers))
+        self.renew()
+
+    def renew(self) -> None:
+        self.pushed = 0
+        self.first = [math.fsum(r[i] for r in self.rows) for i in range(self.numbers)]
+        self.second = {(i, j): math.fsum(r[i] * r[j] for r in self.rows) for i in range(self.numbers) for j in range(i, self.numbers)}
+
+    def add(self, row: tuple, sign: int) -> None:
+        for i in range(self.numbers):
+            self.first[i] += sign * row[i]
+            for j in range(i, self.numbers):
+                self.second[i, j] += sign * row[i] * row[j]
+
+    def push(self, *row: float) -> None:
+        if len(self.rows) == self.width:
+            self.add(self.rows.popleft(), -1)
+        self.rows.append(row)
+        self.add(row, 1)
+        self.pushed += 1
+        if self.pushed >= self.width:
+            self.renew()
+
+    def saved(self) -> list[float]:
+        return [float(x) for r in self.rows for x in r]
+
+
+def sign(change: float) -> int:
+    return (change > 0) - (change < 0)
+
+
+def above(x: float | None) -> bool:
+    return x is not None and 0 < x < math.inf
 
 
 class Symbol:
-    """State of one symbol; `step` takes a tick that is good so far and returns (codes, ofi, rolling sums, vwap, delta)."""
+    """State of one symbol; `accept` takes an accepted tick and returns its fields."""
 
     def __init__(self, saved: tuple | None = None):
-        s = saved or (None, None, None, [], [], None, None, 0.0, 0.0, None, 0, 0)
-        self.us, self.volume, self.top, self.flow_us, self.flow, self.day, self.session_volume, self.pv, self.v, self.price, self.side, self.delta = s
-        self.flow_us, self.flow = list(self.flow_us or []), list(self.flow or [])
-        self.top = list(self.top) if self.top is not None else None
+        counts, numbers, top, flow_us, flow, *windows = saved or (None,) * (5 + len(WINDOWS))
+        self.top = list(top) if top is not None else None
+        self.flow = deque(zip(flow_us or [], flow or []))
+        whole, rest = [c for c in PLAIN if c in WHOLE], [c for c in PLAIN if c not in WHOLE]
+        for names, values in ((whole, counts), (rest, numbers)):
+            for k, c in enumerate(names):
+                x = values[k] if values is not None else None
+                setattr(self, c, None if x is None or (isinstance(x, float) and math.isnan(x)) else x)
+        for c in ("pv", "ppv", "v", "session_side", "delta", "kyle_side", "share_side"):
+            setattr(self, c, getattr(self, c) or 0)
+        self.sums = [math.fsum(e for t, e in self.flow if self.us is not None and t >= self.us - w * 1_000_000) for w in SPANS]
+        self.ends = [sum(1 for t, _ in self.flow if self.us is None or t < self.us - w * 1_000_000) for w in SPANS]
+        self.recent = {k: Recent(*WINDOWS[k], w) for k, w in zip(WINDOWS, windows)}
 
     def saved(self) -> tuple:
-        return (self.us, self.volume, self.top, self.flow_us, self.flow, self.day, self.session_volume, self.pv, self.v, self.price, self.side, self.delta)
+        whole, rest = ([getattr(self, c) for c in PLAIN if (c in WHOLE) == w] for w in (True, False))
+        rest = [None if x is None else float(x) for x in rest]
+        return (whole, rest, self.top, [t for t, _ in self.flow], [e for _, e in self.flow], *(r.saved() for r in self.recent.values()))
 
-    def event(self, now: list | None) -> float | None:
-        if now is None or any(x is None for x in now):
+    def event(self, now: list) -> float:
+        """Order-flow imbalance of this book against the last one with two sides."""
+        if any(x is None for x in now):
             return 0.0
-        b, bq, a, aq = now
         before, self.top = self.top, now
         if before is None:
-            return None
-        pb, pbq, pa, paq = before
+            return 0.0
+        (b, bq, a, aq), (pb, pbq, pa, paq) = now, before
         bid = bq if b > pb else bq - pbq if b == pb else -pbq
         ask = -aq if a < pa else paq - aq if a == pa else paq
         return float(bid + ask)
 
-    def accept(self, us: int, top: list, ltp: float | None, volume: int | None):
-        self.us, self.volume = us, volume if volume is not None else self.volume
-        e = self.event(top)
+    def flows(self, us: int, e: float) -> list[float]:
+        """Sums of the events of each span; events are whole numbers, so that running sums are exact."""
         if e:
-            self.flow_us.append(us)
-            self.flow.append(e)
-        while self.flow_us and self.flow_us[0] < us - SPANS[-1] * 1_000_000:
-            del self.flow_us[0], self.flow[0]
-        sums = [float(sum(f for t, f in zip(self.flow_us, self.flow) if t >= us - w * 1_000_000)) for w in SPANS]
+            self.flow.append((us, e))
+            self.sums = [x + e for x in self.sums]
+        for k, w in enumerate(SPANS):
+            while self.ends[k] < len(self.flow) and self.flow[self.ends[k]][0] < us - w * 1_000_000:
+                self.sums[k] -= self.flow[self.ends[k]][1]
+                self.ends[k] += 1
+        for _ in range(self.ends[-1]):  # out of the longest span
+            self.flow.popleft()
+        self.ends = [x - self.ends[-1] for x in self.ends]
+        return self.sums
+
+    def session(self, us: int, ltp: float | None, volume: int | None) -> None:
         day = us // quality.DAY
         if day != self.day:
             self.restart(day)
-        if ltp is not None and volume is not None:
-            if self.session_volume is not None and volume < self.session_volume:
-                self.restart(day)
-            traded = volume - self.session_volume if self.session_volume is not None else 0
-            self.session_volume = volume
-            if traded > 0:
-                self.pv += ltp * traded
-                self.v += traded
-                if self.price is not None and ltp != self.price:
-                    self.side = 1 if ltp > self.price else -1
-                self.price = ltp
-                self.delta += self.side * traded
-        return e or 0.0, sums, self.pv / self.v if self.v else None, self.delta
+        if ltp is None or volume is None:
+            return
+        if self.session_volume is not None and volume < self.session_volume:
+            self.restart(day)
+        traded = volume - self.session_volume if self.session_volume is not None else 0
+        self.session_volume = volume
+        if traded > 0:
+            self.pv, self.ppv, self.v = self.pv + ltp * traded, self.ppv + ltp * ltp * traded, self.v + traded
+            if self.session_price is not None:
+                self.session_side = sign(ltp - self.session_price) or self.session_side
+            self.session_price = ltp
+            self.delta += int(self.session_side) * traded
 
     def restart(self, day: int) -> None:
-        self.day, self.session_volume, self.pv, self.v, self.price, self.side, self.delta = day, None, 0.0, 0.0, None, 0, 0
+        self.day, self.session_volume, self.pv, self.ppv, self.v, self.session_price, self.session_side, self.delta = day, None, 0, 0, 0, None, 0, 0
+
+    def impact(self, mid: float | None, ltp: float | None, ltq: int | None) -> dict:
+        """Kyle's and Amihud's measures."""
+        out = {}
+        if not (above(mid) and above(ltp) and ltq is not None):
+            return out
+        if self.kyle_price is not None:
+            self.kyle_side = sign(ltp - self.kyle_price) or self.kyle_side
+        before, self.kyle_mid, self.kyle_price = self.kyle_mid, mid, ltp
+        if before is None:
+            return out
+        y = (mid - before) / before * 1e4
+        k = self.recent["kyle"]
+        k.push(self.kyle_side * ltq, y)
+        n, (sx, sy) = len(k.rows), k.first
+        if n >= 30:
+            sxx, sxy, syy = k.second[0, 0] - sx * sx / n, k.second[0, 1] - sx * sy / n, k.second[1, 1] - sy * sy / n
+            flat = sxx < 1e-12 * max(1.0, k.second[0, 0])
+            slope = 0.0 if flat else sxy / sxx
+            rest = max(0.0, syy - slope * sxy)
+            out |= {"kyle_lambda": slope, "kyle_r2": 0.0 if flat or syy <= 0 else max(0.0, 1 - rest / syy), "kyle_t_stat": 0.0 if flat or rest <= 0 else slope / math.sqrt(rest / (n - 2) / sxx)}
+        if ltp * ltq > 0:
+            r = self.recent["amihud"]
+            r.push(abs(y) / (ltp * ltq) * 1e6)
+            out["amihud_illiq"] = r.first[0] / len(r.rows)
+        return out
+
+    def bounce(self, mid: float | None, ltp: float | None) -> dict:
+        """Roll's spread."""
+        if not above(ltp):
+            return {}
+        change = ltp - self.roll_price if self.roll_price is not None else None
+        before, self.roll_price, self.roll_change = self.roll_change, ltp, change
+        if change is None or before is None:
+            return {}
+        r = self.recent["roll"]
+        r.push(change, before)
+        n = len(r.rows)
+        if n < 30:
+            return {}
+        cov = r.second[0, 1] / n - r.first[0] / n * r.first[1] / n
+        return {"roll_serial_cov": cov, "roll_spread_bps": 2 * math.sqrt(-cov) / mid * 1e4 if cov < 0 and above(mid) else 0.0}
+
+    def share(self, mid: float | None, ltp: float | None) -> dict:
+        """Shares of the variance of trades and quotes."""
+        if not (above(mid) and above(ltp)):
+            return {}
+        if self.share_price is not None:
+            self.share_side = sign(ltp - self.share_price) or self.share_side
+        pm, pp, self.share_mid, self.share_price = self.share_mid, self.share_price, mid, ltp
+        if pm is None:
+            return {}
+        t, q = (ltp - pp) / pp * 1e4, (mid - pm) / pm * 1e4
+        r = self.recent["share"]
+        r.push(t, q, self.share_side * t)
+        n = len(r.rows)
+        if n < 50:
+            return {}
+        vt, vq = (max(0.0, r.second[i, i] / n - (r.first[i] / n) ** 2) for i in (0, 1))
+        return {"trade_variance_share": vt / (vt + vq) if vt + vq > 0 else 0.5, "avg_signed_trade_return_bps": r.first[2] / n}
+
+    def score(self, name: str, value: float | None) -> float | None:
+        """The value against those before it."""
+        if value is None or math.isnan(value):
+            return None
+        r = self.recent[name]
+        n, out = len(r.rows), None
+        if n >= 5:
+            mean = r.first[0] / n
+            square = r.second[0, 0] / n
+            var = square - mean * mean
+            std = math.sqrt(var) if var > 1e-13 * square else 0.0
+            out = (value - mean) / std if std >= 1e-9 else None
+        r.push(value)
+        return out
+
+    def accept(self, us: int, top: list, ltp: float | None, ltq: int | None, volume: int | None, mid: float | None, spread: float | None) -> dict:
+        """The fields of a tick that the gate has accepted."""
+        e = self.event(top)
+        out = {"ofi": e} | dict(zip(("ofi_60s", "ofi_300s", "ofi_900s"), self.flows(us, e)))
+        self.us, self.volume = us, volume if volume is not None else self.volume
+        self.session(us, ltp, volume)
+        vwap = self.pv / self.v if self.v else None
+        out |= {"vwap": vwap, "vwap_dev": (ltp - vwap) / vwap if vwap and ltp is not None else 0.0, "vwap_stdev": math.sqrt(max(0.0, self.ppv / self.v - vwap * vwap)) if self.v else None, "cum_delta": int(self.delta)}
+        out |= self.impact(mid, ltp, ltq) | self.bounce(mid, ltp) | self.share(mid, ltp)
+        rise = None if volume is None else max(0, volume - self.any_volume) if self.any_volume is not None else 0
+        self.any_volume = volume if volume is not None else self.any_volume
+        return out | {"z_spread": self.score("z_spread", spread), "z_volume": self.score("z_volume", rise), "z_ofi": self.score("z_ofi", e), "tick_volume": rise}
+
+
+def raised(f: dict, spread: float | None, threshold: float = 3.0) -> list[dict]:
+    """Alerts of a tick in order spread, volume, flow."""
+    rows = (("spread_blowup", "z_spread", {"spread": spread}), ("volume_spike", "z_volume", {"tick_volume": f["tick_volume"]}), ("ofi_extreme", "z_ofi", {"ofi": round(f["ofi"], 2)}))
+    out = []
+    for kind, name, detail in rows:
+        z = f[name]
+        if z is not None and (abs(z) if name == "z_ofi" else z) > threshold:
+            severity = "warn" if abs(z) < 1.5 * threshold else "critical"
+            out.append({"kind": kind, "severity": severity, "detail": {k: float(v) for k, v in detail.items()} | {"zscore": round(z, 2)}})
+    return out
 
 
 def _none(x):
@@ -85,34 +262,118 @@ def _run(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState):
     pdf = pd.concat(list(frames)).sort_values("seq", kind="stable")
     out = []
     for r in pdf.itertuples(index=False):
-        us, volume = (None if _none(x) is None else int(x) for x in (r.us, r.volume))
+        us, volume, ltq = (None if _none(x) is None else int(x) for x in (r.us, r.volume, r.ltq))
         codes, _ = quality.fold([(us, volume, True)], (s.us, s.volume))
         reasons = list(r.reasons) + codes[0]
-        got = (None, [None] * 3, None, None)
-        if not reasons:
-            top = [float(x) if _none(x) is not None else None for x in (r.bid_px_1, r.bid_qty_1, r.ask_px_1, r.ask_qty_1)]
-            got = s.accept(us, top, _none(r.ltp), volume)
-        out.append((r.seq, r.symbol, us, r.bid_px_1, r.bid_qty_1, r.ask_px_1, r.ask_qty_1, r.ltp, r.ltq, volume, reasons, not reasons, got[0], *got[1], got[2], got[3]))
+        ltp, mid, spread = _none(r.ltp), _none(r.midprice), _none(r.spread)
+        top = [_none(getattr(r, c)) for c in TOP]
+        f = {} if reasons else s.accept(us, [None if x is None else float(x) for x in top], ltp, ltq, volume, mid, spread)
+        passed = [_none(getattr(r, c)) for c in PASSED]
+        out.append((r.seq, r.symbol, us, *top, ltp, ltq, volume, *passed, reasons, bool(r.repaired), not reasons, *(f.get(c) for c in FIELDS), [] if reasons else raised(f, spread)))
     state.update(s.saved())
-    frame = pd.DataFrame(out, columns=[c.split()[0] for c in GATE_OUT.split(", ")])
-    yield frame.astype({c: "Int64" for c in ("us", "bid_qty_1", "ask_qty_1", "ltq", "volume", "cum_delta")})
+    frame = pd.DataFrame(out, columns=[c.split()[0] for c in GATE_OUT.replace(ALERT, "alerts").split(", ")])
+    yield frame.astype({c: "Int64" for c in ("us", "bid_qty_1", "ask_qty_1", "ltq", "volume", "cum_delta")} | {c: "float64" for c in FIELDS if c != "cum_delta"} | {c: "float64" for c in ("bid_px_1", "ask_px_1", "ltp", *PASSED)})
 
 
 def gated(snapshots: DataFrame, allowed: tuple[str, ...] = ()) -> DataFrame:
-    """A stream of snapshots with codes, acceptance and the live estimators (flow, session VWAP, delta) of accepted ticks."""
-    df = books.flatten(quality.stateless(snapshots, allowed))
-    rows = df.select("seq", F.coalesce("symbol", F.lit("")).alias("symbol"), F.unix_micros("ts").alias("us"), "bid_px_1", "bid_qty_1", "ask_px_1", "ask_qty_1", "ltp", "ltq", "volume", "reasons")
+    """A stream of snapshots with codes, acceptance, and of accepted ticks all estimators and alerts."""
+    df = books.spreads(books.flatten(quality.stateless(snapshots, allowed)))
+    rows = df.select("seq", F.coalesce("symbol", F.lit("")).alias("symbol"), F.unix_micros("ts").alias("us"), *TOP, "ltp", "ltq", "volume", *PASSED, "reasons", (F.size("repaired_fields") > 0).alias("repaired"))
     return rows.groupBy("symbol").applyInPandasWithState(_run, GATE_OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def fan_out(stream: DataFrame, sinks: dict[str, Callable[[DataFrame, int], None]], checkpoint: str, accepted_only: tuple[str, ...] = ("store", "cache", "metrics"), name: str | None = None):
-    """One query whose batches go to every sink: accepted rows to those named, rejected ones to `quarantine`, all to others."""
+def alerts_of(gated_rows: DataFrame) -> DataFrame:
+    """(symbol, seq, us, kind, severity, detail) of gated rows."""
+    return gated_rows.select("symbol", "seq", "us", F.inline("alerts"))
+
+
+def observed(gated_rows: DataFrame, name: str = "ticks") -> DataFrame:
+    """gated rows that report their counters with each batch, without another pass (see Totals)."""
+    accepted = F.coalesce(F.col("accepted"), F.lit(False))
+    codes = [F.count_if(F.array_contains("reasons", c)).alias(f"reason_{c}") for c in quality.CODES]
+    return gated_rows.observe(
+        name, F.count(F.lit(1)).alias("received"), F.count_if(accepted).alias("accepted"), F.count_if(~accepted).alias("rejected"), F.count_if(accepted & F.col("repaired")).alias("repaired"),
+        F.coalesce(F.sum(F.size("alerts")), F.lit(0)).alias("alerts"), F.max(F.when(accepted, F.col("us"))).alias("last_us"), *codes,
+    )
+
+
+class Totals(StreamingQueryListener):
+    """Adds up what observed() reports over a process's life, and counts queries that ended with an error."""
+
+    def __init__(self, name: str = "ticks"):
+        self.name, self.counts, self.last_us, self.failures = name, {}, None, 0
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        row = event.progress.observedMetrics.get(self.name)
+        if row is None:
+            return
+        got = row.asDict()
+        last = got.pop("last_us", None)
+        self.last_us = max(x for x in (self.last_us, last) if x is not None) if (self.last_us, last) != (None, None) else None
+        for k, v in got.items():
+            self.counts[k] = self.counts.get(k, 0) + int(v or 0)
+
+    def onQueryTerminated(self, event):
+        self.failures += event.exception is not None
+
+
+def series(totals: Totals, sinks: Counter | None = None, clients: dict[str, int] | None = None, dropped: dict[str, int] | None = None, restarts: int = 0, now_us: int | None = None) -> list[tuple]:
+    """(name, kind, help, label, value) of every exposed series; sinks: failures by sink (see fan_out)."""
+    c, failed = totals.counts, sinks or {}
+    now = now_us if now_us is not None else time.time_ns() // 1000
+    lag = (now - totals.last_us) / 1e6 if totals.last_us is not None else -1.0
+    rows = [
+        ("ticks_ingested_total", "counter", "Ticks that the gate accepted.", "", c.get("accepted", 0)),
+        ("ticks_persist_failed_total", "counter", "Batches that the store failed to take.", "", failed.get("store", 0)),
+        ("source_restarts_total", "counter", "Restarts of the source after an error.", "", restarts),
+        ("anomalies_emitted_total", "counter", "Alerts raised.", "", c.get("alerts", 0)),
+        ("ticks_rejected_total", "counter", "Ticks that the gate rejected.", "", c.get("rejected", 0)),
+        ("ticks_repaired_total", "counter", "Ticks accepted after repair.", "", c.get("repaired", 0)),
+        ("quarantine_write_failures_total", "counter", "Batches that the quarantine failed to take.", "", failed.get("quarantine", 0)),
+        ("last_tick_lag_seconds", "gauge", "Seconds since the newest accepted tick (-1: none yet).", "", round(lag, 3)),
+    ]
+    rows += [("ws_clients", "gauge", "Subscribers by topic.", f'topic="{k}"', n) for k, n in sorted((clients or {}).items())]
+    rows += [("messages_dropped_total", "counter", "Messages dropped from full queues by topic.", f'topic="{k}"', n) for k, n in sorted((dropped or {}).items())]
+    return rows + [("ticks_rejected_reason_total", "counter", "Rejected ticks by reason.", f'reason="{k[7:]}"', n) for k, n in sorted(c.items()) if k.startswith("reason_") and n]
+
+
+def exposed(rows: list[tuple]) -> str:
+    """The text form of series: help and type once for each name."""
+    lines, seen = [], set()
+    for name, kind, text, label, value in rows:
+        if name not in seen:
+            seen.add(name)
+            lines += [f"# HELP {name} {text}", f"# TYPE {name} {kind}"]
+        lines.append(f"{name}{{{label}}} {value}" if label else f"{name} {value}")
+    return "\n".join(lines) + "\n"
+
+
+def fan_out(
+    stream: DataFrame, sinks: dict[str, Callable[[DataFrame, int], None]], checkpoint: str, accepted_only: tuple[str, ...] = ("store", "cache", "metrics"), name: str | None = None,
+    failures: Counter | None = None, may_fail: tuple[str, ...] = (),
+):
+    """One query whose batches go to every sink: accepted rows to those named, rejected ones to `quarantine`, all to others.
+
+    Sinks of `may_fail` don't end the query: what they raise is counted in `failures` by sink.
+    """
 
     def each(batch: DataFrame, epoch: int) -> None:
         batch = batch.persist()
         try:
             for k, sink in sinks.items():
-                sink(batch.where("accepted") if k in accepted_only else batch.where("not accepted") if k == "quarantine" else batch, epoch)
+                try:
+                    sink(batch.where("accepted") if k in accepted_only else batch.where("not accepted") if k == "quarantine" else batch, epoch)
+                except Exception:
+                    if failures is not None:
+                        failures[k] += 1
+                    if k not in may_fail:
+                        raise
         finally:
             batch.unpersist()
 
