@@ -169,20 +169,21 @@ def merge(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) ->
     return keys, nums
 
 
-def first_holders(asked: DataFrame) -> DataFrame:
-    """Answers 1 where another sender has the key with a smaller number (rows: ascending distinct keys, their numbers)."""
+def answer_first(bucket: int, table: pa.Table) -> pa.Table:
+    """A bucket's answers of first_holders()."""
+    senders, sent = received(table, (0,))
+    runs = [tuple(s) for s in sent]
+    while len(runs) > 1:
+        runs = [merge(runs[i], runs[i + 1]) if i + 1 < len(runs) else runs[i] for i in range(0, len(runs), 2)]
+    keys, least = runs[0]
+    bits = [(least[np.searchsorted(keys, k)] < n).astype(np.uint8) for k, n in sent]
+    pick = [i for i, b in enumerate(bits) if b.any()]
+    return reply(bucket, [senders[i] for i in pick], [bits[i] for i in pick])
 
-    def run(key, table):
-        senders, sent = received(table, (0,))
-        runs = [tuple(s) for s in sent]
-        while len(runs) > 1:
-            runs = [merge(runs[i], runs[i + 1]) if i + 1 < len(runs) else runs[i] for i in range(0, len(runs), 2)]
-        keys, least = runs[0]
-        bits = [(least[np.searchsorted(keys, k)] < n).astype(np.uint8) for k, n in sent]
-        pick = [i for i, b in enumerate(bits) if b.any()]
-        return reply(key[0].as_py(), [senders[i] for i in pick], [bits[i] for i in pick])
 
-    return asked.groupBy("to").applyInArrow(run, BLOB)
+def first_holders(asked: DataFrame) -> DataFrame:
+    """Answers 1 where another sender has the key with a smaller number (rows: ascending distinct keys, their numbers)."""
+    return asked.groupBy("to").applyInArrow(lambda key, table: answer_first(key[0].as_py(), table), BLOB)
 
 
 def split_kinds(table: pa.Table) -> list[pa.Table]:

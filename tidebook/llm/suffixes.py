@@ -13,6 +13,8 @@ Documents lie in shards. Four steps, of which the middle two exchange packed arr
    common prefixes, computed in stripes side by side. Suffixes that share 100 bytes are neighbours; the first in the
    text stands for them. Its windows form a run in order of their hash; the runs of all shards are merged by binary search.
 4. Windows that another shard has in a smaller document, or the shard itself earlier, go; what they cover is removed.
+   What a shard has found is not worked out again: the runs that go anyway and the places of its open windows travel
+   with the messages of step 3 and come back with the answers.
 
 Windows, stretches and minimizers are compared by 64-bit hashes (minimizers by their upper 48 bits, where a collision
 only costs work). Strings are judged on the input.
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +39,8 @@ LENGTH, GRAM = 100, 20
 SPREAD = LENGTH - GRAM + 1
 LOW = U(0xFFFF)
 STAYS, GOES, OPEN = 0, 1, 2
+OWN = -1
+KEPT = pa.schema([("to", pa.int32()), ("sender", pa.int32()), ("blob", pa.binary())])
 OUT = "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary"
 
 
@@ -159,7 +164,7 @@ class Stretches:
             leasts.append(m[new] + a)
         self.first, self.last, self.least = map(np.concatenate, (firsts, lasts, leasts))
         self.own = np.searchsorted(off, self.first, side="right") - 1
-        text = tk.mix(self.window(self.first) * U(3) + self.window(self.last) * U(5) + (self.last - self.first).astype(np.uint64) + ((self.least - self.first).astype(np.uint64) << U(32)))
+        text = tk.mix(window_hashes(self.mixed, self.first) * U(3) + window_hashes(self.mixed, self.last) * U(5) + (self.last - self.first).astype(np.uint64) + ((self.least - self.first).astype(np.uint64) << U(32)))
         key = tk.mix(self.gram(self.least)) & ~LOW  # minimizers are small hashes: mixed, they spread over all ranges
         order = np.lexsort((text, key))  # stable: earlier places first
         k, t = key[order], text[order]
@@ -172,13 +177,6 @@ class Stretches:
         m = self.mixed
         return tk.mix(m[at] * U(0x9E3779B97F4A7C15) + m[at + 8] * U(0xC2B2AE3D27D4EB4F) + m[at + 12])
 
-    def window(self, at: np.ndarray) -> np.ndarray:
-        """Hashes of the 100-byte strings at these places."""
-        h = np.zeros(at.size, np.uint64)
-        for k in (*range(0, LENGTH - 8, 8), LENGTH - 8):
-            h = h * U(0xD1342543DE82EF95) + self.mixed[at + k]
-        return tk.mix(h)
-
     def ids(self, stretches: np.ndarray) -> np.ndarray:
         return self.docs.ids[self.own[stretches]]
 
@@ -188,12 +186,12 @@ class Stretches:
         state[self.firsts] = answer
         return state
 
-    def open_windows(self, state: np.ndarray):
-        """Places of the open windows, which are the first of their text in the shard, and the hashes of these, ascending, with their ids."""
+    def open_windows(self, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the open windows that repeat an earlier one of the shard, and of those that are the first of their text, ascending."""
         k = np.flatnonzero(state == OPEN)
         none = np.zeros(0, np.int64)
         if not k.size:
-            return none, none, np.zeros(0, np.uint64), none, none
+            return none, none
         first, last = self.first[k], self.last[k]
         at = np.repeat(first - np.r_[0, np.cumsum(last - first + 1)[:-1]], last - first + 1) + np.arange((last - first + 1).sum())
         apart = np.r_[True, first[1:] >= last[:-1] + LENGTH]  # texts that overlap are one region
@@ -216,38 +214,64 @@ class Stretches:
         place, group = place[o], group[o]
         lead = np.r_[True, group[1:] != group[:-1]]
         back = place + shift[region[place]]
-        chosen = back[lead]
-        h = self.window(chosen)
-        o = np.argsort(h, kind="stable")
-        return back[~lead], chosen[o], h[o], self.docs.ids[np.searchsorted(self.docs.off, chosen[o], side="right") - 1], at
-
-    def removed(self, state: np.ndarray, windows: np.ndarray) -> list[pa.Array]:
-        """Sizes, removed runs and what is left of each document."""
-        n = self.docs.buf.size
-        gone = np.zeros(n + 1, np.int32)
+        return np.sort(back[~lead]), np.sort(back[lead])
+
+    def gone(self, state: np.ndarray, windows: np.ndarray) -> np.ndarray:
+        """Which bytes the stretches that go and these windows cover."""
+        count = np.zeros(self.docs.buf.size + 1, np.int32)
         k = np.flatnonzero(state == GOES)
-        np.add.at(gone, self.first[k], 1)
-        np.add.at(gone, self.last[k] + LENGTH, -1)
-        np.add.at(gone, windows, 1)
-        np.add.at(gone, windows + LENGTH, -1)
-        keep = np.cumsum(gone[:-1]) == 0
-        off = self.docs.off
-        left = np.r_[0, np.cumsum(keep)]
-        opens = ~keep
-        opens[1:] &= keep[:-1]
-        edge = off[:-1][off[:-1] < n]
-        opens[edge] = ~keep[edge]
-        closes = ~keep
-        closes[:-1] &= keep[1:]
-        edge = off[1:][off[1:] > 0] - 1
-        closes[edge] = ~keep[edge]
-        start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-        begin = off[np.searchsorted(off, start, side="right") - 1]
-        spans = pa.StructArray.from_arrays([pa.array(start - begin), pa.array(end - begin)], ["start", "end"])
-        runs = np.r_[0, np.cumsum(opens)][off].astype(np.int32)
-        left = pa.py_buffer(left[off].astype(np.int32))
-        kept = pa.Array.from_buffers(pa.binary(), off.size - 1, [None, left, pa.py_buffer(self.docs.buf[keep].tobytes())])
-        return [pa.array(np.diff(off)), pa.ListArray.from_arrays(pa.array(runs), spans), kept]
+        np.add.at(count, self.first[k], 1)
+        np.add.at(count, self.last[k] + LENGTH, -1)
+        return covered(count, windows)
+
+
+def window_hashes(mixed: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of the 100-byte strings at these places, from mix(loads())."""
+    h = np.zeros(at.size, np.uint64)
+    for k in (*range(0, LENGTH - 8, 8), LENGTH - 8):
+        h = h * U(0xD1342543DE82EF95) + mixed[at + k]
+    return tk.mix(h)
+
+
+def by_hash(docs: sh.Shard, mixed: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows at these places in order of their hash: hashes, places, ids."""
+    h = window_hashes(mixed, places)
+    order = np.argsort(h, kind="stable")
+    places = places[order]
+    return h[order], places, docs.ids[np.searchsorted(docs.off, places, side="right") - 1]
+
+
+def covered(count: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Bytes with a count above 0 (given as changes) or in one of the windows."""
+    np.add.at(count, windows, 1)
+    np.add.at(count, windows + LENGTH, -1)
+    return np.cumsum(count[:-1]) > 0
+
+
+def spans(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of True begin and end."""
+    edge = np.flatnonzero(np.diff(np.r_[False, mask, False].astype(np.int8)))
+    return edge[::2].astype(np.int32), edge[1::2].astype(np.int32)
+
+
+def removed(docs: sh.Shard, gone: np.ndarray) -> list[pa.Array]:
+    """Sizes, removed runs and what is left of each document."""
+    n, off, keep = docs.buf.size, docs.off, ~gone
+    left = np.r_[0, np.cumsum(keep)]
+    opens = gone.copy()
+    opens[1:] &= keep[:-1]
+    edge = off[:-1][off[:-1] < n]
+    opens[edge] = gone[edge]
+    closes = gone.copy()
+    closes[:-1] &= keep[1:]
+    edge = off[1:][off[1:] > 0] - 1
+    closes[edge] = gone[edge]
+    start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    begin = off[np.searchsorted(off, start, side="right") - 1]
+    runs = pa.StructArray.from_arrays([pa.array(start - begin), pa.array(end - begin)], ["start", "end"])
+    at = np.r_[0, np.cumsum(opens)][off].astype(np.int32)
+    kept = pa.Array.from_buffers(pa.binary(), off.size - 1, [None, pa.py_buffer(left[off].astype(np.int32)), pa.py_buffer(docs.buf[keep].tobytes())])
+    return [pa.array(np.diff(off)), pa.ListArray.from_arrays(pa.array(at), runs), kept]
 
 
 def _runs(off: np.ndarray, limit: int = 1 << 19):
@@ -278,6 +302,20 @@ def compare(asked: DataFrame) -> DataFrame:
     return asked.groupBy("to").applyInArrow(run, sh.BLOB)
 
 
+def first_holders(asked: DataFrame) -> DataFrame:
+    """The answers of shards.first_holders(), and what shards have sent for themselves (sender OWN) as it was."""
+
+    def run(key, table):
+        own = pc.equal(table.column("sender"), OWN)
+        mine, rest = table.filter(own), table.filter(pc.invert(own))
+        rows = [mine.select(["to", "sender", "blob"])]
+        if rest.num_rows:
+            rows.append(sh.answer_first(key[0].as_py(), rest))
+        return pa.concat_tables([r.cast(KEPT) for r in rows])
+
+    return asked.groupBy("to").applyInArrow(run, sh.BLOB)
+
+
 def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
     """A row for each document: its bytes, how many go in how many runs, and the digest of those kept."""
     gone = F.col("n_bytes") - F.octet_length("kept")
@@ -294,19 +332,31 @@ def kept(docs: DataFrame, text: str = "text") -> DataFrame:
         return sh.send(key[0].as_py(), s.keys, n, s.texts, s.ids(s.firsts).astype(np.uint64))
 
     def widen(key, left, right):
-        s = Stretches(left)
-        _, _, h, ids, _ = s.open_windows(s.states(sh.answered(s.keys, n, right, STAYS)))
-        return sh.send(key[0].as_py(), h, n, ids.astype(np.uint64))
+        shard, s = key[0].as_py(), Stretches(left)
+        state = s.states(sh.answered(s.keys, n, right, STAYS))
+        again, first = s.open_windows(state)
+        h, _, ids = by_hash(s.docs, s.mixed, first)
+        mask = np.zeros(s.docs.buf.size, bool)
+        mask[first] = True
+        own = sh.pack(*spans(s.gone(state, again)), *spans(mask))
+        mine = pa.table({"to": pa.array([shard], pa.int32()), "sender": pa.array([OWN], pa.int32()), "blob": pa.array([own], pa.binary())})
+        return pa.concat_tables([mine.cast(KEPT), sh.send(shard, h, n, ids.astype(np.uint64)).cast(KEPT)])
 
     def judge(key, left, right):
-        s = Stretches(left)
-        stretches, windows = sh.split_kinds(right)
-        state = s.states(sh.answered(s.keys, n, stretches, STAYS))
-        again, chosen, h, _, _ = s.open_windows(state)
-        out = s.removed(state, np.concatenate([again, chosen[sh.answered(h, n, windows, 0) > 0]]))
-        return pa.table([s.docs.id_array(), *out], names=["doc_id", "n_bytes", "removed", "kept"])
+        docs = sh.Shard(left)
+        own = pc.equal(right.column("sender"), OWN)
+        begin, end, start, stop = sh.unpack(right.filter(own).column("blob")[0].as_py()) if right.num_rows else [np.zeros(0, np.int32)] * 4
+        size = stop - start
+        places = np.repeat(start - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum()) if size.size else np.zeros(0, np.int64)
+        count = np.zeros(docs.buf.size + 1, np.int32)
+        np.add.at(count, begin, 1)
+        np.add.at(count, end, -1)
+        if places.size:
+            h, places, _ = by_hash(docs, tk.mix(loads(docs.buf)), places)
+            places = places[sh.answered(h, n, right.filter(pc.invert(own)), 0) > 0]
+        return pa.table([docs.id_array(), *removed(docs, covered(count, places))], names=["doc_id", "n_bytes", "removed", "kept"])
 
     first = compare(dealt.groupBy("shard").applyInArrow(ask, sh.BLOB))
     asked = dealt.groupBy("shard").cogroup(first.groupBy("to")).applyInArrow(widen, sh.BLOB)
-    answers = sh.both(first, sh.first_holders(asked))
+    answers = first_holders(asked)
     return dealt.groupBy("shard").cogroup(answers.groupBy("to")).applyInArrow(judge, OUT)
