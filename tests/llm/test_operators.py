@@ -228,7 +228,7 @@ def test_benchmark_items_in_documents(spark):
     items = [" ".join(f"q{r.randint(0, 300)}" for _ in range(n)) for n in (3, 5, 12, 40, 60)] + ["", None]
     texts = mixed(9) + [f"pre {x} post" for x in items[:5]] + ["pre " + " ".join(items[3].split()[:36]), "x " + " ".join(items[4].split()[:20])]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.contained(docs(spark, texts), bench, block=2).collect()}
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.contained(docs(spark, texts), bench).collect()}
 
     def shingles(t, n):
         ws = [w.lower() for w in WORD.findall(t or "")]

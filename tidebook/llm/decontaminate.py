@@ -1,117 +1,183 @@
 """Benchmark decontamination: MinHash containment search by item size, verified by exact shingle containment.
 
 An item lies in a document if at least 80 % of its distinct 5-word shingles do (words `[^\\x20\\x09-\\x0D]+`, A-Z as
-a-z; an item of fewer words has one shingle, all its words, which must follow each other in the document). Items are
-partitioned by size. For a partition whose largest item has q shingles each item is indexed under its MinHash
-bottom-k sketch, k = floor(0.2 q) + 1: at most 0.2 q shingles of a contained item are missing, so a document that
-contains the item holds at least one of its k smallest hashes. No contained item is missed, however long the document.
-Documents are read once per block of items; a block's index is bounded by `block`, so the items may grow too.
+a-z; an item of fewer words has one shingle, all its words, which must follow each other in the document).
+
+1. Items are partitioned by size. For a partition whose largest item has q shingles each item is indexed under its MinHash
+   bottom-k sketch, k = floor(0.2 q) + 1: at most 0.2 q shingles of a contained item are missing, so a document that
+   contains the item holds at least one of its k smallest hashes. No contained item is missed, however long the document.
+2. All sketches together set the bits of one Bloom filter of a fixed size, the only thing that goes to every task. Documents
+   are read once: those that hold a hash of the filter are written with their shingles and these hashes.
+3. Spark joins the hashes with the sketches, and the pairs with the shingles of both sides, which are compared exactly.
+   Neither items nor documents are gathered anywhere; more items fill the filter, which costs work, not results.
 
 Edge cases: null and empty texts match nothing; empty or null items match nothing; repeated rows and ids give a row
-for each; an empty benchmark gives no rows; columns other than the id and text are ignored.
+for each; an empty benchmark gives no rows, and an empty table none; columns other than the id and text are ignored.
+decontaminate() judges rows, not ids: of rows with one id or a null id those that hold an item go.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidebook.llm import shards as sh
 from tidebook.llm import textkit as tk
+from tidebook.llm.shared import discard, materialize
+
+PERCENT, WIDTH = 80, 5
+#: Bits of the Bloom filter (2 MB) and its slices.
+BITS, SLICES = 24, 64
+U = np.uint64
+
+
+def size_class(n: np.ndarray) -> np.ndarray:
+    """Partitions of sizes within a factor of sqrt(2)."""
+    return np.ceil(np.log2(np.maximum(n, 1)) * 2).astype(np.int32)
+
+
+def indexed(items: DataFrame) -> DataFrame:
+    """(item, item_id, n_item, width, class, grams) of items that have words: width in words of a shingle; written."""
+
+    def run(batches):
+        for b in batches:
+            words = np.diff(tk.word_hashes(*tk.buffers(b.column(1)), lower=True)[1])
+            grams, begin = tk.shingle_sets(b.column(1), WIDTH)
+            n = np.diff(begin)
+            some = np.flatnonzero(n)
+            blobs = [grams[begin[i] : begin[i + 1]].tobytes() for i in some]
+            cols = [pa.array(n[some], pa.int64()), pa.array(np.minimum(words, WIDTH)[some], pa.int32()), pa.array(size_class(n)[some], pa.int32()), pa.array(blobs, pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), *cols], ["item_id", "n_item", "width", "class", "grams"])
+
+    own = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    rows = own.mapInArrow(run, "item_id long, n_item long, width int, class int, grams binary")
+    return materialize(rows.select(F.monotonically_increasing_id().alias("item"), "*"), "items")
+
+
+def sketches(items: DataFrame, percent: int) -> DataFrame:
+    """(hash, item): the k least shingles of each item, k by its partition."""
+    most = {r["class"]: r["q"] for r in items.groupBy("class").agg(F.max("n_item").alias("q")).collect()}  # two for each power of 2
+
+    def run(batches):
+        for b in batches:
+            for item, c, x in zip(*(b.column(i).to_pylist() for i in range(3))):
+                least = np.frombuffer(x, np.uint64)[: most[c] * (100 - percent) // 100 + 1]
+                yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), pa.array(np.full(least.size, item))], ["hash", "item"])
+
+    return items.select("item", "class", "grams").mapInArrow(run, "hash long, item long")
+
+
+def bits_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two places in the filter."""
+    return (h >> U(64 - BITS)).astype(np.int64), (h & U((1 << BITS) - 1)).astype(np.int64)
+
+
+def bloom(found: DataFrame) -> np.ndarray:
+    """The filter of all hashes of sketches()."""
+
+    def part(batches):
+        mask = np.zeros(1 << BITS, bool)
+        for b in batches:
+            for at in bits_of(b.column(0).to_numpy().view(np.uint64)):
+                mask[at] = True
+        rows = [(k, sh.pack(np.packbits(x))) for k, x in enumerate(np.split(mask, SLICES)) if x.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["slice", "blob"])
+
+    def add(key, table):
+        every = np.bitwise_or.reduce([sh.unpack(x)[0] for x in table.column("blob").to_pylist()])
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "blob": pa.array([sh.pack(every)], pa.binary())})
+
+    schema = "slice int, blob binary"
+    some = found.select("hash").mapInArrow(part, schema).groupBy("slice", (F.rand(3) * SLICES).cast("int")).applyInArrow(add, schema)
+    out = np.zeros((SLICES, (1 << BITS) // 8 // SLICES), np.uint8)
+    for k, x in some.groupBy("slice").applyInArrow(add, schema).collect():
+        out[k] = sh.unpack(x)[0]
+    return out.ravel()
+
+
+def hits(texts, mask: np.ndarray, widths: list[int]):
+    """For each slice of texts (from, to, shingles of all widths with the text of each, and which of them are in the filter)."""
+    for i, j in tk.slices(texts):
+        words, first = tk.word_hashes(*tk.buffers(texts[i:j]), lower=True)
+        grams, at = map(np.concatenate, zip(*(tk.ngrams(words, first, w) for w in widths))) if widths else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        one, two = bits_of(grams)
+        inside = (mask[one >> 3] >> (7 - (one & 7)) & 1) & (mask[two >> 3] >> (7 - (two & 7)) & 1) > 0
+        yield i, j, grams, np.searchsorted(first, at, side="right") - 1, inside
+
+
+def marked(rows: DataFrame, mask: np.ndarray, widths: list[int]) -> DataFrame:
+    """(row, uid, grams, hits) of rows (text, row) that hold a hash of the filter: their distinct shingles and these hashes; written."""
+
+    def run(batches):
+        for b in batches:
+            for i, _, grams, own, inside in hits(b.column(0), mask, widths):
+                some = np.unique(own[inside])
+                pick = [(np.unique(grams[own == k]), np.unique(grams[(own == k) & inside])) for k in some]
+                blobs = [pa.array([x[c].tobytes() for x in pick], pa.binary()) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(some + i)), *blobs], ["row", "grams", "hits"])
+
+    kind = rows.schema["row"].dataType.simpleString()
+    found = rows.select("text", "row").mapInArrow(run, f"row {kind}, grams binary, hits binary")
+    return materialize(found.select("row", F.monotonically_increasing_id().alias("uid"), "grams", "hits"), "marked")
+
+
+def verified(docs: DataFrame, items: DataFrame, least: DataFrame, percent: int) -> DataFrame:
+    """(uid, item, n_shared) of pairs that share a sketch hash and enough shingles."""
+
+    def each(batches):
+        for b in batches:
+            for uid, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                h = np.frombuffer(x, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(h.size, uid))], ["hash", "uid"])
+
+    def compare(batches):
+        for b in batches:
+            both = [int(np.isin(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True).sum()) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(both, pa.int64())], ["uid", "item", "n_shared"])
+
+    pairs = docs.select("uid", "hits").mapInArrow(each, "hash long, uid long").join(least, "hash").select("uid", "item").distinct()
+    sides = pairs.join(items.select("item", "n_item", F.col("grams").alias("own")), "item").join(docs.select("uid", "grams"), "uid")
+    got = sides.select("uid", "item", "own", "grams").mapInArrow(compare, "uid long, item long, n_shared long")
+    return got.join(items.select("item", "item_id", "n_item"), "item").where(100 * F.col("n_shared") >= percent * F.col("n_item"))
+
+
+def prepared(items: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, np.ndarray, list[int]]:
+    own = indexed(items)
+    least = materialize(sketches(own, percent), "sketches")
+    return own, least, bloom(least), [r[0] for r in own.select("width").distinct().orderBy("width").collect()]  # five at most
+
 
-PERCENT = 80
-OUT = "doc_id long, item_id long, n_item long, n_shared long, containment double"
-
-
-class Index:
-    """Sketches and shingles of a bounded block of items."""
-
-    def __init__(self, ids: list[int], texts: pa.Array, n: int = 5, percent: int = PERCENT):
-        self.n, self.percent = n, percent
-        words = np.diff(tk.word_hashes(*tk.buffers(texts), lower=True)[1])
-        grams, begin = tk.shingle_sets(texts, n)
-        self.ids = np.array(ids, np.int64)
-        self.sets = [grams[a:b] for a, b in zip(begin[:-1], begin[1:])]
-        self.index: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by window width: sketch hashes, their items
-        sizes = np.diff(begin)
-        classes = np.ceil(np.log2(np.maximum(sizes, 1)) * 2).astype(int)  # sizes within a factor of sqrt(2)
-        largest = {c: int(sizes[classes == c].max()) for c in set(classes.tolist())}
-        keys: dict[int, list] = {}
-        for i, s in enumerate(self.sets):
-            if s.size:
-                k = largest[classes[i]] * (100 - percent) // 100 + 1
-                keys.setdefault(min(int(words[i]), n), []).append((s[:k], np.full(min(k, s.size), i)))
-        for w, rows in keys.items():
-            h, i = np.concatenate([x[0] for x in rows]), np.concatenate([x[1] for x in rows])
-            o = np.lexsort((i, h))
-            self.index[w] = h[o], i[o]
-
-    def search(self, texts) -> list[tuple[int, int, int]]:
-        """(text, item, shared shingles) for all items that lie in a text."""
-        words, first = tk.word_hashes(*tk.buffers(texts), lower=True)
-        found = []
-        for w, (keys, items) in self.index.items():
-            grams, at = tk.ngrams(words, first, w)
-            pos = np.searchsorted(keys, grams)
-            hit = np.flatnonzero(keys[np.minimum(pos, keys.size - 1)] == grams)
-            if not hit.size:
-                continue
-            doc = np.searchsorted(first, at[hit], side="right") - 1
-            pairs = set()
-            for d, h in set(zip(doc.tolist(), grams[hit].tolist())):
-                a, b = np.searchsorted(keys, np.uint64(h)), np.searchsorted(keys, np.uint64(h), side="right")
-                pairs.update((d, int(i)) for i in items[a:b])
-            for d in {d for d, _ in pairs}:
-                lo, hi = np.searchsorted(at, first[d]), np.searchsorted(at, first[d + 1])
-                own = np.unique(grams[lo:hi])
-                for i in (i for e, i in pairs if e == d):
-                    shared = int(np.isin(self.sets[i], own, assume_unique=True).sum())
-                    if 100 * shared >= self.percent * self.sets[i].size:
-                        found.append((d, i, shared))
-        return found
-
-
-def contained(docs: DataFrame, items: DataFrame, percent: int = PERCENT, block: int = 20_000) -> DataFrame:
+def contained(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
     """A row (doc_id, item_id, n_item, n_shared, containment) for each item that lies in a document."""
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    blocks = max(1, -(-items.count() // block))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-    def one(k: int) -> DataFrame:
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).toArrow().combine_chunks()
-        texts = rows["text"].chunk(0) if rows.num_rows else pa.array([], pa.string())
-        index = Index(rows["item_id"].to_pylist(), texts, percent=percent)
-        ids = [None if x is None else x for x in rows["item_id"].to_pylist()]
-
-        def run(batches):
-            for b in batches:
-                out = []
-                for i, j in tk.slices(b.column(1)):
-                    out += [(i + d, k, s) for d, k, s in index.search(b.column(1)[i:j])]
-                doc = b.column(0)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        doc.take(pa.array([x[0] for x in out], pa.int64())),
-                        pa.array([ids[x[1]] for x in out], pa.int64()),
-                        pa.array([index.sets[x[1]].size for x in out], pa.int64()),
-                        pa.array([x[2] for x in out], pa.int64()),
-                        pa.array([x[2] / index.sets[x[1]].size for x in out], pa.float64()),
-                    ],
-                    ["doc_id", "item_id", "n_item", "n_shared", "containment"],
-                )
-
-        return docs.mapInArrow(run, OUT)
-
-    return reduce(DataFrame.unionAll, [one(k) for k in range(blocks)])
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
-    """docs without those in which a benchmark item lies; columns and rows otherwise as they were (null ids stay)."""
-    hits = contained(docs, items, **how).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hits, docs["doc_id"] == hits["_hit"], "left_anti")
+    own, least, mask, widths = prepared(items, percent)
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.struct(F.col("doc_id").cast("long").alias("doc_id")).alias("row"))
+    some = marked(rows, mask, widths)
+    got = verified(some, own, least, percent).join(some.select("uid", "row"), "uid")
+    return got.select("row.doc_id", "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """docs without rows in which a benchmark item lies; columns and other rows as they were.
+
+    Rows without a hash of the filter pass as they are, in no exchange; the few others are told by a written number.
+    """
+    own, least, mask, widths = prepared(items, percent)
+    text = docs.columns.index("text")
+
+    def clean(batches):
+        for b in batches:
+            ok = np.ones(b.num_rows, bool)
+            for i, _, _, at, inside in hits(b.column(text).cast(pa.string()), mask, widths):
+                ok[i + at[inside]] = False
+            yield b.filter(pa.array(ok))
+
+    some = marked(docs.select(F.col("text").cast("string").alias("text"), F.struct("*").alias("row")), mask, widths)
+    bad = materialize(verified(some, own, least, percent).select("uid").distinct(), "contaminated")
+    discard(own, least)
+    kept = some.join(bad, "uid", "left_anti").select("row.*")
+    return docs.mapInArrow(clean, docs.schema).unionAll(kept)
 
 
 #: The same result in DuckDB, all shingles against all items.
