@@ -34,8 +34,11 @@ def twap(counts: DataFrame, target: Column, parts: int = 10, keys=KEYS) -> DataF
     return s.withColumn("child", F.when(F.col("j") == F.col("eff") - 1, target - share * (F.col("eff") - 1)).otherwise(share).cast("long")).where("child > 0").select(*keys, "j", "i", "child")
 
 
-def vwap(ticks_indexed: DataFrame, target: Column, parts: int = 10, keys=KEYS) -> DataFrame:
-    """(keys, j, i, child): children in proportion to the volume around their place; the last takes the remainder."""
+def vwap(ticks_indexed: DataFrame, target: Column, parts: int = 10, keys=KEYS, orders: DataFrame | None = None) -> DataFrame:
+    """(keys, j, i, child): children in proportion to the volume around their place; the last takes the remainder.
+
+    With orders (a short table whose columns `target` may use) a schedule for each; their columns become keys.
+    """
     counts = ticks_indexed.select(*keys, "n").distinct()
     s = slices(counts, parts, keys)
     after = Window.partitionBy(*keys).orderBy("j")
@@ -46,6 +49,9 @@ def vwap(ticks_indexed: DataFrame, target: Column, parts: int = 10, keys=KEYS) -
     sums = dv.select(*keys, (F.col("i") + 1).cast("long").alias("_at"), F.sum("_d").over(Window.partitionBy(*keys).orderBy("seq")).alias("_sum"))
     look = lambda d, at, name: d.join(sums.select(*keys, F.col("_at").alias(at), F.col("_sum").alias(name)), [*keys, at], "left")
     s = look(look(s, "_to", "_hi"), "_from", "_lo").withColumn("_v", F.coalesce("_hi", F.lit(0)) - F.coalesce("_lo", F.lit(0)))
+    if orders is not None:
+        s, keys = s.crossJoin(F.broadcast(orders)), (*keys, *orders.columns)
+        after = Window.partitionBy(*keys).orderBy("j")
     total = F.sum("_v").over(Window.partitionBy(*keys))
     s = s.withColumn("_w", F.when(total > 0, F.col("_v") / F.nullif(total, F.lit(0))).otherwise(F.lit(1.0) / F.col("eff")))
     s = s.withColumn("_c", F.floor(target * F.col("_w")).cast("long"))
@@ -78,30 +84,41 @@ def session_vwap(ticks: DataFrame, keys=KEYS) -> DataFrame:
     return df.groupBy(*keys).agg(F.coalesce(F.try_divide(F.sum(F.col("ltp") * F.col("_q")), F.nullif(F.sum("_q"), F.lit(0))), F.avg("ltp")).alias("vwap"))
 
 
-def simulate(ticks: DataFrame, kind: str, target: int, parts: int = 10, side: str = "buy", keys=KEYS) -> tuple[DataFrame, DataFrame]:
-    """(fills, summary) of an order executed by a schedule on each key's ticks."""
+def simulations(ticks: DataFrame, kinds: list[str], targets: list[int], parts: int = 10, side: str = "buy", keys=KEYS) -> tuple[DataFrame, DataFrame]:
+    """(fills, summary) of orders of each kind of schedule and quantity on each key's ticks, all from one numbering of the ticks."""
     require(ticks, "seq", "ltp", "volume", *keys, *(f"{s}_{c}_{i}" for i in range(1, DEPTH + 1) for s in ("bid", "ask") for c in ("px", "qty")))
     if ticks.isEmpty():
         raise ValueError("at least one tick is needed")
     at = indexed(ticks, keys)
-    plan = twap(at.select(*keys, "n").distinct(), F.lit(target), parts, keys) if kind == "twap" else vwap(at, F.lit(target), parts, keys)
+    orders = ticks.sparkSession.createDataFrame([(int(q),) for q in targets], "target_qty long")  # a short list
+    own = [*keys, "target_qty"]
+    counts = at.select(*keys, "n").distinct().crossJoin(F.broadcast(orders))
+    plans = {"twap": lambda: twap(counts, F.col("target_qty"), parts, own), "vwap": lambda: vwap(at, F.col("target_qty"), parts, keys, orders)}
+    plan = reduce(DataFrame.unionByName, [plans[k]().withColumn("strategy", F.lit(k)) for k in kinds])
     mid = (F.col("bid_px_1") + F.col("ask_px_1")) / 2
     arrival = at.where("i = 0").select(*keys, mid.alias("arrival"))
     sign = 1 if side == "buy" else -1
     hit = walk_book(plan.join(at.withColumn("i", F.col("i").cast("long")), [*keys, "i"]), F.col("child"), side).join(arrival, list(keys))
     px = F.try_divide(F.col("cost"), F.nullif("filled", F.lit(0)))
     bps = lambda p, ref: sign * (p - ref) / ref * 1e4
-    fills = hit.where("filled > 0").select(*keys, F.col("i").alias("tick_idx"), F.col("filled").alias("qty"), px.alias("price"), bps(px, F.col("arrival")).alias("slip_bps"), "cost")
-    done = fills.groupBy(*keys).agg(F.sum("qty").alias("filled_qty"), F.sum("cost").alias("_cost"), F.max_by("slip_bps", "tick_idx").alias("last_slip"))
-    s = arrival.join(session_vwap(ticks, keys), list(keys)).join(done, list(keys), "left").withColumn("avg", F.try_divide("_cost", "filled_qty"))
+    fills = hit.where("filled > 0").select(*own, "strategy", F.col("i").alias("tick_idx"), F.col("filled").alias("qty"), px.alias("price"), bps(px, F.col("arrival")).alias("slip_bps"), "cost")
+    done = fills.groupBy(*own, "strategy").agg(F.sum("qty").alias("filled_qty"), F.sum("cost").alias("_cost"), F.max_by("slip_bps", "tick_idx").alias("last_slip"))
+    each = orders.crossJoin(ticks.sparkSession.createDataFrame([(k,) for k in kinds], "strategy string"))
+    s = arrival.join(session_vwap(ticks, keys), list(keys)).crossJoin(F.broadcast(each)).join(done, [*own, "strategy"], "left").withColumn("avg", F.try_divide("_cost", "filled_qty"))
     summary = s.select(
-        *keys, F.lit(kind).alias("strategy"), F.lit(target).cast("long").alias("target_qty"), F.coalesce("filled_qty", F.lit(0)).cast("long").alias("filled_qty"),
+        *keys, "strategy", "target_qty", F.coalesce("filled_qty", F.lit(0)).cast("long").alias("filled_qty"),
         F.coalesce("avg", F.lit(float("nan"))).alias("avg_fill_price"), F.col("arrival").alias("arrival_price"), F.col("vwap").alias("session_vwap"),
         bps(F.col("avg"), F.col("arrival")).alias("implementation_shortfall_bps"), bps(F.col("avg"), F.col("vwap")).alias("vwap_slippage_bps"), F.col("last_slip").alias("market_impact_bps"),
     )
     return fills.drop("cost"), summary
 
 
+def simulate(ticks: DataFrame, kind: str, target: int, parts: int = 10, side: str = "buy", keys=KEYS) -> tuple[DataFrame, DataFrame]:
+    """(fills, summary) of an order executed by a schedule on each key's ticks."""
+    fills, summary = simulations(ticks, [kind], [target], parts, side, keys)
+    return fills.drop("strategy", "target_qty"), summary
+
+
 def compare(ticks: DataFrame, targets: list[int], parts: int = 10, side: str = "buy", keys=KEYS) -> DataFrame:
     """Summaries of both strategies for each quantity."""
-    return reduce(DataFrame.unionAll, [simulate(ticks, kind, q, parts, side, keys)[1] for q in targets for kind in ("twap", "vwap")])
+    return simulations(ticks, ["twap", "vwap"], targets, parts, side, keys)[1]

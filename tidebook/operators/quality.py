@@ -60,6 +60,8 @@ def stateless(snapshots: DataFrame, allowed: tuple[str, ...] = ()) -> DataFrame:
 
 
 DAY = 86_400_000_000
+#: Runs of the gate that go through Python together.
+RUNS = 4096
 
 
 def fold(rows: Iterator[tuple], state: tuple | None) -> tuple[list[list[str]], tuple | None]:
@@ -111,15 +113,15 @@ def gate(snapshots: DataFrame, allowed: tuple[str, ...] = ()) -> DataFrame:
     """stateless() with the sequential codes added, from each symbol's rows in order of arrival.
 
     Acceptance depends on earlier acceptance, which windows can't express, but only from a row that might be rejected on
-    to the next that is surely accepted. Such runs alone go through Python, each for itself; books stay in the JVM, and
-    what is rejected late is joined back by seq.
+    to the next that is surely accepted. Such runs alone go through Python, a few thousand neighbours together (a run's
+    first row is accepted whatever came before); books stay in the JVM, and what is rejected late is joined back by seq.
     """
     df = stateless(snapshots, allowed)
     keys = df.select("seq", F.coalesce("symbol", F.lit("")).alias("_sym"), F.unix_micros("ts").alias("us"), "volume", (F.size("reasons") == 0).alias("good"))
     known = runs(keys)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="stable")
+        pdf = pdf.sort_values("seq", kind="stable")  # a run's first row brings the state to what it is
         null = lambda c: [None if pd.isna(x) else int(x) for x in pdf[c]]
         codes, _ = fold(zip(null("us"), null("volume"), pdf["good"].tolist()), None)
         return pd.DataFrame({"seq": pdf["seq"], "_late": codes})
@@ -129,7 +131,7 @@ def gate(snapshots: DataFrame, allowed: tuple[str, ...] = ()) -> DataFrame:
     codes = F.array_compact(F.array(F.when(back, "non_monotonic_timestamp"), F.when(fall, "cumulative_volume_decrease")))
     settled = known.where(~F.col("doubtful") & ~F.col("good") & (back | fall)).select("seq", codes.alias("_late"))
     doubtful = known.where("doubtful").select("seq", "_sym", "us", "volume", "good", "run")
-    late = settled.unionAll(doubtful.groupBy("_sym", "run").applyInPandas(run, "seq long, _late array<string>").where(F.size("_late") > 0))
+    late = settled.unionAll(doubtful.groupBy("_sym", F.floor(F.col("run") / RUNS).alias("runs")).applyInPandas(run, "seq long, _late array<string>").where(F.size("_late") > 0))
     both = df.join(late, "seq", "left")
     out = both.withColumn("reasons", F.concat("reasons", F.coalesce("_late", F.array().cast("array<string>")))).drop("_late")
     return out.withColumn("accepted", F.size("reasons") == 0)

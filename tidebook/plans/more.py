@@ -9,10 +9,10 @@ from tidebook.operators import alerts as al
 from tidebook.operators import backtest as bt
 from tidebook.operators import books, execution, quality, research
 from tidebook.operators import estimators as est
-from tidebook.plans.catalog import ALERTS, BY, CHAIN, HOURS, OFI, QUERIES, SPREADS, TIE, alerts, query, rounded
+from tidebook.plans.catalog import ALERTS, BY, CHAIN, HOURS, OFI, QUERIES, SPREADS, SQL, TIE, alerts, query, rounded
 from tidebook.plans.ticks import ticks
 from tidebook.schema import MODULES
-from tidebook.sources import store, synthetic
+from tidebook.sources import reports, store, synthetic
 from tidebook.streaming import live  # noqa: F401  part of the public surface
 
 SYMBOLS = ("CLICK", "ERROR", "PURCHASE", "SIGNUP", "VIEW")
@@ -54,8 +54,31 @@ gate as (select seq, us, symbol, volume, locked, nan, dirty, rn, false late, fal
 codes as (select seq, symbol, dirty, concat_ws(',', case when locked then 'crossed_or_locked_book' end, case when nan then 'invalid_ltp' end, case when late then 'non_monotonic_timestamp' end, case when falls then 'cumulative_volume_decrease' end) codes from gate)"""
 query("p14_stateless_codes", """, c as (select seq, symbol, concat_ws(',', case when seq % 97 = 0 then 'crossed_or_locked_book' end, case when seq % 101 = 0 then 'invalid_ltp' end) codes, seq % 103 = 0 repaired from ticks)
  select * from c""")(lambda s, d: quality.stateless(spoilt(s, d)).select("seq", "symbol", F.array_join("reasons", ",").alias("codes"), (F.size("repaired_fields") > 0).alias("repaired")))
-query("p15_book_order", " select seq, false bids_wrong, false asks_wrong from ticks")(
-    lambda s, d: quality.stateless(spoilt(s, d)).select("seq", F.array_contains("reasons", "bids_not_descending").alias("bids_wrong"), F.array_contains("reasons", "asks_not_ascending").alias("asks_wrong"))
+def faulty(s: SparkSession, d: str) -> DataFrame:
+    """Snapshots with every fault that a single tick can have, each at the multiples of a prime."""
+    t = ticks(s, d)
+    at = lambda n, value, column: F.when(F.col("seq") % n == 0, value).otherwise(F.col(column))
+    t = t.withColumns(
+        {
+            "bid_px_1": at(83, F.col("bid_px_2"), "bid_px_1"), "bid_px_2": at(83, F.col("bid_px_1"), "bid_px_2"), "ask_px_2": at(79, F.col("ask_px_3"), "ask_px_2"), "ask_px_3": at(79, F.col("ask_px_2"), "ask_px_3"),
+            "ask_px_1": at(97, F.col("bid_px_1"), "ask_px_1"), "ask_qty_3": at(137, F.lit(0), "ask_qty_3"), "ltp": at(101, F.lit(float("inf")), "ltp"), "ltq": at(139, F.lit(-1), "ltq"), "volume": at(149, F.lit(-1), "volume"),
+            "symbol": F.when(F.col("seq") % 109 == 0, F.lit(None)).otherwise(at(113, F.lit("  "), "symbol")), "ts": at(127, F.lit(None), "ts"),
+        }
+    )
+    return books.nest(t).withColumn("bids", F.when(F.col("seq") % 131 == 0, F.array().cast("array<struct<price:double,qty:bigint,orders:int>>")).otherwise(F.col("bids")))
+
+
+_FAULT = lambda n: f"seq % {n} = 0"
+_FAULTS = {
+    "invalid_symbol": _FAULT(109), "empty_symbol": f"not {_FAULT(109)} and {_FAULT(113)}", "unknown_symbol": f"not {_FAULT(109)} and not {_FAULT(113)} and symbol = 'ERROR'", "invalid_timestamp": _FAULT(127), "invalid_book_depth": _FAULT(131),
+    "invalid_book_level": _FAULT(137), "bids_not_descending": f"{_FAULT(83)} and not {_FAULT(131)} and not {_FAULT(137)}", "asks_not_ascending": f"{_FAULT(79)} and not {_FAULT(137)}",
+    "crossed_or_locked_book": f"{_FAULT(97)} and not {_FAULT(83)} and not {_FAULT(131)} and not {_FAULT(137)}", "invalid_ltp": _FAULT(101), "invalid_ltq": _FAULT(139), "invalid_volume": _FAULT(149),
+}
+query("p14_all_codes", f" select seq, concat_ws(',', {', '.join(f"case when {c} then '{k}' end" for k, c in _FAULTS.items())}) codes from ticks")(
+    lambda s, d: quality.stateless(faulty(s, d), tuple(k for k in SYMBOLS if k != "ERROR")).select("seq", F.array_join("reasons", ",").alias("codes"))
+)
+query("p15_book_order", f" select seq, {_FAULTS['bids_not_descending']} bids_wrong, {_FAULTS['asks_not_ascending']} asks_wrong from ticks")(
+    lambda s, d: quality.stateless(faulty(s, d)).select("seq", F.array_contains("reasons", "bids_not_descending").alias("bids_wrong"), F.array_contains("reasons", "asks_not_ascending").alias("asks_wrong"))
 )
 query("w20_sequential_gate", f"{_CODES} select seq, symbol, codes, codes = '' accepted from codes")(lambda s, d: quality.gate(spoilt(s, d)).select("seq", "symbol", F.array_join("reasons", ",").alias("codes"), "accepted"))
 query("a25_reason_counts", f"{_CODES} select unnest(string_split(codes, ',')) reason, count(*) n from codes where codes <> '' group by 1")(lambda s, d: quality.reason_counts(quality.gate(spoilt(s, d))))
@@ -91,6 +114,7 @@ _LONG = ", lg as (" + " union all ".join(f"select '{m}_us' as module, cast(seq *
 query("a10_timing_block", f"{_LONG}, g as (select module, avg(us) mean, quantile_cont(us, 0.5) p50, quantile_cont(us, 0.95) p95, quantile_cont(us, 0.99) p99, max(us) max, min(us) min, stddev_pop(us) std from lg group by module) select module, {', '.join(f'{R(c)} {c}' for c in ('mean', 'p50', 'p95', 'p99', 'max', 'min', 'std'))}, {R('mean / sum(mean) over () * 100')} share_pct from g")(
     lambda s, d: rounded(research.timing_block(research.unpivot(timings(s, d), [], [f"{m}_us" for m in MODULES])))
 )
+SQL["a11_module_share"] = f"select module, share_pct from ({SQL['a10_timing_block']})"
 QUERIES["a11_module_share"] = lambda s, d: QUERIES["a10_timing_block"](s, d).select("module", "share_pct")
 query("a12_boxplot", f", q as (select symbol, quantile_cont(ltp, 0.25) q1, quantile_cont(ltp, 0.5) median, quantile_cont(ltp, 0.75) q3 from ticks group by symbol) select symbol, {R('q1')} q1, {R('median')} median, {R('q3')} q3, {R('min(ltp)')} low, {R('max(ltp)')} high from ticks join q using (symbol) where ltp between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1) group by symbol, q1, median, q3")(
     lambda s, d: rounded(research.boxplot(ticks(s, d), "ltp", "symbol"))
@@ -147,8 +171,6 @@ for _name in ("asof", "whole"):
     query(f"j1_{_name}_forward", f"{_asof} select seq, symbol, us, fltp ltp from b join f using (seq)")(lambda s, d: asof(s, d, "forward"))
 query("j2_positional_join", f"{SPREADS} select seq, symbol, {R('spread')} spread, volume from sp")(lambda s, d: rounded(research.aligned(spreads(s, d).select("seq", "symbol", "spread"), ticks(s, d).select("seq", "symbol", "volume"))))
 query("j3_parameter_grid", None)(lambda s, d: bt.candidates(s))
-from tidebook.plans.catalog import SQL  # noqa: E402
-
 SQL["j3_parameter_grid"] = "select cast(row_number() over (order by e, x, n) - 1 as integer) cand, e entry, x exit, n lookback from (values (1.25::double), (1.5), (2.0)) a(e), (values (0.2::double), (0.4)) b(x), (values (50), (100)) c(n)".replace("values (50), (100)", "values (50::integer), (100)")
 
 # backtest, walk-forward
@@ -237,12 +259,24 @@ query("j6_fills", f"{_fills(_TW, 'tw')} select symbol, i tick_idx, cast(filled a
 query("a23_session_vwap", f" select symbol, {R('sum(ltp * ltq) / sum(ltq)')} vwap from ticks group by symbol")(lambda s, d: rounded(execution.session_vwap(ticks(s, d))))
 QUERIES["a24_execution_rollup"] = lambda s, d: QUERIES["r6_simulate_twap"](s, d).select("symbol", "filled_qty", "avg_fill_price", "market_impact_bps")
 SQL["a24_execution_rollup"] = f"select symbol, filled_qty, avg_fill_price, market_impact_bps from ({SQL['r6_simulate_twap']})"
-query("j5_quantity_strategy")(lambda s, d: execution.compare(ticks(s, d), [100, 500, 1000, 2000]))
+QUANTITIES = (100, 500, 1000, 2000)
+
+
+def compared(s: SparkSession, d: str) -> DataFrame:
+    df = execution.compare(ticks(s, d), list(QUANTITIES))
+    return df.select(*(F.round(F.col(c) + TIE, 5 if c.endswith("bps") else 6).alias(c) if t == "double" else c for c, t in df.dtypes))
+
+
+QUERIES["j5_quantity_strategy"] = compared
+SQL["j5_quantity_strategy"] = " union all ".join(f"select * from ({SQL[f'r6_simulate_{k}'].replace('5000', str(q))})" for q in QUANTITIES for k in ("twap", "vwap"))
 
 # histories, topics, limits
 query("l1_last_alerts", f"{ALERTS} select symbol, seq, place, kind from al order by seq desc, place desc limit 10")(lambda s, d: al.last_alerts(alerts(s, d), 10).select("symbol", "seq", "place", "kind"))
 query("l2_last_by_symbol", " select symbol, seq, ltp from ticks qualify row_number() over (partition by symbol order by seq desc) <= 300")(lambda s, d: al.last_by_key(ticks(s, d).select("symbol", "seq", "ltp"), 300))
 query("l3_newest_first", f"{ALERTS} select kind, seq, place from al")(lambda s, d: alerts(s, d).select("kind", "seq", "place").orderBy(F.desc("seq"), F.desc("place")))
+query("p4_anomaly_record", f"{ALERTS} select seq, symbol, strftime(ts, '%Y-%m-%dT%H:%M:%S') || case when epoch_us(ts) % 1000000 = 0 then '' else strftime(ts, '.%f') end || '+00:00' ts, kind, severity, zscore from al join ticks using (symbol, seq)")(
+    lambda s, d: reports.anomaly_records(alerts(s, d)).select("seq", "symbol", "ts", "kind", "severity", F.col("detail")["zscore"].alias("zscore"))
+)
 query("l8_head", " select seq, symbol, ltp from ticks order by seq limit 5")(lambda s, d: ticks(s, d).select("seq", "symbol", "ltp").orderBy("seq").limit(5))
 query("p11_symbol_and_kind", f"{ALERTS} select seq, zscore from al where symbol = 'VIEW' and kind = 'spread_blowup'")(lambda s, d: alerts(s, d).where((F.col("symbol") == "VIEW") & (F.col("kind") == "spread_blowup")).select("seq", "zscore"))
 query("p12_non_null", f"{RET} select seq, symbol from rt where ret is not null and ret <> 0 and isfinite(ret)")(lambda s, d: returns(s, d).dropna(subset=["ret"]).where((F.col("ret") != 0) & ~F.isnan("ret") & (F.abs("ret") != float("inf"))).select("seq", "symbol"))
