@@ -98,6 +98,46 @@ def test_byte_strings(spark, monkeypatch, seed, size):
     assert got == brute_bytes(texts) and any(r[2] for r in got)
 
 
+def test_windows_of_null_and_repeated_ids(spark):
+    """Rows of one id are one document to op2 and follow each other by their text in op6; null ids come last."""
+    a, b = (" ".join(f"{x}{i:04d}" for i in range(40)) for x in "ab")
+    rows = [(None, a), (7, a), (7, b), (7, b), (3, a + " tail"), (None, None), (9, ""), (None, b)]
+    d = spark.createDataFrame([(i, t, "kept", 0) for i, t in rows], "doc_id long, text string, removed string, n_words int")
+    got = sorted(map(str, (tuple(r)[:3] for r in substrings.deduplicate(d).collect())))
+    assert got == sorted(map(str, [(None, 40, 40), (7, 40, 40), (7, 40, 0), (7, 40, 0), (3, 41, 0), (None, 0, 0), (9, 0, 0), (None, 40, 40)]))
+    size = len(a)
+    got = sorted(map(str, (tuple(r)[:3] for r in suffixes.deduplicate(d).collect())))
+    assert got == sorted(map(str, [(None, size, size), (7, size, size), (7, size, 0), (7, size, size), (3, size + 5, 0), (None, 0, 0), (9, 0, 0), (None, size, size)]))
+
+
+def test_other_operators_take_repeated_rows(spark):
+    """Repeated ids and rows give a row each; other columns, whatever their names, don't disturb."""
+    texts = ["Released under the MIT License.", None, "mail a.b@example.com now", "", "x " * 30_000]
+    d = spark.createDataFrame([(i % 2 or None, t, "en", "s1", 0, "x", "y") for i, t in enumerate(texts * 2)], "doc_id long, text string, lang string, source string, n_chars long, row string, uid string")
+    assert media.media(d).count() == pii.report(d).count() == len(texts) * 2
+    assert licenses.scan(d).count() == 2
+    items = spark.createDataFrame([(1, "mail a.b@example.com now"), (1, None)], "item_id long, text string")
+    assert decontaminate.contained(d, items).count() == 2
+    left = decontaminate.decontaminate(d, items)
+    assert left.columns == d.columns and left.count() == 8 and left.where("text like 'mail%'").count() == 0
+    clean = pii.redact(d)
+    assert clean.columns == d.columns and clean.where("text = 'mail [EMAIL] now'").count() == 2 and clean.where("text is null").count() == 2
+    labels = spark.createDataFrame([(1, 1), (None, 1)], "doc_id long, toxic int")
+    scored = toxicity.toxicity(d, labels)
+    assert scored.count() == 10 and toxicity.toxicity(d.limit(0), labels).count() == 0
+    assert d.select(toxicity.held_out("doc_id").alias("h")).where("h is null").count() == 0
+
+
+def test_adjacent_and_long_contexts(spark):
+    """Words before a hit are those of the text, also if a hit stands there or a word is long."""
+    long = "w" * 100
+    rows = pii.spans(docs(spark, [f"a1@b.co c2@d.co end {long} tail 10.0.0.1", "(x@y.zz), two"])).collect()
+    first = {o["inst"]: (o["before"].strip(), o["after"]) for o in rows[0]["base"]}
+    assert first["c2@d.co"] == ("a1@b.co", "end") and first["10.0.0.1"] == (f"{long} tail", "")
+    second = rows[1]["base"][0]
+    assert (second["before"].strip(), second["after"]) == ("(", "),")
+
+
 def test_suffix_array_and_prefixes():
     r = random.Random(6)
     text = bytes(r.choice(b"ab") for _ in range(500)) + b"abab" * 80

@@ -43,7 +43,7 @@ U = np.uint64
 PERCENT, GROUPS, FULL = 80, 256, 255
 LEAF, FAN = 8, 16
 #: Rounds of pivots, then of one partner for each document.
-ROUNDS = (True, False, False, False)
+ROUNDS = (True, False, False)
 #: The sketch: counters, slices that are added up apart, and parts of a slice.
 BITS, SLICES, PARTS = 20, 256, 64
 #: Sets of more shingles have points of more than GROUPS groups besides.

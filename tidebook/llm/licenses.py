@@ -4,9 +4,11 @@ DataFrame functions alone. Words are `[^\\x20\\x09-\\x0D]+`, A-Z as a-z, without
 words in a row (a template of fewer words is one shingle). Templates are partitioned by their number of shingles; for a
 partition whose longest template has q shingles, a text is cut into windows of 2q shingles every q, so that a passage
 as long as the template lies whole in one window. Each window gets `BANDS` MinHash values per partition, each a band of
-one row. A template that lies at 80 % in a window of 2q shingles shares a band with probability J = 0.8 q / (2 q + 0.2 q)
-at least, so of 48 bands all miss with probability (1 - 0.36)^48 < 1e-9. What a band retrieves is verified: a template
-is reported if 80 % of its distinct shingles lie in the whole text.
+one row. A template of m shingles that lies at 80 % in a window of 2q shingles shares a band with probability
+J = 0.8 m / (2 q + 0.2 m) at least. For m = q that is 0.36, and all 48 bands miss with probability 0.64^48 < 1e-9; for the
+smallest template of a partition, m = q / 2, it is 0.19 and 0.81^48 < 5e-5 (an exact copy: 0.25, 1e-6). A passage of whose
+shingles less lies in any one window has no such bound. What a band retrieves is verified: a template is reported if
+80 % of its distinct shingles lie in the whole text.
 
 Only texts that hold a template's anchor words are cut: if 80 % of the shingles are there, not all of its anchor words
 can be missing: more shingles contain one of them than may be missing. Texts without any of them can't match, and

@@ -2,7 +2,7 @@
 
 A text's payload is its UTF-8 bytes, padded with spaces to a positive multiple of 192. A rolling gear hash over the
 last 16 bytes cuts it into chunks of about 2 KiB (512 bytes to 8 KiB); a chunk's name is its 128-bit digest. Spark
-joins on the digests find the chunks that several shards hold and give each one owner; the owners send such chunks
+joins on the digests find the chunks that several shards hold and give each one owner, by a hash; the owners send such chunks
 once, and every document is rebuilt from its ordered chunk list, each chunk checked against its digest. The stored
 form is a mono 8-bit WAV: a fixed 44-byte header and the payload as samples.
 
@@ -127,7 +127,7 @@ def stored(docs: DataFrame, text: str = "text") -> DataFrame:
 
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     held = dealt.groupBy("shard").applyInArrow(names, "digest binary, shard int").repartition(parts, "digest")
-    owners = held.groupBy("digest").agg(F.min("shard").alias("owner"), F.count("*").alias("n")).where("n > 1").select("digest", "owner")
+    owners = held.groupBy("digest").agg(F.min_by("shard", F.xxhash64("digest", "shard")).alias("owner"), F.count("*").alias("n")).where("n > 1").select("digest", "owner")
     wanted = held.join(owners, "digest").where("shard != owner").select("shard", "digest")
 
     def export(key, left, right):

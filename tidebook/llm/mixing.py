@@ -8,7 +8,9 @@ per weight gives this water-filling in one window, without iteration.
 
 A leaf's documents come in epochs, each in an order given by a hash of seed, epoch and id; the leaf takes the prefix
 of `budget` tokens. All epochs but its last are taken whole, so only the last is ordered: by a hash range first, whose
-token sums give each range's offset, then within a range, so that a leaf with a third of all rows is not one task.
+token sums give each range's offset, then within a range. A leaf has a range for each 50,000 of its tokens, so that
+one with a third of all rows is not one task. Budgets are whole tokens: what rounding down leaves, less than a
+token for each node, is not dealt.
 
 Edge cases: null language and source are values like others (shown as null); null or empty texts have no tokens, are
 never taken and don't fail; repeated rows each take their place (equal ids by their tokens); an
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 from tidebook.llm.shared import materialize
 
 SEED, EPOCHS, SHARE = 17, 4, 0.6
+#: Tokens of a hash range, about, and ranges of a leaf at most.
+RANGE_TOKENS, MOST_RANGES = 50_000, 1 << 20
 #: Weights of languages; others weigh 1. Domains and sources weigh by rule.
 LANG_WEIGHT = {"en": 4, "de": 2, "fr": 2, "es": 1}
 DOMAINS = 4
@@ -82,9 +86,12 @@ def poured(nodes: DataFrame, parent: list[str], weight: str) -> DataFrame:
     return got.withColumn("budget", F.when(F.col("_short") == 0, F.col("cap")).otherwise(F.least("cap", part))).drop("_taken", "_rest", "_short", "_left", "_weight")
 
 
-def budgets(leaves: DataFrame, budget: Column, epochs: int = EPOCHS) -> DataFrame:
-    """Leaves (domain, lang, source, tokens) with cap, weights and budget; `budget` is an expression over the tokens of all."""
-    leaf = weights(leaves).withColumn("cap", F.col("tokens") * epochs)
+def budgets(leaves: DataFrame, budget: Column, epochs: int = EPOCHS, weigh=weights) -> DataFrame:
+    """Leaves (domain, lang, source, tokens) with cap, weights and budget; `budget` is an expression over the tokens of all.
+
+    weigh adds w_domain, w_lang and w_source, whole numbers above 0, to the leaves.
+    """
+    leaf = weigh(leaves).withColumn("cap", F.col("tokens") * epochs)
     lang = leaf.groupBy("domain", "lang").agg(F.sum("cap").alias("cap"), F.max("w_lang").alias("w_lang"), F.max("w_domain").alias("w_domain"), F.sum("tokens").alias("tokens"))
     domain = lang.groupBy("domain").agg(F.sum("cap").alias("cap"), F.max("w_domain").alias("w_domain"), F.sum("tokens").alias("tokens"))
     root = domain.agg(F.sum("tokens").alias("_all")).select(budget.alias("total"))
@@ -94,18 +101,18 @@ def budgets(leaves: DataFrame, budget: Column, epochs: int = EPOCHS) -> DataFram
     return poured(leaf.join(g, same).select(leaf["*"], "total"), ["domain", "lang"], "w_source").select(*LEAF, "tokens", "cap", "budget")
 
 
-def selected(docs: DataFrame, share: float = SHARE, seed: int = SEED, epochs: int = EPOCHS, ranges: int = 256) -> DataFrame:
+def selected(docs: DataFrame, share: float = SHARE, seed: int = SEED, epochs: int = EPOCHS, range_tokens: int = RANGE_TOKENS, weigh=weights) -> DataFrame:
     """(doc_id, domain, lang, source, epoch, n_tokens, taken): each copy of a document that is taken, and its tokens within the budget."""
     rows = materialize(placed(docs).where("n_tokens > 0"), "tokens")  # texts are read and counted once
     leaves = rows.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens"))
-    plan = budgets(leaves, F.floor(F.col("_all") * share).cast("long"), epochs).where("budget > 0").select(
-        *(F.col(c).alias(f"_{c}") for c in LEAF), F.expr("budget div tokens").alias("whole"), F.expr("budget % tokens").alias("last")
+    plan = budgets(leaves, F.floor(F.col("_all") * share).cast("long"), epochs, weigh).where("budget > 0").select(
+        *(F.col(c).alias(f"_{c}") for c in LEAF), F.expr("budget div tokens").alias("whole"), F.expr("budget % tokens").alias("last"), F.least(F.lit(MOST_RANGES), F.ceil(F.col("tokens") / range_tokens)).cast("long").alias("_ranges")
     )
     on = (F.col("domain") == F.col("_domain")) & F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
-    got = rows.join(plan, on).select("doc_id", *LEAF, "n_tokens", "whole", "last")
+    got = rows.join(plan, on).select("doc_id", *LEAF, "n_tokens", "whole", "last", "_ranges")
     full = got.where("whole > 0").select("doc_id", *LEAF, F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - 1)).alias("epoch"), "n_tokens", F.col("n_tokens").alias("taken"))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
-    part = got.where("last > 0").withColumn("_key", key).withColumn("_range", F.conv(F.substring("_key", 1, 4), 16, 10).cast("long") * ranges / F.lit(1 << 16)).withColumn("_range", F.floor("_range").cast("int"))
+    part = got.where("last > 0").withColumn("_key", key).withColumn("_range", F.shiftright(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") * F.col("_ranges"), 32).cast("int"))
     sums = part.groupBy(*LEAF, "_range").agg(F.sum("n_tokens").alias("_n"))
     offsets = sums.select(*(F.col(c).alias(f"_{c}") for c in LEAF), F.col("_range").alias("_r"), (F.sum("_n").over(Window.partitionBy(*LEAF).orderBy("_range")) - F.col("_n")).alias("_offset"))
     inside = Window.partitionBy(*LEAF, "_range").orderBy("_key", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
