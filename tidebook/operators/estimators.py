@@ -274,7 +274,12 @@ def metrics_input(ticks: DataFrame) -> DataFrame:
 
 def metrics(ticks: DataFrame, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
     """All estimators of every tick: one exchange by symbol, which all windows share."""
-    df = order_flow(metrics_input(ticks), windows)
+    df = metrics_input(ticks)
+    if "us" not in df.columns:
+        df = df.withColumn("us", F.unix_micros("ts"))
+    # deeper levels are in the spreads by now: narrow rows make windows and their plans cheaper
+    df = order_flow(df.select("seq", "us", "ts", "symbol", "ltp", "ltq", "volume", "bid_px_1", "bid_qty_1", "ask_px_1", "ask_qty_1", "midprice", "spread", "relative_spread", "weighted_spread"), windows)
+    df = df.drop("bid_px_1", "bid_qty_1", "ask_px_1", "ask_qty_1")
     df = cumulative_delta(session_vwap(sessions(df)))
     df = variance_share(roll(amihud(kyle(df))))
     names = ["symbol", "ltp", "midprice", "spread", "relative_spread", "weighted_spread", *(f"ofi_{w}s" for w in windows), "vwap", "vwap_dev", "vwap_stdev", "cum_delta", "kyle_lambda", "kyle_r2", "kyle_t_stat"]
