@@ -213,16 +213,47 @@ query("a21_max_drawdown", f"{_EQ}, pk as (select *, max(equity) over ({BY}) peak
 query("a26_totals", f"{_ST} select cast(sum(trades) as bigint) trades, {R('sum(total_pnl)', 4)} total_pnl, {R('avg(wins / trades::double)', 4)} win_rate from st")(lambda s, d: rounded(bt.trade_statistics(backtested(s, d)).agg(F.sum("trades").alias("trades"), F.sum("total_pnl").alias("total_pnl"), F.avg("win_rate").alias("win_rate")), digits=4))
 
 
-def walked(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return bt.walk_forward(signal(s, d), bt.WalkForward(splits=3), signal="signal")
+FOLDS = bt.WalkForward(splits=3)
 
 
-query("r2_walk_forward")(lambda s, d: walked(s, d)[0])
-query("a22_stability")(lambda s, d: walked(s, d)[1])
+def walked(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return bt.walk_forward(signal(s, d), FOLDS, signal="signal")
+
+
+_WALK = f"""{SPREADS}{OFI}, wb as (select symbol, seq, midprice price, ofi_86400s s, row_number() over ({BY}) - 1 i, count(*) over (partition by symbol) n from of2),
+wf as (select wb.*, fold, n // 4 blk, n - 3 * (n // 4) + (fold - 1) * (n // 4) st from wb, (select unnest([1, 2, 3]) fold)),
+ws as (select *, case when i < st then 'train' else 'test' end split from wf where i < st + blk),
+wz as ({' union all '.join(f"select *, {k} lookback, {_Z(k)} z from ws window w as (partition by symbol, fold, split order by seq rows between {k} preceding and 1 preceding)" for k in (50, 100))}),
+cd(cand, entry, out, lookback) as (values {', '.join(f"({i}, {e}::double, {x}::double, {k})" for i, (e, x, k) in enumerate(bt.GRID))}),
+wc as (select symbol, fold, split, cand, seq, price, z, entry, out from wz join cd using (lookback)),
+w1 as (select *, row_number() over k r, coalesce(sum(case when abs(z) < out then 1 else 0 end) over (partition by symbol, fold, split, cand order by seq rows between unbounded preceding and 1 preceding), 0) isl from wc window k as (partition by symbol, fold, split, cand order by seq)),
+wt as (select symbol, fold, split, cand, isl, arg_min(seq, r) filter (abs(z) > entry) eseq, arg_max(seq, r) xseq, case when arg_min(z, r) filter (abs(z) > entry) > 0 then 1 else -1 end side, arg_min(price, r) filter (abs(z) > entry) epx, arg_max(price, r) xpx from w1 group by symbol, fold, split, cand, isl having count(*) filter (abs(z) > entry) > 0),
+wp as (select *, side * (xpx - epx) - 0.001 * epx - 0.001 * xpx pnl, round(side * (xpx - epx) - 0.001 * epx - 0.001 * xpx, 4) p from wt),
+wq as (select symbol, fold, split, cand, count(*) trades, count(*) filter (p > 0) wins, coalesce(sum(p) filter (p > 0), 0.0) gp, -coalesce(sum(p) filter (p < 0), 0.0) gl, sum(pnl) total, avg(p / round(epx, 4)) m, stddev_samp(p / round(epx, 4)) sd from wp group by all),
+w2 as (select w1.symbol, w1.fold, w1.split, w1.cand, w1.seq, w1.price, o.eseq oe, o.side oside, o.epx opx, c.pnl closed, c.epx back from w1 left join wp o on o.symbol = w1.symbol and o.fold = w1.fold and o.split = w1.split and o.cand = w1.cand and o.eseq = w1.seq left join wp c on c.symbol = w1.symbol and c.fold = w1.fold and c.split = w1.split and c.cand = w1.cand and c.xseq = w1.seq),
+w3 as (select *, 0.001 * sum(coalesce(opx, 0.0) - coalesce(back, 0.0)) over k paid, sum(coalesce(closed, 0.0)) over k made, last_value(oe ignore nulls) over k le, last_value(oside ignore nulls) over k ls, last_value(opx ignore nulls) over k lp, max(case when closed is not null then seq end) over k lx from w2 window k as (partition by symbol, fold, split, cand order by seq)),
+w4 as (select symbol, fold, split, cand, seq, 100000.0 + made - paid + case when le is not null and (lx is null or le > lx) then ls * (price - lp) else 0.0 end equity from w3),
+w5 as (select *, max(equity) over (partition by symbol, fold, split, cand order by seq) - equity dd from w4),
+w6 as (select symbol, fold, split, cand, max(dd) dd from w5 group by all),
+w7 as (select w6.*, entry, out, lookback, coalesce(trades, 0) trades, coalesce(total, 0.0) total, coalesce(wins / trades::double, 0.0) win_rate, case when trades is null then 0.0 when gl <= 1e-12 then 'inf'::double else gp / gl end profit_factor, case when trades > 1 and sd > 1e-12 then m / sd else 0.0 end sharpe from w6 join cd using (cand) left join wq using (symbol, fold, split, cand)),
+best as (select * from w7 where split = 'train' qualify row_number() over (partition by symbol, fold order by round(total, 9) desc, round(sharpe, 9) desc, round(dd, 9), lookback, cand) = 1),
+span as (select symbol, fold, min(st) train_end, min(st) test_start, min(st + blk) test_end from ws group by all),
+wk as (select best.symbol, best.fold, best.cand, best.entry, best.out, best.lookback, best.total train_pnl, t.total test_pnl, t.trades test_trades, t.win_rate test_win_rate, t.profit_factor test_profit_factor, t.dd test_max_drawdown, train_end, test_start, test_end from best join w7 t on t.split = 'test' and t.symbol = best.symbol and t.fold = best.fold and t.cand = best.cand join span on span.symbol = best.symbol and span.fold = best.fold)"""
+_WK = ("train_pnl", "test_pnl", "test_win_rate", "test_profit_factor", "test_max_drawdown")
+query("r2_walk_forward", f'{_WALK} select symbol, fold, cand, entry, out as "exit", lookback, {", ".join(f"{R(c, 5)} {c}" for c in _WK)}, test_trades, train_end, test_start, test_end, 10.0::double cost_bps from wk')(
+    lambda s, d: rounded(walked(s, d)[0], "entry", "exit", "cost_bps", digits=5)
+)
+_SUM = ("total_pnl", "mean_pnl", "median_pnl", "worst_pnl", "std_pnl", "profitable_ratio", "cv")
+query(
+    "a22_stability",
+    f"""{_WALK}, st as (select symbol, sum(test_pnl) total_pnl, avg(test_pnl) mean_pnl, median(test_pnl) median_pnl, min(test_pnl) worst_pnl, stddev_samp(test_pnl) std_pnl, avg(case when test_pnl > 0 then 1.0 else 0.0 end) profitable_ratio, cast(sum(test_trades) as bigint) total_trades from wk group by symbol),
+sv as (select *, std_pnl / abs(nullif(mean_pnl, 0)) cv from st), sg as (select *, total_pnl > 0 and median_pnl > 0 profitable, profitable_ratio >= 0.75 and coalesce(cv <= 1.5, false) stable from sv)
+select symbol, {', '.join(f'{R(c, 5)} {c}' for c in _SUM)}, total_trades, profitable, stable, profitable and stable passed, concat_ws(',', case when not profitable then 'not_profitable_after_costs' end, case when profitable_ratio < 0.75 then 'inconsistent_fold_profitability' end, case when not coalesce(cv <= 1.5, false) then 'excessive_pnl_dispersion' end) reasons from sg""",
+)(lambda s, d: rounded(walked(s, d)[1].withColumn("reasons", F.array_join("reasons", ",")), digits=5))
 query("j4_folds", ", f as (select symbol, seq, row_number() over (" + BY + ") - 1 i, count(*) over (partition by symbol) n from ticks), g as (select f.*, fold, n // 4 blk, n - 3 * (n // 4) + (fold - 1) * (n // 4) st from f, (select unnest([1, 2, 3]) fold)) select symbol, fold, count(*) filter (i < st) n_train, count(*) filter (i >= st and i < st + blk) n_test from g group by all")(
     lambda s, d: bt.folds(ticks(s, d).select("symbol", "seq"), bt.WalkForward(splits=3), 50, ["symbol"]).groupBy("symbol", "fold").agg(F.count_if(F.col("split") == "train").alias("n_train"), F.count_if(F.col("split") == "test").alias("n_test"))
 )
-query("l5_selection")(lambda s, d: walked(s, d)[0].select("symbol", "fold", "entry", "exit", "lookback"))
+query("l5_selection", f'{_WALK} select symbol, fold, entry, out as "exit", lookback from wk')(lambda s, d: walked(s, d)[0].select("symbol", "fold", "entry", "exit", "lookback"))
 
 # execution
 _IX = f", ix as (select *, cast(row_number() over ({BY}) - 1 as bigint) i, count(*) over (partition by symbol) n from ticks), nn as (select distinct symbol, n from ix)"
@@ -287,7 +318,8 @@ query("snk10_topic_queues", " , m as (select 'book:' || symbol topic, seq from t
     lambda s, d: al.drop_oldest(ticks(s, d).select(F.concat(F.lit("book:"), "symbol").alias("topic"), "seq"))[0]
 )
 query("snk10_drops", " select 'book:' || symbol topic, greatest(0, count(*) - 200) dropped from ticks group by symbol")(lambda s, d: al.drop_oldest(ticks(s, d).select(F.concat(F.lit("book:"), "symbol").alias("topic"), "seq"))[1])
-query("snk13_exposition")(lambda s, d: al.exposition(quality.counters(quality.gate(spoilt(s, d))).select(F.inline(F.array(*(F.struct(F.lit(f"ticks_{c}_total").alias("name"), F.lit("counter").alias("kind"), F.lit(f"Ticks {c}").alias("help"), F.col(c).alias("value")) for c in ("received", "accepted", "rejected", "repaired")))))))
+query("snk13_exposition", f"""{_CODES}, c as (select count(*) received, count(*) filter (codes = '') accepted, count(*) filter (codes <> '') rejected, count(*) filter (codes = '' and dirty) repaired from codes),
+v as (select unnest([('received', received), ('accepted', accepted), ('rejected', rejected), ('repaired', repaired)]) v from c) select unnest(['# HELP ticks_' || v[1] || '_total Ticks ' || v[1], '# TYPE ticks_' || v[1] || '_total counter', 'ticks_' || v[1] || '_total ' || v[2]]) line from v""")(lambda s, d: al.exposition(quality.counters(quality.gate(spoilt(s, d))).select(F.inline(F.array(*(F.struct(F.lit(f"ticks_{c}_total").alias("name"), F.lit("counter").alias("kind"), F.lit(f"Ticks {c}").alias("help"), F.col(c).alias("value")) for c in ("received", "accepted", "rejected", "repaired")))))))
 query("st11_rate_limit", " select seq, count(*) over (partition by user_id, us // 3600000000 order by seq rows between unbounded preceding and current row) <= 2 allowed from (select event_id seq, user_id % 5 user_id, epoch_us(ts) us from events)".replace("3600000000", "60000000"))(
     lambda s, d: al.rate_limit(s.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("seq"), (F.col("user_id") % 5).alias("user_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us")), "user_id", "us", 2).select("seq", "allowed")
 )
