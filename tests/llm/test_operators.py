@@ -284,6 +284,25 @@ def test_benchmark_items_in_documents(spark):
     assert left.columns[-1] == "_hit" and {x["doc_id"] for x in left.collect()} == set(range(len(texts))) - {d for d, _ in want}
 
 
+def test_convolution_against_plain_loops():
+    """Sums of embeddings, filters one to three words wide with empty words after the end, ReLU, maximum over the text."""
+    texts = ["one", "", "a b", "Some words, and more words than three of them", None, "x y z"]
+    m = toxicity.Model(3)
+    for b in m.b:
+        b += np.random.default_rng(1).normal(0, 0.1, b.shape).astype(np.float32)
+    tok, first = toxicity.features(pa.array(texts, pa.string()))
+    pool, _, _ = m.pooled(tok, first)
+    for i in range(len(texts)):
+        words = [sum(m.emb[k].astype(float) for k in t) for t in tok[first[i] : first[i + 1]]]
+        want = []
+        for width, w, b in zip(toxicity.WIDTHS, m.w, m.b):
+            at = [b + sum(words[p + j] @ w[j].astype(float) for j in range(width) if p + j < len(words)) for p in range(len(words))]
+            want += list(np.max([np.maximum(z, 0) for z in at], axis=0)) if at else [0.0] * toxicity.FILTERS
+        assert pool[i] == pytest.approx(np.array(want), abs=1e-5)
+    scores = m.score(pa.array(texts, pa.string()))
+    assert scores == pytest.approx(1 / (1 + np.exp(-(pool @ m.out + m.bias))), abs=1e-6)
+
+
 def test_toxicity_learns_and_keeps_edges(spark):
     r = random.Random(10)
     words = [f"w{i}" for i in range(300)]
