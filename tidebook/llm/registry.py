@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import decontaminate, jaccard, licenses, media, mixing, pii, substrings, suffixes, toxicity, urls
+from tidebook.llm import chat, clusters, decontaminate, divergence, jaccard, licenses, media, mixing, pii, substrings, suffixes, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,5 +54,17 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_substrings, op3_url_filter, op4_media, op5_pii, op6_suffixes, op7_jaccard, op8_licenses, op9_mixing, op10_decontaminate)}
-SQL = {"op7_jaccard": jaccard.SQL, "op2_substrings": substrings.SQL, "op8_licenses": licenses.sql(), "op9_mixing": mixing.SQL, "op10_decontaminate": decontaminate.SQL}
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report(chat.with_probe(table(spark, sf_dir, "conversations")))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_substrings, op3_url_filter, op4_media, op5_pii, op6_suffixes, op7_jaccard, op8_licenses, op9_mixing, op10_decontaminate, op11_clusters, op12_chat, op13_divergence)}
+SQL = {"op7_jaccard": jaccard.SQL, "op2_substrings": substrings.SQL, "op8_licenses": licenses.sql(), "op9_mixing": mixing.SQL, "op10_decontaminate": decontaminate.SQL, "op11_clusters": clusters.SQL, "op12_chat": chat.SQL, "op13_divergence": divergence.SQL}
