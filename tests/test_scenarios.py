@@ -62,12 +62,12 @@ def test_flow_window_includes_its_edge(spark):
 
 def test_session_vwap(spark):
     rows = [snap(i, ltp=p, volume=v) for i, (p, v) in enumerate([(100.25, 0), (101.0, 1000), (99.0, 3000)])]
-    assert column(est.session_vwap(est.sessions(flat(spark, rows))), "vwap")[-1] == pytest.approx(299000 / 3000)
+    assert column(est.sessions(flat(spark, rows)), "vwap")[-1] == pytest.approx(299000 / 3000)
 
 
 def test_vwap_restarts_with_the_volume(spark):
     rows = [snap(i, ltp=p, volume=v) for i, (p, v) in enumerate([(100.0, 100), (101.0, 120), (110.0, 0), (105.0, 10)])]
-    assert column(est.session_vwap(est.sessions(flat(spark, rows))), "vwap") == [None, 101.0, None, 105.0]
+    assert column(est.sessions(flat(spark, rows)), "vwap") == [None, 101.0, None, 105.0]
 
 
 @pytest.mark.parametrize("n,total", [(2, 20), (3, None), (4, 10), (5, None)])
@@ -392,20 +392,6 @@ def test_a_bad_price_stays_in_its_window(spark):
     assert one[100]["kyle_lambda"] is None and one[350]["amihud_illiq"] is None
 
 
-def test_sliding_sums(spark):
-    """Against plain sums, with rows that don't count, for windows that end anywhere in a chunk."""
-    r = random.Random(5)
-    values = [r.choice([None, r.random()]) for _ in range(200)]
-    df = spark.createDataFrame([("A", i, v) for i, v in enumerate(values)], "symbol string, seq long, v double")
-    for width in (1, 7, 50, 500):
-        got = est.sliding(est.numbered(df, "_k", F.col("v").isNotNull()), "_k", width, s=F.col("v"))
-        seen = []
-        for x in got.orderBy("seq").collect():
-            if x["v"] is not None:
-                seen.append(x["v"])
-                assert x["s"] == pytest.approx(sum(seen[-width:])), (width, x["seq"])
-
-
 def test_as_of_agrees_with_brute_force(spark):
     r = random.Random(6)
     left = [(r.choice("AB"), i, r.randint(0, 400)) for i in range(80)] + [("C", 99, 5), ("A", 100, None)]

@@ -1,17 +1,27 @@
-"""Rolling estimators by symbol in order of arrival, all as windows over one partitioning.
+"""Rolling estimators by symbol in order of arrival, as a scan over chunks of each symbol's rows.
 
-An estimator's window counts the rows it accepts. Those rows are numbered (`count` of valid rows so far) and frames are
-ranges over that number; values are null on other rows, which so contribute nothing, and results are null there.
+What an estimator knows of the past is a few numbers and the last rows of its window. So a symbol's rows are cut into chunks
+of thousands; every chunk is summed up on its own (`part`), the small parts are joined in order (`join`), and every chunk is
+worked out from the state before it (`run`): one symbol fills as many cores as it has chunks. A chunk's rows are one Arrow group,
+bounded by `MOST` rows and a bucket of the order of arrival; the functions are those of `functions.rolling`, over numpy arrays.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tidebook.functions import rolling
 from tidebook.operators import books
 
 WINDOWS = (60, 300, 900)
+#: Rows of a chunk, at least and at most, about; in between a symbol has SHARE chunks. Places of a bucket of `seq`.
+LEAST, MOST, SHARE, BUCKET = 4096, 1 << 18, 64, 8192
 
 
 def by():
@@ -37,104 +47,126 @@ def tick_rule(df: DataFrame, name: str, valid: Column) -> DataFrame:
     return df.withColumn(name, F.when(valid, F.coalesce(F.last("_tm", True).over(so_far()), F.lit(0)))).drop("_tp", "_tq", "_tm")
 
 
-def numbered(df: DataFrame, name: str, valid: Column) -> DataFrame:
-    """Adds column `name`: how many valid rows there are so far."""
-    return df.withColumn(name, F.count(F.when(valid, 1)).over(so_far()))
-
-
-def last_valid(number: str, width: int, past: bool = False):
-    """The last `width` valid rows, with the current one; past: those before it."""
-    return Window.partitionBy("symbol").orderBy(number).rangeBetween(-width if past else 1 - width, -1 if past else 0)
-
-
 def finite(c: Column) -> Column:
     """Whether a price is a finite number above 0 (NaN is above infinity in Spark's order); null counts as no."""
     return F.coalesce((c > 0) & (c < float("inf")), F.lit(False))
 
 
-def sliding(df: DataFrame, number: str, width: int, **values: Column) -> DataFrame:
-    """Adds sums of values over the last `width` valid rows; values are null on other rows.
-
-    Valid rows are cut into chunks of `width`. A window is the running sum of its chunk and what the chunk before has
-    after the row that is `width` back, so a row costs the same whatever the width, and rounding errors stay those of two
-    chunks, however long the series.
-    """
-    chunk = Window.partitionBy("symbol", "_chunk").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    by_number = Window.partitionBy("symbol").orderBy(number)
-    before_it, back = by_number.rowsBetween(Window.unboundedPreceding, -1), by_number.rangeBetween(-width, -width)
-    df = df.withColumn("_chunk", F.floor((F.col(number) - 1) / width)).withColumns({f"_p_{k}": F.coalesce(F.sum(v.cast("double")).over(chunk), F.lit(0.0)) for k, v in values.items()})
-    sums = F.struct(*(F.col(f"_p_{k}").alias(k) for k in values))
-    df = df.withColumns({"_end": F.last(F.when(F.col(number) % width == 0, sums), True).over(before_it), "_back": F.first(sums).over(back)})
-    # at the end of a chunk the row that is `width` back ends the chunk before: the window is the chunk
-    gone = (F.col(number) > width) & (F.col(number) % width != 0)
-    df = df.withColumns({k: F.col(f"_p_{k}") + F.when(gone, F.col(f"_end.{k}") - F.col(f"_back.{k}")).otherwise(0.0) for k in values})
-    return df.drop("_chunk", "_end", "_back", *(f"_p_{k}" for k in values))
+# the scan
+
+#: What the estimators call the columns that they read.
+NAMES = {"_day": "day", "bid_px_1": "bid", "bid_qty_1": "bid_qty", "ask_px_1": "ask", "ask_qty_1": "ask_qty"}
+LONGS = ("island", "dvol", "cum_delta", "tick_volume")
+
+
+def chunked(df: DataFrame) -> DataFrame:
+    """Adds `_chunk`: consecutive rows of a symbol, by counts of its rows in buckets of `seq`."""
+    bucket = F.floor(F.col("seq") / BUCKET)
+    n = df.select(F.col("symbol").alias("_s"), bucket.alias("_b")).groupBy("_s", "_b").agg(F.count("*").alias("_n"))
+    upto = F.coalesce(F.sum("_n").over(Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    width = F.greatest(F.lit(LEAST), F.least(F.lit(MOST), F.ceil(F.sum("_n").over(Window.partitionBy("_s")) / SHARE)))
+    place = n.select("_s", "_b", F.floor(upto / width).alias("_chunk"))
+    return df.join(place, F.col("symbol").eqNullSafe(F.col("_s")) & (bucket == F.col("_b"))).drop("_s", "_b")
+
+
+def arrays(t: pa.Table | pa.RecordBatch, order: np.ndarray) -> rolling.Rows:
+    """Columns as doubles in order of arrival, null as nan."""
+    out = {}
+    for name in t.schema.names:
+        kind = t.schema.field(name).type
+        if name != "seq" and (pa.types.is_floating(kind) or pa.types.is_integer(kind)):
+            out[NAMES.get(name, name)] = np.asarray(t.column(name).cast(pa.float64()).to_numpy(zero_copy_only=False))[order]
+    return out
+
+
+def scan(df: DataFrame, estimators: dict[str, object]) -> DataFrame:
+    """df with the fields of all estimators (by name; see functions.rolling) of each row, from its symbol's rows up to it."""
+    longs = {"symbol", "seq"}
+    rows = chunked(df.withColumn("_day", F.unix_date(F.to_date("ts"))) if "ts" in df.columns else df.withColumn("_day", F.lit(0)))
+    names = list(estimators)
+    fields = [f for e in estimators.values() for f in e.fields]
+    assert longs <= set(df.columns)
+    groups = rows.groupBy("symbol", "_chunk")
+
+    def part(key: tuple, t: pa.Table) -> pa.Table:
+        r = arrays(t, np.argsort(t.column("seq").to_numpy(), kind="stable"))
+        return pa.table({"symbol": pa.array([key[0].as_py()], pa.string()), "_chunk": pa.array([key[1].as_py()], pa.int64())} | {f"_{k}": pa.array([estimators[k].part(r)], pa.list_(pa.float64())) for k in names})
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The states before chunks, from parts in order; the state moves from batch to batch and is all that is kept."""
+        symbol, states = object(), {}
+        for b in batches:
+            out = {k: [] for k in names}
+            of, parts = b.column("symbol").to_pylist(), {k: b.column(f"_{k}") for k in names}
+            for i, s in enumerate(of):
+                if s != symbol:
+                    symbol, states = s, {k: rolling.NONE for k in names}
+                for k in names:
+                    out[k].append(states[k])
+                    states[k] = estimators[k].join(states[k], parts[k][i].values.to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([b.column("symbol"), b.column("_chunk"), *(pa.array(out[k], pa.list_(pa.float64())) for k in names)], names=["symbol", "_chunk", *(f"_{k}" for k in names)])
+
+    def run(key: tuple, t: pa.Table, state: pa.Table) -> pa.Table:
+        order = np.argsort(t.column("seq").to_numpy(), kind="stable")
+        t = t.take(pa.array(order))
+        r = arrays(t, np.arange(len(order)))
+        for k in names:
+            old = state.column(f"_{k}").combine_chunks()[0].values.to_numpy(zero_copy_only=False)
+            for f, v in zip(estimators[k].fields, estimators[k].run(old, r)):
+                v = pa.array(v, from_pandas=True)
+                t = t.append_column(f, v.cast(pa.int64()) if f in LONGS else v)
+        return t.drop_columns(["_chunk", "_day"])
+
+    kind = "symbol string, _chunk long, " + ", ".join(f"_{k} array<double>" for k in names)
+    parts = groups.applyInArrow(part, kind)
+    states = parts.repartition("symbol").sortWithinPartitions("symbol", "_chunk").mapInArrow(joined, kind)
+    out = T.StructType(df.schema.fields + [T.StructField(f, T.LongType() if f in LONGS else T.DoubleType()) for f in fields])
+    return groups.cogroup(states.groupBy("symbol", "_chunk")).applyInArrow(run, out)
+
+
+def added(df: DataFrame, estimators: dict[str, object], *drop: str) -> DataFrame:
+    """scan() of the columns that the estimators read, without fields of those names in df."""
+    fields = [f for e in estimators.values() for f in e.fields]
+    return scan(df.drop(*fields), estimators).drop(*drop)
 
 
 def order_flow(ticks: DataFrame, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
     """Adds `ofi` (the event) and `ofi_<w>s` for windows in seconds, the current instant and exactly w ago included."""
-    two = F.col("bid_px_1").isNotNull() & F.col("ask_px_1").isNotNull()
-    top = F.when(two, F.struct("bid_px_1", "bid_qty_1", "ask_px_1", "ask_qty_1"))
-    df = ticks.withColumn("_prev", F.last(top, True).over(before()))
-    b, q, a, z = (F.col(c) for c in ("bid_px_1", "bid_qty_1", "ask_px_1", "ask_qty_1"))
-    pb, pq, pa, pz = (F.col(f"_prev.{c}") for c in ("bid_px_1", "bid_qty_1", "ask_px_1", "ask_qty_1"))
-    bid = F.when(b > pb, q).when(b == pb, q - pq).otherwise(-pq)
-    ask = F.when(a < pa, -z).when(a == pa, pz - z).otherwise(pz)
-    df = df.withColumn("ofi", F.when(two & F.col("_prev").isNotNull(), bid + ask).otherwise(0).cast("double")).drop("_prev")
+    return flow_sums(added(ticks, {"flow": rolling.Flow()}), windows)
+
+
+def flow_sums(df: DataFrame, windows: tuple[int, ...]) -> DataFrame:
+    """Adds `ofi_<w>s`: sums of `ofi` by time, over a symbol's stretches of the longest window.
+
+    Each row goes to its own stretch and, with its time and event alone, to the next one; a window ends in the stretch where it
+    begins or the one after. Sums are differences of running sums, exact since events are whole numbers.
+    """
     if "us" not in df.columns:
         df = df.withColumn("us", F.unix_micros("ts"))
-    # differences of running sums, exact since events are whole numbers
-    upto = lambda us: F.coalesce(F.sum("ofi").over(Window.partitionBy("symbol").orderBy("us").rangeBetween(Window.unboundedPreceding, us)), F.lit(0.0))
-    return df.withColumns({f"ofi_{w}s": upto(0) - upto(-w * 1_000_000 - 1) for w in windows})
+    if not windows:
+        return df
+    span = max(windows) * 1_000_000 + 1
+    again = F.explode(F.when(F.col("us").isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1))))
+    df = df.withColumn("_again", again)
+    own = F.col("_again") == 0
+    df = df.select(F.floor(F.col("us") / span).alias("_stretch") + F.col("_again"), "_again", "symbol", "us", "ofi", *(F.when(own, F.col(c)).alias(c) for c in df.columns if c not in ("_again", "symbol", "us", "ofi")))
+    df = df.withColumnRenamed(df.columns[0], "_stretch")
+    upto = lambda us: F.coalesce(F.sum("ofi").over(Window.partitionBy("symbol", "_stretch").orderBy("us").rangeBetween(Window.unboundedPreceding, us)), F.lit(0.0))
+    return df.withColumns({f"ofi_{w}s": upto(0) - upto(-w * 1_000_000 - 1) for w in windows}).where("_again = 0").drop("_again", "_stretch")
 
 
 def sessions(ticks: DataFrame) -> DataFrame:
-    """Adds `_di` (date changes so far), `_vi` (falls of the cumulative volume within a date) and `dvol` (null off qualifying rows)."""
-    df = ticks.withColumn("_day", F.to_date("ts"))
-    df = df.withColumn("_turn", F.when(F.col("_day") != F.lag("_day").over(by()), 1).otherwise(0))
-    df = df.withColumn("_di", F.sum("_turn").over(so_far())).drop("_turn")
-    day = Window.partitionBy("symbol", "_di").orderBy("seq")
-    counts = F.col("ltp").isNotNull() & ~F.isnan("ltp") & F.col("volume").isNotNull()
-    df = df.withColumn("_v", F.when(counts, F.col("volume")))
-    df = df.withColumn("_pv", F.last("_v", True).over(day.rowsBetween(Window.unboundedPreceding, -1)))
-    df = df.withColumn("_vi", F.sum(F.when(F.col("_v") < F.col("_pv"), 1).otherwise(0)).over(day.rowsBetween(Window.unboundedPreceding, 0)))
-    return df.withColumn("dvol", F.when(F.col("_v") < F.col("_pv"), 0).otherwise(F.coalesce(F.col("_v") - F.col("_pv"), F.when(F.col("_v").isNotNull(), 0)))).drop("_day", "_v", "_pv")
-
-
-def island():
-    return Window.partitionBy("symbol", "_di", "_vi").orderBy("seq")
-
-
-def session_vwap(df: DataFrame) -> DataFrame:
-    """Adds vwap, vwap_stdev and vwap_dev to rows of sessions()."""
-    sofar = island().rowsBetween(Window.unboundedPreceding, 0)
-    v = F.when(F.col("dvol") > 0, F.col("dvol"))
-    df = df.withColumns({"_v": F.sum(v).over(sofar), "_pv": F.sum(v * F.col("ltp")).over(sofar), "_ppv": F.sum(v * F.col("ltp") * F.col("ltp")).over(sofar)})
-    df = df.withColumn("vwap", F.try_divide("_pv", "_v"))
-    df = df.withColumn("vwap_stdev", F.sqrt(F.greatest(F.lit(0.0), F.try_divide("_ppv", "_v") - F.col("vwap") * F.col("vwap"))))
-    df = df.withColumn("vwap_stdev", F.when(F.col("vwap").isNotNull(), F.col("vwap_stdev")))
-    return df.withColumn("vwap_dev", F.coalesce(F.try_divide(F.col("ltp") - F.col("vwap"), "vwap"), F.lit(0.0))).drop("_v", "_pv", "_ppv")
-
-
-def cumulative_delta(df: DataFrame) -> DataFrame:
-    """Adds cum_delta and the tick-rule sign `_side` of rows that trade, to rows of sessions()."""
-    trades = F.coalesce(F.col("dvol") > 0, F.lit(False))
-    df = df.withColumn("_p", F.when(trades, F.col("ltp")))
-    df = df.withColumn("_q", F.last("_p", True).over(island().rowsBetween(Window.unboundedPreceding, -1)))
-    df = df.withColumn("_move", sign_of(F.col("_p") - F.col("_q"))).drop("_q")
-    sofar = island().rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_side", F.when(trades, F.coalesce(F.last("_move", True).over(sofar), F.lit(0))))
-    return df.withColumn("cum_delta", F.coalesce(F.sum(F.col("_side") * F.col("dvol")).over(sofar), F.lit(0)).cast("long")).drop("_p", "_move")
+    """Adds the session's number, traded volume `dvol` (null where price or volume are unknown), vwap, vwap_stdev, vwap_dev and cum_delta."""
+    return added(ticks, {"session": rolling.Session()})
 
 
 def volume_profile(ticks: DataFrame, bucket: float = 0.5) -> DataFrame:
-    """(symbol, bucket, qty) of each symbol's current session island."""
+    """(symbol, bucket, qty) of each symbol's current session."""
     df = sessions(ticks)
-    # the newest island by (date changes, volume falls); two small aggregates instead of a window over all rows
-    newest = df.groupBy("symbol").agg(F.max(F.struct("_di", "_vi")).alias("_now"))
+    newest = df.groupBy("symbol").agg(F.max("island").alias("_now"))  # two small aggregates instead of a window over all rows
     trades = df.where("dvol > 0").withColumn("bucket", F.round(F.floor(F.col("ltp") / bucket) * bucket, 4))
-    sums = trades.groupBy("symbol", "_di", "_vi", "bucket").agg(F.sum("dvol").cast("long").alias("qty"))
-    return sums.join(newest, "symbol").where((F.col("_di") == F.col("_now._di")) & (F.col("_vi") == F.col("_now._vi"))).select("symbol", "bucket", "qty")
+    sums = trades.groupBy("symbol", "island", "bucket").agg(F.sum("dvol").cast("long").alias("qty"))
+    return sums.join(newest, "symbol").where(F.col("island") == F.col("_now")).select("symbol", "bucket", "qty")
 
 
 def profile_map(profile: DataFrame) -> DataFrame:
@@ -144,112 +176,42 @@ def profile_map(profile: DataFrame) -> DataFrame:
 
 def kyle(df: DataFrame, window: int = 300, least: int = 30) -> DataFrame:
     """Adds kyle_lambda, kyle_r2, kyle_t_stat: mid returns (bps) on signed trade sizes. Needs `midprice`."""
-    valid = finite(F.col("midprice")) & finite(F.col("ltp")) & F.col("ltq").isNotNull()
-    df = df.withColumn("_m", F.when(valid, F.col("midprice"))).withColumn("_pm", F.last("_m", True).over(before()))
-    df = tick_rule(df, "_x", valid).withColumns({"_x": F.col("_x").cast("double") * F.col("ltq"), "_ok": valid & F.col("_pm").isNotNull()})
-    df = df.withColumns({"_y": F.when(F.col("_ok"), (F.col("_m") - F.col("_pm")) / F.col("_pm") * 1e4), "_x": F.when(F.col("_ok"), F.col("_x"))})
-    df = numbered(df, "_k", F.col("_ok"))
-    x, y = F.col("_x"), F.col("_y")
-    df = sliding(df, "_k", window, _n=F.col("_ok").cast("int"), _sx=x, _sy=y, _xx=x * x, _xy=x * y, _yy=y * y)
-    apart = lambda ab, a, b: F.col(ab) - F.col(a) * F.col(b) / F.nullif("_n", F.lit(0.0))
-    df = df.withColumns({"_sxx": apart("_xx", "_sx", "_sx"), "_sxy": apart("_xy", "_sx", "_sy"), "_syy": apart("_yy", "_sy", "_sy")})
-    tiny = 1e-12 * F.greatest(F.lit(1.0), F.col("_xx"))
-    there = F.col("_ok") & (F.col("_n") >= least)
-    flat = F.col("_sxx") < tiny
-    slope = F.try_divide(F.col("_sxy"), F.col("_sxx"))
-    rest = F.greatest(F.lit(0.0), F.col("_syy") - slope * F.col("_sxy"))
-    mse = rest / (F.col("_n") - 2)
-    return df.withColumns(
-        {
-            "kyle_lambda": F.when(there, F.when(flat, 0.0).otherwise(slope)),
-            "kyle_r2": F.when(there, F.when(flat | (F.col("_syy") <= 0), 0.0).otherwise(F.greatest(F.lit(0.0), 1 - F.try_divide(rest, F.col("_syy"))))),
-            "kyle_t_stat": F.when(there, F.when(flat | (mse <= 0), 0.0).otherwise(F.try_divide(slope, F.sqrt(F.try_divide(mse, F.col("_sxx")))))),
-        }
-    ).drop("_m", "_pm", "_x", "_y", "_ok", "_k", "_n", "_sxx", "_sxy", "_syy", "_sx", "_sy", "_xx", "_xy", "_yy")
+    return added(df, {"kyle": rolling.Kyle(window, least)})
 
 
 def amihud(df: DataFrame, window: int = 300) -> DataFrame:
     """Adds amihud_illiq: the mean of |mid return| over traded money, per million."""
-    seen = finite(F.col("midprice")) & finite(F.col("ltp")) & F.col("ltq").isNotNull()
-    df = df.withColumn("_m", F.when(seen, F.col("midprice"))).withColumn("_pm", F.last("_m", True).over(before()))
-    money = F.col("ltp") * F.col("ltq")
-    df = df.withColumn("_r", F.when(seen & F.col("_pm").isNotNull() & (money > 0), F.abs(F.col("_m") - F.col("_pm")) / F.col("_pm") * 1e4 / F.nullif(money, F.lit(0.0)) * 1e6))
-    df = numbered(df, "_k", F.col("_r").isNotNull())
-    df = sliding(df, "_k", window, _sum=F.col("_r"))
-    return df.withColumn("amihud_illiq", F.when(F.col("_r").isNotNull(), F.col("_sum") / F.least(F.col("_k"), F.lit(window)))).drop("_m", "_pm", "_r", "_k", "_sum")
+    return added(df, {"amihud": rolling.Amihud(window)})
 
 
 def roll(df: DataFrame, window: int = 200, least: int = 30) -> DataFrame:
     """Adds roll_serial_cov and roll_spread_bps from the serial covariance of price changes."""
-    valid = finite(F.col("ltp"))
-    df = df.withColumn("_p", F.when(valid, F.col("ltp")))
-    df = df.withColumn("_d", F.col("_p") - F.last("_p", True).over(before()))
-    df = df.withColumn("_pd", F.when(F.col("_d").isNotNull(), F.last("_d", True).over(before())))
-    df = numbered(df, "_k", F.col("_pd").isNotNull())
-    x, y = F.when(F.col("_pd").isNotNull(), F.col("_d")), F.col("_pd")
-    df = sliding(df, "_k", window, _sx=x, _sy=y, _xy=x * y)
-    n = F.nullif(F.least(F.col("_k"), F.lit(window)), F.lit(0))
-    df = df.withColumn("roll_serial_cov", F.when(F.col("_pd").isNotNull() & (F.col("_k") >= least), F.col("_xy") / n - F.col("_sx") / n * F.col("_sy") / n))
-    implied = F.when(F.col("roll_serial_cov") < 0, 2 * F.sqrt(-F.col("roll_serial_cov"))).otherwise(0.0)
-    bps = F.when(F.col("midprice") > 0, implied / F.nullif("midprice", F.lit(0.0)) * 1e4).otherwise(0.0)
-    return df.withColumn("roll_spread_bps", F.when(F.col("roll_serial_cov").isNotNull(), bps)).drop("_p", "_d", "_pd", "_k", "_sx", "_sy", "_xy")
+    return added(df, {"roll": rolling.Roll(window, least)})
 
 
 def variance_share(df: DataFrame, window: int = 500, least: int = 50) -> DataFrame:
     """Adds trade_variance_share and avg_signed_trade_return_bps."""
-    valid = finite(F.col("midprice")) & finite(F.col("ltp"))
-    df = df.withColumns({"_m": F.when(valid, F.col("midprice")), "_p": F.when(valid, F.col("ltp"))})
-    df = tick_rule(df, "_s", valid).withColumns({"_pm": F.last("_m", True).over(before()), "_pp": F.last("_p", True).over(before())})
-    ok = valid & F.col("_pm").isNotNull()
-    df = df.withColumns({"_q": F.when(ok, (F.col("_m") - F.col("_pm")) / F.col("_pm") * 1e4), "_t": F.when(ok, (F.col("_p") - F.col("_pp")) / F.col("_pp") * 1e4)})
-    df = numbered(df, "_k", F.col("_q").isNotNull())
-    t, q = F.col("_t"), F.col("_q")
-    df = sliding(df, "_k", window, _st=t, _tt=t * t, _sq=q, _qq=q * q, _sa=F.col("_s") * t)
-    n = F.nullif(F.least(F.col("_k"), F.lit(window)), F.lit(0))
-    var = lambda a, b: F.greatest(F.lit(0.0), F.col(b) / n - F.col(a) / n * F.col(a) / n)
-    df = df.withColumns({"_vt": var("_st", "_tt"), "_vq": var("_sq", "_qq"), "_a": F.col("_sa") / n})
-    there = F.col("_q").isNotNull() & (F.col("_k") >= least)
-    total = F.col("_vt") + F.col("_vq")
-    return df.withColumns({"trade_variance_share": F.when(there, F.when(total > 0, F.col("_vt") / F.nullif(total, F.lit(0.0))).otherwise(0.5)), "avg_signed_trade_return_bps": F.when(there, F.col("_a"))}).drop(
-        "_m", "_p", "_pm", "_pp", "_s", "_q", "_t", "_k", "_vt", "_vq", "_a", "_st", "_tt", "_sq", "_qq", "_sa"
-    )
-
-
-def zscore(df: DataFrame, value: str, name: str, window: int = 300, least: int = 5) -> DataFrame:
-    """Adds `name`: the value against the mean and population deviation of the last `window` values before it.
-
-    Values count by their distance from the symbol's first one, which keeps squares small; a variance that rounding
-    alone can make is none.
-    """
-    df = df.withColumn("_ok", F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    v = F.when(F.col("_ok"), F.col(value).cast("double"))
-    df = numbered(df, "_k", F.col("_ok")).withColumn("_v", v - F.first(v, True).over(so_far()))
-    df = sliding(df, "_k", window, _s=F.col("_v"), _q=F.col("_v") * F.col("_v"))
-    past = F.last(F.when(F.col("_ok"), F.struct("_k", "_s", "_q")), True).over(before())
-    df = df.withColumn("_w", past).withColumn("_n", F.least(F.col("_w._k"), F.lit(window)))
-    mean, square = F.col("_w._s") / F.col("_n"), F.col("_w._q") / F.col("_n")
-    var = square - mean * mean
-    std = F.sqrt(F.when(var > 1e-13 * square, var).otherwise(0.0))
-    there = F.col("_ok") & (F.col("_n") >= least) & (std >= 1e-9)
-    return df.withColumn(name, F.when(there, (F.col("_v") - mean) / F.nullif(std, F.lit(0.0)))).drop("_ok", "_k", "_v", "_s", "_q", "_w", "_n")
+    return added(df, {"share": rolling.Share(window, least)})
 
 
 def tick_volume(df: DataFrame) -> DataFrame:
     """Adds tick_volume: the rise of the last known cumulative volume, never below 0; 0 at first; null without volume."""
-    prev = F.last("volume", True).over(before())
-    return df.withColumn("tick_volume", F.when(F.col("volume").isNotNull(), F.greatest(F.lit(0), F.coalesce(F.col("volume") - prev, F.lit(0)))))
+    return added(df, {"rises": rolling.Rises()})
+
+
+def score_estimators(window: int = 300, given: bool = False) -> dict[str, object]:
+    """Estimators of z_spread, z_volume and z_ofi; given: `ofi` is a column already."""
+    flow = rolling.Scores("ofi", "z_ofi", window) if given else rolling.ScoresOf(rolling.Flow(), "z_ofi", window)
+    return {"z_spread": rolling.Scores("spread", "z_spread", window), "z_volume": rolling.ScoresOf(rolling.Rises(), "z_volume", window), "z_ofi": flow}
 
 
 def zscores(df: DataFrame, window: int = 300) -> DataFrame:
-    """Adds z_spread, z_volume and z_ofi. Needs `spread` and `ofi`."""
-    df = tick_volume(df)
-    for value, name in (("spread", "z_spread"), ("tick_volume", "z_volume"), ("ofi", "z_ofi")):
-        df = zscore(df, value, name, window)
-    return df
+    """Adds tick_volume, z_spread, z_volume and z_ofi, and `ofi` where df has none: values against the `window` ones before. Needs `spread`."""
+    return added(df, score_estimators(window, "ofi" in df.columns))
 
 
 def anomalies(df: DataFrame, window: int = 300, threshold: float = 3.0) -> DataFrame:
-    """(symbol, seq, ts, kind, severity, detail) in order spread, volume, flow for each tick. Needs `spread` and `ofi`."""
+    """(symbol, seq, ts, kind, severity, detail) in order spread, volume, flow for each tick. Needs `spread`."""
 
     def alert(place, kind, fires, z, *detail):
         severity = F.when(F.abs(z) < 1.5 * threshold, "warn").otherwise("critical")
@@ -272,16 +234,19 @@ def metrics_input(ticks: DataFrame) -> DataFrame:
     return books.spreads(ticks)
 
 
+def metrics_estimators() -> dict[str, object]:
+    return {"flow": rolling.Flow(), "session": rolling.Session(), "kyle": rolling.Kyle(), "amihud": rolling.Amihud(), "roll": rolling.Roll(), "share": rolling.Share()}
+
+
 def metrics(ticks: DataFrame, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
-    """All estimators of every tick: one exchange by symbol, which all windows share."""
+    """All estimators of every tick, from one scan; sums of order flow by time after it."""
     df = metrics_input(ticks)
     if "us" not in df.columns:
         df = df.withColumn("us", F.unix_micros("ts"))
-    # deeper levels are in the spreads by now: narrow rows make windows and their plans cheaper
-    df = order_flow(df.select("seq", "us", "ts", "symbol", "ltp", "ltq", "volume", "bid_px_1", "bid_qty_1", "ask_px_1", "ask_qty_1", "midprice", "spread", "relative_spread", "weighted_spread"), windows)
-    df = df.drop("bid_px_1", "bid_qty_1", "ask_px_1", "ask_qty_1")
-    df = cumulative_delta(session_vwap(sessions(df)))
-    df = variance_share(roll(amihud(kyle(df))))
+    # deeper levels are in the spreads by now: narrow rows
+    df = df.select("seq", "us", "ts", "symbol", "ltp", "ltq", "volume", "bid_px_1", "bid_qty_1", "ask_px_1", "ask_qty_1", "midprice", "spread", "relative_spread", "weighted_spread")
+    df = scan(df, metrics_estimators()).drop("bid_px_1", "bid_qty_1", "ask_px_1", "ask_qty_1", "ltq", "volume", "island", "dvol")
+    df = flow_sums(df, windows)
     names = ["symbol", "ltp", "midprice", "spread", "relative_spread", "weighted_spread", *(f"ofi_{w}s" for w in windows), "vwap", "vwap_dev", "vwap_stdev", "cum_delta", "kyle_lambda", "kyle_r2", "kyle_t_stat"]
     names += ["amihud_illiq", "roll_spread_bps", "roll_serial_cov", "trade_variance_share", "avg_signed_trade_return_bps"]
     stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]xxx").alias("timestamp")

@@ -89,7 +89,7 @@ query("p2_nested_book", " select seq, symbol, 5 n_bids, bid_px_1 + bid_px_5 ends
 query("p3_snapshot_json")(lambda s, d: books.snapshot_json(books.nest(ticks(s, d))))
 for _name, _col in (("p5_quoted_spread", "spread"), ("p6_relative_spread", "relative_spread"), ("p7_weighted_spread", "weighted_spread"), ("p8_midprice", "midprice")):
     query(_name, f"{SPREADS} select seq, symbol, {_r(_col)} from sp")(lambda s, d, c=_col: rounded(books.spreads(ticks(s, d)).select("seq", "symbol", c)))
-query("p9_vwap_dev", f"{SPREADS}{OFI}{SESSION} select seq, symbol, {_r('vwap_dev')} from se")(lambda s, d: rounded(est.session_vwap(est.sessions(ticks(s, d))).select("seq", "symbol", "vwap_dev")))
+query("p9_vwap_dev", f"{SPREADS}{OFI}{SESSION} select seq, symbol, {_r('vwap_dev')} from se")(lambda s, d: rounded(est.sessions(ticks(s, d)).select("seq", "symbol", "vwap_dev")))
 query("p10_symbol_filter", " select seq, symbol, ltp from ticks where symbol = 'PURCHASE'")(lambda s, d: ticks(s, d).where("symbol = 'PURCHASE'").select("seq", "symbol", "ltp"))
 query("p13_symbol_repair", " select seq, upper(trim('  ' || lower(symbol) || ' ')) symbol from ticks")(lambda s, d: ticks(s, d).select("seq", F.upper(F.trim(F.concat(F.lit("  "), F.lower("symbol"), F.lit(" ")))).alias("symbol")))
 query("p17_column_subset", " select volume, symbol, seq from ticks")(lambda s, d: ticks(s, d).select("volume", "symbol", "seq"))
@@ -97,7 +97,7 @@ query("p18_unit_scaling", f"{SPREADS} select seq, round(relative_spread * 1e4 +
     lambda s, d: rounded(books.spreads(ticks(s, d)).select("seq", (F.col("relative_spread") * 1e4).alias("spread_bps"), (F.col("relative_spread") * 100).alias("spread_pct")))
 )
 query("p19_vwap_band", f"{SPREADS}{OFI}{SESSION} select seq, symbol, round(vwap - vwap_stdev + 1.3e-8, 6) low, round(vwap + vwap_stdev + 1.3e-8, 6) high from se")(
-    lambda s, d: rounded(est.session_vwap(est.sessions(ticks(s, d))).select("seq", "symbol", (F.col("vwap") - F.col("vwap_stdev")).alias("low"), (F.col("vwap") + F.col("vwap_stdev")).alias("high")))
+    lambda s, d: rounded(est.sessions(ticks(s, d)).select("seq", "symbol", (F.col("vwap") - F.col("vwap_stdev")).alias("low"), (F.col("vwap") + F.col("vwap_stdev")).alias("high")))
 )
 _share = ", ".join(f"{s}_qty_{i}" for i in range(1, 6) for s in ("bid", "ask"))
 query("p20_depth_share", " " + " union all ".join(f"select symbol, seq, '{s}' side, {i} as level, round({s}_qty_{i} / greatest(1, {_share})::double + 1.3e-8, 6) share from ticks" for i in range(1, 6) for s in ("bid", "ask")))(
@@ -111,8 +111,8 @@ query("p21_signed_split", f"{SPREADS}{OFI} select seq, case when ofi >= 0 then o
 query("w1_ofi_event", f"{SPREADS}{OFI} select seq, symbol, ofi from of2")(lambda s, d: est.order_flow(ticks(s, d), ()).select("seq", "symbol", "ofi"))
 query("w2_ofi_rolling", f"{SPREADS}{OFI} select seq, symbol, {', '.join(f'ofi_{w}s' for w in HOURS)} from of2")(lambda s, d: est.order_flow(ticks(s, d), HOURS).select("seq", "symbol", *(f"ofi_{w}s" for w in HOURS)))
 query("w3_tick_rule", f"{CHAIN} select seq, symbol, sgn from im")(lambda s, d: est.tick_rule(ticks(s, d), "sgn", F.col("ltp").isNotNull()).select("seq", "symbol", "sgn"))
-query("w4_session_vwap", f"{SPREADS}{OFI}{SESSION} select seq, symbol, {_r('vwap', 'vwap_stdev', digits=5)} from se")(lambda s, d: rounded(est.session_vwap(est.sessions(ticks(s, d))).select("seq", "symbol", "vwap", "vwap_stdev"), digits=5))
-query("w5_cumulative_delta", f"{SPREADS}{OFI}{SESSION} select seq, symbol, cum_delta from se")(lambda s, d: est.cumulative_delta(est.sessions(ticks(s, d))).select("seq", "symbol", "cum_delta"))
+query("w4_session_vwap", f"{SPREADS}{OFI}{SESSION} select seq, symbol, {_r('vwap', 'vwap_stdev', digits=5)} from se")(lambda s, d: rounded(est.sessions(ticks(s, d)).select("seq", "symbol", "vwap", "vwap_stdev"), digits=5))
+query("w5_cumulative_delta", f"{SPREADS}{OFI}{SESSION} select seq, symbol, cum_delta from se")(lambda s, d: est.sessions(ticks(s, d)).select("seq", "symbol", "cum_delta"))
 for _name, _f, _cols in (
     ("w6_kyle_lambda", est.kyle, ("kyle_lambda", "kyle_r2", "kyle_t_stat")),
     ("w7_amihud", est.amihud, ("amihud_illiq",)),
@@ -121,7 +121,7 @@ for _name, _f, _cols in (
 ):
     _n = 3 if _f is est.amihud else 6  # its values are in the hundred thousands
     query(_name, f"{CHAIN} select seq, symbol, {_r(*_cols, digits=_n)} from im")(lambda s, d, f=_f, c=_cols, n=_n: rounded(f(books.spreads(ticks(s, d))).select("seq", "symbol", *c), digits=n))
-query("w10_zscores", f"{SPREADS}{OFI}{Z} select seq, symbol, {_r('z_spread', 'z_volume', 'z_ofi')} from z")(lambda s, d: rounded(est.zscores(est.order_flow(books.spreads(ticks(s, d)), ())).select("seq", "symbol", "z_spread", "z_volume", "z_ofi")))
+query("w10_zscores", f"{SPREADS}{OFI}{Z} select seq, symbol, {_r('z_spread', 'z_volume', 'z_ofi')} from z")(lambda s, d: rounded(est.zscores(books.spreads(ticks(s, d))).select("seq", "symbol", "z_spread", "z_volume", "z_ofi")))
 _alerts = " union all ".join(
     f"select symbol, seq, {i} place, '{k}' kind, case when abs(z_{n}) < 3 then 'warn' else 'critical' end severity, round(z_{n}, 2) zscore from z where {c}" for i, (k, n, c) in enumerate((("spread_blowup", "spread", "z_spread > 2"), ("volume_spike", "volume", "z_volume > 2"), ("ofi_extreme", "ofi", "abs(z_ofi) > 2")))
 )
@@ -130,7 +130,7 @@ ALERTS = f"{SPREADS}{OFI}{Z}, al as ({_alerts})"
 
 def alerts(s: SparkSession, d: str) -> DataFrame:
     """Alerts at two deviations, which these tables have."""
-    return est.anomalies(est.order_flow(books.spreads(ticks(s, d)), ()), threshold=2.0).withColumn("zscore", F.col("detail")["zscore"])
+    return est.anomalies(books.spreads(ticks(s, d)), threshold=2.0).withColumn("zscore", F.col("detail")["zscore"])
 
 
 query("w11_anomalies", f"{ALERTS} select symbol, seq, place, kind, severity, zscore from al")(lambda s, d: alerts(s, d).select("symbol", "seq", "place", "kind", "severity", "zscore"))
