@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidebook.llm import chat, clusters, divergence
+from tidebook.llm import chat, clusters, decontaminate, divergence
 
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -173,3 +173,32 @@ def test_divergence_of_nothing_and_first_ranks(spark):
     rows = [(" ".join("".join(r.choices("abcdefgh", k=2)) for _ in range(60)), "en", f"s{i % 2}") for i in range(40)]
     got = sorted(tuple(x) for x in divergence.audit(spark.createDataFrame(rows, "text string, lang string, source string"), 2, top=7).collect())
     assert got == brute_audit(rows, 2, 7)
+
+
+# later changes to earlier operators
+
+
+@pytest.mark.parametrize("n", [60, 240])
+def test_items_and_documents_with_a_common_prompt(spark, n):
+    """A prompt that all items and documents begin with makes no pairs: they follow what is really shared."""
+    r = random.Random(n)
+    prompt = " ".join(f"prompt{i}" for i in range(13))
+    words = lambda k: " ".join(f"w{r.randint(0, 10**7)}" for _ in range(k))
+    texts = [words(30) for _ in range(n)]
+    items = spark.createDataFrame([(i, f"{prompt} {t}") for i, t in enumerate(texts)], "item_id long, text string")
+    held = set(range(0, n, 5))
+    docs = spark.createDataFrame([(i, f"{prompt} {texts[i] if i in held else words(30)} {words(5)}") for i in range(n)], "doc_id long, text string")
+    own, least, mask, widths = decontaminate.prepared(items, decontaminate.PERCENT)
+    some = decontaminate.marked(docs.select("text", F.struct("doc_id").alias("row")), mask, widths)
+    assert some.count() == len(held)  # the others hold nothing but the prompt
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.contained(docs, items).collect()}
+    assert got == {(i, i) for i in held}
+
+
+def test_filter_grows_with_the_items(spark):
+    few = decontaminate.bloom(spark.range(1000).select((F.col("id") * 7919).alias("hash")))
+    many = decontaminate.bloom(spark.range(600_000).select(F.xxhash64("id").alias("hash")))
+    assert few.size * 8 == 1 << decontaminate.LEAST_BITS < many.size * 8
+    h = np.array([r["h"] for r in spark.range(600_000).select(F.xxhash64("id").alias("h")).collect()]).view(np.uint64)
+    assert decontaminate.inside(h, many).all()
+    assert decontaminate.inside(np.random.default_rng(1).integers(0, 1 << 63, 100_000).astype(np.uint64), many).mean() < 1e-3

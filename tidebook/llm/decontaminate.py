@@ -3,13 +3,16 @@
 An item lies in a document if at least 80 % of its distinct 5-word shingles do (words `[^\\x20\\x09-\\x0D]+`, A-Z as
 a-z; an item of fewer words has one shingle, all its words, which must follow each other in the document).
 
-1. Items are partitioned by size. For a partition whose largest item has q shingles each item is indexed under its MinHash
-   bottom-k sketch, k = floor(0.2 q) + 1: at most 0.2 q shingles of a contained item are missing, so a document that
-   contains the item holds at least one of its k smallest hashes. No contained item is missed, however long the document.
-2. All sketches together set the bits of one Bloom filter of a fixed size, the only thing that goes to every task. Documents
-   are read once: those that hold a hash of the filter are written with their shingles and these hashes.
+1. Items are partitioned by size. For a partition whose largest item has q shingles each item is indexed under a sketch of
+   k = floor(0.2 q) + 1 of its shingles: at most 0.2 q of a contained item's are missing, so a document that contains the
+   item holds at least one of any k. No contained item is missed, however long the document. Taken are the k that the
+   fewest items have, by MinHash order among equals: what many items share, such as a common prompt, leads to none of
+   them as long as they have k shingles of their own, so items and documents that share it make no pairs.
+2. All sketches together set the bits of one Bloom filter (64 bits for each hash, 2 MB at least and 32 MB at most), the only
+   thing that goes to every task. Documents are read once: those that hold a hash of the filter are written with their
+   shingles and these hashes.
 3. Spark joins the hashes with the sketches, and the pairs with the shingles of both sides, which are compared exactly.
-   Neither items nor documents are gathered anywhere; more items fill the filter, which costs work, not results.
+   Neither items nor documents are gathered anywhere; beyond 4 million hashes the filter fills, which costs work, not results.
 
 Edge cases: null and empty texts match nothing; empty or null items match nothing; repeated rows and ids give a row
 for each; an empty benchmark gives no rows, and an empty table none; columns other than the id and text are ignored.
@@ -20,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.llm import shards as sh
@@ -28,8 +31,10 @@ from tidebook.llm import textkit as tk
 from tidebook.llm.shared import discard, materialize
 
 PERCENT, WIDTH = 80, 5
-#: Bits of the Bloom filter (2 MB) and its slices.
-BITS, SLICES = 24, 64
+#: Bits of the Bloom filter (powers of 2, from 2 MB to 32 MB) for each hash, and its slices.
+LEAST_BITS, MOST_BITS, EACH_BITS, SLICES = 24, 28, 64, 64
+#: Odd factors that give a hash its places in the filter.
+PLACES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 U = np.uint64
 
 
@@ -57,30 +62,34 @@ def indexed(items: DataFrame) -> DataFrame:
 
 
 def sketches(items: DataFrame, percent: int) -> DataFrame:
-    """(hash, item): the k least shingles of each item, k by its partition."""
-    most = {r["class"]: r["q"] for r in items.groupBy("class").agg(F.max("n_item").alias("q")).collect()}  # two for each power of 2
+    """(hash, item): of each item the k shingles that the fewest items have (least hashes among equals), k by its partition."""
 
     def run(batches):
         for b in batches:
-            for item, c, x in zip(*(b.column(i).to_pylist() for i in range(3))):
-                least = np.frombuffer(x, np.uint64)[: most[c] * (100 - percent) // 100 + 1]
-                yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), pa.array(np.full(least.size, item))], ["hash", "item"])
+            for item, q, x in zip(*(b.column(i).to_pylist() for i in range(3))):
+                own = np.frombuffer(x, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(own.size, item)), pa.array(np.full(own.size, q * (100 - percent) // 100 + 1))], ["hash", "item", "k"])
 
-    return items.select("item", "class", "grams").mapInArrow(run, "hash long, item long")
+    most = items.groupBy("class").agg(F.max("n_item").alias("q"))  # two for each power of 2
+    own = items.join(F.broadcast(most), "class").select("item", "q", "grams").mapInArrow(run, "hash long, item long, k long")
+    seen = own.groupBy("hash").agg(F.count("*").alias("seen"))
+    order = Window.partitionBy("item").orderBy("seen", "hash")  # shingles of one item
+    return own.join(seen, "hash").withColumn("_n", F.row_number().over(order)).where("_n <= k").select("hash", "item")
 
 
-def bits_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two places in the filter."""
-    return (h >> U(64 - BITS)).astype(np.int64), (h & U((1 << BITS) - 1)).astype(np.int64)
+def places(h: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Places in a filter of 2^bits."""
+    return [((h ^ (h >> U(29))) * U(f) >> U(64 - bits)).astype(np.int64) for f in PLACES]
 
 
 def bloom(found: DataFrame) -> np.ndarray:
-    """The filter of all hashes of sketches()."""
+    """The filter of all hashes of sketches(), as bytes."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (found.count() * EACH_BITS).bit_length()))
 
     def part(batches):
-        mask = np.zeros(1 << BITS, bool)
+        mask = np.zeros(1 << bits, bool)
         for b in batches:
-            for at in bits_of(b.column(0).to_numpy().view(np.uint64)):
+            for at in places(b.column(0).to_numpy().view(np.uint64), bits):
                 mask[at] = True
         rows = [(k, sh.pack(np.packbits(x))) for k, x in enumerate(np.split(mask, SLICES)) if x.any()]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["slice", "blob"])
@@ -91,20 +100,29 @@ def bloom(found: DataFrame) -> np.ndarray:
 
     schema = "slice int, blob binary"
     some = found.select("hash").mapInArrow(part, schema).groupBy("slice", (F.rand(3) * SLICES).cast("int")).applyInArrow(add, schema)
-    out = np.zeros((SLICES, (1 << BITS) // 8 // SLICES), np.uint8)
+    out = np.zeros((SLICES, (1 << bits) // 8 // SLICES), np.uint8)
     for k, x in some.groupBy("slice").applyInArrow(add, schema).collect():
         out[k] = sh.unpack(x)[0]
     return out.ravel()
 
 
+def inside(h: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Which hashes the filter may hold; later places are looked up for those that are left."""
+    ok = np.arange(h.size)
+    for k in range(len(PLACES)):
+        at = places(h[ok], (mask.size * 8).bit_length() - 1)[k]
+        ok = ok[(mask[at >> 3] >> (7 - (at & 7)) & 1) > 0]
+    out = np.zeros(h.size, bool)
+    out[ok] = True
+    return out
+
+
 def hits(texts, mask: np.ndarray, widths: list[int]):
     """For each slice of texts (from, to, shingles of all widths with the text of each, and which of them are in the filter)."""
     for i, j in tk.slices(texts):
         words, first = tk.word_hashes(*tk.buffers(texts[i:j]), lower=True)
         grams, at = map(np.concatenate, zip(*(tk.ngrams(words, first, w) for w in widths))) if widths else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        one, two = bits_of(grams)
-        inside = (mask[one >> 3] >> (7 - (one & 7)) & 1) & (mask[two >> 3] >> (7 - (two & 7)) & 1) > 0
-        yield i, j, grams, np.searchsorted(first, at, side="right") - 1, inside
+        yield i, j, grams, np.searchsorted(first, at, side="right") - 1, inside(grams, mask)
 
 
 def marked(rows: DataFrame, mask: np.ndarray, widths: list[int]) -> DataFrame:
@@ -112,9 +130,12 @@ def marked(rows: DataFrame, mask: np.ndarray, widths: list[int]) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for i, _, grams, own, inside in hits(b.column(0), mask, widths):
-                some = np.unique(own[inside])
-                pick = [(np.unique(grams[own == k]), np.unique(grams[(own == k) & inside])) for k in some]
+            for i, _, grams, own, hit in hits(b.column(0), mask, widths):
+                some = np.unique(own[hit])
+                order = np.argsort(own, kind="stable")  # widths follow each other
+                grams, hit, own = grams[order], hit[order], own[order]
+                edges = zip(np.searchsorted(own, some), np.searchsorted(own, some, side="right"))
+                pick = [(np.unique(grams[x:y]), np.unique(grams[x:y][hit[x:y]])) for x, y in edges]
                 blobs = [pa.array([x[c].tobytes() for x in pick], pa.binary()) for c in (0, 1)]
                 yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(some + i)), *blobs], ["row", "grams", "hits"])
 
@@ -169,8 +190,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, percent: int = PERCENT) ->
     def clean(batches):
         for b in batches:
             ok = np.ones(b.num_rows, bool)
-            for i, _, _, at, inside in hits(b.column(text).cast(pa.string()), mask, widths):
-                ok[i + at[inside]] = False
+            for i, _, _, at, hit in hits(b.column(text).cast(pa.string()), mask, widths):
+                ok[i + at[hit]] = False
             yield b.filter(pa.array(ok))
 
     some = marked(docs.select(F.col("text").cast("string").alias("text"), F.struct("*").alias("row")), mask, widths)
