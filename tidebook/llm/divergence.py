@@ -42,8 +42,9 @@ def named(docs: DataFrame) -> DataFrame:
 
 def counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, n_docs): occurrences of each term, and how many documents have it."""
-    each = F.concat(F.transform("_terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("d"))), F.transform(F.array_distinct("_terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("d"))))
-    rows = docs.select("lang", "source", terms(F.col("text")).alias("_terms")).select("lang", "source", F.inline(each))
+    # a document's terms twice: all of them, and each once
+    listed = F.array(F.struct(F.lit(1).alias("n"), F.lit(0).alias("d"), F.col("_terms").alias("t")), F.struct(F.lit(0).alias("n"), F.lit(1).alias("d"), F.array_distinct("_terms").alias("t")))
+    rows = docs.select("lang", "source", terms(F.col("text")).alias("_terms")).select("lang", "source", F.inline(listed)).select("lang", "source", "n", "d", F.explode("t").alias("term"))
     return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("n_docs"))
 
 
