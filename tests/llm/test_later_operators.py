@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidebook.llm import chat, clusters, decontaminate, divergence
+from tidebook.llm import chat, clusters, decontaminate, divergence, pii
 
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -202,3 +202,34 @@ def test_filter_grows_with_the_items(spark):
     h = np.array([r["h"] for r in spark.range(600_000).select(F.xxhash64("id").alias("h")).collect()]).view(np.uint64)
     assert decontaminate.inside(h, many).all()
     assert decontaminate.inside(np.random.default_rng(1).integers(0, 1 << 63, 100_000).astype(np.uint64), many).mean() < 1e-3
+
+
+def test_many_spans_in_one_text(spark):
+    """Spans and words with digits side by side, thousands each: found, kept apart and replaced as in a short text."""
+    n = 4000
+    text = " ".join(f"mail é{'x' * (i % 7)} a{i}@b{i}.org word{i:05d} or c{i}@d.net,tail{i}" for i in range(n))
+    df = spark.createDataFrame([(1, text), (2, "a.b@c.de x"), (3, None), (4, ""), (5, "𝒳 +1 (234) 567-8901@x.yz end 𝒳")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.spans(df).collect()}
+    assert len(got[1]["base"]) == 2 * n and [o["inst"] for o in got[1]["other"]] == [f"word{i:05d}" for i in range(n)]
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    want = re.sub(r"[ac][0-9]+@[bd][0-9]*\.(org|net)", "[EMAIL]", text)
+    assert re.sub(r"\[ID\]", "", clean[1]) == re.sub(r"word[0-9]{5}", "", want) or clean[1] == want
+    assert clean[2] == "[EMAIL] x" and clean[3] is None and clean[4] == "" and clean[5] == "𝒳 [PHONE] end 𝒳"
+
+
+@pytest.mark.parametrize("seed", [11, 12])
+def test_overlapping_spans_are_replaced_once(spark, seed):
+    """Against a plain walk over the spans in order."""
+    r = random.Random(seed)
+    texts = []
+    for _ in range(60):
+        texts.append("".join(r.choice(["a@b.co", "1.2.3.4", "+44 123 456 7890", " ", "é", "4539 1488 0343 6467", "x" * 1500, "-", "12"]) for _ in range(r.randint(0, 12))))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {x["doc_id"]: sorted((s["start"], s["kind"], s["end"]) for s in [*x["base"], *x["more"]]) for x in pii.extract(df).collect()}
+    for x in pii.redact(df).collect():
+        out, at = "", 0
+        for start, kind, end in found[x["doc_id"]]:
+            if start >= at:
+                out += texts[x["doc_id"]][at:start] + f"[{pii.KINDS[kind].upper()}]"
+            at = max(at, end)
+        assert x["text"] == out + texts[x["doc_id"]][at:]

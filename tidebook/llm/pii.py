@@ -31,16 +31,28 @@ _WS = r"\x20\x09-\x0D"
 SPAN = "array<struct<start:int,kind:int,end:int,inst:string,before:string,after:string>>"
 
 
-def running(xs: Column) -> Column:
-    """Sums of what stands before each element, in two levels of 256 so that long arrays don't cost their square."""
+def let(value: Column, body) -> Column:
+    """body(value), with value worked out once: in a lambda the optimizer would put its expression wherever it stands."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(xs: Column, op=lambda s, x: s + x) -> Column:
+    """What stands before each element, added up (or by another `op` that 0 leaves as it is), in two levels of 256 so that
+    long arrays don't cost their square."""
 
     def scan(a: Column) -> Column:
         zero = F.struct(F.array().cast("array<int>").alias("a"), F.lit(0).alias("s"))
-        return F.aggregate(a, zero, lambda acc, x: F.struct(F.concat(acc["a"], F.array(acc["s"])).alias("a"), (acc["s"] + x).alias("s")))
+        return F.aggregate(a, zero, lambda acc, x: F.struct(F.concat(acc["a"], F.array(acc["s"])).alias("a"), op(acc["s"], x).alias("s")))
 
-    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(xs) / 256).cast("int") - 1), lambda b: scan(F.slice(xs, b * 256 + 1, 256)))
+    blocks = lambda a: F.transform(F.sequence(F.lit(0), F.ceil(F.size(a) / 256).cast("int") - 1), lambda b: scan(F.slice(a, b * 256 + 1, 256)))
     bases = lambda bs: scan(F.transform(bs, lambda b: b["s"]))["a"]
-    return F.when(F.size(xs) > 0, F.flatten(F.zip_with(blocks, bases(blocks), lambda b, base: F.transform(b["a"], lambda v: v + base)))).otherwise(F.array().cast("array<int>"))
+    joined = lambda bs: F.flatten(F.zip_with(bs, bases(bs), lambda b, base: F.transform(b["a"], lambda v: op(base, v))))
+    return let(xs, lambda a: F.when(F.size(a) > 0, let(blocks(a), joined)).otherwise(F.array().cast("array<int>")))
+
+
+def reached(spans_: Column) -> Column:
+    """The farthest end before each of spans in order of their start."""
+    return running(F.transform(spans_, lambda x: x["end"]), lambda s, x: F.greatest(s, x))
 
 
 def flat(c: Column) -> Column:
@@ -110,8 +122,23 @@ def spans(docs: DataFrame) -> DataFrame:
     df = found(df, "phone", text, r"\+[0-9][\x20().0-9-]+[0-9]", 3, text.rlike(r"\+[0-9]"), lambda m: F.length(digits(m)).between(10, 15))
     df = found(df, "other", text, rf"(?<![^{_WS}])[^{_WS}0-9]*+[0-9][^{_WS}]*+", 4, digit, lambda m: F.length(m) >= 6)
     df = df.withColumn("base", F.array_sort(F.concat("email", "ip", "card", "phone")))
-    apart = lambda o: ~F.exists("base", lambda b: (b["start"] < o["end"]) & (b["end"] > o["start"]))
-    return df.select("doc_id", "base", F.filter("other", apart).alias("other"))
+    apart = let(covered(F.col("base")), lambda cover: F.filter("other", lambda o: ~hidden(cover, o)))
+    return df.select("doc_id", "base", F.when((F.size("base") > 0) & (F.size("other") > 0), apart).otherwise(F.col("other")).alias("other"))
+
+
+def covered(spans_: Column) -> Column:
+    """A byte for each character up to the last span's end: 1 where a span is.
+
+    Spans in order add what they have beyond those before, so the whole is linear in spans and text.
+    """
+    marks = lambda bit, n: F.when(n > 0, F.repeat(F.lit(bit), n)).otherwise("")
+    part = lambda f, x: F.concat(marks("0", x["start"] - f), marks("1", x["end"] - F.greatest(f, x["start"])))
+    return F.array_join(F.zip_with(reached(spans_), spans_, part), "").cast("binary")
+
+
+def hidden(cover: Column, o: Column) -> Column:
+    """Whether a span meets one that made `cover`; bytes are cut out without counting from the start."""
+    return F.contains(F.substring(cover, o["start"] + 1, o["end"] - o["start"]).cast("string"), F.lit("1"))
 
 
 def pattern_list(o: Column) -> Column:
@@ -172,6 +199,16 @@ def report(docs: DataFrame, **how) -> DataFrame:
     return got.select("doc_id", *(c.alias(n) for n, c in count.items()), F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"), written(every).alias("spans"), F.size("more").cast("long").alias("n_id"))
 
 
+#: Characters of a piece of text that is cut without counting from the text's start.
+CUT = 1024
+
+
+def piece(cut: Column, start: Column, end: Column) -> Column:
+    """The characters from start to end (exclusive) of a text in pieces of CUT characters; empty where there are none."""
+    part = lambda k: F.substring(F.get(cut, k), F.greatest(F.lit(0), start - k * CUT) + 1, F.least(end, (k + 1) * CUT) - F.greatest(start, k * CUT))
+    return F.when(end > start, F.array_join(F.transform(F.sequence(F.floor(start / CUT).cast("int"), F.floor((end - 1) / CUT).cast("int")), part), "")).otherwise("")
+
+
 def redact(docs: DataFrame, **how) -> DataFrame:
     """docs with every span replaced by its kind in brackets; of overlapping spans the first, longest one covers the rest.
 
@@ -182,13 +219,11 @@ def redact(docs: DataFrame, **how) -> DataFrame:
     got = extract(keyed.select(F.col("key").alias("doc_id"), row("text").alias("text")), **how).where((F.size("base") > 0) | (F.size("more") > 0))
     both = keyed.join(got.select(F.col("doc_id").alias("key"), F.array_sort(F.concat("base", "more")).alias("spans")), "key", "left")
     name = lambda k: F.get(F.array(*(F.lit(f"[{x.upper()}]") for x in KINDS)), k)
-    zero = F.struct(F.lit(0).alias("end"), F.lit("").alias("out"))
-
-    def step(acc, x):
-        tail = F.struct(F.greatest(acc["end"], x["end"]).alias("end"), acc["out"].alias("out"))
-        return F.when(x["start"] < acc["end"], tail).otherwise(F.struct(x["end"].alias("end"), F.concat(acc["out"], F.substring(row("text"), acc["end"] + 1, x["start"] - acc["end"]), name(x["kind"])).alias("out")))
-
-    text = F.aggregate("spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(row("text"), acc["end"] + 1, F.char_length(row("text")))))
+    both = both.withColumn("cut", F.when(F.col("spans").isNotNull(), F.regexp_extract_all(row("text"), F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0)))).withColumn("far", F.when(F.col("spans").isNotNull(), reached(F.col("spans"))))
+    last = F.greatest(F.element_at("far", -1), F.element_at("spans", -1)["end"])
+    # a span that begins beyond all before it stands for itself; one within them adds to what they cover
+    kept = lambda f, x: F.concat(piece(F.col("cut"), f, x["start"]), F.when(x["start"] >= f, name(x["kind"])).otherwise(""))
+    text = F.concat(F.array_join(F.zip_with("far", "spans", kept), ""), piece(F.col("cut"), last, F.char_length(row("text"))))  # `cut` and `far` stand more than once: worked out before
     both = both.withColumn("clean", F.when(F.col("spans").isNull() | row("text").isNull(), row("text")).otherwise(text))
     new = {"text": F.col("clean")}
     if "n_chars" in docs.columns:
