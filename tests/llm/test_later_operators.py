@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidebook.llm import chat, clusters, decontaminate, divergence, pii
+from tidebook.llm import chat, clusters, decontaminate, divergence, pii, urls
 
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -233,3 +233,47 @@ def test_overlapping_spans_are_replaced_once(spark, seed):
                 out += texts[x["doc_id"]][at:start] + f"[{pii.KINDS[kind].upper()}]"
             at = max(at, end)
         assert x["text"] == out + texts[x["doc_id"]][at:]
+
+
+@pytest.mark.parametrize("k", [8, 25])
+def test_segments_together_and_apart(spark, k):
+    """URLs that share a path of k segments, which others have alone: as many rules as pairs of classes, not 2^k."""
+    shared = "/".join(f"seg{chr(97 + i)}" for i in range(k))
+    bad = [f"http://h{'abcdef'[i]}.x/{shared}" for i in range(6)]
+    fine = [f"http://g{'abcdef'[j]}.y/seg{chr(97 + i)}" for i in range(k) for j in range(6)]
+    more = [f"http://z{chr(97 + i % 26)}.w/other" for i in range(60)]
+    known = spark.createDataFrame([(u, True) for u in bad] + [(u, False) for u in fine + more], "url string, blocked boolean")
+    rules = urls.mine(known)
+    assert 0 < rules.count() < 10 * k * k
+    new = ["http://new.v/sega/segb", "http://new.v/sega", "http://new.v/" + shared]
+    pages = spark.createDataFrame(list(enumerate(bad + fine + more + new)), "page_id long, url string")
+    blocked = {x["url"] for x in urls.matched(pages, rules).collect()}
+    assert blocked == {*bad, new[0], new[2]}
+
+
+def test_no_transaction_is_long(spark):
+    """Many items beside a pivot are mined in groups; rules of three tokens are all found."""
+    r = random.Random(13)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [("http://s.t/" + "/".join("p" + x for x in sorted(r.sample(letters, 16))), None) for _ in range(160)]
+    rows = [(u, "/pa/" in u and "/pz" in u or r.random() < 0.1) for u, _ in rows]
+    known = spark.createDataFrame(rows, "url string, blocked boolean")
+    groups = urls.pivoted(known.groupBy("url").agg(F.count("*").alias("n"), F.count_if("blocked").alias("bad")), 5)[1]
+    assert groups.groupBy("pivot", "group").count().where(f"count > {urls.MOST // 2}").join(groups.groupBy("pivot").agg(F.count("*").alias("all")).where(f"all > {urls.MOST}"), "pivot").count() == 0
+    rules = {frozenset(x["tokens"]): (x["n"], x["confidence"]) for x in urls.mine(known, support=0.0, least=12).collect()}
+    have = [({t for t in x["tokens"] if t.startswith("path=")}, x["blocked"]) for x in known.withColumn("tokens", urls.tokens(F.col("url"))).collect()]
+    for i, a in enumerate(letters):
+        for b in letters[i + 1 :]:
+            own = [bad for ts, bad in have if {f"path=p{a}", f"path=p{b}"} <= ts]
+            if sum(own) >= 12 and sum(own) >= 0.6 * len(own):
+                assert rules[frozenset({f"path=p{a}", f"path=p{b}"})] == (len(own), pytest.approx(sum(own) / len(own)))
+    assert any(len(x) == 2 for x in rules)
+
+
+def test_pages_of_odd_shapes(spark):
+    rows = [("http://bad.x/win", True)] * 3000 + [(f"http://fine.y/{i}/read", False) for i in range(40)] + [(None, True), ("x", None), ("http://bad.x/" + "a" * 100_000, False)]
+    known = spark.createDataFrame(rows, "url string, blocked boolean")
+    pages = spark.createDataFrame([(1, "http://bad.x/win"), (1, "http://bad.x/win"), (None, None), (2, "")], "page_id long, url string").withColumns({"_hit": F.lit("x"), "tokens": F.lit(1), "host": F.lit(2), "own": F.lit(3)})
+    got = sorted(map(str, (tuple(x)[:2] + (x["verdict"],) for x in urls.judge(pages, known).collect())))
+    assert got == sorted(map(str, [(1, "bad.x", "block"), (1, "bad.x", "block"), (None, "", "allow"), (2, "", "allow")]))
+    assert urls.judge(pages.limit(0), known).count() == 0 == urls.judge(pages.limit(0), known.limit(0)).count()
