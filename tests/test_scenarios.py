@@ -259,7 +259,7 @@ def test_as_of_tie_goes_back(spark):
     left = spark.createDataFrame([(0, "A", 10), (1, "A", 3), (2, "B", 5), (3, "A", None)], "seq long, symbol string, t long")
     right = spark.createDataFrame([("A", 8, 1.0), ("A", 12, 2.0), ("A", 3, 3.0)], "symbol string, t long, v double")
     got = {r["seq"]: r["v"] for r in research.as_of(left, right, "t", ["symbol"], ["v"]).collect()}
-    assert got == {0: 1.0, 1: 3.0, 2: None}
+    assert got == {0: 1.0, 1: 3.0, 2: None, 3: None}
 
 
 def test_alert_history(spark):
@@ -394,15 +394,62 @@ def test_a_bad_price_stays_in_its_window(spark):
 
 def test_as_of_agrees_with_brute_force(spark):
     r = random.Random(6)
-    left = [(r.choice("AB"), i, r.randint(0, 400)) for i in range(80)] + [("C", 99, 5), ("A", 100, None)]
-    right = [(k, t, float(t)) for k in "AB" for t in sorted(r.sample(range(400), 40))] + [("A", None, 1.0)]
-    frames = spark.createDataFrame(left, "symbol string, seq long, t long"), spark.createDataFrame(right, "symbol string, t long, v double")
+    left = [(r.choice("AB"), i, r.randint(0, 400)) for i in range(80)] + [("C", 99, 5), ("A", 100, None), (None, 101, None), (None, 102, 3)]
+    right = [(k, t, float(t), 5) for k in "AB" for t in sorted(r.sample(range(400), 40))] + [("A", None, 1.0, 9)]
+    right += [(k, t, -1.0, 4) for k, t, *_ in right[::3]] + [(k, t, None, 3) for k, t, *_ in right[::5]]  # of one time the row of rank 5 counts
+    frames = spark.createDataFrame(left, "symbol string, seq long, t long"), spark.createDataFrame(right, "symbol string, t long, v double, rank int")
     for direction in ("backward", "forward", "nearest"):
-        got = {x["seq"]: x["v"] for x in research.as_of(*frames, "t", ["symbol"], ["v"], direction, chunk=50).collect()}
+        got = {x["seq"]: x["v"] for x in research.as_of(*frames, "t", ["symbol"], ["v"], direction, chunk=50, ties="rank").collect()}
+        assert len(got) == len(left)
         for k, seq, t in left:
             if t is None:
-                assert seq not in got
+                assert got[seq] is None  # kept, without a match
                 continue
-            own = [u for s, u, _ in right if s == k and u is not None and (direction != "backward" or u <= t) and (direction != "forward" or u >= t)]
+            own = [u for s, u, *_ in right if s == k and u is not None and (direction != "backward" or u <= t) and (direction != "forward" or u >= t)]
             want = min(own, key=lambda u: (abs(u - t), u > t), default=None)
             assert got[seq] == (None if want is None else float(want)), (direction, k, seq)
+
+
+def test_as_of_ties_take_the_largest_values(spark):
+    left = spark.createDataFrame([("A", 1, 5), ("A", 2, 3)], "symbol string, seq long, t long")
+    right = spark.createDataFrame([("A", 4, 1.0, "x"), ("A", 4, 2.0, "a"), ("A", 4, 2.0, "b")], "symbol string, t long, v double, w string")
+    for direction, seq in (("backward", 1), ("forward", 2)):
+        got = {x["seq"]: (x["v"], x["w"]) for x in research.as_of(left, right, "t", ["symbol"], ["v", "w"], direction).collect()}
+        assert got == {seq: (2.0, "b"), 3 - seq: (None, None)}
+
+
+@pytest.mark.parametrize("keys", [(), ("k",)])
+def test_exact_selection_in_passes(spark, monkeypatch, keys):
+    """Ranks by narrowing ranges: skewed values, ties, infinities, nulls and small groups; against sorted lists."""
+    r = random.Random(7)
+    rows = [("A", r.choice([r.gauss(0, 1), 10 ** r.uniform(-300, 300), 5.0])) for _ in range(4000)] + [("B", 7.0)] * 900 + [("B", float("inf")), ("B", -1.0), (None, 3.0), (None, None), ("C", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    monkeypatch.setattr(research, "SORTED", 60)
+    monkeypatch.setattr(research, "EDGES", 8)
+    shares = {"low": 0.0, "q": 0.123, "mid": 0.5, "p99": 0.99, "top": 1.0}
+    got = {tuple(x[k] for k in keys): x for x in research.quantiles(df, "v", shares, *keys).collect()}
+    groups = {}
+    for k, v in rows:
+        groups.setdefault((k,) if keys else (), []).append(v)
+    for k, vs in groups.items():
+        vs = sorted(v for v in vs if v is not None)
+        assert got[k]["n"] == len(vs)
+        for name, p in shares.items():
+            at = p * (len(vs) - 1)
+            lo, hi = (vs[int(at)], vs[min(len(vs) - 1, int(at) + 1)]) if vs else (None, None)
+            if not vs or at == int(at) or lo == hi:
+                assert got[k][name] == lo, (k, name)
+            else:
+                assert got[k][name] == pytest.approx(lo + (at - int(at)) * (hi - lo)), (k, name)
+
+
+@pytest.mark.parametrize("case", ["future tick", "no volumes"])
+def test_gate_settles_what_is_surely_rejected(spark, case):
+    """One accepted tick far ahead, or one late tick where no volume is known: later rows are no run for Python."""
+    us = list(range(0, 5_000_000_000, 1_000_000))
+    if case == "future tick":
+        rows = [("A", i, t if i != 10 else 10**12, 10 * i, True) for i, t in enumerate(us)]
+    else:
+        rows = [("A", i, t if i != 2000 else 5, None, True) for i, t in enumerate(us)]
+    known = quality.runs(spark.createDataFrame(rows, "_sym string, seq long, us long, volume long, good boolean"))
+    assert known.where("doubtful").count() == 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,7 +60,7 @@ def stateless(snapshots: DataFrame, allowed: tuple[str, ...] = ()) -> DataFrame:
 
 
 DAY = 86_400_000_000
-#: Runs of the gate that go through Python together.
+#: Runs of the gate that go to one task of Python at least.
 RUNS = 4096
 
 
@@ -86,8 +86,9 @@ def runs(keys: DataFrame) -> DataFrame:
     """Adds to (seq, _sym, us, volume, good) the state before each row, the run it belongs to and whether the run is doubtful.
 
     A good row later than all good rows before, whose volume isn't below any that could count, is accepted whatever
-    happened to those: it is sure. One with a volume settles the whole state and begins a run. Rows that aren't good
-    change nothing. So in a run without good rows that aren't sure the state is known: the last sure row's.
+    happened to those: it is sure. A row that is not later than the last sure one is rejected whatever happened since. A sure
+    row with a volume, or before which no volume was known, settles the whole state and begins a run. Rows that aren't
+    good or are rejected in any case change nothing. So in a run without other rows the state is known: the last sure row's.
     """
     by = Window.partitionBy("_sym").orderBy("seq")
     before, day = by.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("_sym", "_day").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
@@ -102,10 +103,11 @@ def runs(keys: DataFrame) -> DataFrame:
         {
             "last_us": F.last(F.when(F.col("_sure"), F.col("us")), True).over(before),
             "last_volume": F.last(F.when(F.col("_sure"), F.col("volume")), True).over(before),
-            "run": F.count(F.when(F.col("_sure") & F.col("volume").isNotNull(), 1)).over(by.rowsBetween(Window.unboundedPreceding, 0)),
+            "run": F.count(F.when(F.col("_sure") & (F.col("volume").isNotNull() | F.col("_most").isNull()), 1)).over(by.rowsBetween(Window.unboundedPreceding, 0)),
         }
     )
-    doubt = F.max(good & ~F.col("_sure")).over(Window.partitionBy("_sym", "run"))
+    lost = F.coalesce(F.col("us") <= F.col("last_us"), F.lit(False))
+    doubt = F.max(good & ~F.col("_sure") & ~lost).over(Window.partitionBy("_sym", "run"))
     return df.select("seq", "_sym", "us", "volume", "good", "_day", "last_us", "last_volume", "run", doubt.alias("doubtful"))
 
 
@@ -113,25 +115,34 @@ def gate(snapshots: DataFrame, allowed: tuple[str, ...] = ()) -> DataFrame:
     """stateless() with the sequential codes added, from each symbol's rows in order of arrival.
 
     Acceptance depends on earlier acceptance, which windows can't express, but only from a row that might be rejected on
-    to the next that is surely accepted. Such runs alone go through Python, a few thousand neighbours together (a run's
-    first row is accepted whatever came before); books stay in the JVM, and what is rejected late is joined back by seq.
+    to the next that is surely accepted. Such runs alone go through Python, in order and batch by batch (a run's first row
+    is accepted whatever came before), so that no run, however long, is held as a whole; books stay in the JVM, and what is
+    rejected late is joined back by seq.
     """
     df = stateless(snapshots, allowed)
     keys = df.select("seq", F.coalesce("symbol", F.lit("")).alias("_sym"), F.unix_micros("ts").alias("us"), "volume", (F.size("reasons") == 0).alias("good"))
     known = runs(keys)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="stable")  # a run's first row brings the state to what it is
-        null = lambda c: [None if pd.isna(x) else int(x) for x in pdf[c]]
-        codes, _ = fold(zip(null("us"), null("volume"), pdf["good"].tolist()), None)
-        return pd.DataFrame({"seq": pdf["seq"], "_late": codes})
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, state = None, None
+        for b in batches:
+            c = {k: b.column(k).to_pylist() for k in ("seq", "_sym", "us", "volume", "good", "run")}
+            late = []
+            edges = [i for i in range(1, b.num_rows) if (c["_sym"][i], c["run"][i]) != (c["_sym"][i - 1], c["run"][i - 1])]
+            for i, j in zip([0, *edges], [*edges, b.num_rows]):
+                if run != (c["_sym"][i], c["run"][i]):
+                    run, state = (c["_sym"][i], c["run"][i]), None
+                codes, state = fold(zip(c["us"][i:j], c["volume"][i:j], c["good"][i:j]), state)
+                late += codes
+            yield pa.RecordBatch.from_arrays([b.column("seq"), pa.array(late, pa.list_(pa.string()))], names=["seq", "_late"])
 
     back = F.col("us") <= F.col("last_us")
     fall = (F.col("_day") == F.floor(F.col("last_us") / DAY)) & (F.col("volume") < F.col("last_volume"))
     codes = F.array_compact(F.array(F.when(back, "non_monotonic_timestamp"), F.when(fall, "cumulative_volume_decrease")))
-    settled = known.where(~F.col("doubtful") & ~F.col("good") & (back | fall)).select("seq", codes.alias("_late"))
+    settled = known.where(~F.col("doubtful") & (~F.col("good") | back) & (back | fall)).select("seq", codes.alias("_late"))
     doubtful = known.where("doubtful").select("seq", "_sym", "us", "volume", "good", "run")
-    late = settled.unionAll(doubtful.groupBy("_sym", F.floor(F.col("run") / RUNS).alias("runs")).applyInPandas(run, "seq long, _late array<string>").where(F.size("_late") > 0))
+    walked = doubtful.repartition("_sym", F.floor(F.col("run") / RUNS)).sortWithinPartitions("_sym", "run", "seq").mapInArrow(walk, "seq long, _late array<string>")
+    late = settled.unionAll(walked.where(F.size("_late") > 0))
     both = df.join(late, "seq", "left")
     out = both.withColumn("reasons", F.concat("reasons", F.coalesce("_late", F.array().cast("array<string>")))).drop("_late")
     return out.withColumn("accepted", F.size("reasons") == 0)

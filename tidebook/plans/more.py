@@ -101,7 +101,7 @@ query("a8_histogram", f"{SPREADS}, m as (select symbol, min(relative_spread) lo,
     lambda s, d: rounded(research.histogram(spreads(s, d), "relative_spread", 60))
 )
 query("a9_percentiles", " select symbol, " + ", ".join(f"{R(f'quantile_cont(ltp, 0.{p})')} p{p}" for p in (50, 95, 99)) + " from ticks group by symbol")(
-    lambda s, d: rounded(ticks(s, d).groupBy("symbol").agg(*(F.percentile("ltp", F.lit(p / 100)).alias(f"p{p}") for p in (50, 95, 99))))
+    lambda s, d: rounded(research.quantiles(ticks(s, d), "ltp", {f"p{p}": p / 100 for p in (50, 95, 99)}, "symbol").drop("n"))
 )
 
 
@@ -165,10 +165,20 @@ def asof(s: SparkSession, d: str, direction: str) -> DataFrame:
     return research.as_of(left, t.select("symbol", "us", "ltp"), "us", ["symbol"], ["ltp"], direction)
 
 
-for _name in ("asof", "whole"):
-    query(f"j1_{_name}_nearest", f"{_asof} select seq, symbol, us, case when frus is null or us - brus <= frus - us then bltp else fltp end ltp from b join f using (seq)")(lambda s, d: asof(s, d, "nearest"))
-    query(f"j1_{_name}_backward", f"{_asof} select seq, symbol, us, bltp ltp from b")(lambda s, d: asof(s, d, "backward"))
-    query(f"j1_{_name}_forward", f"{_asof} select seq, symbol, us, fltp ltp from b join f using (seq)")(lambda s, d: asof(s, d, "forward"))
+def ragged_asof(s: SparkSession, d: str, direction: str) -> DataFrame:
+    """Every tick, one in 97 without a time, with all ticks at whole hours, of which the last of its hour counts."""
+    t = ticks(s, d)
+    left = t.select("seq", "symbol", F.when(F.col("seq") % 97 > 0, F.col("us")).alias("us"))
+    hours = t.select("symbol", (F.floor(F.col("us") / 3_600_000_000) * 3_600_000_000).alias("us"), "ltp", "seq")
+    return research.as_of(left, hours, "us", ["symbol"], ["ltp"], direction, ties="seq").drop("us")
+
+
+_ragged = """, l as (select seq, symbol, case when seq % 97 > 0 then us end us from ticks), r as (select symbol, us // 3600000000 * 3600000000 rus, max_by(ltp, seq) ltp from ticks group by all),
+b as (select l.seq, l.symbol, l.us, r.rus brus, r.ltp bltp from l asof left join r on l.symbol = r.symbol and l.us >= r.rus), f as (select l.seq, r.rus frus, r.ltp fltp from l asof left join r on l.symbol = r.symbol and l.us <= r.rus)"""
+for _name, _from, _how, _us in (("asof", _asof, asof, ", us"), ("whole", _ragged, ragged_asof, "")):
+    query(f"j1_{_name}_nearest", f"{_from} select seq, symbol{_us}, case when frus is null or us - brus <= frus - us then bltp else fltp end ltp from b join f using (seq)")(lambda s, d, f=_how: f(s, d, "nearest"))
+    query(f"j1_{_name}_backward", f"{_from} select seq, symbol{_us}, bltp ltp from b")(lambda s, d, f=_how: f(s, d, "backward"))
+    query(f"j1_{_name}_forward", f"{_from} select seq, symbol{_us}, fltp ltp from b join f using (seq)")(lambda s, d, f=_how: f(s, d, "forward"))
 query("j2_positional_join", f"{SPREADS} select seq, symbol, {R('spread')} spread, volume from sp")(lambda s, d: rounded(research.aligned(spreads(s, d).select("seq", "symbol", "spread"), ticks(s, d).select("seq", "symbol", "volume"))))
 query("j3_parameter_grid", None)(lambda s, d: bt.candidates(s))
 SQL["j3_parameter_grid"] = "select cast(row_number() over (order by e, x, n) - 1 as integer) cand, e entry, x exit, n lookback from (values (1.25::double), (1.5), (2.0)) a(e), (values (0.2::double), (0.4)) b(x), (values (50), (100)) c(n)".replace("values (50), (100)", "values (50::integer), (100)")
