@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,15 +18,26 @@ def placed(ticks: DataFrame, minutes: int = 15) -> DataFrame:
     return ticks.withColumns({"day": F.date_format("ts", "yyyy-MM-dd"), "bucket": session_bucket(F.col("ts"), minutes)})
 
 
-def append(ticks: DataFrame, root: str, minutes: int = 15) -> None:
-    """Append ticks to the Parquet store <root>/symbol=/day=/bucket=, rows of a bucket together."""
-    df = placed(ticks, minutes)
-    df.repartition("symbol", "day", "bucket").sortWithinPartitions("symbol", "day", "bucket", *(["seq"] if "seq" in df.columns else []), "ts").write.partitionBy("symbol", "day", "bucket").mode("append").parquet(root)
+def append(ticks: DataFrame, root: str, minutes: int = 15, epoch: int | None = None) -> None:
+    """Append ticks to the Parquet store <root>/symbol=/day=/bucket=/epoch=, rows of a bucket together.
+
+    What a stream's batch writes is named by its number (`epoch`): a batch that is run again after a failure replaces what it wrote
+    before instead of adding to it. Without one, each call adds.
+    """
+    df = placed(ticks, minutes).withColumn("epoch", F.lit(f"b{epoch}" if epoch is not None else f"a{uuid.uuid4().hex}"))
+    parts = ["symbol", "day", "bucket", "epoch"]
+    df = df.repartition(*parts[:3]).sortWithinPartitions(*parts[:3], *(["seq"] if "seq" in df.columns else []), "ts")
+    df.write.partitionBy(*parts).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(root)
+
+
+def sink(root: str, minutes: int = 15):
+    """A sink for streaming.live.fan_out that keeps each tick once, however often a batch is run."""
+    return lambda batch, epoch: append(batch, root, minutes, epoch)
 
 
 def read_day(spark: SparkSession, root: str, symbol: str, day: str | date) -> DataFrame:
     """Ticks of a symbol's day in order; partitions are pruned. Empty, with the store's columns, if there are none."""
-    fields = [T.StructField("seq", T.LongType()), *TICK.fields, T.StructField("day", T.StringType()), T.StructField("bucket", T.StringType())]
+    fields = [T.StructField("seq", T.LongType()), *TICK.fields, T.StructField("day", T.StringType()), T.StructField("bucket", T.StringType()), T.StructField("epoch", T.StringType())]
     try:
         df = spark.read.schema(T.StructType(fields)).option("basePath", root).parquet(root)
     except Exception as e:

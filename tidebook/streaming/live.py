@@ -1,24 +1,26 @@
-"""Live ticks: one stateful gate by symbol that carries all estimators, and plain plans on each micro-batch.
+"""Live ticks: one stateful operator by symbol that carries the gate and all estimators, and plain plans on each micro-batch.
 
-A symbol's state is the last accepted time and volume, its order flow, session and the last rows of each sliding window;
-it goes through `applyInPandasWithState` over the flat columns that the estimators need. Late or repeated times are
-rejected, not waited for, so there is no watermark. The fields and alerts are those of the batch estimators.
+State lives in variables of `transformWithState`: what a batch doesn't change is not written. The estimators are those of the batch
+(functions.rolling), run over a batch's accepted rows from the state that the last one left. Late or repeated times are
+rejected, not waited for, so there is no watermark but for the rate limit's timers.
 """
 
 from __future__ import annotations
 
-import math
 import time
-from collections import Counter, deque
-from collections.abc import Callable, Iterable
+from collections import Counter
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQueryListener
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
+from tidebook.functions import rolling
 from tidebook.operators import books, quality
+from tidebook.operators import estimators as batch
+from tidebook.operators.alerts import TOPIC
 
 SPANS = (60, 300, 900)
 TOP = ("bid_px_1", "bid_qty_1", "ask_px_1", "ask_qty_1")
@@ -27,259 +29,245 @@ FIELDS = (
     "ofi", "ofi_60s", "ofi_300s", "ofi_900s", "vwap", "vwap_dev", "vwap_stdev", "cum_delta", "kyle_lambda", "kyle_r2", "kyle_t_stat", "amihud_illiq",
     "roll_spread_bps", "roll_serial_cov", "trade_variance_share", "avg_signed_trade_return_bps", "z_spread", "z_volume", "z_ofi",
 )
+#: What alerts and the volume profile need besides.
+MORE = ("tick_volume", "island", "dvol")
+WHOLE = ("cum_delta", "tick_volume", "island", "dvol")
 ALERT = "array<struct<kind:string,severity:string,detail:map<string,double>>>"
 GATE_OUT = ", ".join(
     ["seq long, symbol string, us long, bid_px_1 double, bid_qty_1 long, ask_px_1 double, ask_qty_1 long, ltp double, ltq long, volume long"]
     + [f"{c} double" for c in PASSED]
     + ["reasons array<string>, repaired boolean, accepted boolean"]
-    + [f"{c} {'long' if c == 'cum_delta' else 'double'}" for c in FIELDS]
+    + [f"{c} {'long' if c in WHOLE else 'double'}" for c in (*FIELDS, *MORE)]
     + [f"alerts {ALERT}"]
 )
-#: Rows of each sliding window, numbers of a row.
-WINDOWS = {"kyle": (300, 2), "amihud": (300, 1), "roll": (200, 2), "share": (500, 3), "z_spread": (300, 1), "z_volume": (300, 1), "z_ofi": (300, 1)}
-PLAIN = ("us", "volume", "any_volume", "day", "session_volume", "pv", "ppv", "v", "session_price", "session_side", "delta", "kyle_mid", "kyle_price", "kyle_side", "roll_price", "roll_change", "share_mid", "share_price", "share_side")
-STATE = ", ".join(["counts array<long>, numbers array<double>, top array<double>, flow_us array<long>, flow array<double>"] + [f"w_{k} array<double>" for k in WINDOWS])
-WHOLE = ("us", "volume", "any_volume", "day", "session_volume", "delta")
-
-
-class Recent:
-    """The last `width` rows of numbers with the sums of their products, taken anew every `width` rows so that rounding doesn't pile up."""
-
-    def __init__(self, width: int, numbers: int, saved: Iterable[float] | None = None):
-        flat = list(saved or [])
-        self.width, self.numbers = width, numbers
-        self.rows = deque(tuple(flat[i : i + numbers]) for i in range(0, len(flat), numbers))
-        self.renew()
-
-    def renew(self) -> None:
-        self.pushed = 0
-        self.first = [math.fsum(r[i] for r in self.rows) for i in range(self.numbers)]
-        self.second = {(i, j): math.fsum(r[i] * r[j] for r in self.rows) for i in range(self.numbers) for j in range(i, self.numbers)}
-
-    def add(self, row: tuple, sign: int) -> None:
-        for i in range(self.numbers):
-            self.first[i] += sign * row[i]
-            for j in range(i, self.numbers):
-                self.second[i, j] += sign * row[i] * row[j]
-
-    def push(self, *row: float) -> None:
-        if len(self.rows) == self.width:
-            self.add(self.rows.popleft(), -1)
-        self.rows.append(row)
-        self.add(row, 1)
-        self.pushed += 1
-        if self.pushed >= self.width:
-            self.renew()
-
-    def saved(self) -> list[float]:
-        return [float(x) for r in self.rows for x in r]
-
-
-def sign(change: float) -> int:
-    return (change > 0) - (change < 0)
-
-
-def above(x: float | None) -> bool:
-    return x is not None and 0 < x < math.inf
-
-
-class Symbol:
-    """State of one symbol; `accept` takes an accepted tick and returns its fields."""
-
-    def __init__(self, saved: tuple | None = None):
-        counts, numbers, top, flow_us, flow, *windows = saved or (None,) * (5 + len(WINDOWS))
-        self.top = list(top) if top is not None else None
-        self.flow = deque(zip(flow_us or [], flow or []))
-        whole, rest = [c for c in PLAIN if c in WHOLE], [c for c in PLAIN if c not in WHOLE]
-        for names, values in ((whole, counts), (rest, numbers)):
-            for k, c in enumerate(names):
-                x = values[k] if values is not None else None
-                setattr(self, c, None if x is None or (isinstance(x, float) and math.isnan(x)) else x)
-        for c in ("pv", "ppv", "v", "session_side", "delta", "kyle_side", "share_side"):
-            setattr(self, c, getattr(self, c) or 0)
-        self.sums = [math.fsum(e for t, e in self.flow if self.us is not None and t >= self.us - w * 1_000_000) for w in SPANS]
-        self.ends = [sum(1 for t, _ in self.flow if self.us is None or t < self.us - w * 1_000_000) for w in SPANS]
-        self.recent = {k: Recent(*WINDOWS[k], w) for k, w in zip(WINDOWS, windows)}
-
-    def saved(self) -> tuple:
-        whole, rest = ([getattr(self, c) for c in PLAIN if (c in WHOLE) == w] for w in (True, False))
-        rest = [None if x is None else float(x) for x in rest]
-        return (whole, rest, self.top, [t for t, _ in self.flow], [e for _, e in self.flow], *(r.saved() for r in self.recent.values()))
-
-    def event(self, now: list) -> float:
-        """Order-flow imbalance of this book against the last one with two sides."""
-        if any(x is None for x in now):
-            return 0.0
-        before, self.top = self.top, now
-        if before is None:
-            return 0.0
-        (b, bq, a, aq), (pb, pbq, pa, paq) = now, before
-        bid = bq if b > pb else bq - pbq if b == pb else -pbq
-        ask = -aq if a < pa else paq - aq if a == pa else paq
-        return float(bid + ask)
-
-    def flows(self, us: int, e: float) -> list[float]:
-        """Sums of the events of each span; events are whole numbers, so that running sums are exact."""
-        if e:
-            self.flow.append((us, e))
-            self.sums = [x + e for x in self.sums]
-        for k, w in enumerate(SPANS):
-            while self.ends[k] < len(self.flow) and self.flow[self.ends[k]][0] < us - w * 1_000_000:
-                self.sums[k] -= self.flow[self.ends[k]][1]
-                self.ends[k] += 1
-        for _ in range(self.ends[-1]):  # out of the longest span
-            self.flow.popleft()
-        self.ends = [x - self.ends[-1] for x in self.ends]
-        return self.sums
-
-    def session(self, us: int, ltp: float | None, volume: int | None) -> None:
-        day = us // quality.DAY
-        if day != self.day:
-            self.restart(day)
-        if ltp is None or volume is None:
-            return
-        if self.session_volume is not None and volume < self.session_volume:
-            self.restart(day)
-        traded = volume - self.session_volume if self.session_volume is not None else 0
-        self.session_volume = volume
-        if traded > 0:
-            self.pv, self.ppv, self.v = self.pv + ltp * traded, self.ppv + ltp * ltp * traded, self.v + traded
-            if self.session_price is not None:
-                self.session_side = sign(ltp - self.session_price) or self.session_side
-            self.session_price = ltp
-            self.delta += int(self.session_side) * traded
-
-    def restart(self, day: int) -> None:
-        self.day, self.session_volume, self.pv, self.ppv, self.v, self.session_price, self.session_side, self.delta = day, None, 0, 0, 0, None, 0, 0
-
-    def impact(self, mid: float | None, ltp: float | None, ltq: int | None) -> dict:
-        """Kyle's and Amihud's measures."""
-        out = {}
-        if not (above(mid) and above(ltp) and ltq is not None):
-            return out
-        if self.kyle_price is not None:
-            self.kyle_side = sign(ltp - self.kyle_price) or self.kyle_side
-        before, self.kyle_mid, self.kyle_price = self.kyle_mid, mid, ltp
-        if before is None:
-            return out
-        y = (mid - before) / before * 1e4
-        k = self.recent["kyle"]
-        k.push(self.kyle_side * ltq, y)
-        n, (sx, sy) = len(k.rows), k.first
-        if n >= 30:
-            sxx, sxy, syy = k.second[0, 0] - sx * sx / n, k.second[0, 1] - sx * sy / n, k.second[1, 1] - sy * sy / n
-            flat = sxx < 1e-12 * max(1.0, k.second[0, 0])
-            slope = 0.0 if flat else sxy / sxx
-            rest = max(0.0, syy - slope * sxy)
-            out |= {"kyle_lambda": slope, "kyle_r2": 0.0 if flat or syy <= 0 else max(0.0, 1 - rest / syy), "kyle_t_stat": 0.0 if flat or rest <= 0 else slope / math.sqrt(rest / (n - 2) / sxx)}
-        if ltp * ltq > 0:
-            r = self.recent["amihud"]
-            r.push(abs(y) / (ltp * ltq) * 1e6)
-            out["amihud_illiq"] = r.first[0] / len(r.rows)
-        return out
+MINUTE = 60_000_000
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """State of several variables and timers needs this store of states; it writes what has changed."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def estimators() -> dict[str, object]:
+    """What metrics and alerts take; the order-flow event comes with its score."""
+    some = batch.metrics_estimators()
+    del some["flow"]
+    return some | batch.score_estimators()
 
-    def bounce(self, mid: float | None, ltp: float | None) -> dict:
-        """Roll's spread."""
-        if not above(ltp):
-            return {}
-        change = ltp - self.roll_price if self.roll_price is not None else None
-        before, self.roll_price, self.roll_change = self.roll_change, ltp, change
-        if change is None or before is None:
-            return {}
-        r = self.recent["roll"]
-        r.push(change, before)
-        n = len(r.rows)
-        if n < 30:
-            return {}
-        cov = r.second[0, 1] / n - r.first[0] / n * r.first[1] / n
-        return {"roll_serial_cov": cov, "roll_spread_bps": 2 * math.sqrt(-cov) / mid * 1e4 if cov < 0 and above(mid) else 0.0}
-
-    def share(self, mid: float | None, ltp: float | None) -> dict:
-        """Shares of the variance of trades and quotes."""
-        if not (above(mid) and above(ltp)):
-            return {}
-        if self.share_price is not None:
-            self.share_side = sign(ltp - self.share_price) or self.share_side
-        pm, pp, self.share_mid, self.share_price = self.share_mid, self.share_price, mid, ltp
-        if pm is None:
-            return {}
-        t, q = (ltp - pp) / pp * 1e4, (mid - pm) / pm * 1e4
-        r = self.recent["share"]
-        r.push(t, q, self.share_side * t)
-        n = len(r.rows)
-        if n < 50:
-            return {}
-        vt, vq = (max(0.0, r.second[i, i] / n - (r.first[i] / n) ** 2) for i in (0, 1))
-        return {"trade_variance_share": vt / (vt + vq) if vt + vq > 0 else 0.5, "avg_signed_trade_return_bps": r.first[2] / n}
-
-    def score(self, name: str, value: float | None) -> float | None:
-        """The value against those before it."""
-        if value is None or math.isnan(value):
-            return None
-        r = self.recent[name]
-        n, out = len(r.rows), None
-        if n >= 5:
-            mean = r.first[0] / n
-            square = r.second[0, 0] / n
-            var = square - mean * mean
-            std = math.sqrt(var) if var > 1e-13 * square else 0.0
-            out = (value - mean) / std if std >= 1e-9 else None
-        r.push(value)
-        return out
 
-    def accept(self, us: int, top: list, ltp: float | None, ltq: int | None, volume: int | None, mid: float | None, spread: float | None) -> dict:
-        """The fields of a tick that the gate has accepted."""
-        e = self.event(top)
-        out = {"ofi": e} | dict(zip(("ofi_60s", "ofi_300s", "ofi_900s"), self.flows(us, e)))
-        self.us, self.volume = us, volume if volume is not None else self.volume
-        self.session(us, ltp, volume)
-        vwap = self.pv / self.v if self.v else None
-        out |= {"vwap": vwap, "vwap_dev": (ltp - vwap) / vwap if vwap and ltp is not None else 0.0, "vwap_stdev": math.sqrt(max(0.0, self.ppv / self.v - vwap * vwap)) if self.v else None, "cum_delta": int(self.delta)}
-        out |= self.impact(mid, ltp, ltq) | self.bounce(mid, ltp) | self.share(mid, ltp)
-        rise = None if volume is None else max(0, volume - self.any_volume) if self.any_volume is not None else 0
-        self.any_volume = volume if volume is not None else self.any_volume
-        return out | {"z_spread": self.score("z_spread", spread), "z_volume": self.score("z_volume", rise), "z_ofi": self.score("z_ofi", e), "tick_volume": rise}
-
-
-def raised(f: dict, spread: float | None, threshold: float = 3.0) -> list[dict]:
-    """Alerts of a tick in order spread, volume, flow."""
-    rows = (("spread_blowup", "z_spread", {"spread": spread}), ("volume_spike", "z_volume", {"tick_volume": f["tick_volume"]}), ("ofi_extreme", "z_ofi", {"ofi": round(f["ofi"], 2)}))
+def raised(f: dict, threshold: float = 3.0) -> list[dict]:
+    """Alerts of a tick's fields in order spread, volume, flow."""
+    rows = (("spread_blowup", "z_spread", {"spread": f["spread"]}), ("volume_spike", "z_volume", {"tick_volume": f["tick_volume"]}), ("ofi_extreme", "z_ofi", {"ofi": round(f["ofi"], 2)}))
     out = []
     for kind, name, detail in rows:
         z = f[name]
-        if z is not None and (abs(z) if name == "z_ofi" else z) > threshold:
+        if (abs(z) if name == "z_ofi" else z) > threshold:  # nan is not
             severity = "warn" if abs(z) < 1.5 * threshold else "critical"
             out.append({"kind": kind, "severity": severity, "detail": {k: float(v) for k, v in detail.items()} | {"zscore": round(z, 2)}})
     return out
 
 
-def _none(x):
-    return None if x is None or (not isinstance(x, (list, tuple)) and pd.isna(x)) else x
-
-
-def _run(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState):
-    s = Symbol(state.get if state.exists else None)
-    pdf = pd.concat(list(frames)).sort_values("seq", kind="stable")
-    out = []
-    for r in pdf.itertuples(index=False):
-        us, volume, ltq = (None if _none(x) is None else int(x) for x in (r.us, r.volume, r.ltq))
-        codes, _ = quality.fold([(us, volume, True)], (s.us, s.volume))
-        reasons = list(r.reasons) + codes[0]
-        ltp, mid, spread = _none(r.ltp), _none(r.midprice), _none(r.spread)
-        top = [_none(getattr(r, c)) for c in TOP]
-        f = {} if reasons else s.accept(us, [None if x is None else float(x) for x in top], ltp, ltq, volume, mid, spread)
-        passed = [_none(getattr(r, c)) for c in PASSED]
-        out.append((r.seq, r.symbol, us, *top, ltp, ltq, volume, *passed, reasons, bool(r.repaired), not reasons, *(f.get(c) for c in FIELDS), [] if reasons else raised(f, spread)))
-    state.update(s.saved())
-    frame = pd.DataFrame(out, columns=[c.split()[0] for c in GATE_OUT.replace(ALERT, "alerts").split(", ")])
-    yield frame.astype({c: "Int64" for c in ("us", "bid_qty_1", "ask_qty_1", "ltq", "volume", "cum_delta")} | {c: "float64" for c in FIELDS if c != "cum_delta"} | {c: "float64" for c in ("bid_px_1", "ask_px_1", "ltp", *PASSED)})
+class Ticks(StatefulProcessor):
+    """A symbol's gate and estimators. State: last accepted time and volume; a variable for each estimator, a few numbers and its
+    window's last rows, as functions.rolling has them; order-flow events of the longest span by minute, of which a batch
+    writes its own minutes and deletes those that have left the span."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.estimators = estimators()
+        self.gate = handle.getValueState("gate", "us long, volume long")
+        self.parts = {k: handle.getValueState(f"s_{k}", "x array<double>") for k in self.estimators}
+        self.minutes = handle.getMapState("minutes", "minute long", "us array<long>, e array<double>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows)).sort_values("seq", kind="stable").reset_index(drop=True)
+        whole = lambda c: [None if pd.isna(x) else int(x) for x in pdf[c]]
+        us, volume = whole("us"), whole("volume")
+        early = [list(x) for x in pdf["reasons"]]
+        last = self.gate.get() if self.gate.exists() else (None, None)
+        late, last = quality.fold(zip(us, volume, [not x for x in early]), tuple(last))
+        reasons = [x + y for x, y in zip(early, late)]
+        pdf["reasons"], pdf["accepted"], pdf["repaired"] = reasons, [not x for x in reasons], pdf["repaired"].astype(bool)
+        ok = np.flatnonzero(pdf["accepted"].to_numpy())
+        fields = {c: np.full(len(pdf), np.nan) for c in (*FIELDS, *MORE)}
+        pdf["alerts"] = [[] for _ in range(len(pdf))]
+        if len(ok):
+            self.gate.update(last)
+            good = pdf.iloc[ok]
+            times = np.array([us[i] for i in ok], np.int64)
+            r = {batch.NAMES.get(c, c): good[c].to_numpy(np.float64, na_value=np.nan) for c in (*TOP, "ltp", "ltq", "volume", "midprice", "spread")} | {"day": (times // quality.DAY).astype(float)}
+            for k, e in self.estimators.items():
+                state = self.parts[k]
+                old = np.array(state.get()[0], float) if state.exists() else rolling.NONE
+                for f, v in zip(e.fields, e.run(old, r)):
+                    fields[f][ok] = v
+                new = e.join(old, e.part(r))
+                if not np.array_equal(new, old, equal_nan=True):
+                    state.update((new.tolist(),))
+            for w, v in zip(SPANS, self.flows(times, fields["ofi"][ok])):
+                fields[f"ofi_{w}s"][ok] = v
+            shown = fields | {"spread": pdf["spread"].to_numpy(np.float64, na_value=np.nan)}
+            over = ok[(fields["z_spread"][ok] > 3) | (fields["z_volume"][ok] > 3) | (np.abs(fields["z_ofi"][ok]) > 3)]
+            for i in over:
+                pdf.at[i, "alerts"] = raised({k: float(v[i]) for k, v in shown.items()})
+        for c, v in fields.items():
+            pdf[c] = pd.Series(v).astype("Int64") if c in WHOLE else v
+        yield pdf[[c.split()[0] for c in GATE_OUT.replace(ALERT, "alerts").split(", ")]].astype({c: "Int64" for c in ("us", "bid_qty_1", "ask_qty_1", "ltq", "volume")})
+
+    def flows(self, us: np.ndarray, e: np.ndarray) -> list[np.ndarray]:
+        """Sums of events over each span up to each of the accepted times, which rise; events are whole numbers, so sums are exact."""
+        held = dict(sorted((k[0], v) for k, v in self.minutes.iterator()))
+        old_us, old_e = (np.array([x for v in held.values() for x in v[i]], kind) for i, kind in ((0, np.int64), (1, float)))
+        all_us, sums = np.concatenate([old_us, us]), np.concatenate([[0.0], np.cumsum(np.concatenate([old_e, e]))])
+        at = np.arange(len(old_us), len(all_us)) + 1
+        out = [sums[at] - sums[np.searchsorted(all_us, us - w * 1_000_000)] for w in SPANS]
+        minute = us // MINUTE
+        for m in np.unique(minute):
+            mine = (minute == m) & (e != 0)
+            if mine.any():
+                before = held.get(int(m), ([], []))
+                self.minutes.updateValue((int(m),), ([*before[0], *us[mine].tolist()], [*before[1], *e[mine].tolist()]))
+        oldest = (int(us[-1]) - SPANS[-1] * 1_000_000) // MINUTE
+        for m in {*held, *map(int, np.unique(minute))}:
+            if m < oldest and self.minutes.containsKey((m,)):
+                self.minutes.removeKey((m,))
+        return out
 
 
 def gated(snapshots: DataFrame, allowed: tuple[str, ...] = ()) -> DataFrame:
-    """A stream of snapshots with codes, acceptance, and of accepted ticks all estimators and alerts."""
+    """A stream of snapshots with codes, acceptance, and of accepted ticks all estimators and alerts.
+
+    A batch's rows of one symbol are sorted in one place: bound batches at the source (`maxFilesPerTrigger` or its like), above all
+    for a first one over a backlog.
+    """
+    use_rocksdb(snapshots.sparkSession)
     df = books.spreads(books.flatten(quality.stateless(snapshots, allowed)))
     rows = df.select("seq", F.coalesce("symbol", F.lit("")).alias("symbol"), F.unix_micros("ts").alias("us"), *TOP, "ltp", "ltq", "volume", *PASSED, "reasons", (F.size("repaired_fields") > 0).alias("repaired"))
-    return rows.groupBy("symbol").applyInPandasWithState(_run, GATE_OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("symbol").transformWithStateInPandas(Ticks(), GATE_OUT, "Append", "None")
+
+
+class Profile(StatefulProcessor):
+    """Volume by price of a symbol's current session: a map that a new session clears. Gives the buckets that a batch has changed."""
+
+    def __init__(self, bucket: float = 0.5):
+        self.bucket = bucket
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.island = handle.getValueState("island", "n long")
+        self.volume = handle.getMapState("volume", "bucket double", "qty long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows))
+        now = self.island.get()[0] if self.island.exists() else -1
+        newest = int(pdf["island"].max())
+        if newest > now:
+            self.volume.clear()
+            self.island.update((newest,))
+        pdf = pdf[(pdf["island"] == max(newest, now)) & (pdf["dvol"] > 0)]
+        place = (np.floor(pdf["ltp"].astype(float) / self.bucket) * self.bucket).round(4)
+        out = []
+        for b, qty in pdf["dvol"].astype("int64").groupby(place).sum().items():
+            total = int(qty) + (self.volume.getValue((b,))[0] if self.volume.containsKey((b,)) else 0)
+            self.volume.updateValue((b,), (total,))
+            out.append((key[0], max(newest, now), b, total))
+        if newest > now and not out:
+            out.append((key[0], newest, None, None))
+        yield pd.DataFrame(out, columns=["symbol", "island", "bucket", "qty"]).astype({"qty": "Int64", "bucket": "float64"})
+
+
+def profiles(gated_rows: DataFrame, bucket: float = 0.5) -> DataFrame:
+    """(symbol, island, bucket, qty): changed buckets of the profile; the highest island's newest rows are the profile. A null bucket: a new session without trades."""
+    rows = gated_rows.where("accepted").select("symbol", "island", "ltp", "dvol")
+    return rows.groupBy("symbol").transformWithStateInPandas(Profile(bucket), "symbol string, island long, bucket double, qty long", "Update", "None")
+
+
+class Queue(StatefulProcessor):
+    """Messages that a subscriber has not taken yet, the newest `size` of them in numbered slots; taking them empties the queue."""
+
+    def __init__(self, size: int):
+        self.size = size
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.ends = handle.getValueState("ends", "first long, next long")
+        self.slots = handle.getMapState("slots", "slot long", "seq long, payload string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows)).sort_values(["seq", "take"], kind="stable")
+        first, following = self.ends.get() if self.ends.exists() else (0, 0)
+        held, out, dropped = None, [], 0
+        new: dict[int, tuple] = {}
+        began = first, following
+        for seq, take, payload in zip(pdf["seq"].tolist(), pdf["take"].tolist(), pdf["payload"].tolist()):
+            if not take:
+                new[following] = (seq, payload)
+                following += 1
+                if following - first > self.size:
+                    new.pop(first, None)
+                    first, dropped = first + 1, dropped + 1
+                continue
+            if held is None:
+                held = {k[0]: v for k, v in self.slots.iterator()}
+            out += [(*key, *(new.get(k) or held[k]), 0) for k in range(first, following)]
+            new, first = {}, following
+        for k in range(began[0], min(first, began[1])):
+            self.slots.removeKey((k,))
+        for k, v in new.items():
+            self.slots.updateValue((k,), v)
+        self.ends.update((first, following))
+        if dropped:
+            out.append((*key, None, None, dropped))
+        yield pd.DataFrame(out, columns=["topic", "subscriber", "seq", "payload", "dropped"]).astype({"seq": "Int64", "dropped": "int64"})
+
+
+def queues(messages: DataFrame, size: int = TOPIC) -> DataFrame:
+    """(topic, subscriber, seq, payload, dropped) from a stream of (topic, subscriber, seq, payload, take boolean).
+
+    A row with `take` hands out what the subscriber's queue of the topic holds, oldest first; other rows are messages for it (see
+    alerts.topics), of which the oldest goes when there are more than `size`. A row with null seq says how many a batch has dropped.
+    """
+    use_rocksdb(messages.sparkSession)
+    return messages.groupBy("topic", "subscriber").transformWithStateInPandas(Queue(size), "topic string, subscriber string, seq long, payload string, dropped long", "Append", "None")
+
+
+def dropped_by_topic(rows: DataFrame) -> dict[str, int]:
+    """Drops of queues(), as series() takes them."""
+    return {r["topic"]: r["n"] for r in rows.groupBy("topic").agg(F.sum("dropped").alias("n")).collect()}
+
+
+class Calls(StatefulProcessor):
+    """Calls of a key by minute, forgotten by a timer when the minute is over."""
+
+    def __init__(self, cap: int):
+        self.cap = cap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.counts = handle.getMapState("counts", "minute long", "n long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        minute = pdf["us"].astype("int64") // MINUTE
+        place = pdf.groupby(minute).cumcount() + 1
+        before = {}
+        for m, n in minute.value_counts().items():
+            before[m] = self.counts.getValue((int(m),))[0] if self.counts.containsKey((int(m),)) else 0
+            self.counts.updateValue((int(m),), (before[m] + int(n),))
+            self.handle.registerTimer((int(m) + 1) * (MINUTE // 1000))
+        pdf["allowed"] = (place + minute.map(before) <= self.cap) if self.cap > 0 else True
+        yield pdf[["key", "seq", "us", "allowed"]]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.counts.removeKey((expiredTimerInfo.getExpiryTimeInMs() * 1000 // MINUTE - 1,))
+        yield pd.DataFrame({"key": pd.Series([], dtype=str), "seq": pd.Series([], dtype="int64"), "us": pd.Series([], dtype="int64"), "allowed": pd.Series([], dtype=bool)})
+
+
+def rate_limited(calls: DataFrame, cap: int = 120, late: str = "0 seconds") -> DataFrame:
+    """(key, seq, us, allowed) of a stream (key, seq, us): whether a call is among the first `cap` of its key and minute; 0 never throttles.
+
+    A minute's count goes once the watermark, `late` behind the newest call, has left the minute; later calls than that are dropped.
+    """
+    use_rocksdb(calls.sparkSession)
+    rows = calls.select("key", "seq", "us", F.timestamp_micros("us").alias("at")).withWatermark("at", late)
+    return rows.groupBy("key").transformWithStateInPandas(Calls(cap), "key string, seq long, us long, allowed boolean", "Append", "EventTime")
 
 
 def alerts_of(gated_rows: DataFrame) -> DataFrame:
