@@ -6,10 +6,10 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from tidebook.operators import alerts, books
+from tidebook.operators import alerts, books, research
 from tidebook.operators import estimators as est
 from tidebook.schema import SNAPSHOT
-from tidebook.sources import store
+from tidebook.sources import store, timings
 from tidebook.streaming import live
 
 T0 = datetime(2026, 9, 7, 9, 15, tzinfo=timezone.utc)
@@ -139,3 +139,16 @@ def test_a_replayed_batch_is_stored_once(spark, tmp_path):
     store.append(one, str(tmp_path / "plain"))
     store.append(one, str(tmp_path / "plain"))
     assert store.read_day(spark, str(tmp_path / "plain"), "AAA", "2026-09-07").count() == 4
+
+
+def test_timings_of_a_real_run(spark, tmp_path):
+    stream = live.gated(files(spark, tmp_path, snapshots(60, 8), SNAPSHOT, 3))
+    q = stream.writeStream.foreachBatch(lambda b, e: b.write.format("noop").mode("append").save()).queryName("profiled").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    table = timings.timings(spark, q)
+    q.stop()
+    rows = table.collect()
+    assert {r["batch"] for r in rows} == {0, 1, 2} and {r["query"] for r in rows} == {"profiled"} and all(r["us"] >= 0 for r in rows)
+    assert {"total", "addBatch", "state0.commit"} <= {r["module"] for r in rows}
+    block = {r["module"]: r for r in research.timing_block(timings.phases(table)).collect()}
+    assert sum(r["share_pct"] for r in block.values()) == pytest.approx(100) and block["addBatch"]["p50"] <= block["addBatch"]["max"]

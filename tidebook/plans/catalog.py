@@ -86,7 +86,9 @@ query("p1_flatten_book", f" select seq, symbol{_BOOK} from ticks")(lambda s, d:
 query("p2_nested_book", " select seq, symbol, 5 n_bids, bid_px_1 + bid_px_5 ends, bid_qty_1 + ask_qty_5 sizes from ticks")(
     lambda s, d: books.nest(ticks(s, d)).select("seq", "symbol", F.size("bids").alias("n_bids"), (F.col("bids")[0]["price"] + F.element_at("bids", -1)["price"]).alias("ends"), (F.col("bids")[0]["qty"] + F.element_at("asks", -1)["qty"]).alias("sizes"))
 )
-query("p3_snapshot_json")(lambda s, d: books.snapshot_json(books.nest(ticks(s, d))))
+_side = lambda s: "[" + ", ".join(f"{{'price': {s}_px_{i}, 'qty': {s}_qty_{i}, 'orders': 0}}" for i in range(1, 6)) + "]"
+_json = f"to_json({{'symbol': symbol, 'ts': strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00', 'bids': {_side('bid')}, 'asks': {_side('ask')}, 'ltp': ltp, 'ltq': ltq, 'volume': volume}})"
+query("p3_snapshot_json", f" select symbol, seq, cast({_json} as varchar) json from ticks")(lambda s, d: books.snapshot_json(books.nest(ticks(s, d))))
 for _name, _col in (("p5_quoted_spread", "spread"), ("p6_relative_spread", "relative_spread"), ("p7_weighted_spread", "weighted_spread"), ("p8_midprice", "midprice")):
     query(_name, f"{SPREADS} select seq, symbol, {_r(_col)} from sp")(lambda s, d, c=_col: rounded(books.spreads(ticks(s, d)).select("seq", "symbol", c)))
 query("p9_vwap_dev", f"{SPREADS}{OFI}{SESSION} select seq, symbol, {_r('vwap_dev')} from se")(lambda s, d: rounded(est.sessions(ticks(s, d)).select("seq", "symbol", "vwap_dev")))

@@ -135,6 +135,9 @@ _M = ["spread", "relative_spread", "weighted_spread", "ofi", "ltq", "ltp", "midp
 _pairs = [(a, b) for i, a in enumerate(_M) for b in _M[i + 1 :]]
 query("a15_correlation_matrix", f"{SPREADS}{OFI} " + " union all ".join(f"select '{a}' a, '{b}' b, {R(f'corr({a}, {b})')} corr from of2" for a, b in _pairs))(lambda s, d: rounded(research.correlation_matrix(flow(s, d), _M)))
 query("a16_trend", f"{SPREADS} select symbol, regr_count(spread, ltq) n, {R('regr_slope(spread, ltq)')} slope, {R('regr_intercept(spread, ltq)')} intercept, {R('regr_r2(spread, ltq)')} r2 from sp group by symbol")(lambda s, d: rounded(research.trend(spreads(s, d), "ltq", "spread", "symbol").drop("p_value")))
+query("a17_line", f"{SPREADS} select symbol, regr_count(spread, ltq) n, {R('regr_slope(spread, ltq)', 9)} slope, {R('regr_intercept(spread, ltq)')} intercept, {R('regr_r2(spread, ltq)', 9)} r2 from sp group by symbol")(
+    lambda s, d: research.trend(spreads(s, d), "ltq", "spread", "symbol").select("symbol", "n", *(F.round(F.col(c) + TIE, k).alias(c) for c, k in (("slope", 9), ("intercept", 6), ("r2", 9))))
+)
 query("a17_linregress")(lambda s, d: research.trend(spreads(s, d), "ltq", "spread", "symbol"))
 query("a18_autocorrelation", f"{RET}, z as (select *, avg(ret) over (partition by symbol) m, count(*) over (partition by symbol) c from rt where ret is not null and ret <> 0), y as (select *, ret - m d, {', '.join(f'lag(ret - m, {k}) over ({BY}) l{k}' for k in range(1, 41))} from z where c > 100) " + " union all ".join(f"select symbol, {k} as lag, {R(f'sum(d * l{k}) / sum(d * d)')} acf from y group by symbol" for k in range(1, 41)))(
     lambda s, d: rounded(research.autocorrelation(returns(s, d), "ret").drop("band"))
