@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -40,17 +39,14 @@ def t_test_p(t: float, df: float) -> float:
     return incomplete_beta(df / 2, 0.5, df / (df + t * t))
 
 
-@F.pandas_udf(DoubleType())
-def _pearson_p(r: pd.Series, n: pd.Series) -> pd.Series:
-    out = []
-    for a, k in zip(r, n):
-        if a is None or np.isnan(a) or k < 3:
-            out.append(None)
-        elif abs(a) >= 1:
-            out.append(0.0)
-        else:
-            out.append(t_test_p(a * math.sqrt((k - 2) / (1 - a * a)), k - 2))
-    return pd.Series(out, dtype="float64")
+@F.arrow_udf(DoubleType())
+def _pearson_p(r: pa.Array, n: pa.Array) -> pa.Array:
+    def one(a, k):
+        if a is None or math.isnan(a) or k < 3:
+            return None
+        return 0.0 if abs(a) >= 1 else t_test_p(a * math.sqrt((k - 2) / (1 - a * a)), k - 2)
+
+    return pa.array([one(a, k) for a, k in zip(r.to_pylist(), n.to_pylist())], pa.float64())
 
 
 def pearson_p(r: Column, n: Column) -> Column:

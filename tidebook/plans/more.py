@@ -13,7 +13,6 @@ from tidebook.plans.catalog import ALERTS, BY, CHAIN, HOURS, OFI, QUERIES, SPREA
 from tidebook.plans.ticks import ticks
 from tidebook.schema import MODULES
 from tidebook.sources import reports, store, synthetic
-from tidebook.streaming import live  # noqa: F401  part of the public surface
 
 SYMBOLS = ("CLICK", "ERROR", "PURCHASE", "SIGNUP", "VIEW")
 R = lambda x, d=6: f"round({x} + {TIE}, {d})"
@@ -344,5 +343,23 @@ query("src4_vendor_messages", " select seq, ltp, round(bid_px_1 * 100) / 100 bid
         )
     ).select("seq", "ltp", "bid_px_1", "ltq")
 )
+def vendor_books(s: SparkSession, d: str) -> DataFrame:
+    """Messages of seven levels a side; one in 11 without asks, one in 13 without a last price, orders in every second."""
+    t = ticks(s, d)
+    cents = lambda c: F.round(F.col(c) * 100).cast("long")
+    level = lambda side, i: F.struct(cents(f"{side}_px_{i}").alias("price"), F.col(f"{side}_qty_{i}").alias("quantity"), F.when(F.col("seq") % 2 == 0, F.lit(i)).alias("no_of_orders"))
+    beyond = F.struct(F.lit(1).cast("long").alias("price"), F.lit(1).cast("long").alias("quantity"), F.lit(9).alias("no_of_orders"))
+    book = lambda side: F.array(*(level(side, i) for i in range(1, 6)), beyond, beyond)
+    raw = F.struct(
+        F.floor(F.col("us") / 1000).alias("exchange_timestamp"), F.when(F.col("seq") % 13 == 0, 0).otherwise(cents("ltp")).alias("last_traded_price"), F.col("ltq").alias("last_traded_quantity"),
+        F.col("volume").alias("volume_trade_for_the_day"), book("bid").alias("best_5_buy_data"), F.when(F.col("seq") % 11 > 0, book("ask")).alias("best_5_sell_data"),
+    )
+    got = store.normalise(t.select("seq", F.to_json(raw).alias("raw")), "X")
+    orders = F.aggregate(F.concat("bids", "asks"), F.lit(0), lambda a, x: a + x["orders"])
+    return got.select("seq", F.unix_micros("ts").alias("us"), F.size("bids").alias("n_bids"), F.size("asks").alias("n_asks"), F.get("bids", F.lit(4))["price"].alias("last_bid"), orders.alias("orders"), F.coalesce("ltp", F.lit(-1.0)).alias("ltp"), "volume")
+
+
+query("src4_vendor_books", """ select seq, us // 1000 * 1000 us, 5 n_bids, case when seq % 11 = 0 then 0 else 5 end n_asks, round(bid_px_5 * 100) / 100 last_bid,
+ case when seq % 2 = 0 then 15 + case when seq % 11 = 0 then 0 else 15 end else 0 end orders, case when seq % 13 = 0 then -1.0 else round(ltp * 100) / 100 end ltp, volume from ticks""")(vendor_books)
 query("u1_union_all", " select seq, symbol from ticks where symbol = 'VIEW' union all select seq, symbol from ticks where symbol = 'CLICK'")(lambda s, d: ticks(s, d).where("symbol = 'VIEW'").select("seq", "symbol").unionAll(ticks(s, d).where("symbol = 'CLICK'").select("seq", "symbol")))
 query("r8_generate")(lambda s, d: est.metrics(books.flatten(synthetic.make_source(s, ticks=120, seed=7, symbols="AAA"))))

@@ -78,10 +78,12 @@ VENDOR = "struct<exchange_timestamp:bigint,last_traded_price:bigint,last_traded_
 
 
 def normalise(messages: DataFrame, symbol: str, column: str = "raw") -> DataFrame:
-    """Vendor messages (JSON, prices in paise, times in ms) as snapshots of five levels."""
+    """Vendor messages (JSON, prices in paise, times in ms) as snapshots of five levels: further ones are cut off, orders that a
+    level doesn't name are 0, a side that is missing is empty, a last price of 0 is unknown."""
     m = messages.withColumn("_m", F.from_json(column, VENDOR))
-    side = lambda c: F.transform(F.slice(F.col(f"_m.{c}"), 1, 5), lambda x: F.struct((x["price"] / 100).alias("price"), x["quantity"].alias("qty"), F.coalesce(x["no_of_orders"], F.lit(0)).alias("orders")))
+    level = lambda x: F.struct((x["price"] / 100).alias("price"), x["quantity"].alias("qty"), F.coalesce(x["no_of_orders"], F.lit(0)).alias("orders"))
+    side = lambda c: F.coalesce(F.transform(F.slice(F.col(f"_m.{c}"), 1, 5), level), F.array().cast("array<struct<price:double,qty:bigint,orders:int>>"))
     return m.select(
         "seq", F.lit(symbol).alias("symbol"), F.timestamp_millis("_m.exchange_timestamp").alias("ts"), side("best_5_buy_data").alias("bids"), side("best_5_sell_data").alias("asks"),
-        (F.col("_m.last_traded_price") / 100).alias("ltp"), F.col("_m.last_traded_quantity").alias("ltq"), F.col("_m.volume_trade_for_the_day").alias("volume"),
+        F.when(F.col("_m.last_traded_price") != 0, F.col("_m.last_traded_price") / 100).alias("ltp"), F.col("_m.last_traded_quantity").alias("ltq"), F.col("_m.volume_trade_for_the_day").alias("volume"),
     )
