@@ -254,7 +254,11 @@ def _kept(state: DataFrame) -> DataFrame:
     """A small table cut off from how it came about, where executors can read it again."""
     spark = state.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        named = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tidebook"
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tidebook"
+            if named.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(named)
     return state.checkpoint()
 
