@@ -182,8 +182,14 @@ for _name, _from, _how, _us in (("asof", _asof, asof, ", us"), ("whole", _ragged
     query(f"j1_{_name}_backward", f"{_from} select seq, symbol{_us}, bltp ltp from b")(lambda s, d, f=_how: f(s, d, "backward"))
     query(f"j1_{_name}_forward", f"{_from} select seq, symbol{_us}, fltp ltp from b join f using (seq)")(lambda s, d, f=_how: f(s, d, "forward"))
 query("j2_positional_join", f"{SPREADS} select seq, symbol, {R('spread')} spread, volume from sp")(lambda s, d: rounded(research.aligned(spreads(s, d).select("seq", "symbol", "spread"), ticks(s, d).select("seq", "symbol", "volume"))))
-query("j3_parameter_grid", None)(lambda s, d: bt.candidates(s))
-SQL["j3_parameter_grid"] = "select cast(row_number() over (order by e, x, n) - 1 as integer) cand, e entry, x exit, n lookback from (values (1.25::double), (1.5), (2.0)) a(e), (values (0.2::double), (0.4)) b(x), (values (50), (100)) c(n)".replace("values (50), (100)", "values (50::integer), (100)")
+def symbol_grid(s: SparkSession, d: str) -> DataFrame:
+    """Every symbol of the ticks with every candidate of the grid."""
+    grid = F.array(*(F.struct(F.lit(i).alias("cand"), F.lit(e).alias("entry"), F.lit(x).alias("exit"), F.lit(n).alias("lookback")) for i, (e, x, n) in enumerate(bt.GRID)))
+    return ticks(s, d).select("symbol").distinct().select("symbol", F.inline(grid))
+
+
+QUERIES["j3_parameter_grid"] = symbol_grid
+SQL["j3_parameter_grid"] = "select upper(event_type) symbol, g.* from (select distinct event_type from events), (select cast(row_number() over (order by e, x, n) - 1 as integer) cand, e entry, x exit, n lookback from (values (1.25::double), (1.5), (2.0)) a(e), (values (0.2::double), (0.4)) b(x), (values (50::integer), (100)) c(n)) g"
 
 # backtest, walk-forward
 _Z = lambda n, part="symbol": f"coalesce(case when count(s) over w >= 2 and stddev_samp(s) over w > 1e-12 then (s - avg(s) over w) / stddev_samp(s) over w end, 0.0)"
@@ -335,7 +341,13 @@ v as (select unnest([('received', received), ('accepted', accepted), ('rejected'
 query("st11_rate_limit", " select seq, count(*) over (partition by user_id, us // 3600000000 order by seq rows between unbounded preceding and current row) <= 2 allowed from (select event_id seq, user_id % 5 user_id, epoch_us(ts) us from events)".replace("3600000000", "60000000"))(
     lambda s, d: al.rate_limit(s.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("seq"), (F.col("user_id") % 5).alias("user_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us")), "user_id", "us", 2).select("seq", "allowed")
 )
-query("src2_synthetic")(lambda s, d: synthetic.make_source(s, ticks=200))
+def like_the_ticks(s: SparkSession, d: str, seed: int) -> DataFrame:
+    """Generated snapshots of the table's symbols (a short list of names), for each as many as the busiest one has ticks."""
+    n = ticks(s, d).groupBy("symbol").agg(F.count("*").alias("n")).orderBy("symbol").collect()
+    return synthetic.make_source(s, ticks=max(r["n"] for r in n), seed=seed, symbols=",".join(r["symbol"] for r in n))
+
+
+query("src2_synthetic")(lambda s, d: like_the_ticks(s, d, 42))
 query("src4_vendor_messages", " select seq, ltp, round(bid_px_1 * 100) / 100 bid_px_1, ltq from ticks")(
     lambda s, d: books.flatten(
         store.normalise(
@@ -362,4 +374,4 @@ def vendor_books(s: SparkSession, d: str) -> DataFrame:
 query("src4_vendor_books", """ select seq, us // 1000 * 1000 us, 5 n_bids, case when seq % 11 = 0 then 0 else 5 end n_asks, round(bid_px_5 * 100) / 100 last_bid,
  case when seq % 2 = 0 then 15 + case when seq % 11 = 0 then 0 else 15 end else 0 end orders, case when seq % 13 = 0 then -1.0 else round(ltp * 100) / 100 end ltp, volume from ticks""")(vendor_books)
 query("u1_union_all", " select seq, symbol from ticks where symbol = 'VIEW' union all select seq, symbol from ticks where symbol = 'CLICK'")(lambda s, d: ticks(s, d).where("symbol = 'VIEW'").select("seq", "symbol").unionAll(ticks(s, d).where("symbol = 'CLICK'").select("seq", "symbol")))
-query("r8_generate")(lambda s, d: est.metrics(books.flatten(synthetic.make_source(s, ticks=120, seed=7, symbols="AAA"))))
+query("r8_generate")(lambda s, d: est.metrics(books.flatten(like_the_ticks(s, d, 7))))
