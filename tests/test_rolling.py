@@ -31,7 +31,7 @@ def series(seed, n=400, odd=0.1):
 def estimators():
     return [
         rolling.Kyle(20, 5), rolling.Amihud(15), rolling.Roll(12, 4), rolling.Share(25, 5), rolling.Flow(), rolling.Rises(), rolling.Session(),
-        rolling.Scores("spread", "z", 10), rolling.ScoresOf(rolling.Rises(), "z_volume", 10), rolling.ScoresOf(rolling.Flow(), "z_ofi", 10),
+        rolling.Lagged("spread", "lagged", 10), rolling.Scores("spread", "z", 10), rolling.ScoresOf(rolling.Rises(), "z_volume", 10), rolling.ScoresOf(rolling.Flow(), "z_ofi", 10),
     ]
 
 
@@ -151,3 +151,17 @@ def test_infinite_spreads_leave_later_scores(spark):
     assert sum(r["z_spread"] is not None for r in got) == 698 - 5 and sum(r["z_ofi"] is not None for r in got) == 695
 
 
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_lagged_scores_against_plain_windows(seed):
+    r = random.Random(seed)
+    level = [0.0, 1e6][seed % 2]
+    v = [r.choice([NAN, math.inf, level, level, level + r.randint(0, 3), level + r.gauss(0, 1)]) for _ in range(300)]
+    w = [2, 5, 20][seed % 3]
+    want = []
+    for i, own in enumerate(v):
+        past = [x for x in v[max(0, i - w) : i] if math.isfinite(x)]
+        std = np.std(past, ddof=1) if len(past) > 1 and len(set(past)) > 1 else 0.0
+        want.append((own - np.mean(past)) / std if std > 1e-12 and math.isfinite(own) else 0.0)
+    np.testing.assert_allclose(rolling.Lagged("x", "z", w).run(rolling.NONE, {"x": np.array(v)})[0], want, rtol=1e-4, atol=1e-6)

@@ -222,6 +222,70 @@ def test_walk_forward(spark):
     assert summary.first()["total_pnl"] <= cheap.agg(F.sum("test_pnl")).first()[0]
 
 
+def plain_run(rows, entry, exit, cost):
+    """(trades as (pnl, entry price), deepest fall) of a state machine over rows (price, z); the last row closes."""
+    pos, done, trades, peak, fall, c = None, 0.0, [], -1e300, 0.0, cost / 1e4
+    for i, (px, z) in enumerate(rows):
+        if pos is None and abs(z) > entry:
+            pos = (px, 1 if z > 0 else -1)
+        elif pos is not None and abs(z) < exit:
+            trades.append((pos[1] * (px - pos[0]) - c * pos[0] - c * px, pos[0]))
+            done, pos = done + trades[-1][0], None
+        if pos is not None and i == len(rows) - 1:
+            trades.append((pos[1] * (px - pos[0]) - c * pos[0] - c * px, pos[0]))
+            done, pos = done + trades[-1][0], None
+        equity = done + (pos[1] * (px - pos[0]) - c * pos[0] if pos else 0.0)
+        peak = max(peak, equity)
+        fall = max(fall, peak - equity)
+    return trades, fall
+
+
+def plain_scores(values, n):
+    import statistics
+
+    out = []
+    for i, v in enumerate(values):
+        past = [x for x in values[max(0, i - n) : i] if x is not None]
+        std = statistics.stdev(past) if len(past) > 1 else 0.0
+        out.append((v - statistics.fmean(past)) / std if std > 1e-12 and v is not None else 0.0)
+    return out
+
+
+def test_merged_blocks_are_each_fold_run_alone(spark, monkeypatch):
+    import random
+    import statistics
+
+    from tidebook.operators import estimators
+
+    for name, value in (("LEAST", 32), ("SHARE", 8), ("BUCKET", 16)):
+        monkeypatch.setattr(estimators, name, value)
+    r = random.Random(8)
+    data = {s: [(3 * i + r.randint(0, 2), 100 + r.gauss(0, 1), None if r.random() < 0.05 else float(r.randint(-3, 3))) for i in range(n)] for s, n in (("A", 103), ("B", 61), (None, 80))}
+    df = spark.createDataFrame([(s, *x) for s, rows in data.items() for x in rows], "symbol string, seq long, price double, _value double")
+    config, grid, cost = backtest.WalkForward(splits=4), [(1.0, 0.3, 5), (1.4, 0.0, 8), (9.0, 0.1, 5), (0.4, 0.4, 8)], 3.0
+    rows = backtest.blocks(df, config, ["symbol"])
+    parts = backtest.block_summaries(rows.select("symbol", "seq", "price", "_value", "block", (F.col("block") == config.splits).alias("_last")), grid, cost, ["symbol"])
+    got = {(x["symbol"], x["fold"], x["split"], x["cand"]): x for x in backtest.merged(parts, config, ["symbol"]).collect()}
+    assert len(got) == 3 * 4 * 2 * len(grid)
+    for s, rows in data.items():
+        size = len(rows) // 5
+        for fold in range(1, 5):
+            start = len(rows) - (5 - fold) * size
+            for split, part in (("train", rows[:start]), ("test", rows[start : start + size])):
+                for cand, (entry, exit, n) in enumerate(grid):
+                    z = plain_scores([v for _, _, v in part], n)
+                    trades, fall = plain_run([(px, v) for (_, px, _), v in zip(part, z)], entry, exit, cost)
+                    x = got[s, fold, split, cand]
+                    p = [round(pnl, 4) for pnl, _ in trades]
+                    each = [v / round(px, 4) for v, (_, px) in zip(p, trades)]
+                    gain, loss = sum(v for v in p if v > 0), -sum(v for v in p if v < 0)
+                    sharpe = statistics.fmean(each) / statistics.stdev(each) if len(each) > 1 and statistics.stdev(each) > 1e-12 else 0.0
+                    assert x["trades"] == len(trades)
+                    want = (sum(v for v, _ in trades), fall, sum(v > 0 for v in p) / max(len(p), 1), sharpe)
+                    assert (x["total_pnl"], x["max_drawdown"], x["win_rate"], x["sharpe"]) == pytest.approx(want, abs=1e-5, rel=1e-5), (s, fold, split, cand)
+                    assert x["profit_factor"] == pytest.approx(0.0 if not p else float("inf") if loss <= 1e-12 else gain / loss, rel=1e-4)
+
+
 def test_walk_forward_fails_with_reasons(spark):
     _, s = backtest.walk_forward(wave(spark), backtest.WalkForward(splits=3, cost_bps=100.0, least_ratio=1.0, most_cv=0.0), [(1.0, 0.4, 50)])
     r = s.first()

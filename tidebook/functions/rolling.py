@@ -312,6 +312,43 @@ class Scores:
         return [spread_out(len(v), at, score(state, v[at], self.window))]
 
 
+class Lagged:
+    """z-scores of one column against the `window` rows before, by the sample deviation; 0 where there are less than two finite values or they are alike.
+
+    Rows without a finite value fill a place of the window, but count for nothing.
+    """
+
+    def __init__(self, column: str, name: str, window: int):
+        self.column, self.fields, self.window = column, (name,), window
+
+    def part(self, r: Rows) -> np.ndarray:
+        return r[self.column][-self.window :]
+
+    def join(self, state: np.ndarray, part: np.ndarray) -> np.ndarray:
+        return np.concatenate([state, part])[-self.window :]
+
+    def run(self, state: np.ndarray, r: Rows) -> list[np.ndarray]:
+        own, w = r[self.column], self.window
+        v = np.concatenate([state, own])
+        at = np.flatnonzero(np.isfinite(v))
+        known = np.zeros(len(v))
+        known[at] = 1
+        x = np.zeros(len(v))
+        x[at] = v[at] - v[at[:1]]
+        n, s, q = (last_sums(c, w) for c in (known, x, x * x))
+        # the last row whose next finite value differs: windows after it hold one value alone
+        turn = np.flatnonzero(np.diff(v[at]))
+        differs = np.full(len(v), -w)
+        differs[at[turn + 1]] = at[turn]
+        alike = np.maximum.accumulate(differs) <= np.arange(len(v)) - w
+        mean = s / np.maximum(n, 1)
+        var = (q - s * mean) / np.maximum(n - 1, 1)
+        there = (n >= 2) & ~alike & (var > 1e-24)
+        z = (x[1:] - mean[:-1]) / np.sqrt(np.where(there, var, 1.0))[:-1]
+        z = np.concatenate([[0.0], np.where(there[:-1] & (known[1:] > 0), z, 0.0)])
+        return [z[len(state) : len(v)]]
+
+
 class Rises:
     """The rise of the last known cumulative volume, never below 0; the state is that volume."""
 

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidebook.functions import rolling
+from tidebook.operators import estimators
 from tidebook.schema import require
 
 
@@ -44,64 +46,70 @@ class WalkForward:
 GRID = [(e, x, n) for e in (1.25, 1.5, 2.0) for x in (0.2, 0.4) for n in (50, 100)]
 
 
-def _windows(keys: list[str]):
-    by = Window.partitionBy(*keys).orderBy("seq")
-    return by, by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
+def _by(keys: list[str]):
+    return Window.partitionBy(*keys).orderBy("seq")
 
 
-def rolling_zscore(df: DataFrame, signal: str, lookback: int, keys: list[str], name: str = "z") -> DataFrame:
-    """Adds the z-score against the last `lookback` rows before (sample deviation, two at least); 0 where undefined."""
-    over = Window.partitionBy(*keys).orderBy("seq").rowsBetween(-lookback, -1)
-    df = df.withColumns({"_n": F.count(signal).over(over), "_mean": F.avg(signal).over(over), "_std": F.stddev_samp(signal).over(over)})
-    z = F.when((F.col("_n") >= 2) & (F.col("_std") > 1e-12) & F.col(signal).isNotNull(), (F.col(signal) - F.col("_mean")) / F.nullif("_std", F.lit(0.0)))
-    return df.withColumn(name, F.coalesce(z, F.lit(0.0))).drop("_n", "_mean", "_std")
+def rolling_zscore(df: DataFrame, signal: str, lookbacks: dict[str, int], keys: list[str]) -> DataFrame:
+    """Adds a z-score by name against the so many rows before (sample deviation of those with a finite value, two at least); 0 where undefined.
 
+    A scan over chunks of each key's rows: one pass for all lookbacks, and no frame is summed up anew for each row.
+    """
+    names = {k: f"_key{i}" for i, k in enumerate(keys)}
+    one = df.withColumnsRenamed(names).withColumn("symbol", F.to_json(F.struct(*names.values())))
+    got = estimators.scan(one, {name: rolling.Lagged(signal, name, n) for name, n in lookbacks.items()})
+    return got.drop("symbol").withColumnsRenamed({v: k for k, v in names.items()})
 
-def trades(df: DataFrame, keys: list[str], entry: Column, exit: Column, cost_bps: Column, size: float = 1.0) -> DataFrame:
-    """(keys, entry_seq, exit_seq, side, entry_px, exit_px, holding, pnl) from rows (keys, seq, price, z)."""
-    by, _, before, _ = _windows(keys)
-    df = df.withColumns({"_i": F.row_number().over(by), "_out": F.abs("z") < exit, "_in": F.abs("z") > entry})
-    df = df.withColumn("_isl", F.coalesce(F.sum(F.col("_out").cast("int")).over(before), F.lit(0)))
-    row = F.struct("_i", "seq", "price", "z")
-    got = df.groupBy(*keys, "_isl").agg(F.min(F.when(F.col("_in"), row)).alias("a"), F.max(row).alias("b"), F.first(cost_bps, True).alias("_c")).where(F.col("a").isNotNull())
-    side = F.when(F.col("a.z") > 0, 1).otherwise(-1)
-    c = F.col("_c") / 1e4
-    pnl = side * (F.col("b.price") - F.col("a.price")) * size - c * F.col("a.price") * size - c * F.col("b.price") * size
-    return got.select(*keys, F.col("a.seq").alias("entry_seq"), F.col("b.seq").alias("exit_seq"), side.alias("side"), F.col("a.price").alias("entry_px"), F.col("b.price").alias("exit_px"), (F.col("b._i") - F.col("a._i")).cast("long").alias("holding"), pnl.alias("pnl"))
+
+def positions(df: DataFrame, keys: list[str], entry: Column, exit: Column, cost_bps: Column, size: float = 1.0) -> DataFrame:
+    """Rows (keys, seq, price, z, cut and others) with what is held, without a loop and without a join.
+
+    `held`: the position's entry (seq, price, z, i), if there is one on this row, its exit row included; `out`: it ends here by its signal.
+    `mark`: profit of closed trades and of the open position on this row; `closed`: the same if it were closed here;
+    `pnl`: the position's profit if it were closed here. A row is `cut` where a position is closed whatever the signal says.
+    """
+    by, c = _by(keys), cost_bps / 1e4 * size
+    df = df.withColumns({"i": F.row_number().over(by), "out": F.abs("z") < exit})
+    df = df.withColumn("_isl", F.coalesce(F.sum(F.col("out").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    island = _by([*keys, "_isl"]).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("held", F.first(F.when(F.abs("z") > entry, F.struct("seq", "price", "z", "i")), True).over(island))
+    df = df.withColumn("side", F.when(F.col("held.z") > 0, 1).when(F.col("held").isNotNull(), -1))
+    opened = F.col("side") * (F.col("price") - F.col("held.price")) * size - c * F.col("held.price")
+    df = df.withColumns({"_open": opened, "pnl": opened - c * F.col("price")})
+    made = F.coalesce(F.sum(F.when(F.col("out"), F.col("pnl"))).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    now = F.when(F.col("held").isNull(), 0.0)
+    return df.withColumn("_made", made).withColumns(
+        {"mark": F.col("_made") + now.when(F.col("out"), F.col("pnl")).otherwise(F.col("_open")), "closed": F.col("_made") + now.otherwise(F.col("pnl"))}
+    ).drop("_isl", "_open", "_made")
+
+
+def trades(held: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, entry_seq, exit_seq, side, entry_px, exit_px, holding, pnl) of positions()."""
+    got = held.where((F.col("out") | F.col("cut")) & F.col("held").isNotNull())
+    return got.select(*keys, F.col("held.seq").alias("entry_seq"), F.col("seq").alias("exit_seq"), "side", F.col("held.price").alias("entry_px"), F.col("price").alias("exit_px"), (F.col("i") - F.col("held.i")).cast("long").alias("holding"), "pnl")
 
 
 def signals(df: DataFrame, strategy: Strategy, keys: list[str], price: str = "midprice", signal: str = "ofi_300s") -> DataFrame:
     require(df, price, signal, "seq", *keys)
-    return rolling_zscore(df.select(*keys, "seq", F.col(price).alias("price"), F.col(signal).cast("double").alias("_s")), "_s", strategy.lookback, keys).drop("_s")
+    rows = df.select(*keys, "seq", F.col(price).alias("price"), F.col(signal).cast("double").alias("_value"))
+    return rolling_zscore(rows, "_value", {"z": strategy.lookback}, keys).drop("_value")
 
 
-def backtest(df: DataFrame, strategy: Strategy = Strategy(), keys: tuple[str, ...] = ("symbol",), **columns: str) -> DataFrame:
-    """The trades of a strategy on each key's series."""
-    keys = list(keys)
-    return trades(signals(df, strategy, keys, **columns), keys, F.lit(strategy.entry), F.lit(strategy.exit), F.lit(strategy.cost_bps), strategy.size)
+def run(df: DataFrame, strategy: Strategy, keys: list[str], **columns: str) -> DataFrame:
+    """positions() of a strategy on each key's series; the last row closes what is open."""
+    z = signals(df, strategy, keys, **columns).withColumn("cut", F.lead(F.lit(1)).over(_by(keys)).isNull())
+    return positions(z, keys, F.lit(strategy.entry), F.lit(strategy.exit), F.lit(strategy.cost_bps), strategy.size)
 
 
-def curve(z: DataFrame, t: DataFrame, keys: list[str], cost_bps: float, size: float, capital: float) -> DataFrame:
-    """(keys, seq, equity) of rows (keys, seq, price) and their trades: capital, realised profit and costs, the open position's profit."""
-    c = cost_bps / 1e4
-    opens = t.select(*keys, F.col("entry_seq").alias("seq"), F.col("entry_seq").alias("_e"), "side", "entry_px")
-    # an entry on the last row closes there too; other rows have one of both at most
-    closes = t.select(*keys, F.col("exit_seq").alias("seq"), F.col("pnl").alias("_closed"), F.col("entry_px").alias("_back"))
-    df = z.select(*keys, "seq", "price").join(opens, [*keys, "seq"], "left").join(closes, [*keys, "seq"], "left")
-    _, sofar, _, _ = _windows(keys)
-    paid = F.sum(F.coalesce(F.col("entry_px"), F.lit(0.0)) - F.coalesce(F.col("_back"), F.lit(0.0))).over(sofar) * (c * size)
-    df = df.withColumns({"_paid": paid, "_made": F.sum(F.coalesce("_closed", F.lit(0.0))).over(sofar), "_o": F.last(F.when(F.col("_e").isNotNull(), F.struct("_e", "side", "entry_px")), True).over(sofar), "_x": F.max(F.when(F.col("_closed").isNotNull(), F.col("seq"))).over(sofar)})
-    held = F.col("_o").isNotNull() & (F.col("_x").isNull() | (F.col("_o._e") > F.col("_x")))
-    open_pnl = F.when(held, F.col("_o.side") * (F.col("price") - F.col("_o.entry_px")) * size).otherwise(0.0)
-    return df.select(*keys, "seq", (capital + F.col("_made") - F.col("_paid") + open_pnl).alias("equity"))
+def backtest(df: DataFrame, strategy: Strategy = Strategy(), keys: tuple[str, ...] = ("symbol",), **columns: str) -> DataFrame:
+    """The trades of a strategy on each key's series."""
+    return trades(run(df, strategy, list(keys), **columns), list(keys))
 
 
 def equity(df: DataFrame, strategy: Strategy = Strategy(), keys: tuple[str, ...] = ("symbol",), **columns: str) -> DataFrame:
-    """(keys, seq, equity) of a strategy on each key's series."""
-    k = list(keys)
-    z = signals(df, strategy, k, **columns)
-    t = trades(z, k, F.lit(strategy.entry), F.lit(strategy.exit), F.lit(strategy.cost_bps), strategy.size)
-    return curve(z, t, k, strategy.cost_bps, strategy.size, strategy.capital)
+    """(keys, seq, equity) of a strategy on each key's series: capital, realised profit and costs, the open position's profit."""
+    made = F.when(F.col("cut"), F.col("closed")).otherwise(F.col("mark"))
+    return run(df, strategy, list(keys), **columns).select(*keys, "seq", (strategy.capital + made).alias("equity"))
 
 
 def trade_statistics(t: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
@@ -115,16 +123,16 @@ def trade_statistics(t: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataF
         (-F.coalesce(F.sum(F.when(p < 0, p)), F.lit(0.0))).alias("gross_loss"),
         F.sum("pnl").alias("total_pnl"),
         F.avg(p / F.round("entry_px", 4)).alias("_m"),
-        F.stddev_samp(p / F.round("entry_px", 4)).alias("_s"),
+        F.stddev_samp(p / F.round("entry_px", 4)).alias("_value"),
         F.avg("holding").alias("avg_holding"),
     )
     got = got.withColumns({"win_rate": F.col("wins") / F.col("trades"), "profit_factor": F.when(F.col("gross_loss") <= 1e-12, F.lit(float("inf"))).otherwise(F.col("gross_profit") / F.nullif("gross_loss", F.lit(0.0)))})
-    return got.withColumn("sharpe", F.when((F.col("trades") > 1) & (F.col("_s") > 1e-12), F.col("_m") / F.nullif("_s", F.lit(0.0))).otherwise(0.0)).drop("_m", "_s")
+    return got.withColumn("sharpe", F.when((F.col("trades") > 1) & (F.col("_value") > 1e-12), F.col("_m") / F.nullif("_value", F.lit(0.0))).otherwise(0.0)).drop("_m", "_value")
 
 
 def drawdown(lines: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """(keys, max_drawdown, max_drawdown_pct): the deepest fall from a peak, the first one of equals, and its share of that peak."""
-    _, sofar, _, _ = _windows(list(keys))
+    sofar = _by(list(keys)).rowsBetween(Window.unboundedPreceding, 0)
     peak = lines.withColumn("peak", F.max("equity").over(sofar)).withColumn("dd", F.col("peak") - F.col("equity"))
     top = peak.groupBy(*keys).agg(F.max_by(F.struct("dd", "peak"), F.struct("dd", -F.col("seq"))).alias("m"))
     return top.select(*keys, F.col("m.dd").alias("max_drawdown"), F.coalesce(F.try_divide(F.col("m.dd"), F.col("m.peak")) * 100, F.lit(0.0)).alias("max_drawdown_pct"))
@@ -135,16 +143,31 @@ def candidates(spark, grid=GRID) -> DataFrame:
     return spark.createDataFrame([(i, float(e), float(x), int(n)) for i, (e, x, n) in enumerate(grid)], "cand int, entry double, exit double, lookback int")
 
 
-def folds(df: DataFrame, config: WalkForward, lookback: int, keys: list[str]) -> DataFrame:
-    """(keys, seq, price, _s, i, n, fold, split): each row once in the test block of its fold and in the training of later folds."""
-    by, _, _, whole = _windows(keys)
-    df = df.withColumns({"i": F.row_number().over(by) - 1, "n": F.count("*").over(whole)})
-    df = df.withColumn("block", F.floor(F.col("n") / (config.splits + 1)).cast("long"))
-    df = df.withColumn("first", F.col("n") - config.splits * F.col("block"))
-    each = df.select("*", F.explode(F.sequence(F.lit(1), F.lit(config.splits))).alias("fold"))
-    start = F.col("first") + (F.col("fold") - 1) * F.col("block")
-    split = F.when(F.col("i") < start, "train").when(F.col("i") < start + F.col("block"), "test")
-    return each.withColumn("split", split).where(F.col("split").isNotNull())
+def numbered(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds `i`, a row's place in its key's series from 0, and `n`, the series' length: counts of buckets of `seq` first, places in a bucket after."""
+    names = {k: f"_key{i}" for i, k in enumerate(keys)}
+    bucket = F.floor(F.col("seq") / estimators.BUCKET)
+    n = df.select(*(F.col(k).alias(v) for k, v in names.items()), bucket.alias("_b")).groupBy(*names.values(), "_b").agg(F.count("*").alias("_n"))
+    whole = Window.partitionBy(*names.values())
+    n = n.withColumns({"_before": F.coalesce(F.sum("_n").over(whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "n": F.sum("_n").over(whole)}).drop("_n")
+    same = bucket == F.col("_b")
+    for k, v in names.items():
+        same = same & F.col(k).eqNullSafe(F.col(v))
+    place = F.row_number().over(Window.partitionBy(*names.values(), "_b").orderBy("seq"))
+    return df.join(n, same).withColumn("i", F.col("_before") + place - 1).drop("_b", "_before", *names.values())
+
+
+def blocks(df: DataFrame, config: WalkForward, keys: list[str]) -> DataFrame:
+    """Rows with `i`, `n`, `size` and `block`: 0 trains only, f is tested in fold f and trains later folds."""
+    df = numbered(df, keys).withColumn("size", F.floor(F.col("n") / (config.splits + 1)).cast("long"))
+    first = F.col("n") - config.splits * F.col("size")
+    return df.withColumn("block", F.when(F.col("i") < first, 0).otherwise(1 + F.floor((F.col("i") - first) / F.col("size"))).cast("int"))
+
+
+def folds(df: DataFrame, config: WalkForward, keys: list[str]) -> DataFrame:
+    """(keys, seq, i, n, size, block, fold, split): each row once in the test block of its fold and in the training of later folds."""
+    each = blocks(df, config, keys).withColumn("fold", F.explode(F.sequence(F.greatest(F.col("block"), F.lit(1)), F.lit(config.splits))))
+    return each.withColumn("split", F.when(F.col("fold") == F.col("block"), "test").otherwise("train"))
 
 
 def check_sizes(df: DataFrame, config: WalkForward, lookback: int, keys: list[str]) -> None:
@@ -153,34 +176,83 @@ def check_sizes(df: DataFrame, config: WalkForward, lookback: int, keys: list[st
         raise ValueError(f"{least} rows are too few for {config.splits} splits with a lookback of {lookback}")
 
 
+def block_summaries(rows: DataFrame, grid, cost_bps: float, keys: list[str]) -> DataFrame:
+    """(keys, run, cand, block, ...) of rows (keys, seq, price, _value, block): what each candidate does in a block, in parts that can be merged.
+
+    Run 0 is the series up to the last test block, run f the test block of fold f by itself, with no past. The parts: trades that end in the
+    block by their signal (`own`), the one that a cut at its last row would close (`forced`), and the block's peak, low and
+    deepest fall without its last row, whose capital is `at_cut`, or `closed` after a cut. Each row is in two runs, however many folds there are.
+    """
+    runs = F.when(F.col("block") == 0, F.array(F.lit(0))).when(F.col("_last"), F.array("block")).otherwise(F.array(F.lit(0), F.col("block")))
+    rows = rows.withColumn("run", F.explode(runs)).drop("_last")
+    z = rolling_zscore(rows, "_value", {f"_z{n}": n for n in sorted({n for _, _, n in grid})}, [*keys, "run"])
+    each = F.inline(F.array(*(F.struct(F.lit(i).alias("cand"), F.lit(float(e)).alias("entry"), F.lit(float(x)).alias("exit"), F.col(f"_z{n}").alias("z")) for i, (e, x, n) in enumerate(grid))))
+    ck = [*keys, "run", "cand"]
+    rows = z.select(*keys, "run", "block", "seq", "price", each)
+    nxt = F.lead("block").over(_by(ck))
+    rows = rows.withColumn("cut", nxt.isNull() | (nxt != F.col("block")))
+    held = positions(rows, ck, F.col("entry"), F.col("exit"), F.lit(cost_bps))
+    held = held.withColumn("_peak", F.max("mark").over(_by([*ck, "block"]).rowsBetween(Window.unboundedPreceding, 0)))
+    p, body, cut, own = F.round("pnl", 4), ~F.col("cut"), F.col("cut"), F.col("out") & F.col("held").isNotNull()
+    part = p / F.round("held.price", 4)
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    forced = F.when(cut & ~F.col("out") & F.col("held").isNotNull(), F.struct(F.lit(1).cast("long").alias("n"), (p > 0).cast("long").alias("wins"), F.when(p > 0, p).otherwise(0.0).alias("gain"), F.when(p < 0, -p).otherwise(0.0).alias("loss"), F.col("pnl").alias("total"), part.alias("mean"), F.lit(0.0).alias("var")))
+    got = held.groupBy(*ck, "block").agg(
+        F.struct(F.count_if(own).alias("n"), F.count_if(own & (p > 0)).alias("wins"), zero(F.sum(F.when(own & (p > 0), p))).alias("gain"), zero(F.sum(F.when(own & (p < 0), -p))).alias("loss"), zero(F.sum(F.when(own, F.col("pnl")))).alias("total"), zero(F.avg(F.when(own, part))).alias("mean"), zero(F.var_pop(F.when(own, part))).alias("var")).alias("own"),
+        F.max(forced).alias("forced"), F.max(F.when(body, F.col("mark"))).alias("peak"), F.min(F.when(body, F.col("mark"))).alias("low"), F.max(F.when(body, F.col("_peak") - F.col("mark"))).alias("fall"),
+        F.max(F.when(cut, F.col("mark"))).alias("at_cut"), F.max(F.when(cut, F.col("closed"))).alias("closed"),
+    )
+    return got
+
+
+def merged(parts: DataFrame, config: WalkForward, keys: list[str]) -> DataFrame:
+    """(keys, fold, split, cand, trades, win_rate, profit_factor, total_pnl, sharpe, max_drawdown) of block_summaries().
+
+    The training set of fold f is run 0 up to block f - 1, cut there. Peaks carry over from block to block; nothing is worked out from rows again.
+    """
+    ck = [*keys, "run", "cand"]
+    peak = F.max(F.greatest("peak", "at_cut")).over(Window.partitionBy(*ck).orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    df = parts.withColumn("_before", peak)
+    df = df.withColumns({"_top": F.greatest("_before", "peak"), "_body": F.greatest("fall", F.col("_before") - F.col("low"))})
+    df = df.withColumns({"_on": F.greatest(F.col("_body"), F.greatest("_top", "at_cut") - F.col("at_cut")), "_cut": F.greatest(F.col("_body"), F.greatest("_top", "closed") - F.col("closed"))})
+    trains = F.col("run") == 0
+    df = df.withColumn("fold", F.explode(F.when(trains, F.sequence(F.col("block") + 1, F.lit(config.splits))).otherwise(F.array("run"))))
+    ends = ~trains | (F.col("block") == F.col("fold") - 1)
+    df = df.select(*keys, "fold", F.when(trains, "train").otherwise("test").alias("split"), "cand", F.when(ends, F.col("_cut")).otherwise(F.col("_on")).alias("_fall"), F.inline(F.array_compact(F.array("own", F.when(ends, F.col("forced"))))))
+    got = df.groupBy(*keys, "fold", "split", "cand").agg(
+        F.sum("n").alias("trades"), F.sum("wins").alias("_wins"), F.sum("gain").alias("_gain"), F.sum("loss").alias("_loss"), F.sum("total").alias("total_pnl"),
+        F.max("_fall").alias("max_drawdown"), F.collect_list(F.struct("n", "mean", "var")).alias("_parts"),  # two for each block at most
+    )
+    over = lambda f: F.aggregate("_parts", F.lit(0.0), lambda acc, x: acc + f(x))
+    got = got.withColumn("_mean", F.try_divide(over(lambda x: x["n"] * x["mean"]), F.col("trades")))
+    spread = over(lambda x: x["n"] * (x["var"] + (x["mean"] - F.col("_mean")) * (x["mean"] - F.col("_mean"))))
+    got = got.withColumn("_std", F.sqrt(F.try_divide(spread, F.col("trades") - 1)))
+    return got.withColumns({
+        "win_rate": F.coalesce(F.try_divide("_wins", "trades"), F.lit(0.0)),
+        "profit_factor": F.when(F.col("trades") == 0, 0.0).when(F.col("_loss") <= 1e-12, F.lit(float("inf"))).otherwise(F.try_divide("_gain", "_loss")),
+        "sharpe": F.when((F.col("trades") > 1) & (F.col("_std") > 1e-12), F.try_divide("_mean", "_std")).otherwise(0.0),
+    }).drop("_wins", "_gain", "_loss", "_parts", "_mean", "_std")
+
+
 def walk_forward(df: DataFrame, config: WalkForward = WalkForward(), grid=GRID, keys: tuple[str, ...] = ("symbol",), price: str = "midprice", signal: str = "ofi_300s") -> tuple[DataFrame, DataFrame]:
     """(folds, summary): the candidate chosen in training and its test results by fold; totals and the stability gate by key."""
     require(df, price, signal, "seq", *keys)
     k = list(keys)
-    longest = max(n for _, _, n in grid)
-    check_sizes(df, config, longest, k)
-    base = df.select(*k, "seq", F.col(price).alias("price"), F.col(signal).cast("double").alias("_s"))
-    rows = folds(base, config, longest, k)
-    cand = candidates(df.sparkSession, grid)
-    fk = [*k, "fold", "split"]
-    z = None
-    for n in sorted({n for _, _, n in grid}):  # a z-score for each lookback, not for each candidate
-        one = rolling_zscore(rows, "_s", n, fk).withColumn("lookback", F.lit(n))
-        z = one if z is None else z.unionAll(one)
-    each = z.join(F.broadcast(cand), "lookback")  # the grid is a short list
-    ck = [*fk, "cand"]
-    cost = F.lit(config.cost_bps)
-    t = trades(each.select(*ck, "seq", "price", "z", "entry", "exit"), [*ck, "entry", "exit"], F.col("entry"), F.col("exit"), cost)
-    stats = trade_statistics(t, tuple(ck))
-    lines = curve(each, t, ck, config.cost_bps, 1.0, 100_000.0)
-    frame = rows.select(*fk).distinct().crossJoin(F.broadcast(cand))  # keys, folds and splits times the grid
-    full = frame.join(stats, ck, "left").join(drawdown(lines, tuple(ck)), ck, "left").fillna(0.0, ["total_pnl", "sharpe", "max_drawdown", "win_rate", "profit_factor"]).fillna(0, ["trades"])
+    check_sizes(df, config, max(n for _, _, n in grid), k)
+    rows = blocks(df.select(*k, "seq", F.col(price).alias("price"), F.col(signal).cast("double").alias("_value")), config, k)
+    parts = block_summaries(rows.select(*k, "seq", "price", "_value", "block", (F.col("block") == config.splits).alias("_last")), grid, config.cost_bps, k)
+    full = merged(parts, config, k).join(F.broadcast(candidates(df.sparkSession, grid)), "cand")  # the grid is a short list
     order = Window.partitionBy(*k, "fold").orderBy(F.desc(F.round("total_pnl", 9)), F.desc(F.round("sharpe", 9)), F.round("max_drawdown", 9), "lookback", "cand")
-    chosen = full.where("split = 'train'").withColumn("_r", F.row_number().over(order)).where("_r = 1").select(*k, "fold", "cand", "entry", "exit", "lookback", F.col("total_pnl").alias("train_pnl"))
-    test = full.where("split = 'test'").select(*k, "fold", "cand", F.col("total_pnl").alias("test_pnl"), F.col("trades").alias("test_trades"), F.col("win_rate").alias("test_win_rate"), F.col("profit_factor").alias("test_profit_factor"), F.col("max_drawdown").alias("test_max_drawdown"))
-    spans = rows.groupBy(*k, "fold").agg(F.max(F.when(F.col("split") == "train", F.col("i"))).alias("_t"), F.min(F.when(F.col("split") == "test", F.col("i"))).alias("test_start"), F.max(F.when(F.col("split") == "test", F.col("i"))).alias("_e"))
-    spans = spans.select(*k, "fold", (F.col("_t") + 1).cast("long").alias("train_end"), F.col("test_start").cast("long").alias("test_start"), (F.col("_e") + 1).cast("long").alias("test_end"))
-    out = chosen.join(test, [*k, "fold", "cand"]).join(spans, [*k, "fold"]).withColumn("cost_bps", cost)
+    measures = {"test_pnl": "total_pnl", "test_trades": "trades", "test_win_rate": "win_rate", "test_profit_factor": "profit_factor", "test_max_drawdown": "max_drawdown"}
+    tested = F.first(F.when(F.col("split") == "test", F.struct(*(F.col(c).alias(name) for name, c in measures.items()))), True).over(Window.partitionBy(*k, "fold", "cand"))
+    out = full.withColumn("_test", tested).where("split = 'train'").withColumn("_r", F.row_number().over(order)).where("_r = 1")
+    sizes = df.groupBy(*k).agg(F.count("*").alias("_n")).withColumn("_size", F.floor(F.col("_n") / (config.splits + 1)).cast("long"))
+    start = F.col("_n") + (F.col("fold") - 1 - config.splits) * F.col("_size")
+    spans = sizes.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(config.splits)))).select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(k)), F.col("fold").alias("_f"), start.alias("train_end"), start.alias("test_start"), (start + F.col("_size")).alias("test_end"))
+    same = F.col("fold") == F.col("_f")
+    for i, c in enumerate(k):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    out = out.join(spans, same).select(*k, "fold", "cand", "entry", "exit", "lookback", F.col("total_pnl").alias("train_pnl"), "_test.*", "train_end", "test_start", "test_end", F.lit(config.cost_bps).alias("cost_bps"))
     return out, stability(out, config, k)
 
 

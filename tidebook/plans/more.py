@@ -269,7 +269,7 @@ sv as (select *, std_pnl / abs(nullif(mean_pnl, 0)) cv from st), sg as (select *
 select symbol, {', '.join(f'{R(c, 5)} {c}' for c in _SUM)}, total_trades, profitable, stable, profitable and stable passed, concat_ws(',', case when not profitable then 'not_profitable_after_costs' end, case when profitable_ratio < 0.75 then 'inconsistent_fold_profitability' end, case when not coalesce(cv <= 1.5, false) then 'excessive_pnl_dispersion' end) reasons from sg""",
 )(lambda s, d: rounded(walked(s, d)[1].withColumn("reasons", F.array_join("reasons", ",")), digits=5))
 query("j4_folds", ", f as (select symbol, seq, row_number() over (" + BY + ") - 1 i, count(*) over (partition by symbol) n from ticks), g as (select f.*, fold, n // 4 blk, n - 3 * (n // 4) + (fold - 1) * (n // 4) st from f, (select unnest([1, 2, 3]) fold)) select symbol, fold, count(*) filter (i < st) n_train, count(*) filter (i >= st and i < st + blk) n_test from g group by all")(
-    lambda s, d: bt.folds(ticks(s, d).select("symbol", "seq"), bt.WalkForward(splits=3), 50, ["symbol"]).groupBy("symbol", "fold").agg(F.count_if(F.col("split") == "train").alias("n_train"), F.count_if(F.col("split") == "test").alias("n_test"))
+    lambda s, d: bt.folds(ticks(s, d).select("symbol", "seq"), bt.WalkForward(splits=3), ["symbol"]).groupBy("symbol", "fold").agg(F.count_if(F.col("split") == "train").alias("n_train"), F.count_if(F.col("split") == "test").alias("n_test"))
 )
 query("l5_selection", f'{_WALK} select symbol, fold, entry, out as "exit", lookback from wk')(lambda s, d: walked(s, d)[0].select("symbol", "fold", "entry", "exit", "lookback"))
 
