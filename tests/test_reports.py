@@ -63,6 +63,16 @@ def test_backtest_files(spark, tmp_path):
     assert all(t["exit_tick"] - t["entry_tick"] == t["holding_ticks"] for t in trades)
     curve = read(spark, str(tmp_path / "equity.csv"))
     assert len(curve) == df.count() and set(curve[0]) == {"tick", "A"} and curve[-1]["A"] is not None
+    row = json.loads(spark.read.text(str(tmp_path / "summary.json")).first().value)
+    pnl = [round(r["pnl"], 4) for r in want]
+    assert row["num_trades"] == len(want) and row["total_pnl"] == pytest.approx(sum(r["pnl"] for r in want), abs=1e-4) and row["win_rate"] == pytest.approx(sum(p > 0 for p in pnl) / len(pnl), abs=1e-4)
+    equity = [c["A"] for c in sorted(curve, key=lambda c: c["tick"])]
+    assert row["max_drawdown"] == pytest.approx(max(max(equity[: i + 1]) - e for i, e in enumerate(equity)), abs=1e-3)
+
+
+def test_summary_without_trades_is_zeros(spark):
+    row = reports.rounded(reports.backtest_summary(wave(spark), backtest.Strategy(lookback=20, entry=1e6))).first().asDict()
+    assert row.pop("symbol") == "A" and len(row) == 8 and set(row.values()) == {0}
 
 
 def test_walk_forward_files(spark, tmp_path):
@@ -83,9 +93,11 @@ def test_execution_and_timing_files(spark, tmp_path):
     reports.write_execution(book(spark), str(tmp_path), [100, 500])
     rows = read(spark, str(tmp_path / "comparison.csv"))
     assert [(r["strategy"], r["target_qty"]) for r in rows] == [(k, q) for q in (100, 500) for k in ("twap", "vwap")] or len(rows) == 4
+    assert all(r["num_fills"] > 0 and r["total_filled"] <= r["target_qty"] and r["avg_fill_price"] == round(r["avg_fill_price"], 4) for r in rows)
     long = spark.createDataFrame([("ofi", 1.0), ("ofi", 3.0), ("vwap", 4.0)], "module string, us double")
     reports.write_timings(long, str(tmp_path))
     assert {r["module"]: r["mean"] for r in read(spark, str(tmp_path / "timings.csv"))} == {"ofi": 2.0, "vwap": 4.0}
+    assert {json.loads(r.value)["module"] for r in spark.read.text(str(tmp_path / "summary.json")).collect()} == {"ofi", "vwap"}
     path = str(tmp_path / "latency")
     spark.createDataFrame([tuple(range(len(LATENCY.fields)))], ", ".join(f"{f.name} int" for f in LATENCY.fields)).write.csv(path, header=True)
     assert store.read_latency(spark, path).count() == 1

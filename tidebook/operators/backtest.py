@@ -106,10 +106,14 @@ def backtest(df: DataFrame, strategy: Strategy = Strategy(), keys: tuple[str, ..
     return trades(run(df, strategy, list(keys), **columns), list(keys))
 
 
+def capital(held: DataFrame, keys: list[str], start: float) -> DataFrame:
+    """(keys, seq, equity) of positions()."""
+    return held.select(*keys, "seq", (start + F.when(F.col("cut"), F.col("closed")).otherwise(F.col("mark"))).alias("equity"))
+
+
 def equity(df: DataFrame, strategy: Strategy = Strategy(), keys: tuple[str, ...] = ("symbol",), **columns: str) -> DataFrame:
     """(keys, seq, equity) of a strategy on each key's series: capital, realised profit and costs, the open position's profit."""
-    made = F.when(F.col("cut"), F.col("closed")).otherwise(F.col("mark"))
-    return run(df, strategy, list(keys), **columns).select(*keys, "seq", (strategy.capital + made).alias("equity"))
+    return capital(run(df, strategy, list(keys), **columns), list(keys), strategy.capital)
 
 
 def trade_statistics(t: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:

@@ -230,6 +230,18 @@ query("r1_equity_curve", f"{_EQ} select symbol, seq, {R('equity', 5)} equity fro
 query("a21_max_drawdown", f"{_EQ}, pk as (select *, max(equity) over ({BY}) peak from eq) select symbol, {R('max(peak - equity)', 4)} max_drawdown, {R('arg_max(peak - equity, (peak - equity)) / arg_max(peak, peak - equity) * 100', 4)} max_drawdown_pct from pk group by symbol")(lambda s, d: rounded(bt.drawdown(curve(s, d)), digits=4))
 query("a26_totals", f"{_ST} select cast(sum(trades) as bigint) trades, {R('sum(total_pnl)', 4)} total_pnl, {R('avg(wins / trades::double)', 4)} win_rate from st")(lambda s, d: rounded(bt.trade_statistics(backtested(s, d)).agg(F.sum("trades").alias("trades"), F.sum("total_pnl").alias("total_pnl"), F.avg("win_rate").alias("win_rate")), digits=4))
 
+_P16 = {
+    "total_pnl": "total_pnl", "win_rate": "wins / trades::double", "avg_pnl_per_trade": "avg_pnl", "sharpe_ratio": "case when trades > 1 and sd > 1e-12 then m / sd end", "max_drawdown": "dd", "max_drawdown_pct": "dd / peak * 100",
+    "profit_factor": "case when gross_loss <= 1e-12 then 'inf'::double else gross_profit / gross_loss end",
+}
+query(
+    "p16_backtest_summary",
+    f"""{_EQ}, pk as (select *, max(equity) over ({BY}) peak from eq), mx as (select symbol, max(peak - equity) dd, arg_max(peak, peak - equity) peak from pk group by symbol),
+ts0 as (select *, round(pnl, 4) p from tr), st as (select symbol, count(*) trades, count(*) filter (p > 0) wins, avg(p) avg_pnl, coalesce(sum(p) filter (p > 0), 0.0) gross_profit, -coalesce(sum(p) filter (p < 0), 0.0) gross_loss,
+ sum(pnl) total_pnl, avg(p / round(entry_px, 4)) m, stddev_samp(p / round(entry_px, 4)) sd from ts0 group by symbol)
+select symbol, coalesce(trades, 0) num_trades, {", ".join(f"{R(f'coalesce({x}, 0.0)', 3)} {c}" for c, x in _P16.items())} from mx left join st using (symbol)""",
+)(lambda s, d: rounded(reports.backtest_summary(signal(s, d), STRATEGY, signal="signal"), digits=3))
+
 
 FOLDS = bt.WalkForward(splits=3)
 

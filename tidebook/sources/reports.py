@@ -52,10 +52,35 @@ def equity_table(curves: DataFrame, symbols: list[str]) -> DataFrame:
     return placed.groupBy("tick").pivot("symbol", symbols).agg(F.first("equity"))
 
 
+def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
+    """Doubles rounded, other columns as they are."""
+    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def backtest_summary(ticks: DataFrame, strategy: backtest.Strategy = backtest.Strategy(), **columns: str) -> DataFrame:
+    """A row for each symbol: profit, trades, win rate, Sharpe ratio, drawdown and profit factor; zeros where nothing was traded."""
+    held = backtest.run(ticks, strategy, ["symbol"], **columns)
+    stats = backtest.trade_statistics(backtest.trades(held, ["symbol"]))
+    falls = backtest.drawdown(backtest.capital(held, ["symbol"], strategy.capital))
+    got = falls.join(stats, "symbol", "left")
+    names = {"total_pnl": "total_pnl", "trades": "num_trades", "win_rate": "win_rate", "avg_pnl": "avg_pnl_per_trade", "sharpe": "sharpe_ratio", "profit_factor": "profit_factor"}
+    filled = {new: F.coalesce(F.col(old), F.lit(0)).alias(new) for old, new in names.items()}
+    return got.select("symbol", *(filled[c] for c in ("total_pnl", "num_trades", "win_rate", "avg_pnl_per_trade", "sharpe_ratio")), "max_drawdown", "max_drawdown_pct", filled["profit_factor"])
+
+
+def execution_summary(fills: DataFrame, summary: DataFrame) -> DataFrame:
+    """Both results of execution.simulations() as a comparison table: with the number of fills, rounded to 4 digits."""
+    own = ["symbol", "target_qty", "strategy"]
+    got = summary.join(fills.groupBy(*own).agg(F.count("*").alias("num_fills")), own, "left")
+    names = {"filled_qty": "total_filled", "avg_fill_price": "avg_fill_price", "arrival_price": "arrival_price", "session_vwap": "vwap_price", "implementation_shortfall_bps": "impl_shortfall_bps", "vwap_slippage_bps": "vwap_slippage_bps", "market_impact_bps": "last_fill_slippage_bps"}
+    return rounded(got.select("symbol", "strategy", "target_qty", F.coalesce("num_fills", F.lit(0)).alias("num_fills"), *(F.col(a).alias(b) for a, b in names.items())))
+
+
 def write_backtest(ticks: DataFrame, root: str, symbols: list[str], strategy: backtest.Strategy = backtest.Strategy(), **columns: str) -> None:
-    """trades.csv and equity.csv of a backtest."""
+    """trades.csv, equity.csv and summary.json of a backtest, a strict record for each symbol in the latter."""
     write_csv(trade_log(backtest.backtest(ticks, strategy, **columns), ticks), f"{root}/trades.csv")
     write_csv(equity_table(backtest.equity(ticks, strategy, **columns), symbols), f"{root}/equity.csv")
+    write_json(strict(rounded(backtest_summary(ticks, strategy, **columns))), f"{root}/summary.json", "overwrite")
 
 
 def write_walk_forward(folds: DataFrame, summary: DataFrame, root: str) -> None:
@@ -66,7 +91,7 @@ def write_walk_forward(folds: DataFrame, summary: DataFrame, root: str) -> None:
 
 def write_execution(ticks: DataFrame, root: str, targets: list[int]) -> None:
     """comparison.csv of both schedules for each quantity."""
-    write_csv(execution.compare(ticks, targets), f"{root}/comparison.csv")
+    write_csv(execution_summary(*execution.simulations(ticks, ["twap", "vwap"], targets)), f"{root}/comparison.csv")
 
 
 def write_sample(snapshots: DataFrame, root: str, seed: int, purpose: str = "software validation only") -> None:
@@ -81,10 +106,12 @@ def write_sample(snapshots: DataFrame, root: str, seed: int, purpose: str = "sof
 
 
 def write_timings(long: DataFrame, root: str, **names: str) -> None:
-    """timings.csv: statistics of each module's latencies."""
+    """timings.csv: statistics of each module's latencies; summary.json: the same as strict records of 2 digits."""
     from tidebook.operators.research import timing_block
 
-    write_csv(timing_block(long, **names), f"{root}/timings.csv")
+    block = timing_block(long, **names)
+    write_csv(block, f"{root}/timings.csv")
+    write_json(strict(rounded(block, 2)), f"{root}/summary.json", "overwrite")
 
 
 def symbols_view(ticks: DataFrame) -> DataFrame:
