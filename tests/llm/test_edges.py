@@ -59,3 +59,21 @@ def test_items_of_shared_shingles(spark, extra):
     assert got == {(0, 0), (0, 60), (1, 5)}
     kept = decontaminate.decontaminate(docs(spark, texts, **extra), bench)
     assert sorted(x["doc_id"] for x in kept.collect()) == [2, 3, 4] and kept.columns == [*(c.split()[0] for c in DOC.split(", ")), *extra]
+
+
+def test_toxicity_learns_from_all_labels(spark):
+    """More rows than a task trains on: none is left out, the averaged model tells them apart and thresholds count all of a fold."""
+    r = random.Random(8)
+    rows = [(i, " ".join([f"w{r.randint(0, 200)}" for _ in range(6)] + (["vile"] if i % 5 == 0 else [])), "en") for i in range(12_000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    y = spark.createDataFrame([(i, int(i % 5 == 0)) for i, *_ in rows], "doc_id long, toxic int")
+    known = toxicity.labelled(d, y)
+    assert known.count() == y.where(~toxicity.held_out("doc_id")).count() > toxicity.PART_ROWS
+    model, cuts = toxicity.fit(d, y)
+    got = toxicity.score(d, model, cuts).where(toxicity.held_out("doc_id")).collect()
+    assert all(x["flagged"] == (x["doc_id"] % 5 == 0) == (x["score"] >= toxicity.CUT) for x in got)
+    again = toxicity.fit(d.repartition(5), y)
+    assert again[1] == cuts and (again[0].emb == model.emb).all() and (again[0].dense() == model.dense()).all()
+    scores = spark.createDataFrame([(0.9, 1, "a")] * 20 + [(0.6, 0, "a")] * 5 + [(0.3, 1, "b")] * 19 + [(0.2, 0, None)], "score double, toxic int, lang string")
+    cuts = toxicity.thresholds(scores)
+    assert set(cuts) == {None, "a"} and 0.6 < cuts["a"] < 0.9 and 0.2 < cuts[None] < 0.3
