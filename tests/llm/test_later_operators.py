@@ -270,6 +270,21 @@ def test_no_transaction_is_long(spark):
     assert any(len(x) == 2 for x in rules)
 
 
+def test_long_rules_beside_many_items(spark):
+    """A rule of five tokens, none of whose parts is one, in three groups of six of the twenty items beside its pivot."""
+    r = random.Random(15)
+    letters = "abcdefghijklmnopqrst"
+    own = "adhmq"
+    url = lambda some: "http://s.t/" + "/".join("p" + x for x in sorted(some))
+    rows = [(url(set(r.sample(letters, 11)) | set(own)), True) for _ in range(14)]
+    rows += [(url((set(r.sample(letters, 12)) | set(own)) - {x}), False) for x in own for _ in range(14)] + [(url(set(letters) - set(own)), False)] * 60
+    known = spark.createDataFrame(rows, "url string, blocked boolean")
+    rules = urls.mine(known, support=0.0, least=5)
+    new = [url(own), *(url(set(own) - {x}) for x in own)]
+    blocked = {x["url"] for x in urls.matched(spark.createDataFrame([(x,) for x in new], "url string"), rules).collect()}
+    assert blocked == {url(own)}
+
+
 def test_pages_of_odd_shapes(spark):
     rows = [("http://bad.x/win", True)] * 3000 + [(f"http://fine.y/{i}/read", False) for i in range(40)] + [(None, True), ("x", None), ("http://bad.x/" + "a" * 100_000, False)]
     known = spark.createDataFrame(rows, "url string, blocked boolean")

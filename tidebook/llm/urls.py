@@ -12,9 +12,10 @@ All tokens of a URL are mined. FP-growth is exponential in what a transaction ho
    URLs have (told by count and 128 bits of hashes) become one item: sets that differ in them alone have the same counts.
 2. Every set is mined under its rarest item, the pivot, from the URLs that have it. Among these, items that the same URLs
    have are one again: segments that stand together in some URLs and apart in others are one item beside each of them.
-3. A pivot with more than `MOST` items left has them in groups of `MOST` / 2, and FP-growth sees one group or two at a time, so
-   no transaction has more than `MOST` items and none gives more than 2^`MOST` sets. All rules of up to three items are
-   found whatever the URLs, and longer ones as long as what they hold besides the pivot is within two groups.
+3. Where more than `MOST` items stand beside a pivot, each of these with the pivot is a pivot of its own, one item longer, among the
+   URLs that have both, and so on until `MOST` items or less are left: every set is mined under one pivot, and no transaction that
+   FP-growth sees gives more than 2^`MOST` sets. A longer pivot that is a rule itself is not gone on from: sets
+   with more tokens block nothing that it doesn't. There are as many pivots as sets that differ in the URLs that have them.
 
 A rule keeps all tokens of its items, any of which stands for the item (`alike`), so it blocks what each of these sets would.
 
@@ -26,6 +27,7 @@ count.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,7 +43,7 @@ RULES = (
     ("block", "org", "/es/"),
 )
 SUPPORT, CONFIDENCE, LEAST = 0.002, 0.6, 5
-#: Items of a transaction at most.
+#: Items of a transaction at most; where there are more, pivots grow longer.
 MOST = 12
 BLOCK = "label=block"
 
@@ -91,23 +93,48 @@ def alike(rows: DataFrame, keys: list[str], name: str, least: int) -> DataFrame:
     return known.groupBy(*keys, "seen", "bad", "x", "y").agg(F.sort_array(F.collect_list(name)).alias("names")).select(*keys, F.col("names")[0].alias("item"), "seen", "bad", "names")
 
 
-def pivoted(urls: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pivots (pivot, item, seen, bad, names); what stands beside them (pivot, place, group, names); rows (url, n, bad, pivot, own: array of (group, place))."""
+def pivoted(urls: DataFrame, least: int, confidence: float = CONFIDENCE) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Tokens' items (pivot, item, seen, bad, names); what stands beside the pivots (pivot, place, group, names); rows (url, n, bad,
+    pivot, own: array of (group, place)); pivots of all lengths (pivot, lead: array of (item, names), seen, bad). All is in group 0."""
     at = urls.select("url", "n", "bad", F.explode(tokens(F.col("url"))).alias("token"))
-    known = materialize(alike(at, [], "token", least).withColumn("pivot", F.monotonically_increasing_id()), "pivots")
+    known = materialize(alike(at, [], "token", least).withColumn("pivot", F.monotonically_increasing_id().cast("string")), "pivots")
     names = known.select("pivot", "item", "seen", F.explode("names").alias("token"))
     own = at.join(names, "token").groupBy("url").agg(F.first("n").alias("n"), F.first("bad").alias("bad"), F.array_sort(F.collect_set(F.struct("seen", "item", "pivot"))).alias("own"))
     beside = own.select("url", "n", "bad", F.posexplode("own").alias("i", "p"), "own").select("url", "n", "bad", F.col("p.pivot").alias("pivot"), F.slice("own", F.col("i") + 2, F.size("own")).alias("rest"))
     each = materialize(beside.select("url", "n", "bad", "pivot", F.explode("rest.pivot").alias("other")), "beside")
+    leads = [known.select("pivot", F.array(F.struct("item", "names")).alias("lead"), "seen", "bad")]
+    title = known.select(F.col("pivot").alias("other"), "item", F.col("names").alias("tokens"))
     by = Window.partitionBy("pivot")
-    found = alike(each, ["pivot"], "other", least).withColumns({"place": F.row_number().over(by.orderBy("item")) - 1, "_many": F.count("*").over(by) > MOST})
-    found = found.select("pivot", "place", F.when(F.col("_many"), F.floor(F.col("place") / (MOST // 2))).otherwise(0).cast("int").alias("group"), "names")
-    found = materialize(found, "items")
-    rows = each.join(found.select("pivot", "place", "group", F.explode("names").alias("other")), ["pivot", "other"])
-    rows = rows.groupBy("url", "pivot").agg(F.first("n").alias("n"), F.first("bad").alias("bad"), F.collect_set(F.struct("group", "place")).alias("own"))
-    rows = materialize(rows, "transactions")
-    discard(each)
-    return known, found, rows
+    items, rows, spelled, length = [], [], None, 1
+    while True:
+        found = alike(each, ["pivot"], "other", least).withColumns({"place": F.row_number().over(by.orderBy("item")) - 1, "many": F.count("*").over(by) > MOST})
+        found = materialize(found, "items")
+        # an item stands for the tokens' items that are one beside its pivot, or were beside a shorter one
+        if spelled is None:
+            whole = found
+        else:
+            shorter = found.select("pivot", "item", "place", "many", F.substring_index("pivot", "-", length - 1).alias("_p"), F.explode("names").alias("_i"))
+            same = (F.col("_p") == spelled["_pivot"]) & (F.col("_i") == spelled["_item"])
+            whole = shorter.join(spelled, same).groupBy("pivot", "item", "place", "many").agg(F.flatten(F.collect_list("_names")).alias("names"))
+        whole = materialize(whole.select("pivot", "item", "place", "many", "names"), "spelled")
+        items.append(whole.where("not many").select("pivot", "place", F.lit(0).alias("group"), "names"))
+        few = each.join(found.where("not many").select("pivot", "place", F.lit(0).alias("group"), F.explode("names").alias("other")), ["pivot", "other"])
+        few = few.groupBy("url", "pivot").agg(F.first("n").alias("n"), F.first("bad").alias("bad"), F.collect_set(F.struct("group", "place")).alias("own"))
+        rows.append(materialize(few, "transactions"))
+        deep = found.where("many")
+        if deep.isEmpty():
+            discard(each)
+            break
+        of = whole.where("many").select("pivot", F.col("item").alias("_item"), F.explode("names").alias("other")).join(title, "other").groupBy("pivot", "_item").agg(F.struct(F.min("item").alias("item"), F.array_sort(F.flatten(F.collect_list("tokens"))).alias("names")).alias("_last"))
+        longer = F.concat_ws("-", "pivot", "_item").alias("pivot")
+        lead = deep.select("pivot", F.col("item").alias("_item"), "seen", "bad").join(of, ["pivot", "_item"]).join(leads[-1].select("pivot", "lead"), "pivot")
+        leads.append(materialize(lead.select(longer, F.concat("lead", F.array("_last")).alias("lead"), "seen", "bad"), "leads"))
+        have = each.join(deep.select("pivot", "item", "seen", F.explode("names").alias("other")), ["pivot", "other"]).groupBy("url", "pivot").agg(F.first("n").alias("n"), F.first("bad").alias("bad"), F.array_sort(F.collect_set(F.struct("seen", "item"))).alias("own"))
+        one = have.select("url", "n", "bad", "pivot", F.posexplode("own").alias("i", "p"), "own").select("url", "n", "bad", F.concat_ws("-", "pivot", "p.item").alias("pivot"), F.explode(F.slice("own", F.col("i") + 2, F.size("own"))["item"]).alias("other"))
+        last, each = each, materialize(one.join(leads[-1].where(F.col("bad") < confidence * F.col("seen")), "pivot", "left_semi"), "beside")
+        discard(last)
+        spelled, length = whole.where("many").select(F.col("pivot").alias("_pivot"), F.col("item").alias("_item"), F.col("names").alias("_names")), length + 1
+    return known, reduce(DataFrame.unionByName, items), reduce(DataFrame.unionByName, rows), reduce(DataFrame.unionByName, leads)
 
 
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST) -> DataFrame:
@@ -121,16 +148,12 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     if not counts["bad"] or counts["bad"] == counts["n"]:
         return spark.createDataFrame([], schema)
     need = max(least, math.ceil(support * counts["n"]))
-    known, found, own = pivoted(rows.groupBy("url").agg(F.count("*").alias("n"), F.count_if("blocked").alias("bad")), need)
-    alone = known.where(F.col("bad") >= confidence * F.col("seen")).select(F.array("item").alias("tokens"), F.col("item").alias("rarest"), F.col("seen").alias("n"), (F.col("bad") / F.col("seen")).alias("confidence"), F.array("names").alias("alike"))
-    # a transaction for each group and each two groups of a pivot's items; its items say which
-    groups = F.array_distinct(F.transform("own", lambda x: x["group"]))
-    parts = F.flatten(F.transform(groups, lambda a: F.transform(F.filter(groups, lambda b: b >= a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    part = own.select("pivot", "n", "bad", "own", F.explode(parts).alias("part"))
-    inside = F.filter("own", lambda x: (x["group"] == F.col("part.a")) | (x["group"] == F.col("part.b")))
-    code = F.transform(inside, lambda x: F.concat_ws(":", *(c.cast("string") for c in (F.col("pivot"), F.col("part.a"), F.col("part.b"), x["group"], x["place"]))))
+    known, found, own, leads = pivoted(rows.groupBy("url").agg(F.count("*").alias("n"), F.count_if("blocked").alias("bad")), need, confidence)
+    alone = leads.where(F.col("bad") >= confidence * F.col("seen")).select(F.col("lead.item").alias("tokens"), F.col("lead")[0]["item"].alias("rarest"), F.col("seen").alias("n"), (F.col("bad") / F.col("seen")).alias("confidence"), F.col("lead.names").alias("alike"))
+    # a transaction for each pivot of a URL; its items say which
+    code = F.transform("own", lambda x: F.concat_ws(":", F.col("pivot"), x["place"].cast("string")))
     # copies of a URL in thousands, dealt out before they are single
-    copies = part.select("n", "bad", code.alias("code"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(1024).cast("long"))).alias("from"))
+    copies = own.select("n", "bad", code.alias("code"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(1024).cast("long"))).alias("from"))
     parts_ = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     copies = copies.repartition(parts_).select("bad", "code", F.explode(F.sequence(F.col("from"), F.least(F.col("n"), F.col("from") + 1024) - 1)).alias("k"))
     bags = materialize(copies.select(F.when(F.col("k") < F.col("bad"), F.concat(F.array(F.lit(BLOCK)), "code")).otherwise(F.col("code")).alias("items")), "bags")
@@ -142,15 +165,12 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     bad = sets.where(F.array_contains("items", BLOCK) & (F.size("items") > 1)).select(F.array_remove("items", BLOCK).alias("items"), F.col("freq").alias("bad"))
     good = sets.join(bad, "items").where(F.col("bad") >= confidence * F.col("freq"))
     field = lambda x, k: F.get(F.split(x, ":"), F.lit(k))  # noqa: E731  null of the label, which filters may meet
-    # of two groups only sets that have both count: one group's are counted whole by themselves
-    whole = (field(F.get("items", F.lit(0)), 1) == field(F.get("items", F.lit(0)), 2)) | (F.size(F.array_distinct(F.transform("items", lambda x: field(x, 3)))) > 1)
-    good = good.where(whole).select(F.monotonically_increasing_id().alias("rule"), field(F.get("items", F.lit(0)), 0).try_cast("long").alias("pivot"), F.transform("items", lambda x: field(x, 4).try_cast("int")).alias("places"), F.col("freq").alias("n"), (F.col("bad") / F.col("freq")).alias("confidence"))
+    good = good.select(F.monotonically_increasing_id().alias("rule"), field(F.get("items", F.lit(0)), 0).alias("pivot"), F.transform("items", lambda x: field(x, 1).try_cast("int")).alias("places"), F.col("freq").alias("n"), (F.col("bad") / F.col("freq")).alias("confidence"))
     good = materialize(good, "rules")
     title = known.select(F.col("pivot").alias("other"), "item", F.col("names").alias("tokens"))
     spelled = found.select("pivot", "place", F.explode("names").alias("other")).join(title, "other").groupBy("pivot", "place").agg(F.min("item").alias("item"), F.array_sort(F.flatten(F.collect_list("tokens"))).alias("names"))
     rest = good.select("rule", "pivot", F.explode("places").alias("place")).join(spelled, ["pivot", "place"]).groupBy("rule").agg(F.array_sort(F.collect_list(F.struct("item", "names"))).alias("rest"))
-    lead = known.select("pivot", F.col("item").alias("rarest"), F.col("names").alias("first"))
-    mined = good.join(rest, "rule").join(lead, "pivot").select(F.concat(F.array("rarest"), F.col("rest.item")).alias("tokens"), "rarest", "n", "confidence", F.concat(F.array("first"), F.col("rest.names")).alias("alike"))
+    mined = good.join(rest, "rule").join(leads.select("pivot", "lead"), "pivot").select(F.concat("lead.item", "rest.item").alias("tokens"), F.col("lead")[0]["item"].alias("rarest"), "n", "confidence", F.concat("lead.names", "rest.names").alias("alike"))
     return alone.unionByName(mined)
 
 
