@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from test_scenarios import T0, book, frame, snap, wave
 from tidebook.operators import backtest, books, quality
 from tidebook.operators import estimators as est
+from tidebook.plans import more
 from tidebook.schema import LATENCY
 from tidebook.sources import reports, store, synthetic
 
@@ -122,3 +123,17 @@ def test_views(spark):
     alerts = est.anomalies(est.order_flow(est.metrics_input(ticks), ()))
     assert reports.recent_alerts_view(alerts, 5).columns == ["seq", "ts", "symbol", "kind", "severity", "detail"]
     assert T0.tzinfo is not None
+
+
+def test_generated_once_and_in_batches(spark, tmp_path):
+    """The batches of the source hold the generator's rows; the metrics of generated ticks read them from one store."""
+    start = datetime(2026, 1, 2, 9, 15, tzinfo=timezone.utc)
+    want = list(synthetic.snapshots("AAA", 0, 2, 50, 9, 200, start))
+    got = [tuple(x.values()) for b in synthetic.batches(iter(want), 16) for x in b.to_pylist()]
+    assert [(*x[:3], [tuple(v.values()) for v in x[3]], [tuple(v.values()) for v in x[4]], *x[5:]) for x in got] == want
+    rows = [(i, datetime(2024, 1, 1), "view", i % 7, 1.0 + i % 3, '{"k": 3}') for i in range(40)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, event_type string, user_id long, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    df = more.QUERIES["r8_generate"](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert df.count() == 40 and plan.count("InMemoryRelation") > 1 and "RelationV2" not in plan
+    spark.catalog.clearCache()

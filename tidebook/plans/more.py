@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -386,4 +387,5 @@ def vendor_books(s: SparkSession, d: str) -> DataFrame:
 query("src4_vendor_books", """ select seq, us // 1000 * 1000 us, 5 n_bids, case when seq % 11 = 0 then 0 else 5 end n_asks, round(bid_px_5 * 100) / 100 last_bid,
  case when seq % 2 = 0 then 15 + case when seq % 11 = 0 then 0 else 15 end else 0 end orders, case when seq % 13 = 0 then -1.0 else round(ltp * 100) / 100 end ltp, volume from ticks""")(vendor_books)
 query("u1_union_all", " select seq, symbol from ticks where symbol = 'VIEW' union all select seq, symbol from ticks where symbol = 'CLICK'")(lambda s, d: ticks(s, d).where("symbol = 'VIEW'").select("seq", "symbol").unionAll(ticks(s, d).where("symbol = 'CLICK'").select("seq", "symbol")))
-query("r8_generate")(lambda s, d: est.metrics(books.flatten(like_the_ticks(s, d, 7))))
+#: The scan reads its rows several times: snapshots are generated once and kept on the executors' disks until the session ends.
+query("r8_generate")(lambda s, d: est.metrics(books.flatten(like_the_ticks(s, d, 7).persist(StorageLevel.DISK_ONLY))))

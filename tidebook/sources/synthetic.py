@@ -11,6 +11,8 @@ from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 from itertools import islice
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
@@ -52,6 +54,25 @@ def snapshots(symbol: str, index: int, symbols: int, ticks: int, seed: int, tick
         yield seq, symbol, start + timedelta(milliseconds=tick_ms * seq), bids, asks, touch[1] if up else touch[0], ltq, volume
 
 
+LEVELS = pa.struct([("price", pa.float64()), ("qty", pa.int64()), ("orders", pa.int32())])
+KINDS = {"seq": pa.int64(), "symbol": pa.string(), "ts": pa.timestamp("us", "UTC"), "bids": pa.list_(LEVELS), "asks": pa.list_(LEVELS), "ltp": pa.float64(), "ltq": pa.int64(), "volume": pa.int64()}
+
+
+def batches(rows: Iterator[tuple], size: int = 8192) -> Iterator[pa.RecordBatch]:
+    """Snapshots as Arrow batches: columns, not a conversion of each nested row."""
+    while some := list(islice(rows, size)):
+        columns = []
+        for values, kind in zip(zip(*some), KINDS.values()):
+            if pa.types.is_list(kind):
+                flat = zip(*(level for side in values for level in side))
+                levels = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(flat, LEVELS)], fields=list(LEVELS))
+                ends = np.cumsum([0, *map(len, values)])
+                columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), levels, type=kind))
+            else:
+                columns.append(pa.array(values, kind))
+        yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(KINDS.items()))
+
+
 class Part(InputPartition):
     def __init__(self, index: int, symbol: str):
         super().__init__(index)
@@ -81,7 +102,7 @@ class _Reader(DataSourceReader):
         return [Part(i, s) for i, s in enumerate(self.settings.symbols)]
 
     def read(self, partition: Part):
-        return self.settings.rows(partition.index)
+        return batches(self.settings.rows(partition.index))
 
 
 class _Stream(SimpleDataSourceStreamReader):
