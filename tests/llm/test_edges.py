@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.test_operators import DOC, docs
-from tidebook.llm import decontaminate, licenses, mixing, toxicity
+from tidebook.llm import decontaminate, licenses, mixing, shards, toxicity
 
 
 def test_license_in_pieces_far_apart(spark):
@@ -77,3 +77,23 @@ def test_toxicity_learns_from_all_labels(spark):
     scores = spark.createDataFrame([(0.9, 1, "a")] * 20 + [(0.6, 0, "a")] * 5 + [(0.3, 1, "b")] * 19 + [(0.2, 0, None)], "score double, toxic int, lang string")
     cuts = toxicity.thresholds(scores)
     assert set(cuts) == {None, "a"} and 0.6 < cuts["a"] < 0.9 and 0.2 < cuts[None] < 0.3
+
+
+def test_toxicity_exchanges_texts_once(spark):
+    """Fitting shuffles less than the texts; repeated ids and labels make a row for each pair, other texts none."""
+    r = random.Random(9)
+    rows = [(i, ("vile " if i % 5 == 0 else "") + " ".join(f"{r.getrandbits(40):x}" for _ in range(60))) for i in range(4000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en")).localCheckpoint()
+    y = spark.createDataFrame([(i, int(i % 5 == 0)) for i, _ in rows], "doc_id long, toxic int").localCheckpoint()
+    written = lambda: sum(s.shuffleWriteBytes() for s in (stages.apply(i) for i in range(stages.size())))
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    before = written()
+    toxicity.fit(d, y, epochs=1)
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    assert 0 < written() - before < sum(len(t) for _, t in rows)
+
+    texts = spark.createDataFrame([(1, "a b"), (1, "c"), (2, None), (3, "d e f"), (4, "g")], "doc_id long, text string")
+    use = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (4, 0), (4, 0), (9, 1)], "doc_id long, toxic int")
+    got = [shards.unpack(x["blob"]) for x in toxicity.dealt(texts, use, 3).collect()]
+    assert sorted((int(n), int(label)) for _, counts, labels in got for n, label in zip(counts, labels)) == [(0, 1), (1, 0), (1, 0), (1, 0), (1, 1), (2, 0), (2, 1)]

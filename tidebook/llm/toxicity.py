@@ -17,6 +17,7 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -230,10 +231,42 @@ def learnt(m: Model, parts: DataFrame, epoch: int, epochs: int, seed: int = 7, *
     return new
 
 
-def train(rows: DataFrame, n: int, toxic: int, size: int, epochs: int | None = None, seed: int = 7, **how) -> Model:
-    """A model of all rows (doc_id, text, toxic), n of them with `size` bytes of text.
+def dealt(texts: DataFrame, use: DataFrame, count: int) -> DataFrame:
+    """(part, blob): words' buckets, their counts and labels of all labelled texts, by a hash of the id; texts are exchanged once.
 
-    They are dealt to parts of about PART_ROWS rows or PART_BYTES of text at most by a hash. One part is trained on in one task;
+    A part is a partition, in which labels come before the texts of their id, so that other texts are let go as they arrive.
+    """
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(count)).cast("int").alias("part")
+    both = texts.select(part, "doc_id", "text", F.lit(None).cast("int").alias("toxic")).unionAll(use.select(part, "doc_id", F.lit(None).cast("string"), "toxic"))
+
+    def packed(batches):
+        part, labels, some = None, [], []
+        known = np.zeros(0, np.int64)
+        for b in batches:
+            own = pc.is_valid(b.column("toxic"))
+            if b.num_rows:
+                part = b.column("part")[0].as_py()
+                labels.append(b.filter(own).select(["doc_id", "toxic"]))
+                known = np.union1d(known[-1:], labels[-1].column("doc_id").to_numpy())  # the last id may go on in this batch
+                left = b.filter(pc.invert(own)).select(["doc_id", "text"])
+                some.append(left.filter(pa.array(np.isin(left.column("doc_id").to_numpy(), known))))
+        if some and sum(x.num_rows for x in some):
+            t = pa.Table.from_batches(some)
+            at, of = np.arange(t.num_rows), pa.Table.from_batches(labels)
+            rows = pa.table({"doc_id": t.column("doc_id"), "at": at}).join(of, "doc_id", join_type="inner")
+            t = t.take(rows.column("at")).append_column("toxic", rows.column("toxic"))
+            t = t.sort_by([("doc_id", "ascending"), ("toxic", "ascending"), ("text", "ascending")])
+            tok, counts = tokens(t.column("text").combine_chunks())
+            blob = sh.pack(tok, counts, t.column("toxic").to_numpy().astype(np.float32))
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([blob], pa.binary())], ["part", "blob"])
+
+    return both.repartitionById(count, "part").sortWithinPartitions("doc_id", F.col("toxic").asc_nulls_last()).mapInArrow(packed, "part long, blob binary")
+
+
+def train(texts: DataFrame, use: DataFrame, n: int, toxic: int, size: int, epochs: int | None = None, seed: int = 7, **how) -> Model:
+    """A model of all rows of texts (doc_id, text) that have a label in use (doc_id, toxic): n, `toxic` of them toxic, with `size` bytes of text.
+
+    They are dealt to parts of about PART_ROWS rows or PART_BYTES of text at most by a hash of the id. One part is trained on in one task;
     of more each is trained on by itself, and after each epoch the weights are averaged. What comes to the driver is of fixed size.
     """
     m = fresh(n, toxic, seed)
@@ -241,12 +274,6 @@ def train(rows: DataFrame, n: int, toxic: int, size: int, epochs: int | None = N
         return m
     count = max(-(-n // PART_ROWS), -(-size // PART_BYTES), 1)
 
-    def packed(key, t):
-        t = t.sort_by([("doc_id", "ascending"), ("toxic", "ascending"), ("text", "ascending")])
-        tok, counts = tokens(t.column("text").combine_chunks())
-        blob = sh.pack(tok, counts, t.column("toxic").to_numpy().astype(np.float32))
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "blob": pa.array([blob], pa.binary())})
-
     def whole(batches):
         for b in batches:
             for blob in b.column(1).to_pylist():
@@ -256,14 +283,14 @@ def train(rows: DataFrame, n: int, toxic: int, size: int, epochs: int | None = N
                     learner.epoch(tok.reshape(-1, 1 + len(PREFIXES)), counts, labels, e, epochs or EPOCHS)
                 yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(own)], pa.binary())], ["model"])
 
-    part = F.pmod(F.xxhash64("doc_id", "toxic", "text"), F.lit(count)).alias("part")
-    parts = rows.select("doc_id", "text", "toxic", part).groupBy("part").applyInArrow(packed, "part long, blob binary")
+    parts = dealt(texts, use, count)
     if count == 1:
         return pickle.loads(parts.mapInArrow(whole, "model binary").first()["model"])
-    parts = materialize(parts.repartition(count), "parts")
+    parts = materialize(parts, "parts")
+    release(texts.sparkSession)  # the texts exchanged
     for e in range(epochs or ROUNDS):
         m = learnt(m, parts, e, epochs or ROUNDS, seed, **how)
-        release(rows.sparkSession)
+        release(texts.sparkSession)
     discard(parts)
     return m
 
@@ -289,41 +316,59 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, lang, toxic, fold) of all labelled documents that aren't held out."""
-    use = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(
+def fold() -> F.Column:
+    return F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(FOLDS)).cast("int")
+
+
+def usable(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of labels that may be learnt from."""
+    return labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(
         F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out("doc_id")
     )
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(~held_out("doc_id"))
-    # labels may be too many to broadcast, and texts are exchanged alike at any size
-    return texts.join(use.hint("merge"), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(FOLDS)).cast("int"))
+
+
+def learnable(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, lang) of the documents that aren't held out."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    return rows.where(F.col("doc_id").isNotNull() & ~held_out("doc_id"))
+
+
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, text, lang, toxic, fold) of all labelled documents that aren't held out."""
+    return joined(learnable(docs), usable(labels)).withColumn("fold", fold())
+
+
+def joined(rows: DataFrame, use: DataFrame) -> DataFrame:
+    """rows with their labels, by the same join at any size; labels may be too many to broadcast."""
+    return rows.join(use.hint("merge"), "doc_id")
 
 
 def fit(docs: DataFrame, labels: DataFrame, **how) -> tuple[Model, dict[str | None, float]]:
-    """A model and its thresholds from all rows of `labels` that aren't held out: fold 0 calibrates, the others are trained on."""
-    rows = materialize(labelled(docs, labels), "labelled")
-    release(docs.sparkSession)  # the texts exchanged for the join
-    of = {r["test"]: r for r in rows.groupBy((F.col("fold") == 0).alias("test")).agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"), F.sum(F.octet_length("text")).alias("size")).collect()}
+    """A model and its thresholds from all rows of `labels` that aren't held out: fold 0 calibrates, the others are trained on.
+
+    Texts are exchanged once, to be trained on; sizes and scores are what the joins for counts and thresholds move.
+    """
+    texts, use = learnable(docs), usable(labels)
+    sizes = joined(texts.select("doc_id", F.octet_length("text").alias("size")), use)
+    of = {r["test"]: r for r in sizes.groupBy((fold() == 0).alias("test")).agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"), F.sum("size").alias("size")).collect()}
     if not of:
-        discard(rows)
         return fresh(0, 0), {None: CUT}
-    own = rows.where("fold > 0") if False in of else rows
     r = of.get(False) or of[True]
-    m = train(own.select("doc_id", "text", "toxic"), r["n"], r["toxic"], r["size"] or 0, **how)
-    cuts = thresholds(scored(rows.where("fold = 0") if True in of else rows, m))
-    discard(rows)
+    mine = (fold() > 0) if False in of else F.lit(True)
+    m = train(texts.where(mine), use.where(mine), r["n"], r["toxic"], r["size"] or 0, **how)
+    cuts = thresholds(joined(scored(texts.where(fold() == 0) if True in of else texts, m), use))
     release(docs.sparkSession)
     return m, cuts
 
 
 def scored(rows: DataFrame, model: Model) -> DataFrame:
-    """(score, toxic, lang) of rows (text, toxic, lang)."""
+    """(doc_id, lang, score) of rows (doc_id, text, lang)."""
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(model.score(b.column(0)), pa.float64()), b.column(1), b.column(2)], ["score", "toxic", "lang"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(model.score(b.column(1)), pa.float64())], ["doc_id", "lang", "score"])
 
-    return rows.select("text", "toxic", "lang").mapInArrow(run, "score double, toxic int, lang string")
+    return rows.select("doc_id", "text", "lang").mapInArrow(run, "doc_id long, lang string, score double")
 
 
 def score(docs: DataFrame, model: Model, cuts: dict[str | None, float]) -> DataFrame:
