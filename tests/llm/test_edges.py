@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.test_operators import DOC, docs
-from tidebook.llm import decontaminate, licenses, mixing, shards, toxicity
+from tidebook.llm import decontaminate, jaccard, licenses, mixing, shards, toxicity
 
 
 def test_license_in_pieces_far_apart(spark):
@@ -97,3 +98,18 @@ def test_toxicity_exchanges_texts_once(spark):
     use = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (4, 0), (4, 0), (9, 1)], "doc_id long, toxic int")
     got = [shards.unpack(x["blob"]) for x in toxicity.dealt(texts, use, 3).collect()]
     assert sorted((int(n), int(label)) for _, counts, labels in got for n, label in zip(counts, labels)) == [(0, 1), (1, 0), (1, 0), (1, 0), (1, 1), (2, 0), (2, 1)]
+
+
+def test_components_meet_by_one_pair_for_each_document(spark):
+    """Two components of alike sets: a document is paired with one of the other component, not with all of them."""
+    nodes, label = np.arange(40), np.repeat([0, 20], 20)
+    sizes, points = np.full(40, 32), np.ones((40, 256), np.uint8)
+    block = nodes, sizes, np.full(40, 32), points, label
+    assert len(jaccard.crossing(*block)) == 400
+    got = jaccard.apart(*block, 2)
+    assert len(got) == 20 and len({x for _, x in got}) == 20 and all((a < 20) != (b < 20) for a, b in got)
+    assert jaccard.apart(nodes, sizes, block[2], points, nodes, 2) == []
+    keys = np.arange(30, dtype=np.uint64)
+    row = lambda i: (i, 32, keys.tobytes(), np.arange(30, dtype=np.uint32).tobytes(), bytes(np.ones(256, np.uint8)), i)
+    cands = spark.createDataFrame([row(i) for i in range(3)], "node long, n long, keys binary, pos binary, point binary, label long")
+    assert {tuple(x) for x in jaccard.pairs(cands, 8, 0, jaccard.pivots).collect()} < {tuple(x) for x in jaccard.pairs(cands, 8, None).collect()} == {(0, 1), (0, 2), (1, 2)}

@@ -12,10 +12,12 @@
    overlap of two sets is at most the sum of their coordinates' minima, that of a set and a node likewise with the node's
    greatest counts; what can't reach the overlap that 80 % needs is pruned, and so are sizes too far apart and shingles
    that stand too late in the order to be the first that both have.
-4. In a first round one document of each component in a block is paired with a pivot within the bound, in the next ones
+4. In a first round one document of each component in a block is paired with a pivot within the bound, in the next one
    each document outside the block's largest component with one partner of another component within the bound; of its
-   partners in all blocks a document keeps the first. What is linked is contracted to components (at first each class is
-   its own). In a last round all pairs of documents in different components that survive the bound and have not been
+   partners in all blocks a document keeps the first. In a third round it has one of each other component, where one of both
+   has several documents. The first two rounds take a few blocks of each document, those of the least hashes, which differ by round and
+   are mostly the same for near copies. What is linked is contracted to components (at first each class is
+   its own). In a last round all pairs of documents in different components that survive the bound in any block and have not been
    tested are verified. So a group of many near copies costs few pairs for each of them, not all pairs, and no link
    between different components is lost.
 5. Pairs of longer sets are bounded once more by points of n / 4 groups, as 256 don't tell sets of thousands of shingles
@@ -42,8 +44,8 @@ from tidebook.llm.shared import discard, materialize, release
 U = np.uint64
 PERCENT, GROUPS, FULL = 80, 256, 255
 LEAF, FAN = 8, 16
-#: Rounds of pivots, then of one partner for each document.
-ROUNDS = (True, False, False)
+#: Blocks of a document in the first two rounds.
+FEW = 4
 #: The sketch: counters, slices that are added up apart, and parts of a slice.
 BITS, SLICES, PARTS = 20, 256, 64
 #: Sets of more shingles have points of more than GROUPS groups besides.
@@ -305,22 +307,49 @@ def partners(nodes, sizes, rest, points, label, salt: int = 0) -> list[tuple[int
     return out
 
 
+def apart(nodes, sizes, rest, points, label, salt: int = 0) -> list[tuple[int, int]]:
+    """Pairs (partner, document) for documents outside the largest component: one of each other component within the bound, if one of both has several."""
+    names, inv, count = np.unique(label, return_inverse=True, return_counts=True)
+    if names.size == 1 or count.max() == 1:
+        return []
+    tree = RTree(points, sizes, rest)
+    out = []
+    for k in np.flatnonzero(inv != count.argmax()):
+        near = tree.search(k)
+        near = near[(inv[near] != inv[k]) & ((count[inv[near]] > 1) | (count[inv[k]] > 1))]
+        near = near[np.lexsort((rank(nodes[near] ^ nodes[k], salt), inv[near]))]
+        near = near[np.r_[True, np.diff(inv[near]) != 0]] if near.size else near
+        out += [(int(x), int(nodes[k])) for x in nodes[near]]
+    return out
+
+
+#: What pairs documents in the rounds before the last.
+ROUNDS = (pivots, partners, apart)
+
+
 def pairs(cands: DataFrame, shards: int, salt: int | None, pick=None) -> DataFrame:
     """Candidate pairs from candidates (node, n, keys, pos, point, label): distinct (a, b) with a < b.
 
-    With a pick (pivots or partners) a document has one pair at most besides those in which it is the first; without,
-    there are all pairs of different components within the bound.
+    With pivots or partners, from FEW blocks of each document, it has one pair at most besides those in which it is the first,
+    with `apart` one for each component and block; without a pick, there are all pairs of different components within the bound.
     """
     parts = min(shards, 4 * max(int(cands.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1))
 
+    one = pick not in (None, apart)
+
     def entries(batches):
         for b in batches:
             keys = [np.frombuffer(x, np.uint64) for x in b.column(2).to_pylist()]
             if not keys:
                 continue
-            every = np.concatenate(keys)
-            order = np.argsort(every, kind="stable")
-            key, who = every[order], np.repeat(np.arange(len(keys)), [k.size for k in keys])[order]
+            every, own = np.concatenate(keys), np.repeat(np.arange(len(keys)), [k.size for k in keys])
+            if not one:
+                order = np.argsort(every, kind="stable")
+            else:
+                order = np.lexsort((tk.mix(every ^ U(0xD6E8FEB86659FD93 * (salt + 1) % (1 << 64))), own))
+                order = order[np.arange(own.size) - np.searchsorted(own, own) < FEW]
+                order = order[np.argsort(every[order], kind="stable")]
+            key, who = every[order], own[order]
             pos = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint32)[order]
             points = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint8).reshape(-1, GROUPS)
             nodes, n, label = (b.column(i).to_numpy() for i in (0, 1, 5))
@@ -363,17 +392,17 @@ def pairs(cands: DataFrame, shards: int, salt: int | None, pick=None) -> DataFra
             block = nodes[w], n[w], rest[s], points[w], label[w]
             out.update(crossing(*block) if pick is None else pick(*block, salt))
         best: dict[int, tuple] = {}
-        if salt is not None:  # of a document's pivots the first
+        if one:  # of a document's pivots the first
             pivot = np.array([p for p, _ in out], np.int64)
             for (p, x), r in zip(list(out), rank(pivot, salt).tolist()):
                 best[x] = min(best.get(x, (r, p)), (r, p))
             out = {(p, x) for x, (_, p) in best.items()}
-        rows = np.array(sorted((p, x) if salt is not None else (min(p, x), max(p, x)) for p, x in out), np.int64).reshape(-1, 2)
+        rows = np.array(sorted((p, x) if one else (min(p, x), max(p, x)) for p, x in out), np.int64).reshape(-1, 2)
         return pa.table({"a": pa.array(rows[:, 0]), "b": pa.array(rows[:, 1]), "r": pa.array(rank(rows[:, 0], salt or 0))})
 
     rows = cands.select("node", "n", "keys", "pos", "point", "label").mapInArrow(entries, "to int, blob binary").repartition(parts, "to")
     found = rows.groupBy("to").applyInArrow(block, "a long, b long, r long")
-    if salt is None:
+    if not one:
         return found.select("a", "b").distinct()
     return found.groupBy("b").agg(F.min_by("a", "r").alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -492,8 +521,8 @@ def members(docs: DataFrame) -> DataFrame:
     cands = materialize(shared_prefixes(sets, shards), "candidates")
     release(spark)
     names, roots, written = cands.withColumn("label", F.col("node")), None, []
-    for salt, first in enumerate((*ROUNDS, None)):
-        found = pairs(names, shards, *((None,) if first is None else (salt, pivots if first else partners)))
+    for salt, pick in enumerate((*ROUNDS, None)):
+        found = pairs(names, shards, None if pick is None else salt, pick)
         for done in written:
             found = found.join(done, ["a", "b"], "left_anti")
         found = materialize(found, "pairs")
