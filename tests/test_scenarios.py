@@ -286,6 +286,20 @@ def test_merged_blocks_are_each_fold_run_alone(spark, monkeypatch):
                     assert x["profit_factor"] == pytest.approx(0.0 if not p else float("inf") if loss <= 1e-12 else gain / loss, rel=1e-4)
 
 
+def test_walk_forward_by_chunks(spark, monkeypatch):
+    """A run's rows are several chunks, each with parts of its own; the choice and its results are those of one chunk."""
+    from tidebook.operators import estimators
+
+    df, config, grid = wave(spark), backtest.WalkForward(splits=3), [(1.0, 0.4, 50), (1.5, 0.2, 40)]
+    want = [tuple(round(v, 6) if isinstance(v, float) else v for v in x) for x in backtest.walk_forward(df, config, grid)[0].orderBy("symbol", "fold").collect()]
+    for name, value in (("LEAST", 32), ("SHARE", 8), ("BUCKET", 16)):
+        monkeypatch.setattr(estimators, name, value)
+    rows = backtest.blocks(df.select("symbol", "seq", F.col("midprice").alias("price"), F.col("ofi_300s").cast("double").alias("_value")), config, ["symbol"])
+    parts = backtest.block_summaries(rows.select("symbol", "seq", "price", "_value", "block", (F.col("block") == 3).alias("_last")), grid, 10.0, ["symbol"])
+    assert parts.where("run = 0").select("chunk").distinct().count() > 3
+    assert [tuple(round(v, 6) if isinstance(v, float) else v for v in x) for x in backtest.walk_forward(df, config, grid)[0].orderBy("symbol", "fold").collect()] == want
+
+
 def test_walk_forward_fails_with_reasons(spark):
     _, s = backtest.walk_forward(wave(spark), backtest.WalkForward(splits=3, cost_bps=100.0, least_ratio=1.0, most_cv=0.0), [(1.0, 0.4, 50)])
     r = s.first()

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -180,33 +182,118 @@ def check_sizes(df: DataFrame, config: WalkForward, lookback: int, keys: list[st
         raise ValueError(f"{least} rows are too few for {config.splits} splits with a lookback of {lookback}")
 
 
+def islands(z: np.ndarray, price: np.ndarray, entry: float, exit: float, state=(np.nan, np.nan)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(out, side, price of entry) of what is held on each row, nan where nothing is; state: side and price that are held before."""
+    n = len(z)
+    out = np.abs(z) < exit
+    number = np.cumsum(out) - out
+    start = np.r_[0, np.flatnonzero(out) + 1]
+    first = np.minimum.reduceat(np.where(np.abs(z) > entry, np.arange(n), n), start[start < n])[number]
+    there = first <= np.arange(n)
+    at = np.where(there, first, 0)
+    side, held = np.where(there, np.where(z[at] > 0, 1.0, -1.0), np.nan), np.where(there, price[at], np.nan)
+    if state[0] == state[0]:
+        side[number == 0], held[number == 0] = state
+    return out, side, held
+
+
+def _round(x: np.ndarray) -> np.ndarray:
+    return np.copysign(np.floor(np.abs(x) * 1e4 + 0.5) / 1e4, x)
+
+
+def stretches(z: np.ndarray, price: np.ndarray, block: np.ndarray, entry: float, exit: float, state, cost: float) -> list[tuple]:
+    """For each block in a chunk of a run what a candidate does there, profits from 0: see block_summaries(). The last row stands by itself."""
+    out, side, held = islands(z, price, entry, exit, state)
+    there = side == side
+    opened = side * (price - held) - cost * held
+    pnl = opened - cost * price
+    own = out & there
+    gains = np.where(own & (pnl == pnl), pnl, 0.0)
+    made = np.cumsum(gains) - gains
+    mark = made + np.where(~there, 0.0, np.where(out, pnl, opened))
+    closed = made + np.where(~there, 0.0, pnl)
+    p = _round(pnl)
+    part = np.divide(p, _round(held), out=np.full(len(p), np.nan), where=held != 0)
+    got = []
+    begin = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+    for a, e in zip(begin.tolist(), np.r_[begin[1:], len(block)].tolist()):
+        mine = np.flatnonzero(own[a:e]) + a
+        q, share = p[mine][~np.isnan(p[mine])], part[mine][~np.isnan(part[mine])]
+        body = mark[a : e - 1][~np.isnan(mark[a : e - 1])] - made[a]
+        last = e - 1
+        forced = (pnl[last], p[last], part[last]) if there[last] and not out[last] else (None,) * 3
+        got.append((
+            int(block[a]), len(mine), int((q > 0).sum()), float(q[q > 0].sum()), float(-q[q < 0].sum()), float(gains[a:e].sum()), float(share.mean()) if len(share) else 0.0, float(share.var()) if len(share) else 0.0, *forced,
+            *((body.max(), body.min(), (np.maximum.accumulate(body) - body).max()) if len(body) else (None,) * 3), mark[last] - made[a], closed[last] - made[a],
+        ))
+    return got
+
+
 def block_summaries(rows: DataFrame, grid, cost_bps: float, keys: list[str]) -> DataFrame:
-    """(keys, run, cand, block, ...) of rows (keys, seq, price, _value, block): what each candidate does in a block, in parts that can be merged.
+    """(keys, run, cand, block, chunk, ...) of rows (keys, seq, price, _value, block): what each candidate does in a block, in parts that can be merged.
 
     Run 0 is the series up to the last test block, run f the test block of fold f by itself, with no past. The parts: trades that end in the
     block by their signal (`own`), the one that a cut at its last row would close (`forced`), and the block's peak, low and
     deepest fall without its last row, whose capital is `at_cut`, or `closed` after a cut. Each row is in two runs, however many folds there are.
+    A block has one part for each chunk of its rows; a chunk leaves the next one what each candidate holds, so no task has a whole series.
     """
     runs = F.when(F.col("block") == 0, F.array(F.lit(0))).when(F.col("_last"), F.array("block")).otherwise(F.array(F.lit(0), F.col("block")))
     rows = rows.withColumn("run", F.explode(runs)).drop("_last")
     z = rolling_zscore(rows, "_value", {f"_z{n}": n for n in sorted({n for _, _, n in grid})}, [*keys, "run"])
-    each = F.inline(F.array(*(F.struct(F.lit(i).alias("cand"), F.lit(float(e)).alias("entry"), F.lit(float(x)).alias("exit"), F.col(f"_z{n}").alias("z")) for i, (e, x, n) in enumerate(grid))))
-    ck = [*keys, "run", "cand"]
-    rows = z.select(*keys, "run", "block", "seq", "price", each)
-    nxt = F.lead("block").over(_by(ck))
-    rows = rows.withColumn("cut", nxt.isNull() | (nxt != F.col("block")))
-    held = positions(rows, ck, F.col("entry"), F.col("exit"), F.lit(cost_bps))
-    held = held.withColumn("_peak", F.max("mark").over(_by([*ck, "block"]).rowsBetween(Window.unboundedPreceding, 0)))
-    p, body, cut, own = F.round("pnl", 4), ~F.col("cut"), F.col("cut"), F.col("out") & F.col("held").isNotNull()
-    part = p / F.round("held.price", 4)
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    forced = F.when(cut & ~F.col("out") & F.col("held").isNotNull(), F.struct(F.lit(1).cast("long").alias("n"), (p > 0).cast("long").alias("wins"), F.when(p > 0, p).otherwise(0.0).alias("gain"), F.when(p < 0, -p).otherwise(0.0).alias("loss"), F.col("pnl").alias("total"), part.alias("mean"), F.lit(0.0).alias("var")))
-    got = held.groupBy(*ck, "block").agg(
-        F.struct(F.count_if(own).alias("n"), F.count_if(own & (p > 0)).alias("wins"), zero(F.sum(F.when(own & (p > 0), p))).alias("gain"), zero(F.sum(F.when(own & (p < 0), -p))).alias("loss"), zero(F.sum(F.when(own, F.col("pnl")))).alias("total"), zero(F.avg(F.when(own, part))).alias("mean"), zero(F.var_pop(F.when(own, part))).alias("var")).alias("own"),
-        F.max(forced).alias("forced"), F.max(F.when(body, F.col("mark"))).alias("peak"), F.min(F.when(body, F.col("mark"))).alias("low"), F.max(F.when(body, F.col("_peak") - F.col("mark"))).alias("fall"),
-        F.max(F.when(cut, F.col("mark"))).alias("at_cut"), F.max(F.when(cut, F.col("closed"))).alias("closed"),
+    names = {k: f"_key{i}" for i, k in enumerate([*keys, "run"])}
+    one = z.select(*(F.col(k).alias(v) for k, v in names.items()), "block", "seq", "price", *(f"_z{n}" for n in sorted({n for _, _, n in grid})))
+    one = estimators.chunked(one.withColumn("symbol", F.to_json(F.struct(*names.values()))))
+    groups, cost = one.groupBy("symbol", "_chunk"), cost_bps / 1e4
+
+    def columns(t: pa.Table) -> dict[str, np.ndarray]:
+        return estimators.arrays(t.drop_columns(["symbol", *names.values()]), np.argsort(t.column("seq").to_numpy(), kind="stable"))
+
+    def left(key: tuple, t: pa.Table) -> pa.Table:
+        """Of each candidate whether it goes out in the chunk, and what it holds after it."""
+        r, got = columns(t), []
+        for e, x, n in grid:
+            out, side, held = islands(r[f"_z{n}"], r["price"], e, x)
+            got += [float(out.any()), *((np.nan, np.nan) if out[-1] else (side[-1], held[-1]))]
+        return pa.table({"symbol": pa.array([key[0].as_py()], pa.string()), "_chunk": pa.array([key[1].as_py()], pa.int64()), "_held": pa.array([got], pa.list_(pa.float64()))})
+
+    def joined(batches):
+        """What is held before chunks, from what they leave in order."""
+        symbol, state = object(), None
+        for b in batches:
+            before = []
+            for s, own in zip(b.column("symbol").to_pylist(), b.column("_held").to_pylist()):
+                if s != symbol:
+                    symbol, state = s, np.full((len(grid), 2), np.nan)
+                before.append(state.ravel())
+                own = np.array(own).reshape(-1, 3)
+                state = np.where((own[:, :1] > 0) | np.isnan(state[:, :1]), own[:, 1:], state)
+            yield pa.RecordBatch.from_arrays([b.column("symbol"), b.column("_chunk"), pa.array(before, pa.list_(pa.float64()))], names=["symbol", "_chunk", "_held"])
+
+    def run(key: tuple, t: pa.Table, state: pa.Table) -> pa.Table:
+        r, old = columns(t), np.array(state.column("_held")[0].as_py()).reshape(-1, 2)
+        got = [(c, *x) for c, (e, out, n) in enumerate(grid) for x in stretches(r[f"_z{n}"], r["price"], r["block"], e, out, tuple(old[c]), cost)]
+        head = [pa.array([t.column(v)[0].as_py()] * len(got), t.schema.field(v).type) for v in names.values()]
+        cols = [pa.array(x, kind, from_pandas=True) for x, kind in zip(zip(*got), [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.float64()] * 13])]
+        return pa.table([*head, pa.array([key[1].as_py()] * len(got), pa.int64()), *cols], names=[*names.values(), "chunk", *fields])
+
+    fields = ["cand", "block", "_n", "_wins", "_gain", "_loss", "_total", "_mean", "_var", "_pnl", "_p", "_part", "_peak", "_low", "_fall", "_at", "_closed"]
+    kind = "symbol string, _chunk long, _held array<double>"
+    states = groups.applyInArrow(left, kind).repartition("symbol").sortWithinPartitions("symbol", "_chunk").mapInArrow(joined, kind)
+    heads = ", ".join(f"{v} {one.schema[v].dataType.simpleString()}" for v in names.values())
+    parts = groups.cogroup(states.groupBy("symbol", "_chunk")).applyInArrow(run, f"{heads}, chunk long, cand int, block int, _n long, _wins long, " + ", ".join(f"{c} double" for c in fields[4:]))
+    parts = parts.withColumnsRenamed({v: k for k, v in names.items()})
+    by = Window.partitionBy(*keys, "run", "cand").orderBy("chunk", "block")  # a chunk's parts, few
+    nxt = F.lead("block").over(by)
+    parts = parts.withColumns({"cut": nxt.isNull() | (nxt != F.col("block")), "_made": F.coalesce(F.sum("_total").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))})
+    cut, p, on = F.col("cut"), F.col("_p"), lambda c: F.col("_made") + F.col(c)
+    forced = F.when(cut & F.col("_pnl").isNotNull(), F.struct(F.lit(1).cast("long").alias("n"), (p > 0).cast("long").alias("wins"), F.when(p > 0, p).otherwise(0.0).alias("gain"), F.when(p < 0, -p).otherwise(0.0).alias("loss"), F.col("_pnl").alias("total"), F.col("_part").alias("mean"), F.lit(0.0).alias("var")))
+    last = F.when(~cut, F.col("_at"))  # a last row that is none of the block's is one like the others
+    return parts.select(
+        *keys, "run", "cand", "block", "chunk",
+        F.struct(*(F.col(f"_{c}").alias(c) for c in ("n", "wins", "gain", "loss", "total", "mean", "var"))).alias("own"), forced.alias("forced"),
+        (F.col("_made") + F.greatest("_peak", last)).alias("peak"), (F.col("_made") + F.least("_low", last)).alias("low"), F.greatest("_fall", F.greatest("_peak", last) - last).alias("fall"),
+        F.when(cut, on("_at")).alias("at_cut"), F.when(cut, on("_closed")).alias("closed"),
     )
-    return got
 
 
 def merged(parts: DataFrame, config: WalkForward, keys: list[str]) -> DataFrame:
@@ -215,7 +302,7 @@ def merged(parts: DataFrame, config: WalkForward, keys: list[str]) -> DataFrame:
     The training set of fold f is run 0 up to block f - 1, cut there. Peaks carry over from block to block; nothing is worked out from rows again.
     """
     ck = [*keys, "run", "cand"]
-    peak = F.max(F.greatest("peak", "at_cut")).over(Window.partitionBy(*ck).orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    peak = F.max(F.greatest("peak", "at_cut")).over(Window.partitionBy(*ck).orderBy("block", "chunk").rowsBetween(Window.unboundedPreceding, -1))
     df = parts.withColumn("_before", peak)
     df = df.withColumns({"_top": F.greatest("_before", "peak"), "_body": F.greatest("fall", F.col("_before") - F.col("low"))})
     df = df.withColumns({"_on": F.greatest(F.col("_body"), F.greatest("_top", "at_cut") - F.col("at_cut")), "_cut": F.greatest(F.col("_body"), F.greatest("_top", "closed") - F.col("closed"))})
@@ -225,7 +312,7 @@ def merged(parts: DataFrame, config: WalkForward, keys: list[str]) -> DataFrame:
     df = df.select(*keys, "fold", F.when(trains, "train").otherwise("test").alias("split"), "cand", F.when(ends, F.col("_cut")).otherwise(F.col("_on")).alias("_fall"), F.inline(F.array_compact(F.array("own", F.when(ends, F.col("forced"))))))
     got = df.groupBy(*keys, "fold", "split", "cand").agg(
         F.sum("n").alias("trades"), F.sum("wins").alias("_wins"), F.sum("gain").alias("_gain"), F.sum("loss").alias("_loss"), F.sum("total").alias("total_pnl"),
-        F.max("_fall").alias("max_drawdown"), F.collect_list(F.struct("n", "mean", "var")).alias("_parts"),  # two for each block at most
+        F.max("_fall").alias("max_drawdown"), F.collect_list(F.struct("n", "mean", "var")).alias("_parts"),  # two for each chunk of a block at most
     )
     over = lambda f: F.aggregate("_parts", F.lit(0.0), lambda acc, x: acc + f(x))
     got = got.withColumn("_mean", F.try_divide(over(lambda x: x["n"] * x["mean"]), F.col("trades")))
