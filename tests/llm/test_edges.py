@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +114,36 @@ def test_components_meet_by_one_pair_for_each_document(spark):
     row = lambda i: (i, 32, keys.tobytes(), np.arange(30, dtype=np.uint32).tobytes(), bytes(np.ones(256, np.uint8)), i)
     cands = spark.createDataFrame([row(i) for i in range(3)], "node long, n long, keys binary, pos binary, point binary, label long")
     assert {tuple(x) for x in jaccard.pairs(cands, 8, 0, jaccard.pivots).collect()} < {tuple(x) for x in jaccard.pairs(cands, 8, None).collect()} == {(0, 1), (0, 2), (1, 2)}
+
+
+def test_toxicity_reads_a_part_in_pieces(spark, monkeypatch):
+    """Where few texts have a label, no task reads all of a part's texts; the pieces of a part are trained on together, each pair of text and label once."""
+    texts = spark.createDataFrame([(i, f"w{i} " * (i % 7)) for i in range(3000)] + [(4, None), (4, "z"), (4, "y")], "doc_id long, text string")
+    use = spark.createDataFrame([(i, i // 10 % 2) for i in range(0, 3000, 10)] + [(4, 1), (4, 0), (20, 1), (5000, 1)], "doc_id long, toxic int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)  # an id's labels and texts lie in several batches
+    try:
+        rows = toxicity.dealt(texts, use, 2, 6).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(x["part"], x["piece"]) for x in rows} == {(i, j) for i in range(2) for j in range(6)}
+    got = [(int(n), int(label)) for x in rows for n, label in zip(*shards.unpack(x["blob"])[1:])]
+    want = [(len((x["text"] or "").split()), x["toxic"]) for x in texts.join(use, "doc_id").collect()]
+    assert sorted(got) == sorted(want)
+
+    both = [x for k in (0, 1) for x in sorted((x for x in rows if x["part"] == k), key=lambda x: (x["piece"], x["at"]))]
+    batches = [pa.record_batch({"part": [x["part"] for x in some], "blob": pa.array([x["blob"] for x in some], pa.binary())}) for some in (both[:5], both[5:])]
+    parts = dict(toxicity.whole_parts(batches))
+    assert set(parts) == {0, 1} and sum(counts.size for _, counts, _ in parts.values()) == len(want)
+    for k, arrays in parts.items():
+        own = [shards.unpack(x["blob"]) for x in both if x["part"] == k]
+        assert all((x == np.concatenate([o[i] for o in own])).all() for i, x in enumerate(arrays))
+
+    monkeypatch.setattr(toxicity, "PIECE_BYTES", 1 << 12)
+    monkeypatch.setattr(toxicity, "PART_ROWS", 100)
+    few = texts.where("doc_id != 4")
+    how = [few.repartition(n) for n in (2, 5)]
+    a, b = (toxicity.fit(x.selectExpr("*", "'en' lang"), use, epochs=1)[0] for x in how)
+    assert (a.emb == b.emb).all() and (a.dense() == b.dense()).all()
+    monkeypatch.setattr(toxicity, "PART_ROWS", 10_000)  # one part, still in pieces
+    a, b = (toxicity.fit(x.selectExpr("*", "'en' lang"), use, epochs=1)[0] for x in how)
+    assert (a.emb == b.emb).all() and (a.emb != toxicity.Model().emb).any()

@@ -17,7 +17,6 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +30,8 @@ PREFIXES = (4, 6, 8)
 #: Rows and bytes of text of a part that is trained on in one task, about, at most; of all labelled rows one fold
 #: calibrates the thresholds and isn't trained on.
 PART_ROWS, PART_BYTES, FOLDS = 8_000, 32 << 20, 5
+#: Bytes of text, with a label or without, that one task turns into words' buckets for a part, about.
+PIECE_BYTES = 8 << 20
 #: Epochs of one part by itself, and of several, whose weights are averaged after each; slices of the embeddings in that.
 EPOCHS, ROUNDS, SLICES = 10, 5, 16
 #: Steps of the score that thresholds tell apart.
@@ -200,19 +201,44 @@ def fresh(n: int, toxic: int, seed: int = 7) -> Model:
     return m
 
 
+def whole_parts(batches):
+    """(part, its arrays) of each part whose blobs (part, blob) follow one another; a part's arrays are filled blob by blob."""
+
+    def filled(blobs):
+        kinds = [[(x.dtype, x.size) for x in sh.unpack(b)] for b in blobs]
+        out, done = [np.empty(sum(n for _, n in k), k[0][0]) for k in zip(*kinds)], [0] * len(kinds[0])
+        for b in blobs:
+            for i, x in enumerate(sh.unpack(b)):
+                out[i][done[i] : done[i] + x.size] = x
+                done[i] += x.size
+        return out
+
+    part, blobs = None, []
+    for b in batches:
+        for k, blob in zip(b.column(0).to_pylist(), b.column(1)):
+            if blobs and k != part:
+                yield part, filled(blobs)
+                blobs = []
+            part = k
+            blobs.append(blob.as_py())
+    if blobs:
+        yield part, filled(blobs)
+
+
 def learnt(m: Model, parts: DataFrame, epoch: int, epochs: int, seed: int = 7, **how) -> Model:
     """The model after one more epoch in each part (part, blob): weights are averaged, a word's over the parts that moved it."""
 
+    def one(k, tok, counts, labels):
+        own = pickle.loads(pickle.dumps(m))
+        Learner(own, (seed, epoch, k), **how).epoch(tok.reshape(-1, 1 + len(PREFIXES)), counts, labels, epoch, epochs)
+        blobs = [sh.pack(own.dense().astype(np.float64), np.ones(1, np.int64))]
+        moved = (own.emb != m.emb).any(1)
+        blobs += [sh.pack(np.where(t[:, None], e, 0).astype(np.float64).ravel(), t.astype(np.int64)) for e, t in zip(np.split(own.emb, SLICES), np.split(moved, SLICES))]
+        return pa.RecordBatch.from_arrays([pa.array([k] * len(blobs), pa.int64()), pa.array(range(len(blobs)), pa.int32()), pa.array(blobs, pa.binary())], ["part", "slice", "blob"])
+
     def run(batches):
-        for b in batches:
-            for k, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own = pickle.loads(pickle.dumps(m))
-                tok, counts, labels = sh.unpack(blob)
-                Learner(own, (seed, epoch, k), **how).epoch(tok.reshape(-1, 1 + len(PREFIXES)), counts, labels, epoch, epochs)
-                blobs = [sh.pack(own.dense().astype(np.float64), np.ones(1, np.int64))]
-                moved = (own.emb != m.emb).any(1)
-                blobs += [sh.pack(np.where(t[:, None], e, 0).astype(np.float64).ravel(), t.astype(np.int64)) for e, t in zip(np.split(own.emb, SLICES), np.split(moved, SLICES))]
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(blobs), pa.int64()), pa.array(range(len(blobs)), pa.int32()), pa.array(blobs, pa.binary())], ["part", "slice", "blob"])
+        for k, arrays in whole_parts(batches):
+            yield one(k, *arrays)
 
     def add(key, table):
         table = table.sort_by("part")
@@ -231,59 +257,64 @@ def learnt(m: Model, parts: DataFrame, epoch: int, epochs: int, seed: int = 7, *
     return new
 
 
-def dealt(texts: DataFrame, use: DataFrame, count: int) -> DataFrame:
-    """(part, blob): words' buckets, their counts and labels of all labelled texts, by a hash of the id; texts are exchanged once.
+def dealt(texts: DataFrame, use: DataFrame, count: int, pieces: int = 1) -> DataFrame:
+    """(part, piece, at, blob): words' buckets, their counts and labels of all labelled texts, by hashes of the id; texts are exchanged once.
 
-    A part is a partition, in which labels come before the texts of their id, so that other texts are let go as they arrive.
+    A piece of a part is a partition, in which labels come before the texts of their id, so that other texts are let go and
+    labelled ones turned into a blob as each batch arrives.
     """
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(count)).cast("int").alias("part")
-    both = texts.select(part, "doc_id", "text", F.lit(None).cast("int").alias("toxic")).unionAll(use.select(part, "doc_id", F.lit(None).cast("string"), "toxic"))
+    slot = (F.pmod(F.xxhash64("doc_id"), F.lit(count)) * pieces + F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(pieces))).cast("int").alias("slot")
+    both = texts.select(slot, "doc_id", "text", F.lit(None).cast("int").alias("toxic")).unionAll(use.select(slot, "doc_id", F.lit(None).cast("string"), "toxic"))
 
     def packed(batches):
-        part, labels, some = None, [], []
-        known = np.zeros(0, np.int64)
-        for b in batches:
-            own = pc.is_valid(b.column("toxic"))
-            if b.num_rows:
-                part = b.column("part")[0].as_py()
-                labels.append(b.filter(own).select(["doc_id", "toxic"]))
-                known = np.union1d(known[-1:], labels[-1].column("doc_id").to_numpy())  # the last id may go on in this batch
-                left = b.filter(pc.invert(own)).select(["doc_id", "text"])
-                some.append(left.filter(pa.array(np.isin(left.column("doc_id").to_numpy(), known))))
-        if some and sum(x.num_rows for x in some):
-            t = pa.Table.from_batches(some)
-            at, of = np.arange(t.num_rows), pa.Table.from_batches(labels)
-            rows = pa.table({"doc_id": t.column("doc_id"), "at": at}).join(of, "doc_id", join_type="inner")
-            t = t.take(rows.column("at")).append_column("toxic", rows.column("toxic"))
-            t = t.sort_by([("doc_id", "ascending"), ("toxic", "ascending"), ("text", "ascending")])
-            tok, counts = tokens(t.column("text").combine_chunks())
-            blob = sh.pack(tok, counts, t.column("toxic").to_numpy().astype(np.float32))
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([blob], pa.binary())], ["part", "blob"])
-
-    return both.repartitionById(count, "part").sortWithinPartitions("doc_id", F.col("toxic").asc_nulls_last()).mapInArrow(packed, "part long, blob binary")
-
-
-def train(texts: DataFrame, use: DataFrame, n: int, toxic: int, size: int, epochs: int | None = None, seed: int = 7, **how) -> Model:
+        known, toxic = np.zeros(0, np.int64), np.zeros(0, np.int32)  # labels of the last id, which may go on in the next batch
+        for at, b in enumerate(batches):
+            if not b.num_rows:
+                continue
+            ids, own = b.column("doc_id").to_numpy(), np.asarray(b.column("toxic").is_valid())
+            known, toxic = np.r_[known, ids[own]], np.r_[toxic, b.column("toxic").drop_null().to_numpy()]
+            left = np.flatnonzero(~own)
+            low, high = (np.searchsorted(known, ids[left], side) for side in ("left", "right"))
+            row = np.repeat(np.arange(left.size), high - low)  # a row for each label of a text
+            if row.size:
+                label = toxic[low[row] + np.arange(row.size) - np.searchsorted(row, row)]
+                order = np.lexsort((label, ids[left[row]]))
+                tok, counts = tokens(b.column("text").take(pa.array(left[row[order]])))
+                part, piece = divmod(b.column("slot")[0].as_py(), pieces)
+                blob = sh.pack(tok, counts, label[order].astype(np.float32))
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([piece], pa.int32()), pa.array([at], pa.int32()), pa.array([blob], pa.binary())], ["part", "piece", "at", "blob"])
+            more = known == ids[-1]
+            known, toxic = known[more], toxic[more]
+
+    rows = both.repartitionById(count * pieces, "slot").sortWithinPartitions("doc_id", F.col("toxic").asc_nulls_last(), F.col("text").asc_nulls_last())
+    return rows.mapInArrow(packed, "part long, piece int, at int, blob binary")
+
+
+def train(texts: DataFrame, use: DataFrame, n: int, toxic: int, size: int, total: int = 0, epochs: int | None = None, seed: int = 7, **how) -> Model:
     """A model of all rows of texts (doc_id, text) that have a label in use (doc_id, toxic): n, `toxic` of them toxic, with `size` bytes of text.
 
     They are dealt to parts of about PART_ROWS rows or PART_BYTES of text at most by a hash of the id. One part is trained on in one task;
     of more each is trained on by itself, and after each epoch the weights are averaged. What comes to the driver is of fixed size.
+    Texts are read in pieces of parts, by the `total` bytes of all texts: where few have a label, a part's texts are many more than it trains on.
     """
     m = fresh(n, toxic, seed)
     if m.constant is not None:
         return m
     count = max(-(-n // PART_ROWS), -(-size // PART_BYTES), 1)
+    pieces = max(-(-total // (count * PIECE_BYTES)), 1)
 
     def whole(batches):
-        for b in batches:
-            for blob in b.column(1).to_pylist():
-                own, (tok, counts, labels) = pickle.loads(pickle.dumps(m)), sh.unpack(blob)
-                learner = Learner(own, seed, **how)
-                for e in range(epochs or EPOCHS):
-                    learner.epoch(tok.reshape(-1, 1 + len(PREFIXES)), counts, labels, e, epochs or EPOCHS)
-                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(own)], pa.binary())], ["model"])
-
-    parts = dealt(texts, use, count)
+        for _, (tok, counts, labels) in whole_parts(batches):
+            own = pickle.loads(pickle.dumps(m))
+            learner = Learner(own, seed, **how)
+            for e in range(epochs or EPOCHS):
+                learner.epoch(tok.reshape(-1, 1 + len(PREFIXES)), counts, labels, e, epochs or EPOCHS)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(own)], pa.binary())], ["model"])
+
+    parts = dealt(texts, use, count, pieces)
+    if pieces > 1:
+        parts = parts.repartitionById(count, F.col("part").cast("int")).sortWithinPartitions("piece", "at")
+    parts = parts.select("part", "blob")
     if count == 1:
         return pickle.loads(parts.mapInArrow(whole, "model binary").first()["model"])
     parts = materialize(parts, "parts")
@@ -338,9 +369,9 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return joined(learnable(docs), usable(labels)).withColumn("fold", fold())
 
 
-def joined(rows: DataFrame, use: DataFrame) -> DataFrame:
+def joined(rows: DataFrame, use: DataFrame, how: str = "inner") -> DataFrame:
     """rows with their labels, by the same join at any size; labels may be too many to broadcast."""
-    return rows.join(use.hint("merge"), "doc_id")
+    return rows.join(use.hint("merge"), "doc_id", how)
 
 
 def fit(docs: DataFrame, labels: DataFrame, **how) -> tuple[Model, dict[str | None, float]]:
@@ -349,13 +380,15 @@ def fit(docs: DataFrame, labels: DataFrame, **how) -> tuple[Model, dict[str | No
     Texts are exchanged once, to be trained on; sizes and scores are what the joins for counts and thresholds move.
     """
     texts, use = learnable(docs), usable(labels)
-    sizes = joined(texts.select("doc_id", F.octet_length("text").alias("size")), use)
-    of = {r["test"]: r for r in sizes.groupBy((fold() == 0).alias("test")).agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"), F.sum("size").alias("size")).collect()}
+    sizes = joined(texts.select("doc_id", F.octet_length("text").alias("size")), use, "left")
+    known = F.when(F.col("toxic").isNotNull(), F.col("size"))
+    sums = sizes.groupBy((fold() == 0).alias("test")).agg(F.count("toxic").alias("n"), F.sum("toxic").alias("toxic"), F.sum(known).alias("size"), F.sum("size").alias("total"))
+    of = {r["test"]: r for r in sums.collect() if r["n"]}
     if not of:
         return fresh(0, 0), {None: CUT}
     r = of.get(False) or of[True]
     mine = (fold() > 0) if False in of else F.lit(True)
-    m = train(texts.where(mine), use.where(mine), r["n"], r["toxic"], r["size"] or 0, **how)
+    m = train(texts.where(mine), use.where(mine), r["n"], r["toxic"], r["size"] or 0, r["total"] or 0, **how)
     cuts = thresholds(joined(scored(texts.where(fold() == 0) if True in of else texts, m), use))
     release(docs.sparkSession)
     return m, cuts
