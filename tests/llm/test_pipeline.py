@@ -1,8 +1,10 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tidebook.llm import decontaminate, shared
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -48,3 +50,28 @@ def test_stages_take_odd_rows(spark):
     assert 0.9 * budget - 20 <= sum(r["taken"] for r in mixed) <= budget  # whole tokens a node are all that may lack, where capacity is left
     assert all(0 < r["taken"] <= r["n_tokens"] for r in mixed) and {r["n_tokens"] for r in mixed} <= set(size.values())
     assert stages["mixing"](spark, docs.limit(0), SF).count() == 0
+
+
+def joins_of(df):
+    """Joins in the plan that Spark would run."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return sum(line.count("Join") for line in plan.split("== Initial Plan ==")[0].splitlines())
+
+
+def test_decontamination_joins_each_side_once(spark):
+    """Small joins are broadcast at once, several buffers of the driver's memory each: what is known of an item comes with its shingles."""
+    items = spark.createDataFrame([(1, "one two three four five six seven"), (2, "a short one"), (3, "other words"), (4, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so one two three four five six seven it is"), (2, "this is A short One too"), (3, "one two three"), (None, "other words"), (4, None)], "doc_id long, text string")
+    own, least, mask, widths = decontaminate.prepared(items, 80)
+    some = decontaminate.marked(docs.select("text", F.struct("doc_id").alias("row")), mask, widths)
+    got = decontaminate.verified(some, own, least, 80)
+    assert joins_of(got) == 3 and joins_of(decontaminate.sketches(own, 80)) == 1
+    rows = decontaminate.contained(docs, items).collect()
+    assert sorted(((r["doc_id"], r["item_id"], r["n_item"], r["n_shared"]) for r in rows), key=str) == [(1, 1, 3, 3), (2, 2, 1, 1), (None, 3, 1, 1)]
+
+
+def test_release_returns_memory_that_the_driver_does_not_use(spark):
+    said = shared.trim(spark)
+    if not said:
+        pytest.skip("this JVM does not offer it")
+    assert said.startswith("Trim native heap")

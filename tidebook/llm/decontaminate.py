@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tidebook.llm import shards as sh
 from tidebook.llm import textkit as tk
-from tidebook.llm.shared import discard, materialize
+from tidebook.llm.shared import discard, materialize, release
 
 PERCENT, WIDTH = 80, 5
 #: Bits of the Bloom filter (powers of 2, from 2 MB to 32 MB) for each hash, and its slices.
@@ -63,15 +63,15 @@ def indexed(items: DataFrame) -> DataFrame:
 
 def sketches(items: DataFrame, percent: int) -> DataFrame:
     """(hash, item): of each item the k shingles that the fewest items have (least hashes among equals), k by its partition."""
+    most = dict(items.groupBy("class").agg(F.max("n_item")).collect())  # two for each power of 2
 
     def run(batches):
         for b in batches:
-            for item, q, x in zip(*(b.column(i).to_pylist() for i in range(3))):
+            for item, c, x in zip(*(b.column(i).to_pylist() for i in range(3))):
                 own = np.frombuffer(x, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(own.size, item)), pa.array(np.full(own.size, q * (100 - percent) // 100 + 1))], ["hash", "item", "k"])
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(own.size, item)), pa.array(np.full(own.size, most[c] * (100 - percent) // 100 + 1))], ["hash", "item", "k"])
 
-    most = items.groupBy("class").agg(F.max("n_item").alias("q"))  # two for each power of 2
-    own = items.join(F.broadcast(most), "class").select("item", "q", "grams").mapInArrow(run, "hash long, item long, k long")
+    own = items.select("item", "class", "grams").mapInArrow(run, "hash long, item long, k long")
     seen = own.groupBy("hash").agg(F.count("*").alias("seen"))
     order = Window.partitionBy("item").orderBy("seen", "hash")  # shingles of one item
     return own.join(seen, "hash").withColumn("_n", F.row_number().over(order)).where("_n <= k").select("hash", "item")
@@ -145,7 +145,11 @@ def marked(rows: DataFrame, mask: np.ndarray, widths: list[int]) -> DataFrame:
 
 
 def verified(docs: DataFrame, items: DataFrame, least: DataFrame, percent: int) -> DataFrame:
-    """(uid, item, n_shared) of pairs that share a sketch hash and enough shingles."""
+    """(uid, item_id, n_item, n_shared) of pairs that share a sketch hash and enough shingles.
+
+    What the result has of an item comes with its shingles: each join of small tables is broadcast at the same time as the others,
+    and Spark's driver takes several buffers of 4 MB for every one.
+    """
 
     def each(batches):
         for b in batches:
@@ -155,13 +159,13 @@ def verified(docs: DataFrame, items: DataFrame, least: DataFrame, percent: int)
 
     def compare(batches):
         for b in batches:
-            both = [int(np.isin(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True).sum()) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(both, pa.int64())], ["uid", "item", "n_shared"])
+            both = [int(np.isin(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True).sum()) for x, y in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
+            ok = 100 * np.array(both, np.int64) >= percent * b.column(2).to_numpy()
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array(both, pa.int64())], ["uid", "item_id", "n_item", "n_shared"]).filter(pa.array(ok, pa.bool_()))
 
     pairs = docs.select("uid", "hits").mapInArrow(each, "hash long, uid long").join(least, "hash").select("uid", "item").distinct()
-    sides = pairs.join(items.select("item", "n_item", F.col("grams").alias("own")), "item").join(docs.select("uid", "grams"), "uid")
-    got = sides.select("uid", "item", "own", "grams").mapInArrow(compare, "uid long, item long, n_shared long")
-    return got.join(items.select("item", "item_id", "n_item"), "item").where(100 * F.col("n_shared") >= percent * F.col("n_item"))
+    sides = pairs.join(items.select("item", "item_id", "n_item", F.col("grams").alias("own")), "item").join(docs.select("uid", "grams"), "uid")
+    return sides.select("uid", "item_id", "n_item", "own", "grams").mapInArrow(compare, "uid long, item_id long, n_item long, n_shared long")
 
 
 def prepared(items: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, np.ndarray, list[int]]:
@@ -197,6 +201,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, percent: int = PERCENT) ->
     some = marked(docs.select(F.col("text").cast("string").alias("text"), F.struct("*").alias("row")), mask, widths)
     bad = materialize(verified(some, own, least, percent).select("uid").distinct(), "contaminated")
     discard(own, least)
+    release(docs.sparkSession)
     kept = some.join(bad, "uid", "left_anti").select("row.*")
     return docs.mapInArrow(clean, docs.schema).unionAll(kept)
 
